@@ -68,20 +68,20 @@ def stack_order(spark, sf):
 _RECURSIVE = ("macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "adx_slope")
 
 
-@query("i4_i8_i9_i11_walk_recursions", outer("hsnap", f"instrument, idx, {_r(*_RECURSIVE, digits=4)}"))
+@query("i4_i8_i9_i11_walk_recursions", outer("hsnap", f"instrument, idx, {_r(*_RECURSIVE)}"))
 def walk_recursions(spark, sf):
-    return out(ind.walk_snapshots(hourly(spark, sf), KEYS, LOOKBACK), "instrument", "idx", *_RECURSIVE, digits=4)
+    return out(ind.walk_snapshots(hourly(spark, sf), KEYS, LOOKBACK), "instrument", "idx", *_RECURSIVE)
 
 
 _SNAP = ["last_close", *_SMAS, *_BANDS, "bb_width", "stoch_k", "stoch_d", "rsi", "adx", "plus_di", "minus_di", "adx_slope", "macd", "macd_signal", "macd_hist", "high_n", "low_n"]
 _SNAP_TEXT = ["bb_zone", "ma_perfect_order", *[f"vs_sma_{p}" for p in SMA]]
 
 
-@query("i14_last_snapshots", sql(f"""SELECT instrument, {LOOKBACK}::BIGINT AS bar_count, {_r(*_SNAP, digits=4)}, {', '.join(_SNAP_TEXT)}, adx_rising
+@query("i14_last_snapshots", sql(f"""SELECT instrument, {LOOKBACK}::BIGINT AS bar_count, {_r(*_SNAP)}, {', '.join(_SNAP_TEXT)}, adx_rising
     FROM hsnap QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY idx DESC) = 1""", "hsnap"))
 def last_snapshots(spark, sf):
     good, _ = ind.last_snapshots(hourly(spark, sf), KEYS, LOOKBACK)
-    return out(good, "instrument", "bar_count", *_SNAP, *_SNAP_TEXT, "adx_rising", digits=4)
+    return out(good, "instrument", "bar_count", *_SNAP, *_SNAP_TEXT, "adx_rising")
 
 
 @query("i14_snapshot_rejects", sql("""SELECT instrument, count(*) AS bar_count, 'need at least 30 bars; got ' || count(*) AS reason
@@ -93,12 +93,12 @@ def snapshot_rejects(spark, sf):
     return out(ind.last_snapshots(days.withColumn("idx", F.row_number().over(w) - 1), KEYS, LOOKBACK)[1], "instrument", "bar_count", "reason")
 
 
-@query("i15_plot_series", sql(f"""SELECT instrument, idx, {_r(*_SMAS, 'bb_upper_2', 'bb_upper_1', 'bb_lower_1', 'bb_lower_2', digits=4)} FROM hi
+@query("i15_plot_series", sql(f"""SELECT instrument, idx, {_r(*_SMAS, 'bb_upper_2', 'bb_upper_1', 'bb_lower_1', 'bb_lower_2')} FROM hi
     QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY idx DESC) <= 80""", "hi"))
 def plot_series(spark, sf):
     bars = hourly(spark, sf)
     counts = bars.groupBy(*KEYS).agg(F.count("*").alias("bar_count"))
-    return out(ind.plot_series(bars, KEYS, counts), "instrument", "idx", *_SMAS, "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2", digits=4)
+    return out(ind.plot_series(bars, KEYS, counts), "instrument", "idx", *_SMAS, "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2")
 
 
 @query("i16_average_range", sql("""SELECT instrument, idx, round(coalesce(avg(tr) OVER (PARTITION BY instrument ORDER BY idx

@@ -116,8 +116,8 @@ def _recursion_sql(source: str, lookback: int) -> str:
     """All windows stepped together, one position per iteration."""
     last = lookback - 1
     return f"""
-        SELECT r.instrument, r.e, 0 AS m, b.close AS c, b.close AS f12, b.close AS f26, 0.0 AS sig, 0.0 AS g, 0.0 AS l,
-            0.0 AS str, 0.0 AS sp, 0.0 AS sm, 0.0 AS pdi, 0.0 AS mdi, 0.0 AS adx, NULL::DOUBLE AS then_adx
+        SELECT r.instrument, r.e, 0 AS m, b.close AS c, b.close AS f12, b.close AS f26, 0::DOUBLE AS sig, 0::DOUBLE AS g, 0::DOUBLE AS l,
+            0::DOUBLE AS str, 0::DOUBLE AS sp, 0::DOUBLE AS sm, 0::DOUBLE AS pdi, 0::DOUBLE AS mdi, 0::DOUBLE AS adx, NULL::DOUBLE AS then_adx
         FROM (SELECT instrument, idx AS e FROM {source} WHERE idx >= {last}) r
         JOIN {source} b ON b.instrument = r.instrument AND b.idx = r.e - {last}
         UNION ALL
