@@ -1,12 +1,12 @@
-"""Entry, stop and target geometry, sizing and the decision gate, as column expressions."""
+"""Entry, stop and target geometry, sizing and the decision gate: row-local, no shuffle."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.functions.numbers import is_true, whole_even
+from candlewick.functions.numbers import computed_once, is_true, whole_even
 
 # Ticket geometry and gate limits.
 PLANNED_R = 2.0
@@ -20,7 +20,6 @@ SKELETON_NOTES = "--no-llm"
 
 SMA_LEVELS = ("sma_10", "sma_20", "sma_50", "sma_100", "sma_200")
 BAND_LEVELS = ("bb_mid", "bb_upper_1", "bb_upper_2", "bb_lower_1", "bb_lower_2")
-TICKET_TYPE = "struct<side:string,entry:double,stop:double,target:double,entry_name:string,stop_name:string>"
 
 
 @dataclass(frozen=True)
@@ -88,64 +87,66 @@ def exposure_allows(open_risk: Column, new_risk: Column, cap: Column) -> Column:
     return F.when((open_risk >= 0) & (new_risk >= 0) & (cap >= 0), open_risk + new_risk <= cap)
 
 
-def ticket(side: Column, close: Column, stop_level: Column, pip: Column, stop_name: Column) -> Column:
-    """Pip-rounded entry, stop and 2R target; null when the geometry is impossible.
-
-    One extra pip of target makes up for rounding; below 2R after that, no ticket.
-    """
-    entry, stop = round_to_pip(close, pip), round_to_pip(stop_level, pip)
-    sign = F.when(side == "long", 1.0).otherwise(-1.0)
-    distance = F.abs(entry - stop)
-    right_way = F.when(side == "long", stop < entry).when(side == "short", stop > entry)
-    plain = round_to_pip(entry + sign * PLANNED_R * distance, pip)
-    nudged = round_to_pip(plain + sign * pip, pip)
-    target = (
-        F.when(r_multiple(entry, stop, plain) >= PLANNED_R, plain)
-        .when(r_multiple(entry, stop, nudged) >= PLANNED_R, nudged)
-    )
-    possible = is_true(right_way) & is_true(distance >= pip) & target.isNotNull()
-    return F.when(
-        possible,
-        F.struct(
-            side.alias("side"), entry.alias("entry"), stop.alias("stop"), target.alias("target"),
-            F.lit("last_close").alias("entry_name"), stop_name.alias("stop_name"),
-        ),
-    )
-
-
 def _rail(side: str) -> tuple[Column, Column]:
     """(price, name) of the level a stop hides behind: recent extreme, else the one-sigma band."""
     extreme, band = ("low_n", "bb_lower_1") if side == "low" else ("high_n", "bb_upper_1")
     return F.coalesce(F.col(extreme), F.col(band)), F.when(F.col(extreme).isNotNull(), extreme).otherwise(band)
 
 
-def join_trend_ticket(pip: Column, buffer: Column) -> Column:
-    low, low_name = _rail("low")
-    high, high_name = _rail("high")
-    close = F.col("last_close")
-    return F.when(
-        F.col("direction") == "up", ticket(F.lit("long"), close, low - buffer, pip, low_name)
-    ).when(F.col("direction") == "down", ticket(F.lit("short"), close, high + buffer, pip, high_name))
+def trade_side(play: Column) -> Column:
+    """long / short of a classified row: with the trend, or against the far side of the range."""
+    close, high, low = F.col("last_close"), _rail("high")[0], _rail("low")[0]
+    mid = mid_level()
+    go_short = F.when(mid.isNotNull(), close >= mid).otherwise(F.abs(high - close) <= F.abs(close - low))
+    fade = F.when(high.isNotNull() & low.isNotNull(), F.when(go_short, "short").otherwise("long"))
+    follow = F.when(F.col("direction") == "up", "long").when(F.col("direction") == "down", "short")
+    usable = ~F.col("trend_waning") & close.isNotNull()
+    return F.when(usable & (play == "join_trend"), follow).when(usable & (play == "fade_range"), fade)
 
 
-def fade_range_ticket(pip: Column, buffer: Column) -> Column:
-    low, low_name = _rail("low")
-    high, high_name = _rail("high")
-    close, mid = F.col("last_close"), mid_level()
-    go_short = F.when(mid.isNotNull(), close >= mid).otherwise(F.abs(high - close) <= F.abs(close - low))
-    usable = high.isNotNull() & low.isNotNull() & close.isNotNull()
-    return F.when(
-        usable & go_short, ticket(F.lit("short"), close, high + buffer, pip, high_name)
-    ).when(usable, ticket(F.lit("long"), close, low - buffer, pip, low_name))
+def finish_ticket(df: DataFrame, side: str, close: str, stop_level: str, stop_name: str, pip: str, name: str) -> DataFrame:
+    """Add the struct ``name``: pip-rounded entry, stop and 2R target; null when impossible.
+
+    One extra pip of target makes up for rounding; below 2R after that, no ticket.
+    Each stage is its own projection so that no expression is computed twice.
+    """
+    s, p = F.col(side), F.col(pip)
+    e, x = F.col("_entry"), F.col("_stop")
+    staged = (
+        df.withColumns({"_entry": round_to_pip(F.col(close), p), "_stop": round_to_pip(F.col(stop_level), p)})
+        .withColumns({"_gap": F.abs(e - x), "_sign": F.when(s == "long", 1.0).otherwise(-1.0)})
+        .withColumn("_plain", round_to_pip(e + F.col("_sign") * PLANNED_R * F.col("_gap"), p))
+        .withColumn("_nudged", round_to_pip(F.col("_plain") + F.col("_sign") * p, p))
+        .withColumns({"_plain_r": r_multiple(e, x, F.col("_plain")), "_nudged_r": r_multiple(e, x, F.col("_nudged"))})
+        .withColumn(
+            "_target", F.when(F.col("_plain_r") >= PLANNED_R, F.col("_plain")).when(F.col("_nudged_r") >= PLANNED_R, F.col("_nudged"))
+        )
+    )
+    right_way = F.when(s == "long", x < e).when(s == "short", x > e)
+    fields = F.struct(
+        s.alias("side"), e.alias("entry"), x.alias("stop"), F.col("_target").alias("target"),
+        F.lit("last_close").alias("entry_name"), F.col(stop_name).alias("stop_name"),
+    )
+    possible = is_true(right_way) & is_true(F.col("_gap") >= p) & F.col("_target").isNotNull()
+    return staged.withColumn(name, computed_once(F.when(possible, fields))).drop(
+        "_entry", "_stop", "_gap", "_sign", "_plain", "_nudged", "_plain_r", "_nudged_r", "_target"
+    )
 
 
-def plan_ticket(play: Column, instrument: Column, buffer_pips: int = BUFFER_PIPS) -> Column:
-    """The ticket of a classified row for a play class; null for waning or unticketed plays."""
-    pip = pip_size(instrument)
-    buffer = F.lit(buffer_pips) * pip
-    return F.when(F.col("trend_waning"), F.lit(None).cast(TICKET_TYPE)).when(
-        play == "join_trend", join_trend_ticket(pip, buffer)
-    ).when(play == "fade_range", fade_range_ticket(pip, buffer))
+def with_ticket(df: DataFrame, play: Column, instrument: Column, buffer_pips: int = BUFFER_PIPS, name: str = "ticket") -> DataFrame:
+    """Add the planned ticket of classified rows; null for waning or unticketed plays."""
+    (low, low_name), (high, high_name) = _rail("low"), _rail("high")
+    buffer = F.lit(buffer_pips) * F.col("_pip")
+    staged = (
+        df.withColumns({"_pip": pip_size(instrument), "_side": trade_side(play)})
+        .withColumns(
+            {
+                "_level": F.when(F.col("_side") == "long", low - buffer).otherwise(high + buffer),
+                "_stop_name": F.when(F.col("_side") == "long", low_name).otherwise(high_name),
+            }
+        )
+    )
+    return finish_ticket(staged, "_side", "last_close", "_level", "_stop_name", "_pip", name).drop("_pip", "_side", "_level", "_stop_name")
 
 
 def merge_notes(existing: Column, extra: Column) -> Column:
@@ -198,23 +199,24 @@ def _list_text(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def evaluate_gate(proposal: Column, goal: Goal) -> Column:
-    """Ordered risk gate over a classified row: struct (ok, action, reasons, r_planned, size_units, ...).
+def with_verdict(df: DataFrame, goal: Goal, proposal: str = "proposal", name: str = "risk") -> DataFrame:
+    """Ordered risk gate over classified rows: struct (ok, action, reasons, r_planned, size_units, ...).
 
     The first failing rule decides and means ``wait``.
     """
-    p = proposal
+    p = F.col(proposal)
     allowed = F.coalesce(F.col("allowed_play_classes"), F.array().cast("array<string>"))
     lit = {k: F.lit(v) for k, v in vars(goal).items()}
-    distance = F.abs(p["entry"] - p["stop"])
-    r = r_multiple(p["entry"], p["stop"], p["target"])
-    account = (lit["balance"], lit["risk_fraction"], distance, lit["value_per_price_unit"])
+    account = (lit["balance"], lit["risk_fraction"], F.col("_gap"), lit["value_per_price_unit"])
     missing = F.array_compact(
         F.array(
             F.when(p["side"] == "none", "side"), F.when(p["entry"].isNull(), "entry"), F.when(p["stop"].isNull(), "stop")
         )
     )
     allows = exposure_allows(lit["open_risk_fraction"], lit["risk_fraction"], lit["exposure_cap"])
+    measured = df.withColumns(
+        {"_missing": missing, "_gap": F.abs(p["entry"] - p["stop"]), "_r": r_multiple(p["entry"], p["stop"], p["target"])}
+    ).withColumns({"_size_problem": size_problem(*account), "_size": position_size(*account)})
     rules = [
         ("waning", F.col("trend_waning"), F.lit("trend_waning: do not aggress")),
         ("proposal", p.isNull(), F.lit("no proposal")),
@@ -223,33 +225,34 @@ def evaluate_gate(proposal: Column, goal: Goal) -> Column:
             ~F.array_contains(allowed, p["play_class"]),
             F.concat(F.lit("play_class '"), p["play_class"], F.lit("' not in allowed_play_classes "), _list_text(allowed)),
         ),
-        ("missing", F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))),
+        ("missing", F.size("_missing") > 0, F.concat(F.lit("missing "), F.array_join("_missing", ", "))),
         ("target", p["target"].isNull(), F.lit("missing target (need planned R)")),
         ("long", (p["side"] == "long") & ~(p["stop"] < p["entry"]), F.lit("long requires stop below entry")),
         ("short", (p["side"] == "short") & ~(p["stop"] > p["entry"]), F.lit("short requires stop above entry")),
-        ("risk", r.isNull(), F.lit("entry and stop must differ (risk cannot be zero)")),
-        ("low_r", r < MIN_R, F.format_string(f"planned R %.3f < {MIN_R:.1f}", r)),
-        ("size", size_problem(*account).isNotNull(), size_problem(*account)),
+        ("risk", F.col("_r").isNull(), F.lit("entry and stop must differ (risk cannot be zero)")),
+        ("low_r", F.col("_r") < MIN_R, F.format_string(f"planned R %.3f < {MIN_R:.1f}", F.col("_r"))),
+        ("size", F.col("_size_problem").isNotNull(), F.col("_size_problem")),
         (
             "cap",
             ~is_true(allows),
             F.lit(f"open risk {goal.open_risk_fraction} + new {goal.risk_fraction} > cap {goal.exposure_cap}"),
         ),
     ]
-    failed = F.lit(None).cast("string")
-    reason = F.lit(None).cast("string")
-    for name, test, text in reversed(rules):
-        failed = F.when(is_true(test), name).otherwise(failed)
-        reason = F.when(is_true(test), text).otherwise(reason)
-    measured = failed.isNull() | failed.isin("low_r", "size", "cap")
-    return F.struct(
-        failed.isNull().alias("ok"),
-        F.when(failed.isNull(), pass_action(p["play_class"], lit["mode"])).otherwise("wait").alias("action"),
+    failed = F.coalesce(*[F.when(is_true(test), rule) for rule, test, _ in rules])
+    reason = F.coalesce(*[F.when(F.col("_failed") == rule, text) for rule, _, text in rules])
+    known = F.col("_failed").isNull() | F.col("_failed").isin("low_r", "size", "cap")
+    sized = F.col("_failed").isNull() | (F.col("_failed") == "cap")
+    verdict = F.struct(
+        F.col("_failed").isNull().alias("ok"),
+        F.when(F.col("_failed").isNull(), pass_action(p["play_class"], lit["mode"])).otherwise("wait").alias("action"),
         F.array_compact(F.array(reason)).alias("reasons"),
-        F.when(measured, r).alias("r_planned"),
-        F.when(failed.isNull() | (failed == "cap"), position_size(*account)).alias("size_units"),
+        F.when(known, F.col("_r")).alias("r_planned"),
+        F.when(sized, F.col("_size")).alias("size_units"),
         lit["risk_fraction"].alias("risk_fraction"),
-        F.when(measured, distance).alias("stop_distance"),
+        F.when(known, F.col("_gap")).alias("stop_distance"),
+    )
+    return measured.withColumn("_failed", failed).withColumn(name, computed_once(verdict)).drop(
+        "_missing", "_gap", "_r", "_size_problem", "_size", "_failed"
     )
 
 

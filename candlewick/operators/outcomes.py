@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from candlewick.functions.numbers import rounded
 from candlewick.functions.tickets import (
-    Goal, apply_geometry, evaluate_gate, expectancy, first_exit, plan_ticket, r_multiple, skeleton_proposal,
+    Goal, apply_geometry, expectancy, first_exit, r_multiple, skeleton_proposal, with_ticket, with_verdict,
 )
 
 LEAF = 256
@@ -28,9 +28,9 @@ CHAIN_BLOCK = 65_536
 def decide(labelled: DataFrame, goal: Goal, instrument: str = "instrument") -> DataFrame:
     """Skeleton proposal, geometry and gate verdict for every classified row."""
     proposed = labelled.withColumn("_skeleton", skeleton_proposal())
-    planned = proposed.withColumn("_ticket", plan_ticket(F.col("_skeleton.play_class"), F.col(instrument)))
+    planned = with_ticket(proposed, F.col("_skeleton.play_class"), F.col(instrument), name="_ticket")
     shaped = planned.withColumn("proposal", apply_geometry(F.col("_skeleton"), F.col("_ticket"), F.col("ts")))
-    return shaped.withColumn("risk", evaluate_gate(F.col("proposal"), goal)).drop("_skeleton", "_ticket")
+    return with_verdict(shaped, goal).drop("_skeleton", "_ticket")
 
 
 def entry_candidates(labelled: DataFrame, keys: Sequence[str], goal: Goal = Goal(mode="paper")) -> DataFrame:
@@ -102,7 +102,7 @@ def resolve_exits(candidates: DataFrame, bars: DataFrame, keys: Sequence[str]) -
             "_salt": F.pmod(F.col("entry_idx"), F.lit(SALTS)),
         }
     )
-    spread = tops.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    spread = tops.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     climbed = (
         start.join(leaves, [*keys, "leaf"], "left")
         .withColumn("_hit", _first_after("bars", F.col("entry_idx")))

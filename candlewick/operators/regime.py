@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.functions.numbers import count_true, is_true, rounded
+from candlewick.functions.numbers import computed_once, count_true, is_true, rounded
 from candlewick.operators.indicators import last_snapshots
 
 # Checklist thresholds.
@@ -134,7 +134,7 @@ def classify(snapshots: DataFrame) -> DataFrame:
             "range_x_count": count_true(*[F.col("range_checks")[n] for n in RANGE_CHECKS]),
         }
     )
-    labelled = counts.withColumn("regime", regime_label())
+    labelled = counts.withColumn("regime", computed_once(regime_label()))
     return labelled.withColumns(
         {"allowed_play_classes": F.array(play_class(F.col("regime"))), "confidence": confidence(), "notes": notes()}
     )

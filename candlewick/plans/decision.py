@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candlewick.functions.text import regime_query
-from candlewick.functions.tickets import Goal, apply_geometry, evaluate_gate, plan_ticket, skeleton_proposal
+from candlewick.functions.tickets import Goal, apply_geometry, skeleton_proposal, with_ticket, with_verdict
 from candlewick.operators.journal import pending_fills, run_rows
 from candlewick.operators.regime import analyze_last
 from candlewick.operators.retrieval import citations, cosine_top_k, with_chunks
@@ -33,9 +33,9 @@ def decide_latest(
     classified, rejects = analyze_last(bars, keys, count)
     proposed = classified.withColumn("proposal", skeleton_proposal()) if propose is None else propose(classified)
     raw = proposed.withColumn("_raw", F.when(~F.col("trend_waning"), F.col("proposal")))
-    planned = raw.withColumn("_ticket", plan_ticket(F.col("_raw.play_class"), F.col("instrument")))
+    planned = with_ticket(raw, F.col("_raw.play_class"), F.col("instrument"), name="_ticket")
     shaped = planned.withColumn("proposal", apply_geometry(F.col("_raw"), F.col("_ticket"), F.col("ts")))
-    decided = shaped.withColumn("risk", evaluate_gate(F.col("proposal"), goal)).drop("_raw", "_ticket")
+    decided = with_verdict(shaped, goal).drop("_raw", "_ticket")
     runs = run_rows(decided, keys, goal, batch)
     return Decisions(decided, runs, pending_fills(runs), rejects)
 
