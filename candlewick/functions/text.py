@@ -172,7 +172,7 @@ def variant_confidence(value: Column) -> Column:
     text = F.rtrim(F.lower(strip(F.try_variant_get(value, "$", "string"))), F.lit("%"))
     table = F.create_map(*[F.lit(x) for pair in CONFIDENCE_WORDS.items() for x in pair])
     typed = text.try_cast("double")
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    clamp = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     from_text = F.coalesce(
         F.try_element_at(table, text), clamp(F.when((typed > 1) & (typed <= 100), typed / 100).otherwise(typed)), F.lit(0.0)
     )

@@ -1 +1,414 @@
-"""."""
+"""Documents, chunks, retrieval and model answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candlewick.functions import text as tx
+from candlewick.operators import corpus, proposals, retrieval
+from candlewick.operators.patterns import analysis_windows, formation
+from candlewick.operators.series import tiles
+from candlewick.plans.catalog.analytics import TILE, TILES
+from candlewick.plans.catalog.inputs import hourly, hourly_labels, out, outer, table
+from candlewick.plans.registry import query
+from candlewick.session import fresh_path
+from candlewick.sources import files, manifest, sections, tables
+
+# The whitespace set of the text pipeline, spelled for RE2.
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TOKENS = f"list_filter(regexp_split_to_array(text, '{_WS}'), lambda w: w <> '')"
+
+
+def _documents(spark, sf):
+    """Documents as ingest input: one source per document, metadata from its columns."""
+    docs = table(spark, sf, "documents")
+    return docs.select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source"),
+        "text",
+        F.concat(F.lit(" doc "), F.col("doc_id").cast("string")).alias("title"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("source")).alias("author"),
+        F.when(F.col("lang") == "en", "fx").when(F.col("lang") == "de", "general").when(F.col("lang") == "fr", "bonds").alias("asset_class"),
+        F.col("lang").alias("topics"),
+        F.lit("principle").alias("evidence_level"),
+    )
+
+
+_DOCS = f"""
+    docs AS MATERIALIZED (SELECT source || '/' || doc_id AS src, doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS author,
+        CASE lang WHEN 'en' THEN 'fx' WHEN 'de' THEN 'general' END AS asset_class, {_TOKENS} AS t FROM documents WHERE lang <> 'fr')"""
+
+
+def _chunk_sql(size: int, overlap: int) -> str:
+    step = max(1, size - overlap)
+    return f"""
+    wc AS MATERIALIZED (SELECT src, lang, author, asset_class, s // {step} AS k, t[s + 1 : s + {size}] AS w, array_to_string(t[s + 1 : s + {size}], ' ') AS c
+        FROM (SELECT *, unnest(range(0, greatest(len(t) - {size}, 0) + {step}, {step})) AS s FROM docs WHERE len(t) > 0)
+        WHERE s = 0 OR s - {step} + {size} < len(t))"""
+
+
+@query("t1_word_chunks", f"""WITH {_DOCS.replace("WHERE lang <> 'fr'", '')}, {_chunk_sql(500, 50)}
+    SELECT src AS source, k AS chunk_index, md5(c) AS digest, length(c) AS chars FROM wc""")
+def word_chunks(spark, sf):
+    docs = _documents(spark, sf)
+    rows = docs.select("source", F.posexplode(corpus.word_chunks(F.col("text"))).alias("chunk_index", "c"))
+    return out(rows.select("source", "chunk_index", F.md5("c").alias("digest"), F.length("c").alias("chars")))
+
+
+_PACKED = """
+    pk AS MATERIALIZED (SELECT src, lang, author, asset_class, k, unnest(parts) AS c, generate_subscripts(parts, 1) AS j FROM (
+        SELECT *, CASE WHEN length(c) <= 1800 THEN [c] ELSE string_split(list_reduce(w,
+            lambda a, x: CASE WHEN length(split_part(a, chr(1), -1)) + 1 + length(x) > 1800 THEN a || chr(1) || x ELSE a || ' ' || x END), chr(1)) END AS parts FROM wc)),
+    ch AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k, j) - 1 AS chunk_index,
+        '[' || src || coalesce(' | ' || author, '') || coalesce(' | ' || asset_class, '') || ' | topics: ' || lang || ']' || chr(10) || c AS text FROM pk)"""
+
+
+@query("t2_t3_t5_t6_ingested_chunks", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED}
+    SELECT src || '::' || chunk_index AS id, src AS source, chunk_index, asset_class, md5(text) AS digest, length(text) AS chars FROM ch""")
+def ingested_chunks(spark, sf):
+    chunks, _ = corpus.ingest_documents(_documents(spark, sf))
+    return out(chunks.select("id", "source", "chunk_index", "asset_class", F.md5("text").alias("digest"), F.length("text").alias("chars")))
+
+
+@query("t1_t2_small_chunks", f"""WITH {_DOCS}, {_chunk_sql(40, 8)} SELECT src AS source, k AS chunk_index, md5(c) AS digest FROM wc""")
+def small_chunks(spark, sf):
+    good, _ = corpus.validate_documents(_documents(spark, sf))
+    rows = good.select("source", F.posexplode(corpus.word_chunks(F.col("text"), 40, 8)).alias("chunk_index", "c"))
+    return out(rows.select("source", "chunk_index", F.md5("c").alias("digest")))
+
+
+@query("f8_metadata_rejects", "SELECT source || '/' || doc_id AS source, 'Invalid asset_class: bonds' AS reason FROM documents WHERE lang = 'fr'")
+def metadata_rejects(spark, sf):
+    return out(corpus.validate_documents(_documents(spark, sf))[1], "source", "reason")
+
+
+@query("f8_unknown_keys", """SELECT lang, CASE WHEN lang = 'en' THEN 'Unknown metadata keys: [''isbn'', ''year'']' END AS reason, count(*) AS n FROM documents GROUP BY 1, 2""")
+def unknown_keys(spark, sf):
+    meta = F.when(F.col("lang") == "en", F.create_map(F.lit("year"), F.lit("1"), F.lit("title"), F.lit("x"), F.lit("isbn"), F.lit("2"))).otherwise(
+        F.create_map(F.lit("author"), F.col("source"))
+    )
+    rows = table(spark, sf, "documents").select("lang", corpus.unknown_keys(meta).alias("reason"))
+    return out(rows.groupBy("lang", "reason").agg(F.count("*").alias("n")))
+
+
+def _chunks(spark, sf):
+    return corpus.ingest_documents(_documents(spark, sf))[0]
+
+
+@query("s11_upserted_chunks", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED.replace('ch AS', 'ch0 AS')},
+    old AS (SELECT src || '::' || chunk_index AS id, 1 AS v FROM ch0), nw AS (SELECT src || '::0' AS id, 2 AS v FROM docs WHERE len(t) > 0)
+    SELECT id, v::BIGINT AS version FROM nw UNION ALL SELECT id, v FROM old WHERE id NOT IN (SELECT id FROM nw)""")
+def upserted_chunks(spark, sf):
+    """Re-ingest of every document cut to its first words: tail chunks of the first ingest stay."""
+    root = fresh_path(spark, "chunks")
+    first = _chunks(spark, sf).select("id", F.lit(1).alias("version"))
+    short = _documents(spark, sf).withColumn("text", F.concat_ws(" ", F.slice(tx.words(F.col("text")), 1, 20)))
+    second = corpus.ingest_documents(short)[0].select("id", F.lit(2).alias("version"))
+    tables.upsert_version(spark, first, root, 1)
+    return out(spark.read.parquet(tables.upsert_version(spark, second, root, 2)))
+
+
+@query("s8_assembled_documents", """SELECT label, md5(string_agg(txt, chr(10) || chr(10) ORDER BY conv_id, pos)) AS digest, count(*) AS parts FROM (
+    SELECT role AS label, conv_id, min(turn) AS pos, arg_min(text, turn) AS txt FROM (
+        SELECT *, conv_id AS cid FROM conversations) GROUP BY role, conv_id, turn // 2) WHERE txt <> '' GROUP BY label""".replace("label", "source"))
+def assembled_documents(spark, sf):
+    """One document per role out of all conversation turns; every second turn repeats a section id."""
+    turns = table(spark, sf, "conversations").select(
+        F.col("role").alias("source"),
+        (F.col("conv_id").cast("bigint") * 100000 + F.col("turn")).alias("pos"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.floor(F.col("turn") / 2).cast("string")).alias("section_id"),
+        "text",
+    )
+    joined = sections.assemble_documents(turns)
+    parts = turns.groupBy("source", "section_id").agg(F.min_by("text", "pos").alias("t")).filter("t <> ''").groupBy("source").agg(F.count("*").alias("parts"))
+    return out(joined.join(parts, "source").select("source", F.md5("text").alias("digest"), "parts"))
+
+
+@query("s7_html_to_text", r"""
+    SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        html, '<script\b[^>]*>.*?</script\s*>', chr(1), 'gis'), '<style\b[^>]*>.*?</style\s*>', chr(1), 'gis'), '<!--.*?-->', chr(1), 'gs'),
+        '<[/!?]?[A-Za-z][^>]*>', chr(1), 'g'), chr(1)),
+        lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+            '^WS', ''), 'WS$', '')), lambda x: x <> ''), chr(10))) AS digest FROM pages""".replace("WS", _WS))
+def html_text(spark, sf):
+    rows = sections.sections_text(table(spark, sf, "pages").select("page_id", "html"))
+    return out(rows.select("page_id", F.md5("text").alias("digest")))
+
+
+def _illustrated(spark, sf):
+    """Pages whose links became images, as sections of one document per hundred pages."""
+    pages = table(spark, sf, "pages")
+    return pages.select(
+        F.concat(F.lit("book"), F.floor(F.col("page_id") / 100).cast("string")).alias("source"),
+        (F.col("page_id") % 100 + 1).alias("chapter"),
+        F.concat(F.lit("text/ch"), (F.col("page_id") % 100).cast("string"), F.lit(".html")).alias("name"),
+        F.regexp_replace("html", '<a href="/([^"]*)">', '<img src="../img/$1.png#f">').alias("html"),
+    )
+
+
+_IMAGES = r"""
+    refs AS MATERIALIZED (SELECT 'book' || (page_id // 100) AS source, page_id % 100 + 1 AS chapter, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS stem,
+        generate_subscripts(regexp_extract_all(html, '<a href="/([^"]*)">', 1), 1) - 1 AS place FROM pages)"""
+
+
+@query("s15_image_references", f"""WITH {_IMAGES} SELECT source, chapter, place, 'img/' || stem || '.png' AS path, '' AS nearby FROM refs""")
+def image_references(spark, sf):
+    found = sections.image_references(_illustrated(spark, sf))
+    return out(found, "source", "chapter", "place", "path", "nearby")
+
+
+@query("s13_s15_document_figures", f"""WITH {_IMAGES}
+    SELECT source, 'img/' || stem || '.png' AS path, chapter AS page, row_number() OVER (PARTITION BY source ORDER BY chapter, place) - 1 AS figure_index FROM (
+        SELECT source, stem, min(chapter) AS chapter, arg_min(place, chapter * 1000000 + place) AS place FROM refs WHERE length(stem) >= 3 GROUP BY 1, 2)""")
+def document_figures(spark, sf):
+    """Image sizes follow from the name: names under three letters are too small to be figures."""
+    found = sections.image_references(_illustrated(spark, sf)).persist()
+    stem = F.regexp_extract("path", r"^img/(.*)\.png$", 1)
+    images = found.select("source", "path").distinct().select(
+        "source", "path", F.col("path").alias("item"), (F.length(stem) * 50).alias("width"), F.lit(400).alias("height")
+    )
+    return out(sections.document_figures(found, images), "source", "path", "page", "figure_index")
+
+
+@query("s16_page_figures", """
+    SELECT page_id AS page, figure_index, whole_page FROM (
+        SELECT page_id, 0 AS figure_index, false AS whole_page FROM pages WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 0, true FROM pages WHERE page_id % 3 <> 0 AND length(url) < 40 AND page_id % 2 = 0)""")
+def page_figures(spark, sf):
+    pages = table(spark, sf, "pages").select(
+        F.lit("scan").alias("source"), F.col("page_id").alias("page"), F.lpad("url", 200, ".").alias("padded"), "url", (F.col("page_id") % 2 == 0).alias("ocr_used")
+    ).withColumn("text", F.when(F.length("url") < 40, F.col("url")).otherwise(F.col("padded")))
+    embedded = pages.select("source", "page", F.lit(0).alias("figure_index"), F.when(F.col("page") % 3 == 0, 150).otherwise(149).alias("width"), F.lit(150).alias("height"))
+    return out(files.page_figures(pages, embedded), "page", "figure_index", "whole_page")
+
+
+@query("s6_decoded_bytes", "SELECT doc_id, md5(text) AS digest FROM documents")
+def decoded_bytes(spark, sf):
+    """Every text as bytes, half of them Latin-1 where that encoding can hold the text."""
+    docs = table(spark, sf, "documents")
+    latin = F.col("text").rlike(r"\A[\x00-\xff]*\z") & (F.col("doc_id") % 2 == 0)
+    raw = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return out(docs.select("doc_id", F.md5(files.decode_bytes(raw)).alias("digest")))
+
+
+def _entries(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"),
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+        F.when(F.col("doc_id") % 2 == 0, "").otherwise("own title").alias("title"),
+        F.array("lang", F.lit(" "), "source").alias("topics"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(False)).alias("enabled"),
+        "doc_id",
+    )
+
+
+@query("s9_manifest_defaults", """SELECT 'd' || doc_id AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'untitled' ELSE 'own title' END AS title,
+    lang || ',' || source AS topics, 'principle' AS evidence_level, NULL::VARCHAR AS author FROM documents""")
+def manifest_defaults(spark, sf):
+    filled = manifest.apply_defaults(_entries(spark, sf), {"title": "untitled", "evidence_level": "principle"})
+    return out(filled, "source_id", "title", "topics", "evidence_level", "author")
+
+
+def _plan(spark, sf):
+    entries = _entries(spark, sf)
+    files_there = entries.filter(F.col("doc_id") % 7 != 0).select("file")
+    state = entries.filter(F.col("doc_id") % 3 == 0).select("source_id")
+    return manifest.plan_ingest(entries, files_there, state)
+
+
+@query("f9_ingest_plan", """SELECT 'd' || doc_id AS source_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'pending' END AS status
+    FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0""")
+def ingest_plan(spark, sf):
+    pending, missing = _plan(spark, sf)
+    label = lambda df, s: df.select("source_id", F.lit(s).alias("status"))
+    return out(label(pending, "pending").unionByName(label(missing, "missing")))
+
+
+@query("s10_ingest_state", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT src AS source_id, count(*) + (CASE WHEN any_value(lang) = 'de' THEN 1000 ELSE 0 END) AS chunks_added, 0::BIGINT AS figures_added FROM ch GROUP BY 1""")
+def ingest_state(spark, sf):
+    """State of a first batch, then a second batch that recounts the German documents."""
+    first = manifest.state_rows(_chunks(spark, sf), 1)
+    german = _chunks(spark, sf).filter(F.col("topics") == "de")
+    second = manifest.state_rows(german, 2).withColumn("chunks_added", F.col("chunks_added") + 1000)
+    return out(manifest.latest_state(first.unionByName(second)), "source_id", "chunks_added", "figures_added")
+
+
+@query("s14_json_documents", "SELECT source || '/' || doc_id AS source, length(text) AS chars FROM documents")
+def json_documents(spark, sf):
+    path = fresh_path(spark, "json")
+    tables.write_json(_documents(spark, sf).select("source", "text"), path)
+    return out(spark.read.schema("source string, text string").json(path).select("source", F.length("text").alias("chars")))
+
+
+@query("t4_t5_t7_figures", """SELECT 'scan/' || (page_id // 50) || '::fig::p' || lpad((page_id % 50)::VARCHAR, 4, '0') || '::1' AS id, page_id % 50 AS page,
+    '[scan/' || (page_id // 50) || ' | fx]' || chr(10) || '[Figure page ' || (page_id % 50) || '] ' || url || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || 'Nearby text: near' ELSE '' END AS text
+    FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0""")
+def figures(spark, sf):
+    """A fourth of the captions failed and a fifth of the figures are stored already."""
+    pages = table(spark, sf, "pages")
+    source = F.concat(F.lit("scan/"), F.floor(F.col("page_id") / 50).cast("string"))
+    rows = pages.select(
+        "page_id", source.alias("source"), (F.col("page_id") % 50).alias("page"), F.lit(1).alias("figure_index"), F.col("url").alias("image_path"),
+        F.when(F.col("page_id") % 2 == 0, " near ").otherwise("").alias("nearby"), F.lit(0).alias("chunk_index"), F.lit("fx").alias("asset_class"),
+    )
+    # The image path carries the page so that captions stay one per figure.
+    rows = rows.withColumn("image_path", F.concat("image_path", F.lit("#"), F.col("page_id").cast("string")))
+    captions = rows.select("image_path", F.when(F.col("page_id") % 4 != 0, F.regexp_replace("image_path", r"#\d+$", "")).alias("caption"))
+    stored = rows.filter(F.col("page_id") % 5 == 0).select(tx.figure_id(F.col("source"), F.col("page"), F.col("figure_index")).alias("id"))
+    return out(corpus.ingest_figures(rows, captions, stored), "id", "page", "text")
+
+
+# Retrieval ------------------------------------------------------------------------
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+
+
+def _questions(spark, sf):
+    """One question per label: the mean of its vectors."""
+    parts = _vectors(spark, sf).select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+    return ordered.select(F.col("label").alias("query_id"), F.col("v.m").alias("embedding"), "label")
+
+
+_TOPK = """
+    q AS MATERIALIZED (SELECT label::BIGINT AS query_id, list(m ORDER BY i) AS qv FROM (
+        SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+    hits AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+        SELECT query_id, vec_id, label::BIGINT AS label, round(1.0 - list_cosine_similarity(qv, embedding::DOUBLE[]), 12) AS distance FROM q, embeddings WHERE {where}))"""
+
+
+@query("v1_cosine_top_k", f"WITH {_TOPK.format(where='true')} SELECT query_id, vec_id, rank, round(distance, 8) AS distance FROM hits WHERE rank <= 5")
+def cosine_top_k(spark, sf):
+    return out(retrieval.cosine_top_k(_questions(spark, sf), _vectors(spark, sf), 5, "vec_id"), "query_id", "vec_id", "rank", "distance", digits=8)
+
+
+@query("v2_filtered_top_k", f"WITH {_TOPK.format(where='label = query_id')} SELECT query_id, vec_id, rank, round(distance, 8) AS distance FROM hits WHERE rank <= 7")
+def filtered_top_k(spark, sf):
+    hits = retrieval.cosine_top_k(_questions(spark, sf), _vectors(spark, sf), 7, "vec_id", "label")
+    return out(hits, "query_id", "vec_id", "rank", "distance", digits=8)
+
+
+def _hits(spark, sf, k: int = 6):
+    """Hits joined to the document whose number is the vector's."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("vec_id"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 100).alias("chunk_index"),
+        "text",
+    )
+    return retrieval.with_chunks(retrieval.cosine_top_k(_questions(spark, sf), _vectors(spark, sf), k, "vec_id"), docs, "vec_id")
+
+
+_JOINED = f"""{_TOPK.format(where='true')},
+    hd AS MATERIALIZED (SELECT query_id, rank, vec_id, distance, coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, 'unknown') AS source,
+        CASE WHEN doc_id % 7 <> 0 THEN doc_id % 100 END AS chunk_index, text FROM hits LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 6)"""
+
+
+@query("v3_v7_source_list", f"""WITH {_JOINED} SELECT query_id, rank, source, coalesce(chunk_index, -1) AS chunk_index, round(distance, 8) AS distance,
+    md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END) AS preview FROM hd""")
+def source_list(spark, sf):
+    rows = retrieval.source_list(_hits(spark, sf)).withColumn("preview", F.md5("preview"))
+    return out(rows, digits=8)
+
+
+@query("v8_numbered_context", f"""WITH {_JOINED} SELECT query_id, md5(string_agg('[' || n || '] ' || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hd WHERE text IS NOT NULL) GROUP BY 1""")
+def numbered_context(spark, sf):
+    rows = retrieval.numbered_context(_hits(spark, sf).filter(F.col("text").isNotNull()))
+    return out(rows.select("query_id", F.md5("context").alias("digest")))
+
+
+@query("v9_excerpts", f"""WITH {_JOINED} SELECT query_id, md5(string_agg('[' || source || ' #' || chunk_index || ']' || chr(10) || substr(text, 1, 800), chr(10) || chr(10) ORDER BY rank)) AS digest
+    FROM hd WHERE chunk_index IS NOT NULL AND text IS NOT NULL AND rank <= 4 GROUP BY 1""")
+def excerpts(spark, sf):
+    hits = _hits(spark, sf).filter(F.col("chunk_index").isNotNull() & F.col("text").isNotNull() & (F.col("rank") <= 4))
+    return out(retrieval.excerpt_block(hits).select("query_id", F.md5("excerpts").alias("digest")))
+
+
+@query("v10_citations", f"WITH {_JOINED} SELECT query_id, rank, source, chunk_index FROM hd WHERE chunk_index IS NOT NULL")
+def citations(spark, sf):
+    return out(retrieval.citations(_hits(spark, sf)).select("query_id", "rank", "citation.source", "citation.chunk_index"))
+
+
+@query("v4_source_chunks", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT src || '::' || chunk_index AS id FROM ch WHERE chunk_index = 1""")
+def source_chunks(spark, sf):
+    """The second chunk of every source."""
+    chunks = _chunks(spark, sf)
+    wanted = _documents(spark, sf).select("source", F.lit(1).alias("chunk_index"))
+    return out(corpus.source_chunks(chunks, wanted), "id")
+
+
+@query("v5_v6_corpus_stats", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT count(*) AS chunk_count, md5(string_agg(DISTINCT src, '|' ORDER BY src)) AS sources FROM ch""")
+def corpus_stats(spark, sf):
+    stats = corpus.corpus_stats(_chunks(spark, sf))
+    return out(stats.select("chunk_count", F.md5(F.array_join("sources", "|")).alias("sources")))
+
+
+@query("v11_regime_queries", outer("hlab", """instrument, idx, 'Kathy Lien ' || regime || ' ' || coalesce(direction, '') || ' ' || play_class
+    || ' currency market regime filter strategy' AS question"""))
+def regime_queries(spark, sf):
+    question = tx.regime_query(F.col("regime"), F.col("direction"), F.col("allowed_play_classes"))
+    return out(hourly_labels(spark, sf).select("instrument", "idx", question.alias("question")))
+
+
+@query("v11_v17_stage_questions")
+def stage_questions(spark, sf):
+    stages = formation(analysis_windows(tiles(hourly(spark, sf), TILE), TILES), TILES)
+    return out(stages.groupBy("stage", tx.stage_query(F.col("stage")).alias("question")).agg(F.count("*").alias("n")))
+
+
+@query("v17_checklist_context", f"""WITH {_JOINED} SELECT query_id, md5(string_agg('[' || n || '] (' || source || ' #' || chunk_index || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hd WHERE text IS NOT NULL AND chunk_index IS NOT NULL AND rank <= 4) GROUP BY 1""")
+def checklist_context(spark, sf):
+    hits = _hits(spark, sf).filter(F.col("text").isNotNull() & F.col("chunk_index").isNotNull() & (F.col("rank") <= 4))
+    return out(retrieval.numbered_context(hits, retrieval.source_header()).select("query_id", F.md5("context").alias("digest")))
+
+
+# Model answers ----------------------------------------------------------------------
+
+
+def _answers(spark, sf):
+    """One model answer per document, in the shapes models produce."""
+    kind = F.col("doc_id") % 6
+    body = F.to_json(
+        F.struct(
+            F.when(kind != 1, F.concat("source", F.lit(" thesis"))).alias("thesis"),
+            F.when(kind != 2, "fade_range").alias("play_class"),
+            F.element_at(F.array(F.lit("buy"), F.lit("SELL"), F.lit("none"), F.lit("long")), (F.col("doc_id") % 4 + 1).cast("int")).alias("side"),
+            F.when(kind != 3, F.col("doc_id") / 4).alias("entry"),
+            F.element_at(F.array(F.lit("High"), F.lit("80%"), F.lit("0.3"), F.lit("junk"), F.lit("250")), (F.col("doc_id") % 5 + 1).cast("int")).alias("confidence"),
+            F.array(F.struct(F.lit("a").alias("source"), F.col("doc_id").alias("chunk_index")), F.struct(F.lit("b").alias("source"), F.lit(None).cast("bigint").alias("chunk_index"))).alias("citations"),
+            F.array(F.lit("one"), F.col("lang")).alias("notes"),
+        )
+    )
+    text = (
+        F.when(kind == 0, F.concat(F.lit("<think>maybe {\n}</think>\n```json\n"), body, F.lit("\n```")))
+        .when(kind == 4, F.concat(F.lit("Here it is: "), body, F.lit(" done")))
+        .when(kind == 5, F.concat(F.lit("no object for "), F.col("source")))
+        .otherwise(body)
+    )
+    return table(spark, sf, "documents").select("doc_id", text.alias("answer"), F.array(F.lit(""), F.lit("join_trend")).alias("allowed"))
+
+
+@query("v12_v13_v14_v15_v16_proposals", """SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'model omitted thesis' ELSE source || ' thesis' END AS thesis,
+    CASE WHEN doc_id % 6 = 2 THEN 'join_trend' ELSE 'fade_range' END AS play_class,
+    CASE doc_id % 4 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'none' ELSE 'long' END AS side,
+    CASE WHEN doc_id % 6 <> 3 THEN doc_id / 4 END AS entry, CASE doc_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.8 WHEN 2 THEN 0.3 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence,
+    'one; ' || lang AS notes, 1::BIGINT AS cited, doc_id AS cited_index FROM documents WHERE doc_id % 6 <> 5""")
+def parsed_proposals(spark, sf):
+    good, _ = proposals.parse_proposals(_answers(spark, sf), "answer", "allowed")
+    p = F.col("proposal")
+    return out(
+        good.select(
+            "doc_id", *[p[c].alias(c) for c in ("thesis", "play_class", "side", "entry", "confidence", "notes")],
+            F.size(p["citations"]).alias("cited"), p["citations"][0]["chunk_index"].alias("cited_index"),
+        )
+    )
+
+
+@query("v13_unparsed_answers", "SELECT doc_id, 'model output is not a JSON object' AS reason FROM documents WHERE doc_id % 6 = 5")
+def unparsed_answers(spark, sf):
+    return out(proposals.parse_proposals(_answers(spark, sf), "answer", "allowed")[1], "doc_id", "reason")

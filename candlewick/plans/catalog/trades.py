@@ -278,7 +278,7 @@ def regime_annotations(spark, sf):
     UNION ALL SELECT instrument, 'walk.run.' || run || '.text', 'text', epoch(start_ts)::BIGINT, high, NULL, NULL,
         CASE WHEN trend_waning THEN regime || '/waning' WHEN direction IS NOT NULL THEN regime || '/' || direction ELSE regime END FROM runs
     UNION ALL SELECT instrument, 'walk.watch.' || idx || unnest(['', '.text']), unnest(['arrow', 'text']), epoch(ts)::BIGINT, high, NULL, NULL,
-        unnest([NULL, 'p=' || coalesce(printf('%.2f', p_hat), 'na') || '  i=' || coalesce(printf('%.2f', instability::DOUBLE), 'na')]) FROM scored
+        unnest([NULL, 'p=' || coalesce(printf('%.2f', round_even(p_hat, 2)), 'na') || '  i=' || coalesce(printf('%.2f', round_even(instability::DOUBLE, 2)), 'na')]) FROM scored
         WHERE p_hat >= 0.5 OR instability >= 0.6""", "runs", "scored"))
 def walk_annotations(spark, sf):
     result = walk.walk_and_collapse(hourly(spark, sf), KEYS, LOOKBACK)
@@ -303,7 +303,7 @@ def trade_annotations(spark, sf):
 
 @query("o7_ticket_annotations", outer("cands", """instrument, entry_idx, 'ticket.' || unnest(['entry', 'stop', 'target', 'time', 'time.arrow', 'time.text']) AS name,
     unnest(['hline', 'hline', 'hline', 'vline', 'arrow', 'text']) AS type, unnest([NULL, NULL, NULL, epoch(entry_ts)::BIGINT, epoch(entry_ts)::BIGINT, epoch(entry_ts)::BIGINT]) AS t1,
-    round(unnest([entry, stop, target, NULL, entry, entry]), 6) AS p1, unnest([NULL, NULL, NULL, NULL, side, strftime(entry_ts, '%Y-%m-%d %H:%M') || ' UTC']) AS text"""))
+    round(unnest([entry, stop, target, NULL, entry, entry]), 6) AS p1, unnest([NULL, NULL, NULL, NULL, side, strftime(entry_ts, '%Y-%m-%d %H:%M') || ' UTC']) AS text""") + " WHERE least(entry, stop, target) > 0")
 def ticket_annotations(spark, sf):
     chosen = outcomes.entry_candidates(hourly_labels(spark, sf), KEYS).withColumn("at_ts", F.col("entry_ts"))
     rows = ann.ticket_annotations(chosen, [*KEYS, "entry_idx"], ticket_stamp_seconds(F.unix_seconds("entry_ts")))
