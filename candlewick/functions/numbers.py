@@ -30,7 +30,7 @@ def computed_once(value: Column) -> Column:
     """Same value, but filters on it stay above the projection that computes it.
 
     Pushing a filter down copies the whole expression into it; for long chains of
-    derived columns the copies multiply. A row id, which is never negative, makes
+    derived columns the copies multiply. A partition number, which is never negative, makes
     the projection one that filters do not pass.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -1 +1,64 @@
-"""."""
+"""Streaming runs over the same tables, checked against the batch answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from candlewick.operators import journal, outcomes
+from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, hourly, hourly_labels, hourly_ticks, out, outer, sql, table
+from candlewick.plans.catalog.trades import PAPER
+from candlewick.plans.registry import query
+from candlewick.session import fresh_path
+from candlewick.streaming.bars import drop_repeats, stream_bars
+from candlewick.streaming.labels import stream_labels
+from candlewick.streaming.runs import drain
+from candlewick.streaming.trades import stream_fills, stream_trades
+
+
+def _as_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A file stream over a stored copy of ``df``."""
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("x1_stream_bars", sql("""SELECT instrument, epoch(ts)::BIGINT AS ts, open, high, low, close, volume FROM hb
+    WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""", "hb"))
+def stream_bars_query(spark, sf):
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    bars = stream_bars(events, F.col("event_type"), "H1", F.col("ts").cast("timestamp"), F.col("value"), F.col("event_id"))
+    return out(drain(spark, bars, "x1"), "instrument", "ts", "open", "high", "low", "close", "volume")
+
+
+@query("x2_stream_without_repeats", outer("hb", "instrument, epoch(ts)::BIGINT AS ts"))
+def stream_without_repeats(spark, sf):
+    bars = hourly_ticks(spark, sf).select("instrument", "ts", "close")
+    stream = _as_stream(spark, bars.unionByName(bars), "x2-in")
+    return out(drain(spark, drop_repeats(stream), "x2"), "instrument", "ts")
+
+
+@query("x3_stream_labels", outer("hlab", "instrument, idx, regime, direction, trend_waning, trend_n::BIGINT AS trend_x_count, range_n::BIGINT AS range_x_count, confidence, adx"))
+def stream_labels_query(spark, sf):
+    bars = hourly(spark, sf).select(*KEYS, "ts", "open", "high", "low", "close")
+    labels = stream_labels(_as_stream(spark, bars, "x3-in"), KEYS, LOOKBACK)
+    return out(drain(spark, labels, "x3"), "instrument", "idx", "regime", "direction", "trend_waning", "trend_x_count", "range_x_count", "confidence", "adx")
+
+
+@query("x4_stream_fills", outer("cands", "md5(instrument || '|H1|' || entry_idx) AS run_id, 'filled_sim' AS status, round(entry, 6) AS fill_price"))
+def stream_fills_query(spark, sf):
+    runs = journal.run_rows(outcomes.decide(hourly_labels(spark, sf), PAPER), KEYS, PAPER).persist()
+    fills = journal.pending_fills(runs)
+    path = fresh_path(spark, "x4")
+    schema = journal.resolve_pending(runs, fills).schema
+    stream_fills(_as_stream(spark, fills, "x4-in"), lambda: runs, path, fresh_path(spark, "x4-checkpoint")).awaitTermination()
+    return out(spark.read.schema(schema).parquet(path), "run_id", "status", "fill_price")
+
+
+@query("x5_stream_trades", outer("taken", """instrument, entry_idx, epoch(entry_ts)::BIGINT AS entry_ts, side, round(entry, 6) AS entry, exit_idx,
+    epoch(exit_ts)::BIGINT AS exit_ts, round(exit_price, 6) AS exit_price, exit_status, r_realized""") + " WHERE exit_status <> 'window_end'")
+def stream_trades_query(spark, sf):
+    ticket = lambda c: F.when(F.col("risk.action") == "pending_exec", F.col(f"proposal.{c}")).alias(c)
+    decided = outcomes.decide(hourly_labels(spark, sf), PAPER).select(*KEYS, "idx", "ts", "high", "low", *[ticket(c) for c in ("side", "entry", "stop", "target")])
+    trades = drain(spark, stream_trades(_as_stream(spark, decided, "x5-in"), KEYS), "x5")
+    return out(trades, "instrument", "entry_idx", "entry_ts", "side", "entry", "exit_idx", "exit_ts", "exit_price", "exit_status", "r_realized")
