@@ -1,19 +1,20 @@
 """Indicators over blocks of numbered bars.
 
-Bounded-frame indicators are native window expressions. Recursive ones (EMA,
-Wilder smoothing) restart at the beginning of every look-back window, so they
-are computed for all windows of a block at once in numpy (``window_recursions``);
-their last-bar form is a fold over a bounded array (``fold_*``).
+Bounded-frame indicators of a whole series are native window expressions.
+Recursive ones (EMA, Wilder smoothing) restart at the beginning of every
+look-back window, so a walk steps all windows of many blocks at once in numpy
+(``walk_snapshots``). The last-bar form is a fold over a bounded array
+(``fold_*``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from candlewick.functions.numbers import is_true, rounded
 from candlewick.operators.series import block_window, halo_blocks
@@ -31,6 +32,12 @@ EXTREME_BARS = 10
 MIN_BARS = 30
 FLAT_BAND = 1e-12
 
+FRAME_COLUMNS = (
+    *[f"sma_{p}" for p in SMA_PERIODS],
+    "bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2", "high_n", "low_n", "stoch_k", "stoch_d",
+)
+ROWS_PER_CALL = 65_536
+
 RECURSIVE_COLUMNS = ("macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "adx_slope")
 
 
@@ -42,14 +49,19 @@ def full_frame(w, period: int, x: Column, value: Column) -> Column:
     return F.when(F.count(x).over(w.rowsBetween(-(period - 1), 0)) == period, value)
 
 
-def sma(x: Column, period: int, w) -> Column:
-    """Moving average; null until ``period`` values, and again after any null."""
+def sma_of_optional(x: Column, period: int, w) -> Column:
+    """Moving average of a column with nulls; null until ``period`` values in a row."""
     return full_frame(w, period, x, F.avg(x).over(w.rowsBetween(-(period - 1), 0)))
 
 
+def sma(x: Column, period: int, w) -> Column:
+    """Moving average of a column without nulls; null until bar ``period - 1``."""
+    return F.when(F.col("idx") >= period - 1, F.avg(x).over(w.rowsBetween(-(period - 1), 0)))
+
+
 def rolling_stdev(x: Column, period: int, w) -> Column:
     """Population standard deviation of the last ``period`` values."""
-    return full_frame(w, period, x, F.stddev_pop(x).over(w.rowsBetween(-(period - 1), 0)))
+    return F.when(F.col("idx") >= period - 1, F.stddev_pop(x).over(w.rowsBetween(-(period - 1), 0)))
 
 
 def extremes(n: int, w) -> tuple[Column, Column]:
@@ -81,7 +93,7 @@ def raw_stochastic(w) -> Column:
     frame = w.rowsBetween(-(STOCH_PERIOD - 1), 0)
     top, bottom = F.max("high").over(frame), F.min("low").over(frame)
     value = F.when(top == bottom, F.lit(50.0)).otherwise(F.lit(100.0) * (F.col("close") - bottom) / (top - bottom))
-    return full_frame(w, STOCH_PERIOD, F.col("close"), value)
+    return F.when(F.col("idx") >= STOCH_PERIOD - 1, value)
 
 
 def average_range(w, period: int = 14) -> Column:
@@ -132,68 +144,73 @@ def close_against(close: Column, level: Column) -> Column:
 # Recursive indicators, all windows of a block at once ------------------------
 
 
-def window_recursions(close: np.ndarray, tr: np.ndarray, plus: np.ndarray, minus: np.ndarray, length: int) -> dict:
-    """Last value of each recursive indicator for every window of ``length`` bars.
+def window_recursions(
+    close: np.ndarray, tr: np.ndarray, plus: np.ndarray, minus: np.ndarray, edges: np.ndarray, length: int
+) -> dict[str, np.ndarray]:
+    """Recursive indicators of the windows of ``length`` bars that end at ``edges``.
 
-    Row m of each view holds position m of all windows, so one step of the
-    recursion is one vector operation. Position 0 of a window has no previous
-    bar: its true range and moves are never read.
+    Position m of all windows is one gathered vector, so one step of a recursion
+    is a few vector operations however many series the arrays hold. Position 0 of
+    a window has no previous bar: its true range and moves are never read.
     """
-    view = np.lib.stride_tricks.sliding_window_view
-    price, ranges, ups, downs = (view(a, length).T for a in (close, tr, plus, minus))
-    count = price.shape[1]
-    nothing = np.full(count, np.nan)
-    out = {name: nothing for name in RECURSIVE_COLUMNS}
+    first = edges - (length - 1)
+    price = lambda m: close[first + m]
+    count = len(edges)
+    out = {name: np.full(count, np.nan) for name in RECURSIVE_COLUMNS}
 
-    def smooth_ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    def percent(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
         return 100.0 * np.divide(part, whole, out=np.zeros(count), where=whole != 0)
 
-    fast, slow = price[:MACD_FAST].mean(axis=0), price[:MACD_SLOW].mean(axis=0)
+    def mean_at(values: np.ndarray, start: int, stop: int) -> np.ndarray:
+        return sum(values[first + m] for m in range(start, stop)) / (stop - start)
+
     k_fast, k_slow, k_signal = (2.0 / (p + 1) for p in (MACD_FAST, MACD_SLOW, MACD_SIGNAL))
+    fast, slow = mean_at(close, 0, MACD_FAST), mean_at(close, 0, MACD_SLOW)
     for m in range(MACD_FAST, MACD_SLOW):
-        fast = price[m] * k_fast + fast * (1.0 - k_fast)
+        fast = price(m) * k_fast + fast * (1.0 - k_fast)
     line, seed, signal = fast - slow, [fast - slow], None
     for m in range(MACD_SLOW, length):
-        fast = price[m] * k_fast + fast * (1.0 - k_fast)
-        slow = price[m] * k_slow + slow * (1.0 - k_slow)
+        now = price(m)
+        fast = now * k_fast + fast * (1.0 - k_fast)
+        slow = now * k_slow + slow * (1.0 - k_slow)
         line = fast - slow
         if signal is not None:
             signal = line * k_signal + signal * (1.0 - k_signal)
         else:
             seed.append(line)
             if len(seed) == MACD_SIGNAL:
-                signal = np.mean(seed, axis=0)
+                signal = sum(seed) / MACD_SIGNAL
     out["macd"] = line
     if signal is not None:
         out["macd_signal"], out["macd_hist"] = signal, line - signal
 
-    change = np.diff(price[: RSI_PERIOD + 1], axis=0)
-    gain = np.maximum(change, 0.0).mean(axis=0)
-    loss = np.maximum(-change, 0.0).mean(axis=0)
+    change = np.diff(close, prepend=close[:1])
+    gains, losses = np.maximum(change, 0.0), np.maximum(-change, 0.0)
+    gain, loss = mean_at(gains, 1, RSI_PERIOD + 1), mean_at(losses, 1, RSI_PERIOD + 1)
     for m in range(RSI_PERIOD + 1, length):
-        step = price[m] - price[m - 1]
-        gain = (gain * (RSI_PERIOD - 1) + np.maximum(step, 0.0)) / RSI_PERIOD
-        loss = (loss * (RSI_PERIOD - 1) + np.maximum(-step, 0.0)) / RSI_PERIOD
+        gain = (gain * (RSI_PERIOD - 1) + gains[first + m]) / RSI_PERIOD
+        loss = (loss * (RSI_PERIOD - 1) + losses[first + m]) / RSI_PERIOD
     strength = np.divide(gain, loss, out=np.zeros(count), where=loss != 0)
     rsi = 100.0 - 100.0 / (1.0 + strength)
     out["rsi"] = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), np.where(gain == 0, 0.0, rsi))
 
-    first = slice(1, ADX_PERIOD + 1)
-    s_range, s_up, s_down = ranges[first].mean(axis=0), ups[first].mean(axis=0), downs[first].mean(axis=0)
+    n = ADX_PERIOD
+    s_range, s_up, s_down = (mean_at(a, 1, n + 1) for a in (tr, plus, minus))
     adx, adx_then, spread_sum = None, None, np.zeros(count)
-    for m in range(ADX_PERIOD, length):
-        if m > ADX_PERIOD:
-            s_range = (s_range * (ADX_PERIOD - 1) + ranges[m]) / ADX_PERIOD
-            s_up = (s_up * (ADX_PERIOD - 1) + ups[m]) / ADX_PERIOD
-            s_down = (s_down * (ADX_PERIOD - 1) + downs[m]) / ADX_PERIOD
-        plus_di, minus_di = smooth_ratio(s_up, s_range), smooth_ratio(s_down, s_range)
-        spread = smooth_ratio(np.abs(plus_di - minus_di), plus_di + minus_di)
+    for m in range(n, length):
+        if m > n:
+            at = first + m
+            s_range = (s_range * (n - 1) + tr[at]) / n
+            s_up = (s_up * (n - 1) + plus[at]) / n
+            s_down = (s_down * (n - 1) + minus[at]) / n
+        plus_di, minus_di = percent(s_up, s_range), percent(s_down, s_range)
+        spread = percent(np.abs(plus_di - minus_di), plus_di + minus_di)
         if adx is not None:
-            adx = (adx * (ADX_PERIOD - 1) + spread) / ADX_PERIOD
+            adx = (adx * (n - 1) + spread) / n
         else:
             spread_sum = spread_sum + spread
-            if m == 2 * ADX_PERIOD - 1:
-                adx = spread_sum / ADX_PERIOD
+            if m == 2 * n - 1:
+                adx = spread_sum / n
         if m == length - 1 - ADX_SLOPE_BARS:
             adx_then = adx
     out["plus_di"], out["minus_di"] = plus_di, minus_di
@@ -204,38 +221,68 @@ def window_recursions(close: np.ndarray, tr: np.ndarray, plus: np.ndarray, minus
     return out
 
 
-def attach_recursions(blocks: DataFrame, keys: Sequence[str], lookback: int) -> DataFrame:
-    """Add the recursive indicators to core rows that have ``lookback`` bars behind them.
+def edge_snapshots(high: np.ndarray, low: np.ndarray, close: np.ndarray, edges: np.ndarray, lookback: int) -> dict[str, np.ndarray]:
+    """Raw indicators at ``edges``, positions with ``lookback`` bars of their series behind them.
 
-    ``blocks`` comes from ``halo_blocks(before=lookback - 1)`` and carries ``tr``,
-    ``plus_dm`` and ``minus_dm``. One group is one block: its size is fixed.
+    The arrays may hold several series end to end: what mixes two of them lies
+    before the first edge of the second and is not looked at.
     """
-    schema = T.StructType(
-        list(blocks.schema.fields) + [T.StructField(c, T.DoubleType()) for c in RECURSIVE_COLUMNS]
-    )
+    view = np.lib.stride_tricks.sliding_window_view
+
+    def trailing(values: np.ndarray, period: int, how) -> np.ndarray:
+        out = np.full(len(values), np.nan)
+        out[period - 1 :] = how(view(values, period), axis=1)
+        return out
+
+    previous = np.concatenate([close[:1], close[:-1]])
+    tr = np.maximum(high - low, np.maximum(np.abs(high - previous), np.abs(low - previous)))
+    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
+    plus = np.where((up > down) & (up > 0), up, 0.0)
+    minus = np.where((down > up) & (down > 0), down, 0.0)
+    out = window_recursions(close, tr, plus, minus, edges, lookback)
+    for p in SMA_PERIODS:
+        out[f"sma_{p}"] = trailing(close, p, np.mean)[edges] if p <= lookback else np.full(len(edges), np.nan)
+    mid, sd = (trailing(close, BAND_PERIOD, f)[edges] for f in (np.mean, np.std))
+    out |= {"bb_mid": mid, "bb_upper_2": mid + 2 * sd, "bb_upper_1": mid + sd, "bb_lower_1": mid - sd, "bb_lower_2": mid - 2 * sd}
+    out["high_n"], out["low_n"] = trailing(high, EXTREME_BARS, np.max)[edges], trailing(low, EXTREME_BARS, np.min)[edges]
+    top, bottom = trailing(high, STOCH_PERIOD, np.max), trailing(low, STOCH_PERIOD, np.min)
+    width = top - bottom
+    raw = np.where(width == 0, 50.0, 100.0 * np.divide(close - bottom, width, out=np.zeros(len(close)), where=width != 0))
+    k = trailing(raw, STOCH_SMOOTH, np.mean)
+    out["stoch_k"], out["stoch_d"] = k[edges], trailing(k, STOCH_SMOOTH, np.mean)[edges]
+    return out
+
 
-    def label_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", ignore_index=True)
-        if len(rows) < lookback:
-            return rows.iloc[:0].assign(**{c: pd.Series(dtype=float) for c in RECURSIVE_COLUMNS})
-        arrays = [rows[c].to_numpy(dtype=float) for c in ("close", "tr", "plus_dm", "minus_dm")]
-        values = window_recursions(*arrays, lookback)
-        edges = rows.iloc[lookback - 1 :].assign(**values)
-        return edges[edges["core"]]
+def _label_rows(table: pa.Table, lookback: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Core rows of whole blocks, laid end to end, that have a full window."""
+    idx, block = table["idx"].to_numpy(), table["block"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))
+    place = np.arange(len(idx)) - np.repeat(starts, np.diff(np.append(starts, len(idx))))
+    edges = np.flatnonzero((place >= lookback - 1) & table["core"].to_numpy())
+    if len(edges) == 0:
+        return
+    arrays = [table[c].to_numpy().astype(float) for c in ("high", "low", "close")]
+    values = edge_snapshots(*arrays, edges, lookback)
+    kept = table.take(pa.array(edges))
+    columns = [
+        pa.array(values[f.name], type=f.type, from_pandas=True) if f.name in values else kept[f.name].cast(f.type) for f in schema
+    ]
+    yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=ROWS_PER_CALL)
 
-    return blocks.groupBy(*keys, "block").applyInPandas(label_block, schema)
 
+def _split_at_last_block(table: pa.Table) -> int:
+    """Where the last, maybe unfinished, block of a stretch of rows begins."""
+    idx, block = table["idx"].to_numpy(), table["block"].to_numpy()
+    return int(np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))[-1])
 
-def indicator_blocks(bars: DataFrame, keys: Sequence[str], before: int, lookback: int | None = None) -> DataFrame:
-    """Halo blocks with every bounded-frame indicator, unrounded."""
+
+def indicator_blocks(bars: DataFrame, keys: Sequence[str], before: int = max(SMA_PERIODS) - 1) -> DataFrame:
+    """Halo blocks with every bounded-frame indicator, unrounded; exact on core rows."""
     blocks = halo_blocks(bars, before=before)
     w = block_window(keys)
     plus, minus = directional_moves(w)
     high_n, low_n = extremes(EXTREME_BARS, w)
-    averages = {
-        f"sma_{p}": sma(F.col("close"), p, w) if lookback is None or p <= lookback else F.lit(None).cast("double")
-        for p in SMA_PERIODS
-    }
+    averages = {f"sma_{p}": sma(F.col("close"), p, w) for p in SMA_PERIODS}
     first = blocks.withColumns(
         {
             **averages,
@@ -248,8 +295,8 @@ def indicator_blocks(bars: DataFrame, keys: Sequence[str], before: int, lookback
             "low_n": low_n,
         }
     )
-    second = first.withColumn("stoch_k", sma(F.col("_raw_k"), STOCH_SMOOTH, w))
-    return second.withColumn("stoch_d", sma(F.col("stoch_k"), STOCH_SMOOTH, w)).drop("_raw_k")
+    second = first.withColumn("stoch_k", sma_of_optional(F.col("_raw_k"), STOCH_SMOOTH, w))
+    return second.withColumn("stoch_d", sma_of_optional(F.col("stoch_k"), STOCH_SMOOTH, w)).drop("_raw_k")
 
 
 def rounded_snapshot(df: DataFrame, slope_bars: int = ADX_SLOPE_BARS) -> DataFrame:
@@ -281,11 +328,35 @@ def rounded_snapshot(df: DataFrame, slope_bars: int = ADX_SLOPE_BARS) -> DataFra
 
 
 def walk_snapshots(bars: DataFrame, keys: Sequence[str], lookback: int = 250) -> DataFrame:
-    """The rounded snapshot of every bar that has ``lookback`` bars up to and including it."""
+    """The rounded snapshot of every bar that has ``lookback`` bars up to and including it.
+
+    One shuffle by (keys, block) and one sort; tasks then label as many whole
+    blocks per call as fit ``ROWS_PER_CALL``, so short series share vectors and
+    long ones are spread by block.
+    """
     if lookback < MIN_BARS:
         raise ValueError(f"lookback must be >= {MIN_BARS}; got {lookback}")
-    blocks = indicator_blocks(bars, keys, before=lookback - 1, lookback=lookback)
-    return rounded_snapshot(attach_recursions(blocks, keys, lookback)).drop("block", "core", "tr", "plus_dm", "minus_dm")
+    names = [*FRAME_COLUMNS, *RECURSIVE_COLUMNS]
+    passed = [f for f in bars.schema.fields if f.name not in names]
+    schema = T.StructType(passed + [T.StructField(c, T.DoubleType()) for c in names])
+    arrow_schema = to_arrow_schema(schema)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS_PER_CALL:
+                table = pa.Table.from_batches(held)
+                cut = _split_at_last_block(table)
+                if cut:
+                    yield from _label_rows(table.slice(0, cut), lookback, arrow_schema)
+                    held = table.slice(cut).to_batches()
+        if held:
+            yield from _label_rows(pa.Table.from_batches(held), lookback, arrow_schema)
+
+    blocks = halo_blocks(bars.select(*[f.name for f in passed]), before=lookback - 1)
+    laid = blocks.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "idx")
+    return rounded_snapshot(laid.mapInArrow(label, schema))
 
 
 # Last-bar folds over one bounded array ---------------------------------------
@@ -451,12 +522,14 @@ def last_snapshots(bars: DataFrame, keys: Sequence[str], count: int = 250) -> tu
     reason. Only ``count`` bars per series reach the grouping step.
     """
     recent = Window.partitionBy(*keys).orderBy(F.col("idx").desc())
-    last = bars.withColumn("_r", F.row_number().over(recent)).filter(F.col("_r") <= count).drop("_r")
+    last = bars.withColumn("_r", F.row_number().over(recent)).filter(F.col("_r") <= count)
+    first = F.min("idx").over(Window.partitionBy(*keys))
+    last = last.drop("_r").withColumn("_idx", F.col("idx")).withColumn("idx", F.col("idx") - first)
     w = Window.partitionBy(*keys).orderBy("idx")
     plus, minus = directional_moves(w)
     rows = last.withColumns({"tr": true_range(w), "plus_dm": plus, "minus_dm": minus, "_raw_k": raw_stochastic(w)})
-    rows = rows.withColumn("_k", sma(F.col("_raw_k"), STOCH_SMOOTH, w)).withColumn("_d", sma(F.col("_k"), STOCH_SMOOTH, w))
-    fields = ["idx", "ts", "open", "high", "low", "close", "tr", "plus_dm", "minus_dm", "_k", "_d"]
+    rows = rows.withColumn("_k", sma_of_optional(F.col("_raw_k"), STOCH_SMOOTH, w)).withColumn("_d", sma_of_optional(F.col("_k"), STOCH_SMOOTH, w))
+    fields = ["idx", "_idx", "ts", "open", "high", "low", "close", "tr", "plus_dm", "minus_dm", "_k", "_d"]
     grouped = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("_bars"),
         F.count("*").alias("bar_count"),
@@ -494,7 +567,8 @@ def last_snapshots(bars: DataFrame, keys: Sequence[str], count: int = 250) -> tu
         .select(
             *keys,
             "bar_count",
-            *[end[c].alias(c) for c in ("idx", "ts", "open", "high", "low", "close")],
+            end["_idx"].alias("idx"),
+            *[end[c].alias(c) for c in ("ts", "open", "high", "low", "close")],
             *[tail_mean(p).alias(f"sma_{p}") for p in SMA_PERIODS],
             F.col("_mid").alias("bb_mid"),
             (F.col("_mid") + 2.0 * F.col("_sd")).alias("bb_upper_2"),

@@ -9,48 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, LongType, StructField, StructType, TimestampType,
+    ArrayType, DoubleType, LongType, StructField, StructType, TimestampType,
 )
 
-from candlewick.operators.indicators import (
-    BAND_PERIOD, EXTREME_BARS, RECURSIVE_COLUMNS, SMA_PERIODS, STOCH_PERIOD, STOCH_SMOOTH, rounded_snapshot, window_recursions,
-)
+from candlewick.operators.indicators import FRAME_COLUMNS, RECURSIVE_COLUMNS, edge_snapshots, rounded_snapshot
 from candlewick.operators.regime import classify
 
 _PRICES = ("open", "high", "low", "close")
-_FRAMES = (
-    [f"sma_{p}" for p in SMA_PERIODS]
-    + ["bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2", "high_n", "low_n", "stoch_k", "stoch_d"]
-)
-
-
-def _trailing(values: np.ndarray, period: int, how, count: int) -> np.ndarray:
-    """``how`` of the last ``period`` values at each of the last ``count`` positions."""
-    view = np.lib.stride_tricks.sliding_window_view(values, period)
-    return how(view, axis=1)[-count:]
-
-
-def edge_snapshots(high: np.ndarray, low: np.ndarray, close: np.ndarray, lookback: int) -> dict[str, np.ndarray]:
-    """Raw indicators at every position that has ``lookback`` bars behind it."""
-    count = len(close) - lookback + 1
-    previous = np.concatenate([[close[0]], close[:-1]])
-    tr = np.maximum(high - low, np.maximum(np.abs(high - previous), np.abs(low - previous)))
-    up, down = np.diff(high, prepend=high[0]), -np.diff(low, prepend=low[0])
-    plus = np.where((up > down) & (up > 0), up, 0.0)
-    minus = np.where((down > up) & (down > 0), down, 0.0)
-    out = {k: v.copy() for k, v in window_recursions(close, tr, plus, minus, lookback).items()}
-    for p in SMA_PERIODS:
-        out[f"sma_{p}"] = _trailing(close, p, np.mean, count) if p <= lookback else np.full(count, np.nan)
-    mid, sd = (_trailing(close, BAND_PERIOD, f, count) for f in (np.mean, np.std))
-    out |= {"bb_mid": mid, "bb_upper_2": mid + 2 * sd, "bb_upper_1": mid + sd, "bb_lower_1": mid - sd, "bb_lower_2": mid - 2 * sd}
-    out["high_n"], out["low_n"] = _trailing(high, EXTREME_BARS, np.max, count), _trailing(low, EXTREME_BARS, np.min, count)
-    span = count + 2 * (STOCH_SMOOTH - 1)
-    top, bottom = _trailing(high, STOCH_PERIOD, np.max, span), _trailing(low, STOCH_PERIOD, np.min, span)
-    width = top - bottom
-    raw = np.where(width == 0, 50.0, 100.0 * np.divide(close[-span:] - bottom, width, out=np.zeros(span), where=width != 0))
-    k = _trailing(raw, STOCH_SMOOTH, np.mean, count + STOCH_SMOOTH - 1)
-    out["stoch_k"], out["stoch_d"] = k[-count:], _trailing(k, STOCH_SMOOTH, np.mean, count)
-    return out
 
 
 def stream_labels(bars: DataFrame, keys: Sequence[str], lookback: int = 250) -> DataFrame:
@@ -64,7 +29,7 @@ def stream_labels(bars: DataFrame, keys: Sequence[str], lookback: int = 250) ->
     output = StructType(
         [fields[k] for k in keys]
         + [StructField("ts", TimestampType()), StructField("idx", LongType())]
-        + [StructField(c, DoubleType()) for c in (*_PRICES, *_FRAMES, *RECURSIVE_COLUMNS)]
+        + [StructField(c, DoubleType()) for c in (*_PRICES, *FRAME_COLUMNS, *RECURSIVE_COLUMNS)]
     )
     state_type = StructType(
         [StructField("seen", LongType()), StructField("last_ts", TimestampType())]
@@ -86,7 +51,7 @@ def stream_labels(bars: DataFrame, keys: Sequence[str], lookback: int = 250) ->
             return
         count = len(columns[0]) - lookback + 1
         rows = fresh.tail(count)[[*keys, "ts", *_PRICES]].assign(idx=range(total - count, total))
-        yield rows.assign(**edge_snapshots(*columns, lookback))[[f.name for f in output.fields]]
+        yield rows.assign(**edge_snapshots(*columns, np.arange(lookback - 1, len(columns[0])), lookback))[[f.name for f in output.fields]]
 
     raw = bars.groupBy(*keys).applyInPandasWithState(label, output, state_type, "append", GroupStateTimeout.NoTimeout)
     return classify(rounded_snapshot(raw))
