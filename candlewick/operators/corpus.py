@@ -22,56 +22,38 @@ CHUNK_OVERLAP = 50
 MAX_CHUNK_CHARS = 1800
 
 
-def _word_windows(text: Column, size: int, overlap: int) -> Column:
-    """Arrays of ``size`` words, each ``size - overlap`` after the last, up to the last word."""
+def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Array of chunks of ``size`` words, the last one ending at the last word; blank text gives none."""
     step = max(1, size - overlap)
-    none = F.array().cast("array<array<string>>")
+    none = F.array().cast("array<string>")
 
-    def windows(tokens: Column) -> Column:
+    def chunks(tokens: Column) -> Column:
         last = F.ceil(F.greatest(F.size(tokens) - size, F.lit(0)) / step).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), last), lambda s: F.slice(tokens, s * step + 1, size))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda s: F.array_join(F.slice(tokens, s * step + 1, size), " "))
         return F.when(F.size(tokens) > 0, cut).otherwise(none)
 
-    return F.coalesce(F.transform(F.array(words(text)), windows)[0], none)
-
+    return F.coalesce(F.transform(F.array(words(text)), chunks)[0], none)
 
-def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Array of chunks of ``size`` words, the last one ending at the last word; blank text gives none."""
-    return F.transform(_word_windows(text, size, overlap), lambda w: F.array_join(w, " "))
 
+def _packed(chunk: Column, max_chars: int) -> Column:
+    """Single-spaced text cut greedily at spaces into parts of at most ``max_chars``.
 
-def _packed(tokens: Column, max_chars: int) -> Column:
-    """Words packed greedily into texts of at most ``max_chars``; one overlong word stays whole.
-
-    The fold only keeps where texts begin; the texts are cut out once at the end.
+    The longest run that ends at a space is taken each time; a word longer than
+    the limit is taken whole.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.array(F.lit(0)).alias("begins"))
-
-    def add(s: Column, word: Column) -> Column:
-        longer = s["chars"] + F.when(s["chars"] > 0, 1).otherwise(0) + F.length(word)
-        full = (s["chars"] > 0) & (longer > max_chars)
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(full, F.length(word)).otherwise(longer).alias("chars"),
-            F.when(full, F.array_append(s["begins"], s["at"])).otherwise(s["begins"]).alias("begins"),
-        )
-
-    def cut(begins: Column) -> Column:
-        ends = F.array_append(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.size(tokens))
-        return F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(tokens, a + 1, b - a), " "))
-
-    return F.when(F.size(tokens) > 0, cut(F.aggregate(tokens, start, add, lambda s: s["begins"])))
+    part = rf"(?s)(?: |\A)(.{{1,{max_chars}}}(?= |\z)|[^ ]+)"
+    return F.when(F.length(chunk) <= max_chars, F.array(chunk)).otherwise(F.regexp_extract_all(chunk, F.lit(part), F.lit(1)))
 
 
 def split_long(chunks: Column, max_chars: int = MAX_CHUNK_CHARS) -> Column:
     """Re-split chunks over ``max_chars`` by greedy word packing."""
-    repack = lambda c: F.transform(F.array(words(c)), lambda w: _packed(w, max_chars))[0]
-    return F.flatten(F.transform(chunks, lambda c: F.when(F.length(c) <= max_chars, F.array(c)).otherwise(repack(c))))
+    spaced = lambda c: F.when(F.length(c) <= max_chars, c).otherwise(F.array_join(words(c), " "))
+    return F.filter(F.flatten(F.transform(F.transform(chunks, spaced), lambda c: _packed(c, max_chars))), lambda p: p != "")
 
 
 def text_pieces(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, max_chars: int = MAX_CHUNK_CHARS) -> Column:
-    """Word chunks and their re-splits in one pass over the words."""
-    return F.flatten(F.transform(_word_windows(text, size, overlap), lambda w: _packed(w, max_chars)))
+    """Word chunks and their re-splits."""
+    return F.flatten(F.transform(word_chunks(text, size, overlap), lambda c: _packed(c, max_chars)))
 
 
 def normalize_metadata(docs: DataFrame) -> DataFrame:
