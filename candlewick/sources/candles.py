@@ -70,7 +70,8 @@ def bars_from_ticks(
 
 
 def keep_complete(bars: DataFrame) -> DataFrame:
-    return bars.filter(F.coalesce(F.col("complete"), F.lit(True)))
+    """Bars not marked incomplete; a missing mark means complete."""
+    return bars.filter(F.coalesce(F.col("complete"), F.lit(True))) if "complete" in bars.columns else bars
 
 
 def keep_until(bars: DataFrame, to: Column | None) -> DataFrame:
