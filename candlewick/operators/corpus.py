@@ -132,11 +132,14 @@ def ingest_figures(figures: DataFrame, captions: DataFrame, stored: DataFrame) -
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: chunk count and the sorted distinct sources."""
+    """One row: chunk count and number of distinct sources."""
     per_source = chunks.groupBy("source").agg(F.count("*").alias("n"))
-    return per_source.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"), F.array_sort(F.collect_list("source")).alias("sources")
-    )
+    return per_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"), F.count("source").alias("source_count"))
+
+
+def corpus_sources(chunks: DataFrame) -> DataFrame:
+    """The distinct sources in order, with their chunk counts; a table, not one growing row."""
+    return chunks.groupBy("source").agg(F.count("*").alias("chunks")).orderBy("source")
 
 
 def source_chunk(chunks: DataFrame, source: str, index: int) -> DataFrame:

@@ -107,20 +107,17 @@ def upserted_chunks(spark, sf):
     return out(spark.read.parquet(tables.upsert_version(spark, second, root, 2)))
 
 
-@query("s8_assembled_documents", """SELECT label, md5(string_agg(txt, chr(10) || chr(10) ORDER BY conv_id, pos)) AS digest, count(*) AS parts FROM (
-    SELECT role AS label, conv_id, min(turn) AS pos, arg_min(text, turn) AS txt FROM (
-        SELECT *, conv_id AS cid FROM conversations) GROUP BY role, conv_id, turn // 2) WHERE txt <> '' GROUP BY label""".replace("label", "source"))
+@query("s8_assembled_documents", """SELECT 'conv/' || conv_id AS source, md5(string_agg(txt, chr(10) || chr(10) ORDER BY pos)) AS digest FROM (
+    SELECT conv_id, min(turn) AS pos, arg_min(text, turn) AS txt FROM conversations GROUP BY conv_id, turn // 2) WHERE txt <> '' GROUP BY conv_id""")
 def assembled_documents(spark, sf):
-    """One document per role out of all conversation turns; every second turn repeats a section id."""
+    """One document per conversation; every second turn repeats a section id."""
     turns = table(spark, sf, "conversations").select(
-        F.col("role").alias("source"),
-        (F.col("conv_id").cast("bigint") * 100000 + F.col("turn")).alias("pos"),
-        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.floor(F.col("turn") / 2).cast("string")).alias("section_id"),
+        F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("source"),
+        F.col("turn").alias("pos"),
+        F.floor(F.col("turn") / 2).cast("string").alias("section_id"),
         "text",
     )
-    joined = sections.assemble_documents(turns)
-    parts = turns.groupBy("source", "section_id").agg(F.min_by("text", "pos").alias("t")).filter("t <> ''").groupBy("source").agg(F.count("*").alias("parts"))
-    return out(joined.join(parts, "source").select("source", F.md5("text").alias("digest"), "parts"))
+    return out(sections.assemble_documents(turns).select("source", F.md5("text").alias("digest")))
 
 
 @query("s7_html_to_text", r"""
@@ -164,7 +161,7 @@ def document_figures(spark, sf):
     found = sections.image_references(_illustrated(spark, sf)).persist()
     stem = F.regexp_extract("path", r"^img/(.*)\.png$", 1)
     images = found.select("source", "path").distinct().select(
-        "source", "path", F.col("path").alias("item"), (F.length(stem) * 50).alias("width"), F.lit(400).alias("height")
+        "source", "path", F.length(stem).cast("bigint").alias("item"), (F.length(stem) * 50).alias("width"), F.lit(400).alias("height")
     )
     return out(sections.document_figures(found, images), "source", "path", "page", "figure_index")
 
@@ -341,10 +338,14 @@ def source_chunks(spark, sf):
     return out(corpus.source_chunks(chunks, wanted), "id")
 
 
-@query("v5_v6_corpus_stats", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT count(*) AS chunk_count, md5(string_agg(DISTINCT src, '|' ORDER BY src)) AS sources FROM ch""")
+@query("v5_v6_corpus_stats", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT count(*) AS chunk_count, count(DISTINCT src) AS source_count FROM ch""")
 def corpus_stats(spark, sf):
-    stats = corpus.corpus_stats(_chunks(spark, sf))
-    return out(stats.select("chunk_count", F.md5(F.array_join("sources", "|")).alias("sources")))
+    return out(corpus.corpus_stats(_chunks(spark, sf)))
+
+
+@query("v5_corpus_sources", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED} SELECT src AS source, count(*) AS chunks FROM ch GROUP BY 1""")
+def corpus_sources(spark, sf):
+    return out(corpus.corpus_sources(_chunks(spark, sf)))
 
 
 @query("v11_regime_queries", outer("hlab", """instrument, idx, 'Kathy Lien ' || regime || ' ' || coalesce(direction, '') || ' ' || play_class

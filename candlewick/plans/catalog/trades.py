@@ -250,14 +250,14 @@ def _recent(spark, sf):
     return plot_series(bars, KEYS, bars.groupBy(*KEYS).agg(F.count("*").alias("bar_count")))
 
 
-@query("o1_polylines", sql("""SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY idx) - 1 AS segment, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2 FROM (
-    SELECT instrument, idx, epoch(ts)::BIGINT AS t1, sma_20 AS p1, lead(epoch(ts)::BIGINT) OVER k AS t2, lead(sma_20) OVER k AS p2 FROM (
-        SELECT *, min(idx) OVER (PARTITION BY instrument) AS f, max(idx) OVER (PARTITION BY instrument) AS l FROM hi WHERE sma_20 IS NOT NULL)
-    WHERE (idx - f) % 2 = 0 OR idx = l WINDOW k AS (PARTITION BY instrument ORDER BY idx)) WHERE t2 IS NOT NULL""", "hi"))
+@query("o1_polylines", sql(f"""SELECT instrument, tile, row_number() OVER (PARTITION BY instrument, tile ORDER BY idx) - 1 AS segment, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2 FROM (
+    SELECT instrument, tile, idx, epoch(ts)::BIGINT AS t1, sma_20 AS p1, lead(epoch(ts)::BIGINT) OVER k AS t2, lead(sma_20) OVER k AS p2 FROM (
+        SELECT *, idx // {TILE} AS tile, min(idx) OVER (PARTITION BY instrument, idx // {TILE}) AS f, max(idx) OVER (PARTITION BY instrument, idx // {TILE}) AS l FROM hi WHERE sma_20 IS NOT NULL)
+    WHERE (idx - f) % 2 = 0 OR idx = l WINDOW k AS (PARTITION BY instrument, tile ORDER BY idx)) WHERE t2 IS NOT NULL""", "hi"))
 def polylines(spark, sf):
-    """SMA-20 of each whole series, one tile of the series per polyline group in practice."""
-    points = indicator_blocks(hourly(spark, sf), KEYS, before=199).filter("core").withColumn("value", F.col("sma_20"))
-    return out(ann.polyline(points, KEYS), "instrument", "segment", "t1", "p1", "t2", "p2")
+    """SMA-20 of whole series, one polyline per analysis window."""
+    points = indicator_blocks(hourly(spark, sf), KEYS).filter("core").withColumn("value", F.col("sma_20"))
+    return out(ann.polyline(tiles(points, TILE), TILES), "instrument", "tile", "segment", "t1", "p1", "t2", "p2")
 
 
 @query("o2_formation_annotations")

@@ -9,8 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from candlewick.functions.text import html_to_text, strip
+from candlewick.operators.series import running_offsets
 from candlewick.sources.files import MIN_FIGURE_SIDE, SNIPPET_CHARS, large_images
 
+# Images no section refers to are numbered after all chapters, in parts of this many.
+LEFTOVER_PART = 1 << 40
+LEFTOVER_ROWS = 1000
+
 # Blocks whose text counts as nearby, and elements without content.
 _BLOCKS = ("p", "div", "figure", "section")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "input", "link", "meta", "source", "track", "wbr")
@@ -107,19 +112,27 @@ def image_references(sections: DataFrame) -> DataFrame:
 def document_figures(references: DataFrame, images: DataFrame, side: int = MIN_FIGURE_SIDE) -> DataFrame:
     """Figures of a document: referenced images in reading order, then the others, numbered together.
 
-    ``images``: source, path, item, width, height. A path counts once, where it is
-    first referenced; small images never count.
+    ``images``: source, path, item (its place among the document's images), width,
+    height. A path counts once, where it is first referenced; small images never
+    count. Numbers are ranks inside a chapter plus what earlier chapters hold, so
+    a document of any length is numbered in parts.
     """
     firsts = references.join(images.select("source", "path"), ["source", "path"], "left_semi").groupBy("source", "path").agg(
         F.min(F.struct("chapter", "place", "nearby")).alias("_first")
     )
-    big = large_images(images, side).join(firsts, ["source", "path"], "left")
-    w = Window.partitionBy("source").orderBy(
-        F.col("_first").isNull(), F.col("_first.chapter"), F.col("_first.place"), "item", "path"
+    referenced = F.col("_first").isNotNull()
+    big = large_images(images, side).join(firsts, ["source", "path"], "left").withColumns(
+        {
+            "page": F.coalesce("_first.chapter", F.lit(0)).cast("bigint"),
+            "nearby": F.coalesce("_first.nearby", F.lit("")),
+            "_part": F.when(referenced, F.col("_first.chapter")).otherwise(LEFTOVER_PART + F.floor(F.col("item") / LEFTOVER_ROWS)).cast("bigint"),
+            "_place": F.when(referenced, F.col("_first.place")).otherwise(F.col("item")).cast("bigint"),
+        }
     )
-    return big.select(
-        "source", "path",
-        F.coalesce("_first.chapter", F.lit(0)).alias("page"),
-        F.coalesce("_first.nearby", F.lit("")).alias("nearby"),
-        (F.row_number().over(w) - 1).alias("figure_index"),
+    totals = big.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    offsets = running_offsets(totals, ["source"], "_part", ["_n"]).select("source", "_part", "_n_before")
+    w = Window.partitionBy("source", "_part").orderBy("_place", "path")
+    numbered = big.withColumn("_rank", F.row_number().over(w)).join(offsets, ["source", "_part"])
+    return numbered.select(
+        "source", "path", "page", "nearby", (F.col("_n_before") + F.col("_rank") - 1).alias("figure_index")
     )
