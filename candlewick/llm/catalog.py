@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, histogram_shards, slack_packing, token_transducer
+from candlewick.llm import chat_parts, histogram_shards, language_masks, slack_packing, token_transducer, toxicity
 from candlewick.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,15 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op5_language_masks")
+def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    apart = language_masks.held_out()
+    model = language_masks.learn(docs.filter(~apart))
+    found = language_masks.identify(spark, docs.select("doc_id", "text"), model)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_histogram_shards")
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = histogram_shards.balanced_shards(documents(spark, sf_dir))
@@ -83,3 +92,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_slack_packing")
 def op9_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack(documents(spark, sf_dir), byte_bpe())
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    apart = toxicity.held_out()
+    model = toxicity.learn(docs, labels.filter(~apart))
+    scored = toxicity.score(spark, docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
