@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, histogram_shards, language_masks, slack_packing, token_transducer, toxicity
+from candlewick.llm import chat_parts, histogram_shards, language_masks, lsh_forest, slack_packing, token_transducer, toxicity
 from candlewick.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op4_lsh_forest")
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_copies(documents(spark, sf_dir), words=4, percent=80)
+
+
 @query("op5_language_masks")
 def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
