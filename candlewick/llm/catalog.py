@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, histogram_shards, language_masks, lsh_forest, slack_packing, token_transducer, toxicity
+from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, slack_packing, token_transducer, toxicity
 from candlewick.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,17 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_fm_decontamination")
+def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 @query("op4_lsh_forest")
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_copies(documents(spark, sf_dir), words=4, percent=80)
