@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, slack_packing, token_transducer, toxicity
+from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, paragraph_sketch, slack_packing, token_transducer, toxicity
 from candlewick.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -40,6 +40,11 @@ def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_paragraph_sketches")
+def op3_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compared_versions(documents(spark, sf_dir))
+
+
 @query("op4_lsh_forest")
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_copies(documents(spark, sf_dir), words=4, percent=80)
