@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from candlewick.session import fresh_path
 
@@ -34,6 +34,22 @@ def crc(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
 
 
+def hash_sample(df: DataFrame, rows: int, size: int, *, text: str = "text", key: str = "doc_id") -> list[Row]:
+    """At most ``rows`` rows with at most ``size`` bytes of text, taken in the order of a hash of their key.
+
+    Only hashes and sizes are ordered; the texts that travel are those of the sample.
+    """
+    order = F.xxhash64(F.col(key).cast("string"))
+    first = df.select(order.alias("h"), F.octet_length(text).alias("n")).orderBy("h", "n").limit(rows).collect()
+    taken, total = 0, 0
+    while taken < len(first) and total + first[taken]["n"] <= size:
+        total += first[taken]["n"]
+        taken += 1
+    if not taken:
+        return []
+    return df.filter(order <= first[taken - 1]["h"]).limit(taken).collect()
+
+
 def strings(column: pa.Array) -> pa.Array:
     """The column as large strings, null read as empty."""
     return pc.fill_null(column.cast(pa.large_string()), "")
@@ -104,3 +120,53 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with columns appended; the caller has checked that no name clashes."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+#: A filter has about 16 bits an entry, at least and at most these powers of two.
+FILTER_BITS = (20, 28)
+_SLICES = 64
+
+
+def membership(values: DataFrame, expected: int) -> np.ndarray:
+    """A Bloom filter (packed bits, two per entry) of a table's one long column.
+
+    Its slices are filled by separate tasks; what reaches the driver is the filter, whose
+    size is bounded by FILTER_BITS whatever the table holds. A fuller filter lets more
+    pass, so it only ever spares work: users check again what passed.
+    """
+    bits = 1 << max(FILTER_BITS[0], min(FILTER_BITS[1], (16 * max(1, expected)).bit_length()))
+    width = bits // _SLICES
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slices, places = (batch.column(i).to_numpy() for i in (0, 1))
+            for s in np.unique(slices).tolist():
+                found.setdefault(s, np.zeros(width, bool))[places[slices == s]] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "bits"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(filter_places(batch.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int64))], names=["slice", "place"])
+
+    dealt = values.mapInArrow(places, "slice int, place long").repartition(_SLICES, "slice")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in dealt.mapInArrow(fill, "slice int, bits binary").collect():
+        first = row["slice"] * width // 8
+        out[first : first + width // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def filter_places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    hashed = mixed(values.astype(np.int64).view(np.uint64) * _BASE + np.uint64(1))
+    return [(hashed % np.uint64(bits)).astype(np.int64), ((hashed >> np.uint64(32)) * _BASE >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)]
+
+
+def may_contain(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be in the filter; false is certain."""
+    found = np.ones(len(values), bool)
+    for at in filter_places(values, 8 * len(packed)):
+        found &= packed[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+    return found

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm.common import buffers, crc, mixed, strings, text_slices
+from candlewick.llm.common import crc, hash_sample, mixed, text_slices
 
 SIZES = (2, 3, 4)
 CELLS = 1 << 19
@@ -25,6 +25,8 @@ HASHES = 2
 #: Bounds of the sample the filters are filled from: rows a language, and bytes of their whole texts.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 4 << 20
+#: Bytes of sample turned into n-grams at a time on the driver.
+FILL_BYTES = 256 << 10
 #: An n-gram belongs to a language in which it is at least this part as frequent as where it is most frequent.
 SHARE = 0.25
 #: and that has it at least so often.
@@ -115,15 +117,22 @@ class LanguageFilter:
         return best, np.where(total > 0, share[np.arange(len(best)), best] / np.maximum(total, 1e-12), 1 / max(1, len(self.names)))
 
 
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams, how often) of a sample, slice by slice."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string()), FILL_BYTES):
+        found, number = np.unique(ngrams(data, offsets)[0], return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, number]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
 def fill(samples: dict[str, list[str]]) -> LanguageFilter:
     """Filters of the n-grams that the sample shows to belong to each language."""
     names = sorted(samples)
     if len(names) > 64:
         raise ValueError("a mask has room for 64 languages")
-    counted = []
-    for name in names:
-        data, offsets = buffers(strings(pa.array(samples[name], pa.large_string())))
-        counted.append(np.unique(ngrams(data[offsets[0] : offsets[-1]], offsets - offsets[0])[0], return_counts=True))
+    counted = [_counts(samples[name]) for name in names]
     every = np.unique(np.concatenate([keys for keys, _ in counted])) if names else np.zeros(0, np.uint64)
     rate = np.zeros((len(names), len(every)))
     number = np.zeros((len(names), len(every)), np.int64)
@@ -151,14 +160,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     samples = {}
     names = [r["__lang"] for r in given.select("__lang").distinct().limit(65).collect()]
     for name in names:
-        rows = fitting.filter(F.col("__lang") == name).orderBy(F.xxhash64(F.col(key).cast("string")), "__text").limit(sample_rows)
-        taken, size = [], 0
-        for r in rows.collect():
-            size += len(r["__text"].encode())
-            if size > sample_bytes:
-                break
-            taken.append(r["__text"])
-        samples[name] = taken
+        rows = hash_sample(fitting.filter(F.col("__lang") == name), sample_rows, sample_bytes, text="__text", key=key)
+        samples[name] = [r["__text"] for r in rows]
     return fill(samples)
 
 
