@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, paragraph_sketch, slack_packing, token_transducer, toxicity
+from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, paragraph_sketch, slack_packing, suffix_dedup, token_transducer, toxicity
 from candlewick.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -40,6 +40,13 @@ def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op3_paragraph_sketches")
 def op3_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.compared_versions(documents(spark, sf_dir))
