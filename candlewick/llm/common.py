@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from candlewick.session import fresh_path
 
@@ -117,9 +118,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns appended; the caller has checked that no name clashes."""
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+def extended(schema: StructType, added: str) -> StructType:
+    """``schema`` and the columns of a DDL string."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])
 
 
 #: A filter has about 16 bits an entry, at least and at most these powers of two.

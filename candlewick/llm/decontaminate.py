@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import buffers, prefix_sums, ranges, span_hashes, stored, strings, text_slices
+from candlewick.llm.common import buffers, extended, prefix_sums, ranges, span_hashes, stored, strings, text_slices
 from candlewick.llm.fm_index import FMIndex
 from candlewick.llm.lsh_forest import _LOWER, word_spans
 
@@ -131,19 +131,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """``docs`` with n_words, spans (in words and bytes, merged) and items (sorted names) of benchmark windows.
 
     A null or empty text has no words; an item without words has no window; an item
-    without a name marks words but names nothing; items with one name are one. The
-    three columns must not be in ``docs``; all others stay. The benchmark is searched in
+    without a name marks words but names nothing; items with one name are one. All
+    other columns stay; ones with the three names are replaced. The benchmark is searched in
     blocks of at most about ``block_bytes``, one pass over the documents each, so its
     size is bounded by nothing else.
     """
-    if clash := {"n_words", "spans", "items"} & set(docs.columns):
-        raise ValueError(f"columns {clash} are there already")
+    docs = docs.drop("n_words", "spans", "items")
     spark = docs.sparkSession
     wanted = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     names, place = docs.columns, docs.columns.index(text)
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = extended(docs.schema, f"n_words long, spans {SPANS}, items array<string>")
     found = docs
     for block in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).collect()
@@ -160,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     columns = [*part.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "spans", "items"])
 
-        found = found.mapInArrow(run, f"{given}, n_words long, spans {SPANS}, items array<string>")
+        found = found.mapInArrow(run, schema)
         if block + 1 < blocks:
             found = stored(found, "searched")
     return found

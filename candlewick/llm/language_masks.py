@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm.common import crc, hash_sample, mixed, text_slices
+from candlewick.llm.common import crc, extended, hash_sample, mixed, text_slices
 
 SIZES = (2, 3, 4)
 CELLS = 1 << 19
@@ -169,11 +169,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, *, tex
     """``docs`` with lang_pred and score, from the whole text alone.
 
     A null text, one without a letter, and every text of a model without languages are
-    ``unknown`` with score 0. All columns stay; lang_pred and score must not be among
-    them. The filter has a fixed size and is broadcast once.
+    ``unknown`` with score 0. All other columns stay; ones named lang_pred or score are
+    replaced. The filter has a fixed size and is broadcast once.
     """
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"columns {clash} are there already")
+    docs = docs.drop("lang_pred", "score")
     shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +190,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, *, tex
                 chosen = names[np.where(lettered, best, len(model.names))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chosen, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*part.schema.names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
 
 
 def held_out(key: str = "doc_id"):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import FILTER_BITS, buffers, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices
+from candlewick.llm.common import FILTER_BITS, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices
 from candlewick.llm.induced_sort import MEMORY_BYTES, suffix_order
 
 LIMIT = 200
@@ -258,10 +258,9 @@ def repeated_passages(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, *,
     in its text or another; judged on the input. kept_sha256 is of the remaining bytes;
     kept_text keeps characters of which a byte remains. A null text is empty (and its
     kept_text null); a text shorter than ``limit`` loses nothing; a repeated row makes
-    both its copies go. Other columns stay; the four must not be among them.
+    both its copies go. Other columns stay; ones with the four names are replaced.
     """
-    if clash := {"n_bytes", "runs", "kept_sha256", "kept_text"} & set(docs.columns):
-        raise ValueError(f"columns {clash} are there already")
+    docs = docs.drop("n_bytes", "runs", "kept_sha256", "kept_text")
     names, place = docs.columns, docs.columns.index(text)
     hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     texts = hashed.select(F.coalesce(text, F.lit("")).alias("__text"), F.col(key).alias("__key"), "__hash")
@@ -287,5 +286,4 @@ def repeated_passages(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, *,
             added = [pa.array(sizes), pa.array(runs, pa.list_(_RUN)), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, "n_bytes", "runs", "kept_sha256", "kept_text"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(cut, f"{kinds}, n_bytes long, runs {RUNS}, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(cut, extended(docs.schema, f"n_bytes long, runs {RUNS}, kept_sha256 string, kept_text string"))

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from candlewick.llm.common import text_slices
+from candlewick.llm.common import extended, text_slices
 from candlewick.llm.pretokens import Seen, pretokens, vocabulary
 
 #: States a worker keeps compiled, and pre-tokens whose count it remembers; beyond them it starts afresh.
@@ -158,11 +159,10 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
 
     A null text is empty and has no tokens; the file's special string counts as one
     token wherever it stands in a text. Rows are independent: repeated ids and extra
-    columns do no harm, an empty table gives no rows.
+    columns do no harm, an empty table gives no rows. Kept columns named n_bytes or
+    n_tokens are replaced.
     """
-    clash = {"n_bytes", "n_tokens"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {clash} are added by token_counts")
+    keep = tuple(k for k in keep if k not in ("n_bytes", "n_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,5 +173,4 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
                 yield pa.RecordBatch.from_arrays([*kept, *sizes], names=[*keep, "n_bytes", "n_tokens"])
 
     source = docs.select(*keep, docs[text].alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return source.mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long")
+    return source.mapInArrow(run, extended(StructType(source.schema.fields[:-1]), "n_bytes long, n_tokens long"))
