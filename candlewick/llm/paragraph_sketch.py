@@ -26,7 +26,10 @@ ROUNDS = 8
 #: The order of documents is read off in ranges of about so many rows, of which there are at most RANGES.
 ROWS_PER_RANGE = 500
 RANGES = 512
-_ZERO = F.lit(0).cast("long")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -66,7 +69,7 @@ def sketch(entries: Column, cells: int) -> Column:
     placed = F.transform(
         entries, lambda e: F.struct(e["d"].alias("d"), e["s"].alias("s"), _check(e["d"]).alias("c"), F.array(*[_cell(e["d"], w, cells) for w in range(WAYS)]).alias("at"))
     )
-    empty = F.struct(_ZERO.alias("n"), _ZERO.alias("k"), _ZERO.alias("c"))
+    empty = F.struct(_zero().alias("n"), _zero().alias("k"), _zero().alias("c"))
     part = cells // WAYS
     return F.transform(
         F.sequence(F.lit(0), F.lit(cells - 1)),
