@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.llm.common import buffers, mixed, prefix_sums, ranges, span_hashes, stored, text_slices
+from candlewick.llm.common import buffers, may_contain, membership, mixed, prefix_sums, ranges, span_hashes, stored, text_slices
 from candlewick.llm.components import components
 
 TREES, DEPTH = 21, 3
@@ -139,16 +139,17 @@ def tree_rows(classes: DataFrame) -> DataFrame:
 
 
 def _leader_links(ids: np.ndarray, short: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate links of one block: every member with every leader it may share a link with."""
-    links, open_rows = [], np.arange(len(ids))
+    """A spanning forest of one block's candidates: members hang together through leaders they may share a link with."""
+    root, open_rows = np.arange(len(ids)), np.arange(len(ids))
     while len(open_rows) > 1:
         leader = open_rows[0]
         alike = (short == short[leader]).mean(axis=1)
-        near = np.flatnonzero(alike >= CANDIDATE)
-        near = near[near != leader]
-        links.append((np.full(len(near), ids[leader]), ids[near]))
+        joined = np.unique(root[np.append(np.flatnonzero(alike >= CANDIDATE), leader)])
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
         open_rows = open_rows[(alike[open_rows] < LEADER) & (open_rows != leader)]
-    return links
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return [(ids[root[moved]], ids[moved])]
 
 
 def candidate_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -253,11 +254,16 @@ def _linked(ids: np.ndarray, sets: np.ndarray, bounds: np.ndarray, percent: int)
 def exact_links(members: DataFrame, docs: DataFrame, words: int, percent: int, *, text: str, key: str, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all members (id, component) of a cluster whose full sets are near enough."""
 
+    sized = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    chosen = stored(members.join(sized, "component").select("id", F.col("component").alias("cluster"), "blocks"), "clusters")
+    wanted = docs.sparkSession.sparkContext.broadcast(membership(chosen.select("id"), chosen.count()))
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the rows that may be members; the join below is the exact test."""
         for batch in batches:
+            batch = batch.filter(pa.array(may_contain(wanted.value, batch.column(1).to_numpy())))
             for start, stop, data, offsets in text_slices(batch.column(0)):
-                kept = [batch.column(i).slice(start, stop - start) for i in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*kept, _blobs(*shingle_sets(data, offsets, words))], names=["id", "cluster", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), _blobs(*shingle_sets(data, offsets, words))], names=["id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a pair of blocks come together; all of a task's small clusters are compared one by one."""
@@ -282,10 +288,8 @@ def exact_links(members: DataFrame, docs: DataFrame, words: int, percent: int, *
         if held:
             yield done(pa.concat_tables(held))
 
-    sized = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    chosen = members.join(sized, "component")
-    given = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    sets = given.join(chosen, "id").select("__text", "id", F.col("component").alias("cluster"), "blocks").mapInArrow(sets_of, "id long, cluster long, blocks int, shingles binary")
+    given = docs.filter(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col(key).cast("long").alias("id"))
+    sets = given.mapInArrow(sets_of, "id long, shingles binary").join(chosen, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.withColumn("own", own).withColumn("other", other)
