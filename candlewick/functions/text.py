@@ -7,6 +7,8 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from candlewick.functions.numbers import is_true
+
 # Fixed value: whitespace as the text pipeline counts it (Unicode spaces and separators).
 SPACE = r"(?U)[\s\x1c-\x1f]"
 PREVIEW_CHARS = 200
@@ -29,9 +31,8 @@ STAGE_QUERIES = {
 }
 OTHER_STAGE_QUERY = "head and shoulders reversal neckline"
 
-# The query template of a regime row.
-REGIME_QUERY_HEAD = "Kathy Lien"
-REGIME_QUERY_TAIL = "currency market regime filter strategy"
+# Fixed value: the query template of a regime row (regime, direction, plays).
+REGIME_QUERY = "Kathy Lien %s %s %s currency market regime filter strategy"
 
 
 def strip(text: Column) -> Column:
@@ -89,7 +90,7 @@ def preview(text: Column, limit: int = PREVIEW_CHARS) -> Column:
 def regime_query(regime: Column, way: Column, plays: Column) -> Column:
     return strip(
         F.format_string(
-            f"{REGIME_QUERY_HEAD} %s %s %s {REGIME_QUERY_TAIL}",
+            REGIME_QUERY,
             F.coalesce(regime, F.lit("mixed")), F.coalesce(way, F.lit("")), F.array_join(plays, ", "),
         )
     )
@@ -105,31 +106,46 @@ def stage_query(stage: Column) -> Column:
 _BREAK = "\x01"
 
 
+# Numeric references to these control codes mean the characters that Windows puts there.
+_WINDOWS = {c: bytes([c]).decode("cp1252", "ignore") for c in range(0x80, 0xA0)}
+# Names that need no semicolon, the longest first.
+_BARE_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
 def _decode_entities(text: Column) -> Column:
-    """Named and numeric character references, each decoded once."""
-    named = F.from_json(
-        F.lit(json.dumps({k.rstrip(";"): v for k, v in html5.items() if k.endswith(";")})), "map<string,string>"
-    )
+    """Named and numeric character references, each decoded once; the old names need no semicolon."""
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    windows = F.create_map(*[F.lit(x) for c, char in _WINDOWS.items() if char for x in (c, char)])
 
     def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^&(#?\w+);?", 1)
-        rest = F.regexp_replace(piece, r"^&#?\w+;?", "")
-        decimal = F.regexp_extract(name, r"^#(\d+)$", 1)
-        hexadecimal = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]+)$", 1)
-        code = F.when(decimal != "", F.hex(decimal.try_cast("bigint"))).when(hexadecimal != "", hexadecimal)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        value = F.when(code.isNotNull(), char).otherwise(F.try_element_at(named, name))
-        return F.when(name != "", F.coalesce(F.concat(value, rest), piece)).otherwise(piece)
+        number = F.regexp_extract(piece, r"^&#(?:\d+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_extract(number, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(number.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        allowed = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(is_true(allowed), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        closed = F.regexp_extract(piece, r"^&(\w+;)", 1)
+        bare = F.regexp_extract(piece, "^&(" + "|".join(_BARE_NAMES) + ")", 1)
+        name = F.when(F.try_element_at(named, closed).isNotNull(), closed).otherwise(bare)
+        return (
+            F.when(number != "", F.concat(F.coalesce(F.try_element_at(windows, code.cast("int")), char), F.substring(piece, F.length(number) + 1, F.length(piece))))
+            .when(name != "", F.concat(F.try_element_at(named, name), F.substring(piece, F.length(name) + 2, F.length(piece))))
+            .otherwise(piece)
+        )
 
-    return F.array_join(F.transform(F.split(text, "(?=&#?[A-Za-z0-9]+;)"), decode), "")
+    return F.array_join(F.transform(F.split(text, "(?=&)"), decode), "")
 
 
 def html_to_text(html: Column) -> Column:
-    """Text nodes joined by newlines, each stripped; scripts, styles and comments dropped."""
+    """Text nodes joined by newlines, each stripped; scripts, styles and comments dropped, also unclosed ones.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one where a quote
+    is never closed.
+    """
     bare = html
-    for pattern in (r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", r"(?s)<!--.*?-->"):
+    for pattern in (r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)"):
         bare = F.regexp_replace(bare, pattern, _BREAK)
-    broken = F.regexp_replace(bare, r"<[/!?]?[A-Za-z][^>]*>", _BREAK)
+    quoted = r"""<[/!?]?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[/!?]?[A-Za-z][^>]*>"""
+    broken = F.regexp_replace(bare, quoted, _BREAK)
     nodes = F.transform(F.split(broken, _BREAK), lambda t: strip(F.when(t.contains("&"), _decode_entities(t)).otherwise(t)))
     return F.array_join(F.filter(nodes, lambda t: t != ""), "\n")
 
@@ -144,9 +160,13 @@ def strip_think(text: Column) -> Column:
 def json_object(text: Column) -> Column:
     """JSON object text inside model output: fenced, whole, or between the outer braces; else null."""
     cleaned = strip_think(text)
-    fenced = F.nullif(F.regexp_extract(cleaned, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    pieces = F.split(cleaned, "```")
+    # Every second piece stands inside a fence; the last one only if its fence is closed.
+    inside = F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & (i < F.size(pieces) - 1), strip(F.regexp_replace(p, "^json", ""))))
+    fenced = F.get(F.filter(inside, lambda p: p.startswith("{") & p.endswith("}")), 0)
     body = F.coalesce(fenced, cleaned)
-    braces = F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
+    opened, closed = F.instr(body, "{"), F.length(body) - F.instr(F.reverse(body), "}") + 1
+    braces = F.when((opened > 0) & (closed > opened), F.substring(body, opened, closed - opened + 1))
     is_object = lambda t: F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT")
     return F.when(is_object(body), body).when(is_object(braces), braces)
 

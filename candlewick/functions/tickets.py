@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candlewick.functions.numbers import computed_once, is_true, whole_even
+from candlewick.functions.text import strip
 
 # Ticket geometry and gate limits.
 PLANNED_R = 2.0
@@ -35,7 +36,7 @@ class Goal:
 
 
 def pip_size(instrument: Column) -> Column:
-    text = F.replace(F.upper(F.trim(instrument)), F.lit("/"), F.lit("_"))
+    text = F.replace(F.upper(strip(instrument)), F.lit("/"), F.lit("_"))
     quote = F.when(text.contains("_"), F.element_at(F.split(text, "_"), -1)).otherwise(F.right(text, F.lit(3)))
     return F.when(quote == "JPY", JPY_PIP).otherwise(DEFAULT_PIP)
 
@@ -150,7 +151,7 @@ def with_ticket(df: DataFrame, play: Column, instrument: Column, buffer_pips: in
 
 
 def merge_notes(existing: Column, extra: Column) -> Column:
-    return F.concat_ws("; ", F.nullif(F.trim(F.coalesce(existing, F.lit(""))), F.lit("")), extra)
+    return F.concat_ws("; ", F.nullif(strip(F.coalesce(existing, F.lit(""))), F.lit("")), extra)
 
 
 def skeleton_proposal() -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from candlewick.functions.text import strip
+
 # Bar granularities in seconds.
 GRANULARITY_SECONDS = {
     "S5": 5, "S10": 10, "S15": 15, "S30": 30,
@@ -21,13 +23,19 @@ CHART_PERIODS = {
     "MN": ("MN1", 43200), "MN1": ("MN1", 43200),
 }
 
-# Fixed value: the RFC3339 shape accepted from callers.
-RFC3339_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?$"
+
+def well_formed(text: Column) -> Column:
+    """Whether text has the shape of an RFC3339 time: to the second, then a fraction and a zone if any."""
+    shape = F.translate(text, "123456789", "000000000")
+    rest = F.substring(shape, F.lit(20), F.greatest(F.length(shape) - 19, F.lit(0)))
+    fraction = F.regexp_extract(rest, r"^\.0+", 0)
+    zone = F.substring(rest, F.length(fraction) + 1, F.length(rest))
+    return (F.substring(shape, 1, 19) == "0000-00-00T00:00:00") & zone.isin("", "Z", "+00:00", "-00:00")
 
 
 def parse_instant(text: Column) -> Column:
     """RFC3339 text (up to nanoseconds) to a microsecond timestamp; null on junk."""
-    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    return F.try_to_timestamp(F.nullif(strip(text), F.lit("")))
 
 
 def parse_seconds(text: Column) -> Column:
@@ -46,16 +54,12 @@ def format_instant(ts: Column) -> Column:
 
 def compare_instants(left: Column, right: Column) -> Column:
     """-1, 0 or 1; text order when either side does not parse; 0 when either is missing."""
-    a, b = parse_instant(left), parse_instant(right)
-    blank = F.coalesce(left, F.lit("")).eqNullSafe("") | F.coalesce(right, F.lit("")).eqNullSafe("")
-    parsed = a.isNotNull() & b.isNotNull()
-    return (
-        F.when(blank, 0)
-        .when(parsed, F.when(a < b, -1).when(a > b, 1).otherwise(0))
-        .when(left < right, -1)
-        .when(left > right, 1)
-        .otherwise(0)
-    )
+
+    def side(a: Column, b: Column) -> Column:
+        return (a > b).cast("int") - (a < b).cast("int")  # null when either is
+
+    as_text = [F.nullif(x, F.lit("")) for x in (left, right)]
+    return F.coalesce(side(parse_instant(left), parse_instant(right)), side(*as_text), F.lit(0))
 
 
 def instant_key(text: Column) -> Column:
@@ -76,7 +80,7 @@ def clock_offset(explicit: Column, current: Column, gmt: Column) -> Column:
 
 def chart_period(granularity: Column) -> Column:
     """Struct (name, minutes); null when the granularity is unknown."""
-    key = F.upper(F.trim(granularity))
+    key = F.upper(strip(granularity))
     names = F.create_map(*[F.lit(x) for k, v in CHART_PERIODS.items() for x in (k, v[0])])
     minutes = F.create_map(*[F.lit(x) for k, v in CHART_PERIODS.items() for x in (k, v[1])])
     return F.when(
@@ -87,8 +91,8 @@ def chart_period(granularity: Column) -> Column:
 
 def ticket_stamp(text: Column) -> Column:
     """Readable UTC stamp of RFC3339 text, to the second."""
-    plain = F.split_part(F.replace(F.regexp_replace(F.trim(text), "Z$", ""), F.lit("T"), F.lit(" ")), F.lit("+"), F.lit(1))
-    return F.when(F.trim(text) == "", "").otherwise(F.concat(F.substring(plain, 1, 19), F.lit(" UTC")))
+    plain = F.split_part(F.replace(F.regexp_replace(strip(text), "Z$", ""), F.lit("T"), F.lit(" ")), F.lit("+"), F.lit(1))
+    return F.when(strip(text) == "", "").otherwise(F.concat(F.substring(plain, 1, 19), F.lit(" UTC")))
 
 
 def ticket_stamp_seconds(seconds: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.numbers import is_true, rounded
+from candlewick.functions.text import strip
 from candlewick.functions.times import feed_seconds
 from candlewick.operators.indicators import SMA_PERIODS
 from candlewick.operators.walk import REGIMES, WATCH_INSTABILITY, WATCH_P_HAT, change_watch
@@ -19,10 +20,7 @@ from candlewick.operators.walk import REGIMES, WATCH_INSTABILITY, WATCH_P_HAT, c
 TYPES = ("trend", "hline", "vline", "text", "arrow", "rectangle", "label")
 STYLES = ("solid", "dash", "dot", "dashdot")
 SHOW = ("ranges", "markers", "both")
-OVERLAY_BARS = 80
 OVERLAY_STRIDE = 2
-OVERLAY_LIMIT = 400
-WIDEST_STRIDE = 8
 
 FIELDS = ("name", "type", "t1", "p1", "t2", "p2", "text")
 
@@ -76,22 +74,13 @@ def polyline(points: DataFrame, keys: Sequence[str], stride: Column | int = OVER
 
 
 def overlay_lines(recent: DataFrame, keys: Sequence[str], prefix: str, stride: int = OVERLAY_STRIDE, offset: int = 0) -> DataFrame:
-    """Average and band polylines; the stride widens until a series has at most 400 segments."""
+    """Average and band polylines over every ``stride``-th row."""
     names = {f"sma_{p}": f"sma{p}" for p in SMA_PERIODS} | {
         f"bb_{b}": f"bb.{b}" for b in ("upper_2", "upper_1", "lower_1", "lower_2")
     }
     pairs = F.array(*[F.struct(F.lit(label).alias("series"), F.col(c).alias("value")) for c, label in names.items()])
     points = recent.select(*keys, "idx", "ts", F.explode(pairs).alias("s")).select(*keys, "idx", "ts", "s.*")
-    strides = [stride] + [s for s in range(stride + 2, WIDEST_STRIDE + 2, 2)]
-    valued = points.groupBy(*keys, "series").agg(F.count("value").alias("n"))
-    sizes = valued.groupBy(*keys).agg(
-        *[F.sum(F.greatest(F.ceil((F.col("n") - 1) / s), F.lit(0))).alias(f"_s{s}") for s in strides]
-    )
-    pick = F.lit(strides[-1])
-    for s in reversed(strides[:-1]):
-        pick = F.when(F.col(f"_s{s}") <= OVERLAY_LIMIT, s).otherwise(pick)
-    chosen = sizes.select(*keys, pick.alias("_stride"))
-    lines = polyline(points.join(chosen, list(keys)), [*keys, "series"], F.col("_stride"), offset)
+    lines = polyline(points, [*keys, "series"], stride, offset)
     return lines.select(
         *keys, _named(prefix, F.col("series"), ".", F.col("segment")).alias("name"), F.lit("trend").alias("type"),
         "t1", "p1", "t2", "p2", F.lit(None).cast("string").alias("text"),
@@ -262,7 +251,7 @@ def ticket_annotations(tickets: DataFrame, keys: Sequence[str], stamp: Column, p
     usable = tickets.filter(ticket_problem().isNull()).withColumn("_stamp", F.coalesce(stamp, F.lit("")))
     t = feed_seconds(F.col("at_ts"), offset)
     timed = F.col("at_ts").isNotNull()
-    side = F.coalesce(F.nullif(F.lower(F.trim("side")), F.lit("")), F.lit("none"))
+    side = F.coalesce(F.nullif(F.lower(strip(F.col("side"))), F.lit("")), F.lit("none"))
     text = lambda c: F.col(c).cast("string")
     label = F.concat(
         F.lit("ticket "), side, F.lit(" entry="), text("entry"), F.lit(" stop="), text("stop"), F.lit(" target="), text("target"),
@@ -281,14 +270,14 @@ def ticket_annotations(tickets: DataFrame, keys: Sequence[str], stamp: Column, p
 
 def annotation_problem(style: Column | None = None, x: Column | None = None, y: Column | None = None) -> Column:
     """Why an annotation row is invalid; null when it is fine."""
-    kind = F.lower(F.trim(F.coalesce("type", F.lit(""))))
+    kind = F.lower(strip(F.coalesce("type", F.lit(""))))
     needs_point = kind.isin("trend", "rectangle", "text", "arrow")
     rules = [
         (~kind.isin(*TYPES), F.concat(F.lit("Unsupported object type '"), F.coalesce("type", F.lit("None")), F.lit("'"))),
-        (F.trim(F.coalesce("name", F.lit(""))) == "", F.lit("object is missing 'name'")),
+        (strip(F.coalesce("name", F.lit(""))) == "", F.lit("object is missing 'name'")),
     ]
     if style is not None:
-        look = F.lower(F.trim(F.coalesce(F.nullif(style, F.lit("")), F.lit("solid"))))
+        look = F.lower(strip(F.coalesce(F.nullif(style, F.lit("")), F.lit("solid"))))
         rules.append((~look.isin(*STYLES), F.concat(F.lit("Unsupported style '"), look, F.lit("'"))))
     rules += [
         (needs_point & (F.col("t1").isNull() | F.col("p1").isNull()), F.concat(kind, F.lit(" requires t1 and p1"))),

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.numbers import is_true
+from candlewick.functions.text import strip
 from candlewick.functions.tickets import Goal
 from candlewick.sources.tables import evolve
 
@@ -19,7 +20,6 @@ NOTE_QUEUED = "queued by orchestrator"
 NOTE_WALK_FILL = "walk fill at decision-bar close; no broker"
 NOTE_NO_PRICE = "stub: no entry or last_close"
 NOTE_STUB_FILL = "stub: zero slippage; no broker"
-MAX_LISTED = 500
 
 WRITE_ORDER = ("batch", "line", "run_id")
 EXIT_COLUMNS = {"exit_status": "string", "exit_price": "double", "exit_ts": "timestamp", "r_realized": "double"}
@@ -93,25 +93,34 @@ def get_run(runs: DataFrame, wanted: str) -> DataFrame:
 
 
 def list_runs(runs: DataFrame, limit: int = 50, instrument: str | None = None, action: str | None = None) -> DataFrame:
-    """Newest writes first; the limit is clamped to 1..500."""
+    """The ``limit`` newest writes, newest first."""
+    if limit < 1:
+        raise ValueError("limit must be >= 1")
     kept = runs
     if instrument:
         kept = kept.filter(F.col("instrument") == instrument)
     if action:
         kept = kept.filter(F.col("action") == action)
-    return kept.orderBy(*[F.col(c).desc() for c in WRITE_ORDER]).limit(max(1, min(limit, MAX_LISTED)))
+    return kept.orderBy(*[F.col(c).desc() for c in WRITE_ORDER]).limit(limit)
 
 
-def list_pending(runs: DataFrame, fills: DataFrame) -> DataFrame:
-    """Runs with a pending fill, in the order the fills were written."""
+def pending_runs(runs: DataFrame, fills: DataFrame) -> DataFrame:
+    """Runs with a pending fill and where that fill was written."""
     waiting = fills.filter(F.col("status") == "pending").select(
         "run_id", F.col("batch").alias("fill_batch"), F.col("line").alias("fill_line")
     )
-    return runs.join(waiting, "run_id").orderBy("fill_batch", "fill_line", "run_id")
+    return runs.join(waiting, "run_id")
+
+
+def list_pending(runs: DataFrame, fills: DataFrame) -> DataFrame:
+    """Runs with a pending fill, in the order the fills were written."""
+    return pending_runs(runs, fills).orderBy("fill_batch", "fill_line", "run_id")
 
 
 def record_fills(fills: DataFrame, updates: DataFrame) -> DataFrame:
-    """Each update overwrites its run's pending fill, or is added when none is pending."""
+    """Each run's last update overwrites its pending fill, or is added when none is pending."""
+    newest = F.max_by(F.struct(*updates.columns), F.struct("batch", "line", F.xxhash64(*updates.columns)))
+    updates = updates.groupBy("run_id").agg(newest.alias("_u")).select("_u.*")
     changed = [c for c in fills.columns if c not in ("run_id", "batch", "line")]
     incoming = updates.select("run_id", *[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_found"))
     hit = is_true(F.col("_found")) & (F.col("status") == "pending")
@@ -144,7 +153,7 @@ def latest_fills(fills: DataFrame) -> DataFrame:
 
 def resolve_pending(runs: DataFrame, fills: DataFrame, now: Column | None = None) -> DataFrame:
     """Fill updates for every pending run: at the entry, else the last close, else rejected."""
-    waiting = records(list_pending(runs, fills))
+    waiting = records(pending_runs(runs, fills))
     price = F.coalesce("proposal.entry", "regime.last_close")
     return waiting.select(
         "run_id",
@@ -200,7 +209,7 @@ def stored_tickets(runs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataF
 
     ``wanted``: run_id and optional overrides instrument, granularity, side, at_ts.
     """
-    blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    blank = lambda c: F.nullif(strip(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
     asked = wanted.select(
         "run_id",
         blank("instrument").alias("_instrument"),

@@ -21,8 +21,6 @@ TOUCH_ATR_SHARE = 0.15
 FALLBACK_TOLERANCE = 1e-4
 BREAK_SHARE = 0.001
 MAX_LINES = 5
-KEPT_SWINGS = 20
-MAX_WINDOW = 5000
 
 
 def _with_swings(bars: DataFrame, keys: Sequence[str], left: int, right: int, before: int) -> DataFrame:
@@ -59,9 +57,9 @@ def line_at(i0: Column, p0: Column, i1: Column, p1: Column, i: Column) -> Column
 
 
 def analysis_windows(
-    bars: DataFrame, keys: Sequence[str], left: int = SWING_SIDE, right: int = SWING_SIDE, max_bars: int = MAX_WINDOW
+    bars: DataFrame, keys: Sequence[str], left: int = SWING_SIDE, right: int = SWING_SIDE
 ) -> DataFrame:
-    """One row per analysis window: its ordered pivots, last bar and touch tolerance."""
+    """One row per analysis window of any length: its ordered pivots, last bar and touch tolerance."""
     marked = _with_swings(bars, keys, left, right, before=14)
     pivots = F.array_compact(F.array(_pivot("high", "high", "is_high", ["idx", "ts"]), _pivot("low", "low", "is_low", ["idx", "ts"])))
     grouped = marked.withColumn("_p", F.when(F.col("is_high") | F.col("is_low"), pivots)).groupBy(*keys).agg(
@@ -72,13 +70,9 @@ def analysis_windows(
         F.max_by("atr", "idx").alias("atr"),
         F.array_sort(F.flatten(F.collect_list("_p"))).alias("pivots"),
     )
-    bounded = F.when(F.col("bar_count") <= max_bars, F.col("bar_count")).otherwise(
-        F.raise_error(F.lit(f"analysis window longer than {max_bars} bars; cut the series into tiles"))
-    )
     share = F.col("atr") * TOUCH_ATR_SHARE
     return grouped.withColumns(
         {
-            "bar_count": bounded,
             "tolerance": F.when(share > 0, share).otherwise(F.abs("last_close") * FALLBACK_TOLERANCE),
             "highs": F.filter("pivots", lambda p: p["kind"] == "high"),
             "lows": F.filter("pivots", lambda p: p["kind"] == "low"),
@@ -196,15 +190,15 @@ def formation(windows: DataFrame, keys: Sequence[str], break_share: float = BREA
 
 
 def analyze_windows(
-    bars: DataFrame, keys: Sequence[str], left: int = SWING_SIDE, right: int = SWING_SIDE, max_lines: int = MAX_LINES
+    bars: DataFrame, keys: Sequence[str], left: int = SWING_SIDE, right: int = SWING_SIDE, max_lines: int = MAX_LINES, last_swings: int | None = None
 ) -> DataFrame:
-    """One row per window: swing count, last 20 swings, trendlines and formation."""
+    """One row per window: swing count, its swings (the ``last_swings`` where given), trendlines and formation."""
     windows = analysis_windows(bars, keys, left, right).persist()
     stages = formation(windows, keys)
     extras = windows.select(
         *keys,
         F.size("pivots").alias("swing_count"),
-        F.slice("pivots", F.greatest(F.size("pivots") - KEPT_SWINGS + 1, F.lit(1)), KEPT_SWINGS).alias("swings"),
+        (F.col("pivots") if last_swings is None else F.slice("pivots", F.greatest(F.size("pivots") - last_swings + 1, F.lit(1)), last_swings)).alias("swings"),
         trendline_array(max_lines).alias("trendlines"),
     )
     return stages.join(extras, list(keys))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from candlewick.functions.text import EXCERPT_CHARS, preview
 
-# Queries travel to every task as one matrix; more than this goes in several passes.
-QUERY_BYTES = 32 * 1024 * 1024
+# Rows of one tile of the distance matrix: queries by vectors.
+TILE = (256, 4096)
 # Distances are compared at this precision, so copies tie and ids decide.
 DISTANCE_DIGITS = 12
 
@@ -22,8 +20,8 @@ DISTANCE_DIGITS = 12
 NO_EXCERPTS = "(no excerpts)"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(-1, dim)
 
 
@@ -32,76 +30,78 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms != 0)
 
 
-def _pass(vectors: DataFrame, queries: list, id_col: str, group_col: str | None, k: int) -> DataFrame:
-    """Best ``k`` per query of every partition, for one bounded slice of queries."""
-    keys = np.array([q["query_id"] for q in queries], dtype=object)
-    units = _unit(np.array([q["embedding"] for q in queries], dtype=np.float64))
-    wanted = np.array([q[group_col] for q in queries], dtype=object) if group_col else None
-    dim = units.shape[1]
-
-    def best(found: pd.DataFrame) -> pd.DataFrame:
-        return found.sort_values(["q", "distance", id_col]).groupby("q").head(k)
-
-    def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = batch.select([id_col]).to_pandas()
-            distance = np.round(1.0 - _unit(_matrix(batch.column("embedding"), dim)) @ units.T, DISTANCE_DIGITS)
-            if wanted is not None:
-                labels = batch.column(group_col).to_pandas().to_numpy(dtype=object)
-                distance = np.where(labels[:, None] == wanted[None, :], distance, np.inf)
-            limit = np.partition(distance, min(k, len(table)) - 1, axis=0)[min(k, len(table)) - 1]
-            row, q = np.nonzero((distance <= limit) & np.isfinite(distance))
-            found = pd.DataFrame({"q": q, id_col: table[id_col].to_numpy()[row], "distance": distance[row, q]})
-            kept = best(found if kept is None else pd.concat([kept, found], ignore_index=True))
-        if kept is not None:
-            kept.insert(0, "query_id", keys[kept["q"].to_numpy(dtype=int)])
-            yield kept.drop(columns="q")
-
-    def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in best_of_partition(batches):
-            yield pa.RecordBatch.from_pandas(found, schema=arrow_schema, preserve_index=False)
-
-    schema = StructType(
-        [
-            StructField("query_id", LongType() if isinstance(keys[0], int) else StringType()),
-            StructField(id_col, vectors.schema[id_col].dataType),
-            StructField("distance", DoubleType()),
-        ]
-    )
-    arrow_schema = to_arrow_schema(schema)
-    columns = [id_col, "embedding", *([group_col] if group_col else [])]
-    usable = vectors.select(*columns).filter(F.size("embedding") == dim)
-    return usable.mapInArrow(arrow_batches, schema)
+def _best_of_blocks(queries: pa.Table, vectors: pa.Table, id_col: str, k: int) -> pa.Table:
+    """The ``k`` nearest vectors of one vector block for every query of one query block."""
+    dim = len(queries.column("embedding")[0])
+    units = _unit(_matrix(queries.column("embedding"), dim))
+    ids = vectors.column(id_col).to_numpy()
+    stored = _unit(_matrix(vectors.column("embedding"), dim))
+    kept = pd.DataFrame({"q": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), id_col: ids[:0], "distance": np.zeros(0)})
+    for first in range(0, len(stored), TILE[1]):
+        tile = stored[first : first + TILE[1]]
+        for low in range(0, len(units), TILE[0]):
+            distance = np.round(1.0 - units[low : low + TILE[0]] @ tile.T, DISTANCE_DIGITS)
+            last = min(k, distance.shape[1]) - 1
+            limit = np.partition(distance, last, axis=1)[:, last]
+            q, v = np.nonzero(distance <= limit[:, None])
+            found = pd.DataFrame({"q": q + low, "v": v + first, id_col: ids[v + first], "distance": distance[q, v]})
+            kept = pd.concat([kept, found], ignore_index=True) if len(kept) else found
+        kept = kept.sort_values(["q", "distance", id_col]).groupby("q").head(k)
+    return pa.table({
+        "query_id": queries.column("query_id").take(pa.array(kept["q"].to_numpy())),
+        id_col: vectors.column(id_col).take(pa.array(kept["v"].to_numpy())),
+        "distance": pa.array(kept["distance"].to_numpy()),
+    })
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
+def dimension_rejects(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors that no query can be compared with, and why."""
+    asked = queries.select(F.size("embedding").alias("_dim")).distinct()
+    sized = vectors.withColumn("_dim", F.coalesce(F.size("embedding"), F.lit(0)))
+    odd = sized.join(asked, "_dim", "left_anti")
+    return odd.withColumn("reason", F.when(F.col("_dim") <= 0, "no embedding").otherwise("no query has this length")).drop("_dim")
 
 
 def cosine_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "id", group_col: str | None = None
+    queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "id", group_col: str | None = None,
+    query_blocks: int = 1, vector_blocks: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query by cosine distance, ties by id.
 
     ``queries``: query_id, embedding and, with ``group_col``, the value a hit must
-    share (a source filter). Only the queries come to the driver, in slices of at
-    most ``QUERY_BYTES``; each slice is one scan of the vectors that emits k rows
-    per partition and query.
+    share (a source filter), which is joined on and not masked afterwards. Queries are
+    compared with vectors of their own length only (``dimension_rejects`` has the
+    others). Every pair of a query block and a vector block is one task that returns k
+    rows a query; its memory is that of the two blocks and one tile. Nothing is read
+    while the plan is built. ``vector_blocks`` is the session's shuffle partitions
+    unless given; raise ``query_blocks`` where all queries don't fit a task.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    shape = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    dim = shape["dim"] or 1
-    slices = max(1, -(-shape["n"] * dim * 8 // QUERY_BYTES))
-    hits = None
-    for part in range(slices):
-        chosen = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
-        rows = chosen.orderBy("query_id").collect()
-        if not rows:
-            continue
-        found = _pass(vectors, rows, id_col, group_col, k)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        raise ValueError("no queries")
+    blocks = vector_blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = ["_dim", *([group_col] if group_col else [])]
+    keys = [*shared, "_qb", "_vb"]
+    asked = queries.filter(F.size("embedding") > 0).select(
+        "query_id", "embedding", *([group_col] if group_col else []), F.size("embedding").alias("_dim"),
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_qb"), F.explode(_numbers(blocks)).alias("_vb"),
+    )
+    stored = vectors.filter(F.size("embedding") > 0).select(
+        id_col, "embedding", *([group_col] if group_col else []), F.size("embedding").alias("_dim"),
+        F.explode(_numbers(query_blocks)).alias("_qb"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_vb"),
+    )
+    schema = StructType([queries.schema["query_id"], vectors.schema[id_col], StructField("distance", DoubleType())])
+    empty = pa.Table.from_batches([], to_arrow_schema(schema))
+
+    def pair(asked_rows: pa.Table, stored_rows: pa.Table) -> pa.Table:
+        if not asked_rows.num_rows or not stored_rows.num_rows:
+            return empty
+        return _best_of_blocks(asked_rows, stored_rows, id_col, k)
+
+    hits = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(pair, schema)
     nearest = Window.partitionBy("query_id").orderBy("distance", id_col)
     return hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 

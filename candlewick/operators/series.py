@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FANOUT = 4096
 BLOCK = 2048
+#: The bucket of rows without a time, before all others.
+UNTIMED = -(1 << 40)
 
 
 def running_offsets(
@@ -56,12 +58,13 @@ def index_rows(
 ) -> DataFrame:
     """Number the rows of each series from 0 in time order.
 
-    Rows must be unique per (keys, ts, ties). ``df`` is read twice (counts, then
-    ranks), so pass a stored table or a persisted frame. Choose ``bucket_seconds``
+    Rows must be unique per (keys, ts, ties); rows without a time come first, and none
+    is lost. ``df`` is read twice (counts, then ranks), so pass a stored table or a
+    persisted frame. Choose ``bucket_seconds``
     so that one bucket holds a few thousand rows.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", F.floor(F.unix_seconds(ts) / bucket_seconds))
+    bucketed = df.withColumn("_bucket", F.coalesce(F.floor(F.unix_seconds(ts) / bucket_seconds), F.lit(UNTIMED)))
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     offsets = running_offsets(totals, keys, "_bucket", ["_n"]).select(*keys, "_bucket", "_n_before")
     rank = Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties)
@@ -97,6 +100,12 @@ def first_index(df: DataFrame, keys: Sequence[str], at: Column, ts: str = "ts",
     return df.filter(F.unix_seconds(ts) >= F.unix_seconds(at)).groupBy(*keys).agg(F.min(idx).alias("start_idx"))
 
 
-def tiles(df: DataFrame, size: int, idx: str = "idx") -> DataFrame:
-    """Consecutive windows of ``size`` rows; ``tile`` joins the series key and ``idx`` restarts at 0."""
-    return df.withColumn("tile", F.floor(F.col(idx) / size)).withColumn(idx, F.col(idx) % size)
+def tiles(df: DataFrame, size: int, idx: str = "idx", stride: int | None = None) -> DataFrame:
+    """Windows of ``size`` rows that begin every ``stride`` rows (every ``size`` unless given).
+
+    ``tile`` joins the series key and ``idx`` restarts at 0 in each. With a smaller
+    stride windows overlap, so that what spans the seam of two lies inside another.
+    """
+    step = stride or size
+    first = F.greatest(F.lit(0), F.floor((F.col(idx) - size) / step) + 1)
+    return df.withColumn("tile", F.explode(F.sequence(first, F.floor(F.col(idx) / step)))).withColumn(idx, F.col(idx) - F.col("tile") * step)

@@ -42,9 +42,9 @@ def label_steps(
 ) -> DataFrame:
     """Label every ``step``-th right-edge bar from exactly its last ``lookback`` bars.
 
-    ``start`` optionally holds (keys, start_idx), the first bar to label; it must
-    leave ``lookback - 1`` bars before it, or the series yields a failed
-    assertion. All snapshot columns stay on the result.
+    ``start`` optionally holds (keys, start_idx), the first bar to label. A series
+    whose start does not leave ``lookback - 1`` bars before it has no labels;
+    ``start_rejects`` names it. All snapshot columns stay on the result.
     """
     if step < 1:
         raise ValueError("step must be >= 1")
@@ -52,13 +52,8 @@ def label_steps(
     if start is None:
         labelled = labelled.withColumn("start_idx", F.lit(lookback - 1).cast("bigint"))
     else:
-        checked = start.withColumn(
-            "start_idx",
-            F.when(F.col("start_idx") >= lookback - 1, F.col("start_idx")).otherwise(
-                F.raise_error(F.concat(F.lit("start needs warm-up bars before it: start_idx="), F.col("start_idx").cast("string")))
-            ),
-        )
-        labelled = labelled.join(checked.select(*keys, "start_idx"), list(keys))
+        ready = start.filter(F.col("start_idx") >= lookback - 1)
+        labelled = labelled.join(ready.select(*keys, "start_idx"), list(keys))
     offset = F.col("idx") - F.col("start_idx")
     return (
         labelled.filter((offset >= 0) & (offset % step == 0))

@@ -6,10 +6,11 @@ from pyspark.sql import Window, functions as F
 
 from candlewick.operators import indicators as ind, patterns, regime, walk
 from candlewick.operators.series import block_window, first_index, halo_blocks, tiles
-from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, out, outer, sql
+from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, hourly_ticks, out, outer, sql
 from candlewick.plans.registry import query
+from candlewick.plans.walkforward import walk_forward
 
-TILE = 150
+TILE, STRIDE = 150, 50
 
 
 def _r(*columns: str, digits: int = 6) -> str:
@@ -162,6 +163,30 @@ def supplier_walk_labels(spark, sf):
     return out(labels, "instrument", "idx", "ts", "regime", "direction", "trend_waning", "confidence")
 
 
+@query("w10_walk_forward_dirty", sql("""
+    SELECT 'step' AS part, instrument, epoch(ts)::BIGINT AS ts, regime, direction, NULL::VARCHAR AS reason FROM hlab WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00'
+    UNION ALL SELECT 'reject', instrument, NULL, NULL, NULL, 'missing time' FROM hb WHERE idx = 0
+    UNION ALL SELECT 'reject', 'short', NULL, NULL, NULL, 'too few warm-up bars'
+    UNION ALL SELECT 'reject', 'ended', NULL, NULL, NULL, 'no complete bar on or after the start'""", "hlab"))
+def walk_forward_dirty(spark, sf):
+    """A walk over bars with incomplete, repeated, untimed and unusable ones, a short series and one that ended."""
+    clean = hourly_ticks(spark, sf).persist()
+    frm, to = (F.lit(f"2024-01-{d} 00:00:00").cast("timestamp") for d in (20, 28))
+    arrived = clean.withColumn("arrival", F.lit(0))
+    first = F.row_number().over(Window.partitionBy("instrument").orderBy("ts"))
+    dirty = (
+        arrived.unionByName(arrived.withColumns({"arrival": F.lit(1), "close": F.col("close") + 1}))
+        .unionByName(arrived.withColumns({"arrival": F.lit(-1), "complete": F.lit(False), "close": F.lit(0.0)}))
+        .unionByName(arrived.withColumn("_r", first).filter("_r = 1").drop("_r").withColumn("ts", F.lit(None).cast("timestamp")))
+        .unionByName(arrived.filter((F.col("instrument") == "click") & (F.col("ts") >= frm)).withColumn("instrument", F.lit("short")))
+        .unionByName(arrived.filter((F.col("instrument") == "click") & (F.col("ts") < frm)).withColumn("instrument", F.lit("ended")))
+    )
+    walked = walk_forward(dirty, KEYS, frm, to, LOOKBACK, arrival=["arrival"])
+    steps = walked.steps.select(F.lit("step").alias("part"), "instrument", "ts", "regime", "direction", F.lit(None).cast("string").alias("reason"))
+    rejects = walked.rejects.select(F.lit("reject").alias("part"), "instrument", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("regime"), F.lit(None).cast("string").alias("direction"), "reason")
+    return out(steps.unionByName(rejects))
+
+
 @query("w2_runs", outer("runs", """instrument, run::BIGINT AS run, regime, direction, trend_waning, start_idx, end_idx, epoch(start_ts)::BIGINT AS start_ts,
     epoch(end_ts)::BIGINT AS end_ts, high, low, bar_count"""))
 def runs(spark, sf):
@@ -219,7 +244,7 @@ _TILED = f"""
         CASE WHEN 0.15 * arg_max(coalesce(atr, high - low), i) > 0 THEN arg_max(coalesce(atr, high - low), i) * 0.15
             ELSE abs(arg_max(close, i)) * 1e-4 END AS tolerance FROM sw GROUP BY 1, 2)"""
 _SW = f"""
-    WITH tl AS (SELECT *, idx // {TILE} AS tile, idx % {TILE} AS i FROM {{source}}),
+    WITH tl AS (SELECT *, idx - tile * {STRIDE} AS i FROM (SELECT *, unnest(range(CASE WHEN idx < {TILE} THEN 0 ELSE (idx - {TILE}) // {STRIDE} + 1 END, idx // {STRIDE} + 1)) AS tile FROM {{source}})),
     sw AS MATERIALIZED (SELECT *, c7 = 7 AND high >= h7 AS is_high, c7 = 7 AND low <= l7 AS is_low,
         avg(tr1) OVER (PARTITION BY instrument, tile ORDER BY i ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr
     FROM (SELECT *, count(*) OVER f AS c7, max(high) OVER f AS h7, min(low) OVER f AS l7,
@@ -236,8 +261,8 @@ def _tiled_sql(select: str, source: str = "hb") -> str:
 
 
 def _tiled(spark, sf):
-    """The whole table as consecutive analysis windows."""
-    return tiles(hourly(spark, sf), TILE)
+    """The whole table as overlapping analysis windows."""
+    return tiles(hourly(spark, sf), TILE, stride=STRIDE)
 
 
 @query("p1_swings", sql("""SELECT instrument, idx, kind, price FROM (
@@ -265,7 +290,7 @@ def trendlines(spark, sf):
     return out(lines, "instrument", "tile", "line_no", "kind", "i0", "i1", "price0", "price1", "slope", "price_at_last", "touches", "tolerance")
 
 
-@query("p4_p5_formations", _tiled_sql("""
+_FORMATIONS = """
     , hi7 AS (SELECT *, row_number() OVER k AS n, count(*) OVER (PARTITION BY instrument, tile) AS total, lead(idx) OVER k AS hx, lead(price) OVER k AS hp,
             lead(idx, 2) OVER k AS rx, lead(price, 2) OVER k AS rp, lag(idx) OVER k AS qx, lag(price) OVER k AS qp
         FROM pv WHERE kind = 'high' WINDOW k AS (PARTITION BY instrument, tile ORDER BY idx)),
@@ -284,7 +309,10 @@ def trendlines(spark, sf):
         FROM win w LEFT JOIN nl n USING (instrument, tile) LEFT JOIN fin f USING (instrument, tile)),
     st AS (SELECT *, CASE WHEN total IS NULL THEN 'none' WHEN lx IS NULL AND coalesce(fp > qp, false) THEN 'head' WHEN lx IS NULL THEN 'left_shoulder'
             WHEN neck IS NULL THEN 'right_shoulder_forming' WHEN over_head THEN 'invalidated' WHEN last_close < neck * (1.0 - 0.001) THEN 'confirmed_break'
-            ELSE 'neckline_tentative' END AS stage FROM al)
+            ELSE 'neckline_tentative' END AS stage FROM al)"""
+
+
+@query("p4_p5_formations", _tiled_sql(_FORMATIONS + """
     SELECT instrument, tile, stage, last_close, coalesce(lx, CASE WHEN fp > qp THEN qx ELSE fx END) AS left_idx,
         coalesce(hx, CASE WHEN lx IS NULL AND fp > qp THEN fx END) AS head_idx, rx AS right_idx, CASE WHEN neck IS NOT NULL THEN ax END AS neck_i0, CASE WHEN neck IS NOT NULL THEN bx END AS neck_i1,
         round(neck, 6) AS neck_at_last, round(CASE WHEN h > 0 THEN h END, 6) AS height,
@@ -301,11 +329,9 @@ def formations(spark, sf):
 
 
 @query("p6_window_analyses", _tiled_sql("""
-    SELECT w.instrument, w.tile, w.bar_count, w.last_close, coalesce(n, 0) AS swing_count, least(coalesce(n, 0), 20) AS kept,
+    SELECT w.instrument, w.tile, w.bar_count, w.last_close, coalesce(n, 0) AS swing_count, coalesce(n, 0) AS kept,
         coalesce(first_kept, -1) AS first_kept
-    FROM win w LEFT JOIN (SELECT instrument, tile, max(n) AS n, min(idx) FILTER (WHERE r <= 20) AS first_kept FROM (
-        SELECT *, count(*) OVER (PARTITION BY instrument, tile) AS n,
-            row_number() OVER (PARTITION BY instrument, tile ORDER BY idx DESC, kind DESC) AS r FROM pv) GROUP BY 1, 2) USING (instrument, tile)"""))
+    FROM win w LEFT JOIN (SELECT instrument, tile, count(*) AS n, min(idx) AS first_kept FROM pv GROUP BY 1, 2) USING (instrument, tile)"""))
 def window_analyses(spark, sf):
     found = patterns.analyze_windows(_tiled(spark, sf), TILES)
     return out(

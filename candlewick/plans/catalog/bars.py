@@ -179,7 +179,7 @@ def time_scalars(spark, sf):
             times.ticket_stamp(text).alias("stamp"),
             times.ticket_stamp_seconds(times.parse_seconds(text)).alias("short_stamp"),
             times.parse_instant(F.concat(F.lit("x"), text)).isNull().alias("no_junk"),
-            text.rlike(times.RFC3339_PATTERN).alias("well_formed"),
+            times.well_formed(text).alias("well_formed"),
         )
     )
 

@@ -9,17 +9,23 @@ from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, hourly, hourly_label
 from candlewick.plans.catalog.trades import PAPER
 from candlewick.plans.registry import query
 from candlewick.session import fresh_path
-from candlewick.streaming.bars import drop_repeats, stream_bars
+from candlewick.streaming.bars import drop_repeats, month_bars, stream_bars
 from candlewick.streaming.labels import stream_labels
 from candlewick.streaming.runs import drain
 from candlewick.streaming.trades import stream_fills, stream_trades
 
 
-def _as_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A file stream over a stored copy of ``df``."""
+def _as_stream(spark: SparkSession, df: DataFrame, name: str, batches: int = 1) -> DataFrame:
+    """A file stream over a stored copy of ``df``, in so many files of ascending time, each a micro-batch."""
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    if batches == 1:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    low, high = df.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    place = F.floor((F.unix_seconds("ts") - low) * batches / (high - low + 1))
+    for i in range(batches):  # one file after the other: a file stream takes the oldest first
+        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("x1_stream_bars", sql("""SELECT instrument, epoch(ts)::BIGINT AS ts, open, high, low, close, volume FROM hb
@@ -31,6 +37,33 @@ def stream_bars_query(spark, sf):
     return out(drain(spark, bars, "x1"), "instrument", "ts", "open", "high", "low", "close", "volume")
 
 
+@query("x1_stream_weekly", """
+    SELECT instrument, epoch(week)::BIGINT AS ts, open, high, low, close, volume FROM (
+        SELECT event_type AS instrument, date_trunc('week', ts)::TIMESTAMP AS week, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high,
+            round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS volume FROM events GROUP BY 1, 2)
+    WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_weekly(spark, sf):
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    bars = stream_bars(events, F.col("event_type"), "W", F.col("ts").cast("timestamp"), F.col("value"), F.col("event_id"))
+    return out(drain(spark, bars, "x1-weeks"), "instrument", "ts", "open", "high", "low", "close", "volume")
+
+
+@query("x1_stream_monthly", """
+    WITH p AS (SELECT 'SUP_' || l_suppkey AS instrument, l_shipdate AS ts, l_orderkey * 8 + l_linenumber AS tie, l_extendedprice / l_quantity AS price FROM lineitem)
+    SELECT instrument, epoch(month)::BIGINT AS ts, open, high, low, close, volume FROM (
+        SELECT instrument, date_trunc('month', ts)::TIMESTAMP AS month, round(arg_min(price, (ts, tie)), 8) AS open, round(max(price), 8) AS high,
+            round(min(price), 8) AS low, round(arg_max(price, (ts, tie)), 8) AS close, count(*) AS volume FROM p GROUP BY 1, 2)
+    WHERE month + INTERVAL 1 MONTH <= (SELECT max(ts) FROM p)""")
+def stream_monthly(spark, sf):
+    schema = table(spark, sf, "lineitem").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    name = F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string"))
+    tie = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    days = stream_bars(lines, name, "D", F.col("l_shipdate").cast("timestamp"), F.col("l_extendedprice") / F.col("l_quantity"), tie)
+    return out(month_bars(drain(spark, days, "x1-days")), "instrument", "ts", "open", "high", "low", "close", "volume", digits=8)
+
+
 @query("x2_stream_without_repeats", outer("hb", "instrument, epoch(ts)::BIGINT AS ts"))
 def stream_without_repeats(spark, sf):
     bars = hourly_ticks(spark, sf).select("instrument", "ts", "close")
@@ -41,7 +74,7 @@ def stream_without_repeats(spark, sf):
 @query("x3_stream_labels", outer("hlab", "instrument, idx, regime, direction, trend_waning, trend_n::BIGINT AS trend_x_count, range_n::BIGINT AS range_x_count, confidence, adx"))
 def stream_labels_query(spark, sf):
     bars = hourly(spark, sf).select(*KEYS, "ts", "open", "high", "low", "close")
-    labels = stream_labels(_as_stream(spark, bars, "x3-in"), KEYS, LOOKBACK)
+    labels = stream_labels(_as_stream(spark, bars, "x3-in", batches=6), KEYS, LOOKBACK)
     return out(drain(spark, labels, "x3"), "instrument", "idx", "regime", "direction", "trend_waning", "trend_x_count", "range_x_count", "confidence", "adx")
 
 

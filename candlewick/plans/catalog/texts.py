@@ -8,7 +8,7 @@ from candlewick.functions import text as tx
 from candlewick.operators import corpus, proposals, retrieval
 from candlewick.operators.patterns import analysis_windows, formation
 from candlewick.operators.series import tiles
-from candlewick.plans.catalog.analytics import TILE, TILES
+from candlewick.plans.catalog.analytics import STRIDE, TILE, TILES, _FORMATIONS, _tiled_sql
 from candlewick.plans.catalog.inputs import hourly, hourly_labels, out, outer, table
 from candlewick.plans.registry import query
 from candlewick.session import fresh_path
@@ -95,16 +95,29 @@ def _chunks(spark, sf):
 
 
 @query("s11_upserted_chunks", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED.replace('ch AS', 'ch0 AS')},
-    old AS (SELECT src || '::' || chunk_index AS id, 1 AS v FROM ch0), nw AS (SELECT src || '::0' AS id, 2 AS v FROM docs WHERE len(t) > 0)
-    SELECT id, v::BIGINT AS version FROM nw UNION ALL SELECT id, v FROM old WHERE id NOT IN (SELECT id FROM nw)""")
+    old AS (SELECT src || '::' || chunk_index AS id, 1 AS v, md5(text) AS digest FROM ch0), nw AS (SELECT id, 2 AS v, md5('again' || chr(10) || text) AS digest FROM (
+        SELECT src || '::' || chunk_index AS id, chunk_index, text, count(*) OVER (PARTITION BY src) AS n FROM ch0) WHERE chunk_index < (n + 1) // 2)
+    SELECT id, v::BIGINT AS version, digest FROM nw UNION ALL SELECT id, v, digest FROM old WHERE id NOT IN (SELECT id FROM nw)""")
 def upserted_chunks(spark, sf):
-    """Re-ingest of every document cut to its first words: tail chunks of the first ingest stay."""
+    """A second ingest with new texts and half of every document's chunks: tail chunks of the first stay."""
     root = fresh_path(spark, "chunks")
-    first = _chunks(spark, sf).select("id", F.lit(1).alias("version"))
-    short = _documents(spark, sf).withColumn("text", F.concat_ws(" ", F.slice(tx.words(F.col("text")), 1, 20)))
-    second = corpus.ingest_documents(short)[0].select("id", F.lit(2).alias("version"))
-    tables.upsert_version(spark, first, root, 1)
-    return out(spark.read.parquet(tables.upsert_version(spark, second, root, 2)))
+    first = _chunks(spark, sf).select("id", "source", "chunk_index", "text")
+    sizes = first.groupBy("source").agg(F.count("*").alias("n"))
+    half = first.join(sizes, "source").filter(F.col("chunk_index") < F.floor((F.col("n") + 1) / 2))
+    second = half.select("id", "source", "chunk_index", tx.prefixed(F.col("text"), F.lit("again")).alias("text"))
+    tables.upsert_version(first, root, 1)
+    tables.upsert_version(second, root, 2)
+    latest = tables.latest_rows(spark, root)
+    return out(latest.select("id", F.col(tables.VERSION).alias("version"), F.md5("text").alias("digest")))
+
+
+@query("s11_repeated_ids", "SELECT source AS id, max(doc_id)::BIGINT AS doc_id, count(*)::BIGINT AS rows FROM documents GROUP BY source")
+def repeated_ids(spark, sf):
+    """Documents under their source's name: the last of each replaces what was stored."""
+    batch = table(spark, sf, "documents").select(F.col("source").alias("id"), "doc_id", "text")
+    stored = tables.upsert(batch.limit(0), batch, order=["doc_id"])
+    counts = batch.groupBy("id").agg(F.count("*").alias("rows"))
+    return out(stored.join(counts, "id"), "id", "doc_id", "rows")
 
 
 @query("s8_assembled_documents", """SELECT 'conv/' || conv_id AS source, md5(string_agg(txt, chr(10) || chr(10) ORDER BY pos)) AS digest FROM (
@@ -288,6 +301,20 @@ def filtered_top_k(spark, sf):
     return out(hits, "query_id", "vec_id", "rank", "distance", digits=8)
 
 
+@query("v2_source_filtered_chunks", f"""WITH {_TOPK.format(where='true').replace('FROM q, embeddings', "FROM q, (SELECT e.*, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) embeddings").replace('SELECT query_id, vec_id, label::BIGINT AS label,', 'SELECT query_id, vec_id, source,').replace('WHERE true', "WHERE source = 'src' || query_id")}
+    SELECT query_id, vec_id, source, rank, round(distance, 8) AS distance, 'text' AS chunk_type, vec_id % 100 + 1 AS page, 'doc ' || vec_id AS title FROM hits WHERE rank <= 4""")
+def source_filtered_chunks(spark, sf):
+    """Each question asks one source only; the hit carries the chunk's whole record."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    chunks = _vectors(spark, sf).drop("label").join(docs, "vec_id")
+    asked = _questions(spark, sf).select("query_id", "embedding", F.concat(F.lit("src"), F.col("query_id").cast("string")).alias("source"))
+    record = docs.select(
+        "vec_id", "source", F.lit("text").alias("chunk_type"), (F.col("vec_id") % 100 + 1).alias("page"), F.concat(F.lit("doc "), F.col("vec_id").cast("string")).alias("title")
+    )
+    hits = retrieval.with_chunks(retrieval.cosine_top_k(asked, chunks, 4, "vec_id", "source"), record, "vec_id")
+    return out(hits, "query_id", "vec_id", "source", "rank", "distance", "chunk_type", "page", "title", digits=8)
+
+
 def _hits(spark, sf, k: int = 6):
     """Hits joined to the document whose number is the vector's."""
     docs = table(spark, sf, "documents").select(
@@ -355,9 +382,12 @@ def regime_queries(spark, sf):
     return out(hourly_labels(spark, sf).select("instrument", "idx", question.alias("question")))
 
 
-@query("v11_v17_stage_questions")
+_STAGE_CASE = "CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.STAGE_QUERIES.items()) + f" ELSE '{tx.OTHER_STAGE_QUERY}' END"
+
+
+@query("v11_v17_stage_questions", _tiled_sql(_FORMATIONS + f"\n    SELECT stage, {_STAGE_CASE} AS question, count(*) AS n FROM st GROUP BY 1, 2"))
 def stage_questions(spark, sf):
-    stages = formation(analysis_windows(tiles(hourly(spark, sf), TILE), TILES), TILES)
+    stages = formation(analysis_windows(tiles(hourly(spark, sf), TILE, stride=STRIDE), TILES), TILES)
     return out(stages.groupBy("stage", tx.stage_query(F.col("stage")).alias("question")).agg(F.count("*").alias("n")))
 
 

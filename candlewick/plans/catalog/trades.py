@@ -12,7 +12,7 @@ from candlewick.operators import annotations as ann, journal, outcomes, patterns
 from candlewick.operators.indicators import indicator_blocks, last_snapshots, plot_series
 from candlewick.operators.regime import classify
 from candlewick.operators.series import tiles
-from candlewick.plans.catalog.analytics import TILE, TILES
+from candlewick.plans.catalog.analytics import STRIDE, TILE, TILES
 from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, daily, hourly, hourly_labels, out, outer, sql, table
 from candlewick.plans.registry import query
 
@@ -171,6 +171,16 @@ def filled_pending(spark, sf):
     return out(journal.record_fills(fills, journal.resolve_pending(runs, fills)), "run_id", "status", "fill_price", "note")
 
 
+@query("j4_two_updates", outer("cands", f"{_ID} AS run_id, 'filled_sim' AS status, round(entry, 6) AS fill_price, 'second' AS note"))
+def two_updates(spark, sf):
+    """Two updates of every pending run in one batch: its row stays one, and the later update holds."""
+    runs = _runs(spark, sf)
+    fills = journal.pending_fills(runs)
+    second = journal.resolve_pending(runs, fills).withColumn("note", F.lit("second"))
+    first = second.withColumns({"note": F.lit("first"), "fill_price": F.lit(0.0), "line": F.col("line") - 1})
+    return out(journal.record_fills(fills, first.unionByName(second)), "run_id", "status", "fill_price", "note")
+
+
 @query("j5_recorded_exits", outer("exits", f"{_ID} AS run_id, 'filled_sim' AS status, round(entry, 6) AS fill_price, exit_status, round(exit_price, 6) AS exit_price, r_realized, 'walk exit ' || exit_status AS note"))
 def recorded_exits(spark, sf):
     runs = _runs(spark, sf)
@@ -262,7 +272,7 @@ def polylines(spark, sf):
 
 @query("o2_formation_annotations")
 def formation_annotations(spark, sf):
-    return _ann(ann.formation_annotations(patterns.analyze_windows(tiles(hourly(spark, sf), TILE), TILES), TILES))
+    return _ann(ann.formation_annotations(patterns.analyze_windows(tiles(hourly(spark, sf), TILE, stride=STRIDE), TILES), TILES))
 
 
 @query("o3_regime_annotations")

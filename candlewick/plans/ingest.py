@@ -28,5 +28,5 @@ def ingest_manifest(
     pending, missing = plan_ingest(apply_defaults(entries, defaults), texts, state)
     docs = pending.join(texts, "file").withColumnRenamed("source_id", "source")
     chunks, rejects = ingest_documents(docs, embed)
-    path = upsert_version(spark, chunks, root, version)
+    path = upsert_version(chunks, root, version)
     return Ingest(path, state_rows(chunks, version), rejects, missing)

@@ -43,6 +43,13 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def stored_once(df, name: str):
+    """``df`` written to the shared folder and read again, where several branches read it."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path inside the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

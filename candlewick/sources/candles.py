@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.numbers import is_true
+from candlewick.functions.text import strip
 from candlewick.functions.times import bar_start, instant_key, parse_instant
 
 PRICE = "struct<o:string,h:string,l:string,c:string>"
@@ -99,6 +100,7 @@ def prepare_bars(
 def bar_problem() -> Column:
     """Why a bar is unusable; null when it is fine."""
     return F.coalesce(
+        F.when(F.col("ts").isNull(), F.lit("missing time")),
         *[F.when(F.col(c).isNull(), F.lit(f"missing '{c}'")) for c in ("open", "high", "low", "close")],
         F.when(F.col("high") < F.col("low"), "high < low"),
     )
@@ -152,14 +154,26 @@ def select_bars(
     return later.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= count).drop("_r")
 
 
-def walk_range(bars: DataFrame, keys: Sequence[str], frm: Column, to: Column, lookback: int) -> DataFrame:
-    """``lookback`` warm-up bars ending at ``frm`` plus the bars up to ``to``, complete and unique."""
-    warm = latest_bars(bars, keys, lookback, frm)
-    test = bars.filter(F.col("ts") > frm)
-    return keep_until(keep_complete(warm.unionByName(test)), to)
+def clean_bars(bars: DataFrame, keys: Sequence[str], to: Column | None = None, arrival: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(complete, timed, usable bars, one per time; the others with a reason).
+
+    Of bars with one time the first by ``arrival`` stays, by its prices where nothing
+    tells the order. Incomplete bars are no rejects: they come again.
+    """
+    order = [*arrival, *[c for c in ("open", "high", "low", "close") if c not in arrival]]
+    complete = keep_complete(bars)
+    good, rejects = split_valid(prepare_bars(complete.filter(F.col("ts").isNotNull()), keys, "ts", order, to))
+    return good, rejects.unionByName(split_valid(complete.filter(F.col("ts").isNull()))[1])
+
+
+def walk_range(bars: DataFrame, keys: Sequence[str], frm: Column, to: Column, lookback: int, arrival: Sequence[str] = ()) -> DataFrame:
+    """``lookback`` warm-up bars ending at ``frm`` plus the bars up to ``to``, complete and unique before they are counted."""
+    known, _ = clean_bars(bars, keys, to, arrival)
+    warm = latest_bars(known, keys, lookback, frm)
+    return warm.unionByName(known.filter(F.col("ts") > frm))
 
 
 def instrument_problem(instrument: Column) -> Column:
-    text = F.trim(instrument)
+    text = strip(instrument)
     fine = F.regexp_replace(text, "_", "").rlike(r"(?U)^[\p{Alpha}\p{N}]+$") & text.contains("_")
     return F.when(~is_true(fine), "instrument must look like GBP_USD")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from candlewick.functions.text import strip
+
 # Figure size and page heuristics.
 MIN_FIGURE_SIDE = 150
 SHORT_PAGE_CHARS = 200
@@ -18,7 +20,7 @@ def decode_bytes(content: Column) -> Column:
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files; blank files are dropped."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", decode_bytes(F.col("content")).alias("text")).filter(F.trim("text") != "")
+    return files.select("path", decode_bytes(F.col("content")).alias("text")).filter(strip(F.col("text")) != "")
 
 
 def large_images(images: DataFrame, side: int = MIN_FIGURE_SIDE) -> DataFrame:

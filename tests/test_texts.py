@@ -161,12 +161,13 @@ def test_bad_proposals(spark, answer, reason):
     assert reason in proposals.parse_proposals(rows, "a", "allowed")[1].first()["reason"]
 
 
-def test_top_k_in_several_passes_with_ties(spark, monkeypatch):
+def test_top_k_in_several_blocks_with_ties(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 6))
     rows = [(i, [float(x) for x in base[i % 40]]) for i in range(120)]
     vectors = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(q, [float(x) for x in base[q]]) for q in range(9)], "query_id bigint, embedding array<double>")
-    monkeypatch.setattr(retrieval, "QUERY_BYTES", 6 * 8 * 3)
-    got = retrieval.cosine_top_k(queries, vectors, 3).orderBy("query_id", "rank").collect()
+    vectors = vectors.union(spark.createDataFrame([(500, [1.0] * 4), (501, None)], vectors.schema))
+    got = retrieval.cosine_top_k(queries, vectors, 3, query_blocks=2, vector_blocks=3).orderBy("query_id", "rank").collect()
+    assert sorted(r["id"] for r in retrieval.dimension_rejects(queries, vectors).collect()) == [500, 501]
     assert [r["id"] for r in got] == [i for q in range(9) for i in (q, q + 40, q + 80)]
