@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,14 @@ def build_session(master: str = "local[8]", app: str = "candlewick") -> SparkSes
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that does not have it installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # read by the driver alone, which serves it
+    archive = shutil.make_archive(f"{folder}/candlewick", "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -145,3 +145,17 @@ def test_fold_and_kernel_agree(spark):
     assert last_snapshots(bars.filter("idx < 20"), KEYS)[1].first()["reason"] == "need at least 30 bars; got 20"
     bad = bars.withColumn("low", F.when(F.col("idx") == 55, 99.0).otherwise(F.col("low")))
     assert {r["reason"] for r in last_snapshots(bad, KEYS)[1].collect()} == {"high < low"}
+
+
+def test_untimed_rows_are_numbered_and_not_lost(spark):
+    rows = [("A", "D", None), ("A", "D", "2024-01-02 00:00:00"), ("A", "D", "2024-01-01 00:00:00"), ("B", "D", None)]
+    df = spark.createDataFrame(rows, "instrument string, granularity string, t string").withColumn("ts", F.to_timestamp("t"))
+    got = {(r["instrument"], r["t"]): r["idx"] for r in index_rows(df, KEYS).collect()}
+    assert got == {("A", None): 0, ("A", "2024-01-01 00:00:00"): 1, ("A", "2024-01-02 00:00:00"): 2, ("B", None): 0}
+
+
+def test_overlapping_tiles_hold_every_seam(spark):
+    df = spark.range(20).select(F.lit("A").alias("instrument"), F.col("id").alias("idx"))
+    got = series.tiles(df, 6, stride=2).groupBy("tile").agg(F.count("*").alias("n"), F.max("idx").alias("last")).collect()
+    assert sorted(r["tile"] for r in got) == list(range(10)) and all(r["n"] == 6 for r in got if r["tile"] < 8)
+    assert series.tiles(df, 6).count() == 20

@@ -171,3 +171,46 @@ def test_top_k_in_several_blocks_with_ties(spark):
     got = retrieval.cosine_top_k(queries, vectors, 3, query_blocks=2, vector_blocks=3).orderBy("query_id", "rank").collect()
     assert sorted(r["id"] for r in retrieval.dimension_rejects(queries, vectors).collect()) == [500, 501]
     assert [r["id"] for r in got] == [i for q in range(9) for i in (q, q + 40, q + 80)]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<a title="a>b">x</a>', "x"), ("<a title='1>0'>y</a>", "y"), ('<b x="never closed>z</b>', "z"), ("&copy y &notit;", "© y ¬it;"), ("&#150;&#x80;", "–€"),
+        ("&#0;&#55555555;", "��"), ("a<script>var x = '<b>'", "a"), ("a<style>p {}", "a"), ("a<!-- b", "a"), ("&amp;lt;", "&lt;"), ("AT&T", "AT&T"),
+    ],
+)
+def test_html_shapes(spark, html, want):
+    assert spark.createDataFrame([(html,)], "h string").select(tx.html_to_text(F.col("h"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "answer, want",
+    [
+        ('```json\n{"a": 1}\n```', '{"a": 1}'), ('```python\nq\n``` and ```json{"b": 2}```', '{"b": 2}'), ('so {"c": {"d": 3}} it is', '{"c": {"d": 3}}'),
+        ('```{"open": 1}', '{"open": 1}'), ("none", None), ("} {", None), ('<think>{"x": 1}</think>{"y": 2}', '{"y": 2}'),
+    ],
+)
+def test_json_objects(spark, answer, want):
+    assert spark.createDataFrame([(answer,)], "a string").select(tx.json_object(F.col("a"))).first()[0] == want
+
+
+def test_last_row_of_a_repeated_id(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "id string, n int, text string")
+    old = spark.createDataFrame([("b", 0, "old"), ("c", 0, "kept")], rows.schema)
+    assert {tuple(r) for r in tables.upsert(old, rows, order=["n"]).collect()} == {("a", 3, "z"), ("b", 1, "q"), ("c", 0, "kept")}
+
+
+def test_blank_files_are_dropped(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n \t\n")
+    (tmp_path / "b.txt").write_text(" x\n")
+    assert [r["text"] for r in files.read_text_files(spark, str(tmp_path)).collect()] == [" x\n"]
+
+
+def test_shapes_of_times(spark):
+    shapes = ["2024-01-15T14:00:00Z", "2024-01-15T14:00:00.5+02:00", "2024-01-15T14:00:00", "2024-01-15 14:00:00", "2024-01-15T14:00:00.", "2024-01-15T14:00:00+2:00", ""]
+    got = spark.createDataFrame([(s,) for s in shapes], "t string").select(times.well_formed(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False, False, False]
+    pairs = [("2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", 0), ("b", "a", 1), ("", "a", 0), (None, "a", 0), ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00.1Z", -1)]
+    found = spark.createDataFrame(pairs, "a string, b string, w int").select(times.compare_instants(F.col("a"), F.col("b")), "w").collect()
+    assert all(r[0] == r["w"] for r in found)
