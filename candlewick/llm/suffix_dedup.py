@@ -25,6 +25,8 @@ LIMIT = 200
 GRAM = 40
 #: Anchors a counting task gets, about.
 ANCHORS_PER_TASK = 4_000_000
+#: Distinct segments a shard holds, about; an anchor with more of them is a shard of its own.
+SHARD_BYTES = 3 << 20
 RUNS = "array<struct<begin: int, end: int>>"
 _RUN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
@@ -185,44 +187,52 @@ def removal_runs(texts: DataFrame, limit: int, gram: int, memory: int) -> DataFr
                 own = [batch.column(i).slice(start, stop - start).take(take) for i in (1, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *own, pa.array((first - offsets[row]).astype(np.int32)), pieces], names=["anchor", "__key", "__hash", "first", "piece"])
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sort the distinct segments of the task and answer every segment with its repeated runs."""
-        number: dict[bytes, int] = {}
-        pieces: list[bytes] = []
-        rows: list[tuple] = []
-        seen = np.zeros(1024, np.int64)
-        for batch in batches:
-            data, offsets = buffers(batch.column(4).cast(pa.large_binary()))
-            raw = memoryview(data)
-            found = np.empty(batch.num_rows, np.int64)
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                digest = hashlib.blake2b(raw[a:b], digest_size=16).digest()
-                k = number.get(digest)
-                if k is None:
-                    k = number[digest] = len(pieces)
-                    pieces.append(bytes(raw[a:b]))
-                found[i] = k
-            rows.append((batch.select([1, 2, 3]), found))
-            if len(pieces) > len(seen):
-                seen = np.concatenate([seen, np.zeros(max(len(seen), len(pieces)), np.int64)])
-            np.add.at(seen, found, 1)
-        if not pieces:
-            return
+    def answer(parts: list[tuple[pa.RecordBatch, np.ndarray]], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Sort the distinct segments of a shard and answer every segment with its repeated runs."""
+        seen = np.bincount(np.concatenate([found for _, found in parts]), minlength=len(pieces))
         starts = np.array([len(p) - limit + 1 for p in pieces], np.int64)
-        runs = repeated_runs(pieces, starts, seen[: len(pieces)] > 1, limit, memory)
-        del pieces, number
+        runs = repeated_runs(pieces, starts, seen > 1, limit, memory)
         sizes = np.array([len(r) for r in runs], np.int64)
         flat = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2)
         before = np.cumsum(sizes) - sizes
-        for part, found in rows:
+        for part, found in parts:
             size = sizes[found]
             chosen = flat[ranges(before[found], size)]
             base = np.repeat(part.column(2).to_numpy().astype(np.int64), size)
             take = pa.array(np.repeat(np.arange(part.num_rows), size))
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array((base + chosen[:, 0]).astype(np.int32)), pa.array((base + chosen[:, 1] + limit).astype(np.int32))], names=["__key", "__hash", "begin", "end"])
 
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by anchor; whole anchors are gathered into shards of about SHARD_BYTES of distinct segments."""
+        number: dict[bytes, int] = {}
+        pieces: list[bytes] = []
+        parts: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        held, last = 0, None
+        for batch in batches:
+            anchors = batch.column(0).to_pylist()
+            data, offsets = buffers(batch.column(4).cast(pa.large_binary()))
+            raw, bounds = memoryview(data), offsets.tolist()
+            found, start = np.empty(batch.num_rows, np.int64), 0
+            for i, anchor in enumerate(anchors):
+                if anchor != last and held > SHARD_BYTES:
+                    parts.append((batch.slice(start, i - start).select([1, 2, 3]), found[start:i]))
+                    yield from answer(parts, pieces)
+                    number, pieces, parts, held, start = {}, [], [], 0, i
+                last = anchor
+                piece = raw[bounds[i] : bounds[i + 1]]
+                digest = hashlib.blake2b(piece, digest_size=16).digest()
+                k = number.get(digest)
+                if k is None:
+                    k = number[digest] = len(pieces)
+                    pieces.append(bytes(piece))
+                    held += len(piece)
+                found[i] = k
+            parts.append((batch.slice(start).select([1, 2, 3]), found[start:]))
+        if pieces:
+            yield from answer(parts, pieces)
+
     dealt = texts.select("__text", "__key", "__hash").mapInArrow(deal, f"anchor long, __key {kind}, __hash long, first int, piece binary")
-    found = dealt.repartition("anchor").mapInArrow(shard, f"__key {kind}, __hash long, begin int, end int")
+    found = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards, f"__key {kind}, __hash long, begin int, end int")
     return found.groupBy("__key", "__hash").agg(F.collect_list(F.struct("begin", "end")).alias("__runs"))
 
 
