@@ -89,6 +89,25 @@ def chart_period(granularity: Column) -> Column:
     )
 
 
+def chart_period_problem(granularity: Column) -> Column:
+    """Why a granularity has no chart period; null when it has one."""
+    names = ", ".join(f"'{k}'" for k in sorted(CHART_PERIODS))
+    text = F.concat(F.lit("Unsupported timeframe '"), F.coalesce(granularity, F.lit("")), F.lit(f"'; expected one of [{names}]."))
+    return F.when(chart_period(granularity).isNull(), text)
+
+
+def granularity_problem(granularity: Column) -> Column:
+    """Why a request's granularity is refused; null when it is fine."""
+    known = F.upper(strip(F.coalesce(granularity, F.lit("")))).isin(*GRANULARITY_SECONDS)
+    return F.when(~known, F.concat(F.lit("unsupported granularity '"), F.coalesce(granularity, F.lit("")), F.lit("'")))
+
+
+def time_problem(text: Column) -> Column:
+    """Why a request's time is refused; null when it is fine or left blank."""
+    given = F.nullif(strip(text), F.lit(""))
+    return F.when(given.isNotNull() & ~well_formed(given), "must be RFC3339 (e.g. 2024-01-01T00:00:00Z)")
+
+
 def ticket_stamp(text: Column) -> Column:
     """Readable UTC stamp of RFC3339 text, to the second."""
     plain = F.split_part(F.replace(F.regexp_replace(strip(text), "Z$", ""), F.lit("T"), F.lit(" ")), F.lit("+"), F.lit(1))

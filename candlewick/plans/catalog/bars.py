@@ -155,6 +155,28 @@ def instrument_syntax(spark, sf):
     return out(names.groupBy(candles.instrument_problem(F.col("instrument")).alias("reason")).agg(F.count("*").alias("n")))
 
 
+@query("f10_request_rules", """
+    SELECT granularity_reason, time_reason, source_reason, period_reason, count(*) AS n FROM (SELECT
+        CASE user_id % 4 WHEN 0 THEN 'unsupported granularity ''m7''' WHEN 3 THEN 'unsupported granularity ''''' END AS granularity_reason,
+        CASE WHEN event_id % 3 = 1 THEN 'must be RFC3339 (e.g. 2024-01-01T00:00:00Z)' END AS time_reason,
+        CASE WHEN event_id % 2 = 0 THEN 'source must be alphanumeric, underscore, or hyphen' END AS source_reason,
+        CASE WHEN user_id % 4 <> 2 THEN 'Unsupported timeframe ''' || CASE user_id % 4 WHEN 0 THEN 'm7' WHEN 1 THEN ' s5' ELSE '' END
+            || '''; expected one of [''D'', ''D1'', ''H1'', ''H4'', ''M1'', ''M15'', ''M30'', ''M5'', ''MN'', ''MN1'', ''W'', ''W1''].' END AS period_reason
+        FROM events) GROUP BY ALL""")
+def request_rules(spark, sf):
+    """Requests made of the events: good and bad granularities, times and sources, and chart periods that do not exist."""
+    user, event = F.col("user_id") % 4, F.col("event_id")
+    granularity = F.when(user == 0, "m7").when(user == 1, " s5").when(user == 2, "h4 ")
+    time = times.format_instant(F.col("ts").cast("timestamp"))
+    asked = F.when(event % 3 == 0, time).when(event % 3 == 1, F.replace(time, F.lit("T"), F.lit(" "))).otherwise(" ")
+    source = F.when(event % 2 == 0, F.concat("event_type", F.lit("/x"))).otherwise(F.col("event_type"))
+    rows = table(spark, sf, "events").select(
+        times.granularity_problem(granularity).alias("granularity_reason"), times.time_problem(asked).alias("time_reason"),
+        candles.source_problem(source).alias("source_reason"), times.chart_period_problem(granularity).alias("period_reason"),
+    )
+    return out(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+
+
 @query("d1_d2_d3_times", """
     SELECT event_id, epoch_us(ts) // 1000000 AS seconds,
         strftime(ts - INTERVAL 1 MICROSECOND, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS just_before,

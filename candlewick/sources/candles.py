@@ -173,6 +173,12 @@ def walk_range(bars: DataFrame, keys: Sequence[str], frm: Column, to: Column, lo
     return warm.unionByName(known.filter(F.col("ts") > frm))
 
 
+def source_problem(source: Column) -> Column:
+    """Why a request's source name is refused; null when it is fine or left blank."""
+    given = F.nullif(strip(source), F.lit(""))
+    return F.when(given.isNotNull() & ~given.rlike(r"\A[A-Za-z0-9_\-]+\z"), "source must be alphanumeric, underscore, or hyphen")
+
+
 def instrument_problem(instrument: Column) -> Column:
     text = strip(instrument)
     fine = F.regexp_replace(text, "_", "").rlike(r"(?U)^[\p{Alpha}\p{N}]+$") & text.contains("_")
