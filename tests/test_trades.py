@@ -144,9 +144,11 @@ def test_head_and_shoulders(spark):
     assert stage(spark, shoulders()[:9])["stage"] == "left_shoulder"
 
 
-def test_long_windows_are_refused(spark):
-    with pytest.raises(Exception, match="tiles"):
-        patterns.analysis_windows(frame(spark, {"A": noise(50)}), KEYS, max_bars=40).collect()
+def test_long_windows_are_whole(spark):
+    bars = frame(spark, {"A": noise(6000)})
+    window = patterns.analysis_windows(bars, KEYS).first()
+    assert window["bar_count"] == 6000 and len(window["pivots"]) == patterns.detect_swings(bars, KEYS).count()
+
 
 
 FILL = "run_id string, status string, fill_price double, ts timestamp, note string, exit_status string, exit_price double, exit_ts timestamp, r_realized double, batch bigint, line bigint"
