@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from cases import SCHEMA, crc, prose, table
+from llm_cases import SCHEMA, crc, prose, table
 from pyspark.sql import functions as F
 
 from candlewick.llm import language_masks, toxicity

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import brute_components, prose, rows, table
+from llm_cases import brute_components, prose, rows, table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

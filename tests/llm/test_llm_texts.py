@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import SCHEMA, brute_components, lowered, prose, rows, table
+from llm_cases import SCHEMA, brute_components, lowered, prose, rows, table
 from pyspark.sql import functions as F
 
 from candlewick.llm import decontaminate, lsh_forest, paragraph_sketch, suffix_dedup
