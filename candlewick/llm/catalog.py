@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, paragraph_sketch, slack_packing, suffix_dedup, token_transducer, toxicity
-from candlewick.llm.common import documents
+from candlewick.llm.common import documents, small_batches
 
 QUERIES, ORACLES = {}, {}
 
@@ -15,6 +15,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -29,7 +30,29 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_fm_decontamination")
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = f"regexp_extract_all({_LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS_SQL = f"regexp_extract_all({_LOWER_SQL}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op1_fm_decontamination",
+    f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    bw AS MATERIALIZED (SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS k FROM (
+        SELECT item_id, w[i + 1 : i + 10] AS x FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) AS i
+            FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0))),
+    h AS MATERIALIZED (SELECT v.doc_id, v.i, v.n, b.item_id FROM (
+        SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS k FROM (
+            SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)) v
+        JOIN bw b USING (n, k)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
 def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -52,7 +75,19 @@ def op3_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.compared_versions(documents(spark, sf_dir))
 
 
-@query("op4_lsh_forest")
+@query(
+    "op4_lsh_forest",
+    f"""
+    WITH RECURSIVE s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS shingle FROM (
+        SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents) WHERE len(w) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    links AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2) p
+        JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b)
+    SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+    FROM documents JOIN reach ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+)
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_copies(documents(spark, sf_dir), words=4, percent=80)
 

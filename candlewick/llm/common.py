@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.types import StructType
 from candlewick.session import fresh_path
 
 #: Bytes of text a task turns into numpy arrays at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -30,6 +31,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: documents are rows of several kB, some of very many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at its end the worker, which outlives the task, gives freed memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def crc(column: Column) -> Column:
     """Unsigned CRC-32 of a value's text; null counts as empty."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
@@ -152,9 +173,9 @@ def membership(values: DataFrame, expected: int) -> np.ndarray:
             at = np.unique(np.concatenate(filter_places(batch.column(0).to_numpy(), bits)))
             yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int64))], names=["slice", "place"])
 
-    dealt = values.mapInArrow(places, "slice int, place long").repartition(_SLICES, "slice")
+    dealt = values.mapInArrow(trimmed(places), "slice int, place long").repartition(_SLICES, "slice")
     out = np.zeros(bits // 8, np.uint8)
-    for row in dealt.mapInArrow(fill, "slice int, bits binary").collect():
+    for row in dealt.mapInArrow(trimmed(fill), "slice int, bits binary").collect():
         first = row["slice"] * width // 8
         out[first : first + width // 8] |= np.frombuffer(row["bits"], np.uint8)
     return out

@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import buffers, extended, prefix_sums, ranges, span_hashes, stored, strings, text_slices
+from candlewick.llm.common import buffers, extended, prefix_sums, ranges, span_hashes, stored, strings, text_slices, trimmed
 from candlewick.llm.fm_index import FMIndex
 from candlewick.llm.lsh_forest import _LOWER, word_spans
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text searched in one pass over the documents; more is searched in further passes.
 BLOCK_BYTES = 8 << 20
 SPANS = "array<struct<first_word: int, end_word: int, begin: int, end: int>>"
@@ -159,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     columns = [*part.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "spans", "items"])
 
-        found = found.mapInArrow(run, schema)
+        found = found.mapInArrow(trimmed(run), schema)
         if block + 1 < blocks:
             found = stored(found, "searched")
     return found
@@ -183,4 +183,4 @@ def without_spans(found: DataFrame, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end_word"] - s["first_word"])
-    return found.filter((F.size("spans") == 0) | (covered < F.col("n_words"))).mapInArrow(run, found.schema)
+    return found.filter((F.size("spans") == 0) | (covered < F.col("n_words"))).mapInArrow(trimmed(run), found.schema)

@@ -24,7 +24,7 @@ import numpy as np
 from candlewick.llm.fm_index import suffix_array
 
 #: Bytes that the queues of a pass, or one result array, keep in memory; and entries popped at a time.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 32 << 20
 PIECE = 1 << 20
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm.common import crc, extended, hash_sample, mixed, text_slices
+from candlewick.llm.common import crc, extended, hash_sample, mixed, text_slices, trimmed
 
 SIZES = (2, 3, 4)
 CELLS = 1 << 19
@@ -190,7 +190,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, *, tex
                 chosen = names[np.where(lettered, best, len(model.names))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chosen, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(trimmed(run), extended(docs.schema, "lang_pred string, score double"))
 
 
 def held_out(key: str = "doc_id"):

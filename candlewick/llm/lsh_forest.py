@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.llm.common import buffers, may_contain, membership, mixed, prefix_sums, ranges, span_hashes, stored, text_slices
+from candlewick.llm.common import buffers, may_contain, membership, mixed, prefix_sums, ranges, span_hashes, stored, text_slices, trimmed
 from candlewick.llm.components import components
 
 TREES, DEPTH = 21, 3
@@ -115,7 +115,7 @@ def summaries(docs: DataFrame, words: int, *, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "d1", "d2", "signature"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, n_shingles long, d1 long, d2 long, signature binary")
+    return docs.select(key, F.col(text).alias("__text")).mapInArrow(trimmed(run), f"`{key}` {kind}, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -135,7 +135,7 @@ def tree_rows(classes: DataFrame) -> DataFrame:
                 region = mixed(region + turned[:, 2].astype(np.uint64) * np.uint64(TREES) + np.uint64(tree))
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0), _binary((turned & 255).astype(np.uint8))], names=["region", "id", "short"])
 
-    return classes.select("id", "signature").mapInArrow(run, "region long, id long, short binary")
+    return classes.select("id", "signature").mapInArrow(trimmed(run), "region long, id long, short binary")
 
 
 def _leader_links(ids: np.ndarray, short: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -204,7 +204,7 @@ def candidate_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             yield table(flush(*held, last=True)[0])
 
     dealt = rows.repartition("region").sortWithinPartitions("region", "short", "id")
-    return dealt.mapInArrow(region_links, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(region_links), "a long, b long").distinct()
 
 
 def _intersections(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -289,13 +289,13 @@ def exact_links(members: DataFrame, docs: DataFrame, words: int, percent: int, *
             yield done(pa.concat_tables(held))
 
     given = docs.filter(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col(key).cast("long").alias("id"))
-    sets = given.mapInArrow(sets_of, "id long, shingles binary").join(chosen, "id")
+    sets = given.mapInArrow(trimmed(sets_of), "id long, shingles binary").join(chosen, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.withColumn("own", own).withColumn("other", other)
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     dealt = pairs.select("cluster", pair.cast("long").alias("pair"), "id", "shingles").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "id")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, *, text: str = "text", key: str = "doc_id") -> DataFrame:

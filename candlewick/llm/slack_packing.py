@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from candlewick.llm.common import ranges, stored, text_slices
+from candlewick.llm.common import ranges, stored, text_slices, trimmed
 from candlewick.llm.pretokens import Seen, pretokens, vocabulary
 
 CAPACITY = 2048
 #: Pre-tokens whose ids a worker remembers.
-MAX_SEEN = 1_000_000
+MAX_SEEN = 600_000
 #: Rests of one length are numbered in this many groups, so that a length that a third of all rows share spreads.
 GROUPS = 64
 
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, tail: int
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, docs[text].alias("__text")).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(key, docs[text].alias("__text")).mapInArrow(trimmed(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def closest(lengths: list[int], counts: list[int], capacity: int) -> dict[int, int]:
@@ -199,7 +199,7 @@ def placed(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY, *, key
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*names[:-1], "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, tail: int = 1, *, text: str = "text", key: str = "doc_id") -> DataFrame:

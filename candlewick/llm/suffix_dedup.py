@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import FILTER_BITS, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices
+from candlewick.llm.common import FILTER_BITS, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices, trimmed
 from candlewick.llm.induced_sort import MEMORY_BYTES, suffix_order
 
 LIMIT = 200
@@ -26,7 +26,7 @@ GRAM = 40
 #: Anchors a counting task gets, about.
 ANCHORS_PER_TASK = 4_000_000
 #: Distinct segments a shard holds, about; an anchor with more of them is a shard of its own.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 RUNS = "array<struct<begin: int, end: int>>"
 _RUN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
@@ -136,9 +136,9 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
                 own |= np.frombuffer(blob.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["slice", "bits"])
 
-    counted = texts.select("__text").mapInArrow(gather, "part long, anchors binary").repartition("part").mapInArrow(fill, "slice int, bits binary")
+    counted = texts.select("__text").mapInArrow(trimmed(gather), "part long, anchors binary").repartition("part").mapInArrow(trimmed(fill), "slice int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in counted.repartition(slices, "slice").mapInArrow(unite, "slice int, bits binary").collect():  # the filter, of bounded size
+    for row in counted.repartition(slices, "slice").mapInArrow(trimmed(unite), "slice int, bits binary").collect():  # the filter, of bounded size
         first = row["slice"] * (bits // slices // 8)
         out[first : first + bits // slices // 8] |= np.frombuffer(row["bits"], np.uint8)
     return out
@@ -231,8 +231,8 @@ def removal_runs(texts: DataFrame, limit: int, gram: int, memory: int) -> DataFr
         if pieces:
             yield from answer(parts, pieces)
 
-    dealt = texts.select("__text", "__key", "__hash").mapInArrow(deal, f"anchor long, __key {kind}, __hash long, first int, piece binary")
-    found = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards, f"__key {kind}, __hash long, begin int, end int")
+    dealt = texts.select("__text", "__key", "__hash").mapInArrow(trimmed(deal), f"anchor long, __key {kind}, __hash long, first int, piece binary")
+    found = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(shards), f"__key {kind}, __hash long, begin int, end int")
     return found.groupBy("__key", "__hash").agg(F.collect_list(F.struct("begin", "end")).alias("__runs"))
 
 
@@ -296,4 +296,4 @@ def repeated_passages(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, *,
             added = [pa.array(sizes), pa.array(runs, pa.list_(_RUN)), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, "n_bytes", "runs", "kept_sha256", "kept_text"])
 
-    return joined.mapInArrow(cut, extended(docs.schema, f"n_bytes long, runs {RUNS}, kept_sha256 string, kept_text string"))
+    return joined.mapInArrow(trimmed(cut), extended(docs.schema, f"n_bytes long, runs {RUNS}, kept_sha256 string, kept_text string"))

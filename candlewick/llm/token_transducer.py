@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from candlewick.llm.common import extended, text_slices
+from candlewick.llm.common import extended, text_slices, trimmed
 from candlewick.llm.pretokens import Seen, pretokens, vocabulary
 
 #: States a worker keeps compiled, and pre-tokens whose count it remembers; beyond them it starts afresh.
 MAX_STATES = 300_000
-MAX_SEEN = 1_500_000
+MAX_SEEN = 1_000_000
 _SLOTS = 1 << 21
 
 
@@ -173,4 +173,4 @@ def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: t
                 yield pa.RecordBatch.from_arrays([*kept, *sizes], names=[*keep, "n_bytes", "n_tokens"])
 
     source = docs.select(*keep, docs[text].alias("__text"))
-    return source.mapInArrow(run, extended(StructType(source.schema.fields[:-1]), "n_bytes long, n_tokens long"))
+    return source.mapInArrow(trimmed(run), extended(StructType(source.schema.fields[:-1]), "n_bytes long, n_tokens long"))

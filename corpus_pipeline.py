@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlewick.llm import decontaminate, lsh_forest, slack_packing, suffix_dedup, toxicity
-from candlewick.llm.common import documents, stored
+from candlewick.llm.common import documents, small_batches, stored
 
 #: Words of a shingle and least likeness in percent of near copies.
 SHINGLE_WORDS, LIKENESS = 5, 80
@@ -35,6 +35,7 @@ def _rows(carried: DataFrame, docs: DataFrame, text: str | None = None) -> DataF
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of two thirds of them."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels.filter(~toxicity.held_out()))
     scored = toxicity.score(spark, _carried(docs), model, text="__text", column="__score")
@@ -43,6 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest number; rows without a number stay."""
+    small_batches(spark)
     found = lsh_forest.near_copies(docs.select("doc_id", "text"), SHINGLE_WORDS, LIKENESS)
     kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     carried = _carried(docs)
@@ -52,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand elsewhere too; a text of which nothing is left goes."""
+    small_batches(spark)
     found = suffix_dedup.repeated_passages(_carried(docs), text="__text", key="__id")
     emptied = (F.size("runs") > 0) & (F.coalesce(F.length("kept_text"), F.lit(0)) == 0)
     return _rows(found.filter(~emptied), docs, "kept_text")
@@ -59,6 +62,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the benchmark's windows; a text of which no word is left goes."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(_carried(docs), benchmark, text="__text")
     return _rows(decontaminate.without_spans(found, text="__text"), docs, "__text")
@@ -66,6 +70,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all texts in sequences of 2048 tokens."""
+    small_batches(spark)
     return slack_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
