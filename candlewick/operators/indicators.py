@@ -367,14 +367,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold_ema(values: Column, period: int) -> Column:
-    """Last EMA of an array, seeded by the mean of its first ``period`` values."""
-    k = 2.0 / (period + 1)
-    seed = F.aggregate(F.slice(values, 1, period), F.lit(0.0), lambda a, x: a + x) / period
-    rest = F.slice(values, period + 1, F.greatest(F.size(values) - period, F.lit(0)))
-    return F.when(F.size(values) >= period, F.aggregate(rest, seed, lambda ema, x: x * k + ema * (1.0 - k)))
-
-
 def fold_macd(values: Column) -> Column:
     """Struct (macd, macd_signal, macd_hist) of the last value of an array."""
     k_fast, k_slow, k_signal = (2.0 / (p + 1) for p in (MACD_FAST, MACD_SLOW, MACD_SIGNAL))

@@ -26,10 +26,6 @@ BANDS = ("lt20", "20_30", "gt30", "unknown")
 STEP_BLOCK = 4096
 INSUFFICIENT = "insufficient_history"
 
-STEP_COLUMNS = (
-    "idx", "pos", "ts", "open", "high", "low", "close", "regime", "direction", "trend_waning", "confidence",
-    "allowed_play_classes", "ma_perfect_order", "trend_x_count", "range_x_count", "adx",
-)
 
 
 def label_steps(

@@ -19,6 +19,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"duplicate query {name}")
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            # Ranks up to this number are cut before the shuffle.
+            spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
