@@ -145,7 +145,7 @@ def extended(schema: StructType, added: str) -> StructType:
 
 
 #: A filter has about 16 bits an entry, at least and at most these powers of two.
-FILTER_BITS = (20, 28)
+FILTER_BITS = (20, 27)
 _SLICES = 64
 
 

@@ -26,7 +26,9 @@ from candlewick.llm.pretokens import Seen, pretokens, vocabulary
 
 CAPACITY = 2048
 #: Pre-tokens whose ids a worker remembers.
-MAX_SEEN = 600_000
+MAX_SEEN = 400_000
+#: Pre-tokens handed to the library at a time; what it returns is much larger than the ids.
+ENCODED = 4096
 #: Rests of one length are numbered in this many groups, so that a length that a third of all rows share spreads.
 GROUPS = 64
 
@@ -57,8 +59,10 @@ class IdStore:
         new = first[~known]
         if len(new):
             raw = data.tobytes()
-            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(begins[new].tolist(), ends[new].tolist())], add_special_tokens=False)
-            ids = [x.ids for x in found]
+            texts = [raw[a:b].decode() for a, b in zip(begins[new].tolist(), ends[new].tolist())]
+            ids = []
+            for at in range(0, len(texts), ENCODED):
+                ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             entry[~known] = len(self.first) + np.arange(len(new))
             self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import FILTER_BITS, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices, trimmed
+from candlewick.llm.common import FILTER_BITS, SLICE_BYTES, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices, trimmed
 from candlewick.llm.induced_sort import MEMORY_BYTES, suffix_order
 
 LIMIT = 200
@@ -26,7 +26,7 @@ GRAM = 40
 #: Anchors a counting task gets, about.
 ANCHORS_PER_TASK = 4_000_000
 #: Distinct segments a shard holds, about; an anchor with more of them is a shard of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RUNS = "array<struct<begin: int, end: int>>"
 _RUN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
@@ -83,7 +83,7 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
     """
     size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     expected = 2 * size // (limit - gram + 1) + 1
-    bits = 1 << max(FILTER_BITS[0], min(FILTER_BITS[1], expected.bit_length() + 4))
+    bits = 1 << max(FILTER_BITS[0], min(FILTER_BITS[1], expected.bit_length() + 2))
     parts = 1 << min(20, max(6, (expected // ANCHORS_PER_TASK).bit_length()))
     slices = min(parts, 64)
 
@@ -100,7 +100,7 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "anchors"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE_BYTES // 2):
                 values, times = np.unique(anchor_places(data, offsets, limit, gram), return_counts=True)
                 held.append(np.repeat(values, np.minimum(times, 2)))
                 count += len(held[-1])
@@ -172,7 +172,7 @@ def removal_runs(texts: DataFrame, limit: int, gram: int, memory: int) -> DataFr
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(0)):
+            for start, stop, data, offsets in text_slices(batch.column(0), SLICE_BYTES // 2):
                 anchor, first, count = segments(data, offsets, limit, gram)
                 kept = np.flatnonzero(may_contain(wanted.value, anchor.view(np.int64)))
                 if not len(kept):
