@@ -75,11 +75,16 @@ def anchor_places(data: np.ndarray, offsets: np.ndarray, limit: int, gram: int)
     return grams[largest == grams]
 
 
+def anchor_parts(values: np.ndarray, parts: int) -> np.ndarray:
+    """The counting part of each anchor. Anchors are minima, so their leading bits are nearly always zero: they are mixed again."""
+    return (mixed(values) >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
+
+
 def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
     """A filter of the anchors that come more than once in the corpus.
 
-    A task sends each anchor of its texts at most twice, packed by leading bits; a
-    counting task holds about ANCHORS_PER_TASK of them and fills its slice of the filter.
+    A task sends each anchor of its texts at most twice, packed by part; a counting task
+    holds one part at a time, about ANCHORS_PER_TASK anchors, and fills the filter's slices.
     """
     size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     expected = 2 * size // (limit - gram + 1) + 1
@@ -93,7 +98,9 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
         def packed() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
             values = np.repeat(values, np.minimum(times, 2))
-            part = (values >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
+            part = anchor_parts(values, parts)
+            order = np.argsort(part, kind="stable")
+            values, part = values[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(edges))
             blobs = [values[edges[i] : edges[i + 1]].tobytes() for i in full]
@@ -111,22 +118,29 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
             yield packed()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bits of the anchors of whole parts that come twice, as packed words."""
-        held: dict[int, list[np.ndarray]] = {}
+        """Bits of the anchors that come twice, as packed words; parts come whole, one after the other."""
+        found = np.zeros(bits // 8, np.uint8)
+        held: list[np.ndarray] = []
+        last = None
+
+        def count() -> None:
+            values = np.sort(np.concatenate(held))
+            twice = np.unique(values[1:][values[1:] == values[:-1]])
+            for at in filter_places(twice.view(np.int64), bits):
+                np.bitwise_or.at(found, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), np.uint64))
-        places = [np.zeros(0, np.int64)]
-        for blobs in held.values():
-            values = np.sort(np.concatenate(blobs))
-            twice = np.unique(values[1:][values[1:] == values[:-1]])
-            places += filter_places(twice.view(np.int64), bits)
-        at = np.unique(np.concatenate(places))
-        width = bits // slices
-        for s in np.unique(at // width).tolist():
-            own = np.zeros(width, bool)
-            own[at[at // width == s] % width] = True
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+                if held and part != last:
+                    count()
+                    held = []
+                last = part
+                held.append(np.frombuffer(blob.as_buffer(), np.uint64))
+        if held:
+            count()
+        for s, own in enumerate(found.reshape(slices, -1)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["slice", "bits"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -136,7 +150,7 @@ def repeated_anchors(texts: DataFrame, limit: int, gram: int) -> np.ndarray:
                 own |= np.frombuffer(blob.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["slice", "bits"])
 
-    counted = texts.select("__text").mapInArrow(trimmed(gather), "part long, anchors binary").repartition("part").mapInArrow(trimmed(fill), "slice int, bits binary")
+    counted = texts.select("__text").mapInArrow(trimmed(gather), "part long, anchors binary").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(fill), "slice int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in counted.repartition(slices, "slice").mapInArrow(trimmed(unite), "slice int, bits binary").collect():  # the filter, of bounded size
         first = row["slice"] * (bits // slices // 8)
