@@ -4,9 +4,10 @@ Every string of ``LIMIT`` bytes has an anchor, the least hash of its ``GRAM``-by
 substrings, which depends on nothing but the string; equal strings meet under equal
 anchors. Consecutive strings with one anchor form a segment. Anchors are counted over
 the whole corpus, and only segments whose anchor comes twice (a fixed-size filter lets
-few others pass) are dealt, by anchor, to shards. A shard sorts the suffixes of its
-distinct segments by external induced sorting (``induced_sort``), whose common-prefix
-values tell which strings start twice. Documents get back the byte runs to remove.
+few others pass) are made distinct where they stand and dealt, by anchor, to shards. A shard
+sorts the suffixes of its segments by external induced sorting (``induced_sort``), whose
+common-prefix values tell which strings start twice. The runs to remove are joined back
+to the segment's occurrences by its digest.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from candlewick.llm.common import FILTER_BITS, SLICE_BYTES, buffers, extended, filter_places, may_contain, mixed, powers, prefix_sums, ranges, strings, text_slices, trimmed
@@ -179,75 +181,102 @@ def repeated_runs(texts: list[bytes], counts: np.ndarray, several: np.ndarray, l
     return out
 
 
+def _digests(pieces: list[bytes]) -> list[pa.Array]:
+    """128 bits of every segment, as two columns."""
+    both = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _chosen(batch: pa.RecordBatch, wanted: np.ndarray, limit: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first row, end row, offsets, anchors, first starts, numbers of starts, segments) of the segments that may come twice."""
+    for start, stop, data, offsets in text_slices(batch.column(0), SLICE_BYTES // 2):
+        anchor, first, count = segments(data, offsets, limit, gram)
+        kept = np.flatnonzero(may_contain(wanted, anchor.view(np.int64)))
+        if len(kept):
+            anchor, first, count = anchor[kept], first[kept], count[kept]
+            raw = data.tobytes()
+            yield start, stop, offsets, anchor, first, count, [raw[i:j] for i, j in zip(first.tolist(), (first + count + limit - 1).tolist())]
+
+
+def distinct_segments(texts: DataFrame, wanted: Broadcast, limit: int, gram: int) -> DataFrame:
+    """(anchor, piece, times) of the segments whose anchor may come twice, a few rows each however often they stand in the texts."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, segment, times) of about SHARD_BYTES of distinct segments at a time; times are at most two."""
+        seen: dict[bytes, list[int]] = {}
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            counts = np.array(list(seen.values()), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(counts[:, 0]), pa.array(list(seen), pa.binary()), pa.array(counts[:, 1])], names=["anchor", "piece", "times"])
+
+        for batch in batches:
+            for _, _, _, anchor, _, _, pieces in _chosen(batch, wanted.value, limit, gram):
+                for own, piece in zip(anchor.view(np.int64).tolist(), pieces):
+                    known = seen.get(piece)
+                    if known is None:
+                        seen[piece] = [own, 1]
+                        held += len(piece)
+                    else:
+                        known[1] = 2
+                if held > SHARD_BYTES:
+                    yield packed()
+                    seen, held = {}, 0
+        if seen:
+            yield packed()
+
+    return texts.select("__text").mapInArrow(trimmed(distinct), "anchor long, piece binary, times long")
+
+
 def removal_runs(texts: DataFrame, limit: int, gram: int, memory: int) -> DataFrame:
-    """(__key, __hash, runs) of the documents that have bytes to remove; the runs of a row may overlap."""
+    """(__key, __hash, runs) of the documents that have bytes to remove; the runs of a row may overlap.
+
+    Shards get distinct segments with their counts, never a row for every occurrence;
+    their runs are joined back to the occurrences, which carry a digest and no bytes.
+    """
     wanted = texts.sparkSession.sparkContext.broadcast(repeated_anchors(texts, limit, gram))
     kind = texts.schema["__key"].dataType.simpleString()
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(0), SLICE_BYTES // 2):
-                anchor, first, count = segments(data, offsets, limit, gram)
-                kept = np.flatnonzero(may_contain(wanted.value, anchor.view(np.int64)))
-                if not len(kept):
-                    continue
-                anchor, first, count = anchor[kept], first[kept], count[kept]
+            for start, stop, offsets, _, first, _, pieces in _chosen(batch, wanted.value, limit, gram):
                 row = np.searchsorted(offsets, first, "right") - 1
-                length = count + limit - 1
-                blob = data[ranges(first, length)].tobytes()
-                bounds = np.concatenate([[0], np.cumsum(length)])
-                pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(blob)])
                 take = pa.array(row)
                 own = [batch.column(i).slice(start, stop - start).take(take) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *own, pa.array((first - offsets[row]).astype(np.int32)), pieces], names=["anchor", "__key", "__hash", "first", "piece"])
-
-    def answer(parts: list[tuple[pa.RecordBatch, np.ndarray]], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """Sort the distinct segments of a shard and answer every segment with its repeated runs."""
-        seen = np.bincount(np.concatenate([found for _, found in parts]), minlength=len(pieces))
-        starts = np.array([len(p) - limit + 1 for p in pieces], np.int64)
-        runs = repeated_runs(pieces, starts, seen > 1, limit, memory)
-        sizes = np.array([len(r) for r in runs], np.int64)
-        flat = np.array([x for r in runs for x in r], np.int64).reshape(-1, 2)
-        before = np.cumsum(sizes) - sizes
-        for part, found in parts:
-            size = sizes[found]
-            chosen = flat[ranges(before[found], size)]
-            base = np.repeat(part.column(2).to_numpy().astype(np.int64), size)
-            take = pa.array(np.repeat(np.arange(part.num_rows), size))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array((base + chosen[:, 0]).astype(np.int32)), pa.array((base + chosen[:, 1] + limit).astype(np.int32))], names=["__key", "__hash", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([*_digests(pieces), *own, pa.array((first - offsets[row]).astype(np.int32))], names=["d1", "d2", "__key", "__hash", "first"])
+
+    def answer(pieces: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """Sort the distinct segments of a shard; the repeated runs of those that have some."""
+        texts = list(pieces)
+        starts = np.array([len(p) - limit + 1 for p in texts], np.int64)
+        runs = repeated_runs(texts, starts, np.array(list(pieces.values())) > 1, limit, memory)
+        full = [i for i, own in enumerate(runs) if own]
+        if full:
+            found = [[{"begin": a, "end": b + limit} for a, b in runs[i]] for i in full]
+            yield pa.RecordBatch.from_arrays([*_digests([texts[i] for i in full]), pa.array(found, pa.list_(_RUN))], names=["d1", "d2", "runs"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor; whole anchors are gathered into shards of about SHARD_BYTES of distinct segments."""
-        number: dict[bytes, int] = {}
-        pieces: list[bytes] = []
-        parts: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        pieces: dict[bytes, int] = {}
         held, last = 0, None
         for batch in batches:
-            anchors = batch.column(0).to_pylist()
-            data, offsets = buffers(batch.column(4).cast(pa.large_binary()))
-            raw, bounds = memoryview(data), offsets.tolist()
-            found, start = np.empty(batch.num_rows, np.int64), 0
-            for i, anchor in enumerate(anchors):
+            for anchor, piece, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if anchor != last and held > SHARD_BYTES:
-                    parts.append((batch.slice(start, i - start).select([1, 2, 3]), found[start:i]))
-                    yield from answer(parts, pieces)
-                    number, pieces, parts, held, start = {}, [], [], 0, i
+                    yield from answer(pieces)
+                    pieces, held = {}, 0
                 last = anchor
-                piece = raw[bounds[i] : bounds[i + 1]]
-                digest = hashlib.blake2b(piece, digest_size=16).digest()
-                k = number.get(digest)
-                if k is None:
-                    k = number[digest] = len(pieces)
-                    pieces.append(bytes(piece))
+                if piece not in pieces:
                     held += len(piece)
-                found[i] = k
-            parts.append((batch.slice(start).select([1, 2, 3]), found[start:]))
+                pieces[piece] = min(2, pieces.get(piece, 0) + times)
         if pieces:
-            yield from answer(parts, pieces)
-
-    dealt = texts.select("__text", "__key", "__hash").mapInArrow(trimmed(deal), f"anchor long, __key {kind}, __hash long, first int, piece binary")
-    found = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(shards), f"__key {kind}, __hash long, begin int, end int")
-    return found.groupBy("__key", "__hash").agg(F.collect_list(F.struct("begin", "end")).alias("__runs"))
+            yield from answer(pieces)
+
+    dealt = distinct_segments(texts, wanted, limit, gram).repartition("anchor").sortWithinPartitions("anchor")
+    repeated = dealt.mapInArrow(trimmed(shards), f"d1 long, d2 long, runs {RUNS}")
+    placed = texts.select("__text", "__key", "__hash").mapInArrow(trimmed(occurrences), f"d1 long, d2 long, __key {kind}, __hash long, first int")
+    found = placed.join(repeated, ["d1", "d2"]).select("__key", "__hash", "first", F.explode("runs").alias("run"))
+    run = F.struct((F.col("first") + F.col("run.begin")).alias("begin"), (F.col("first") + F.col("run.end")).alias("end"))
+    return found.groupBy("__key", "__hash").agg(F.collect_list(run).alias("__runs"))
 
 
 def merged_runs(runs: list[dict] | None) -> list[tuple[int, int]]:

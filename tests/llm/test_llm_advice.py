@@ -1,6 +1,11 @@
 """Shares of the work a single task gets, and results on groups that are large for their blocks."""
 
+import random
+from collections import Counter
+
 import numpy as np
+from llm_cases import prose, table
+from pyspark.sql import functions as F
 
 from candlewick.llm import suffix_dedup
 
@@ -12,3 +17,18 @@ def test_counting_parts_are_even():
         sizes = np.bincount(suffix_dedup.anchor_parts(anchors, parts), minlength=parts)
         assert len(sizes) == parts
         assert sizes.max() < 1.5 * len(anchors) / parts  # the largest part
+
+
+def test_copies_of_a_passage_are_few_segments(spark):
+    rng = random.Random(2)
+    hot = prose(rng, 150)
+    made = [(i, hot if i % 3 == 0 else prose(rng, 20), None, None, None) for i in range(900)]
+    docs = table(spark, made).select(F.col("text").alias("__text"), F.col("doc_id").alias("__key"), F.xxhash64("text").alias("__hash"))
+    wanted = spark.sparkContext.broadcast(suffix_dedup.repeated_anchors(docs, 200, 40))
+    got = suffix_dedup.distinct_segments(docs.repartition(4), wanted, 200, 40).collect()
+    pieces = Counter(bytes(r.piece) for r in got)
+    assert pieces and max(pieces.values()) <= 4  # one row a task, not one for every copy
+    assert all(r.times == 2 for r in got if hot.encode().count(bytes(r.piece)))
+    runs = {r["__key"]: r["__runs"] for r in suffix_dedup.removal_runs(docs, 200, 40, 1 << 20).collect()}
+    assert set(runs) >= {i for i in range(0, 900, 3)}
+    assert all(suffix_dedup.merged_runs(runs[i]) == [(0, len(hot))] for i in range(0, 900, 3))
