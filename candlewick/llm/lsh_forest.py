@@ -11,6 +11,7 @@ is lost. Candidate clusters are then compared exactly, set against set, in block
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,18 +253,15 @@ def _linked(ids: np.ndarray, sets: np.ndarray, bounds: np.ndarray, percent: int)
 
 
 def exact_links(members: DataFrame, docs: DataFrame, words: int, percent: int, *, text: str, key: str, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all members (id, component) of a cluster whose full sets are near enough."""
+    """Links (a, b) that connect all members (id, component, n_shingles) of a cluster whose full sets are near enough.
 
-    sized = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    chosen = stored(members.join(sized, "component").select("id", F.col("component").alias("cluster"), "blocks"), "clusters")
-    wanted = docs.sparkSession.sparkContext.broadcast(membership(chosen.select("id"), chosen.count()))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets of the rows that may be members; the join below is the exact test."""
-        for batch in batches:
-            batch = batch.filter(pa.array(may_contain(wanted.value, batch.column(1).to_numpy())))
-            for start, stop, data, offsets in text_slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), _blobs(*shingle_sets(data, offsets, words))], names=["id", "shingles"])
+    A cluster of one block is compared at once. A larger one is compared inside its blocks
+    first; representatives of what that linked are compared inside blocks in rounds, while
+    rounds merge much. Last, blocks are formed of single components where they are large
+    enough, by size, and a pair of blocks is compared unless all its sets are linked
+    already or no two of its sizes allow ``percent``.
+    """
+    given = docs.filter(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col(key).cast("long").alias("id"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a pair of blocks come together; all of a task's small clusters are compared one by one."""
@@ -288,14 +286,61 @@ def exact_links(members: DataFrame, docs: DataFrame, words: int, percent: int, *
         if held:
             yield done(pa.concat_tables(held))
 
-    given = docs.filter(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col(key).cast("long").alias("id"))
-    sets = given.mapInArrow(trimmed(sets_of), "id long, shingles binary").join(chosen, "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.withColumn("own", own).withColumn("other", other)
-    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    dealt = pairs.select("cluster", pair.cast("long").alias("pair"), "id", "shingles").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "id")
-    return dealt.mapInArrow(trimmed(compare), "a long, b long")
+    def compared(places: DataFrame) -> DataFrame:
+        """Exact links inside every (cluster, pair) of ``places`` (id, cluster, pair)."""
+        wanted = docs.sparkSession.sparkContext.broadcast(membership(places.select("id"), places.count()))
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sets of the rows that may be members; the join below is the exact test."""
+            for batch in batches:
+                batch = batch.filter(pa.array(may_contain(wanted.value, batch.column(1).to_numpy())))
+                for start, stop, data, offsets in text_slices(batch.column(0)):
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, stop - start), _blobs(*shingle_sets(data, offsets, words))], names=["id", "shingles"])
+
+        sets = given.mapInArrow(trimmed(sets_of), "id long, shingles binary").join(places, "id").select("cluster", "pair", "id", "shingles")
+        return sets.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "id").mapInArrow(trimmed(compare), "a long, b long")
+
+    def in_blocks(rows: DataFrame, salt: int) -> DataFrame:
+        sized = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        return rows.join(sized, "cluster").withColumn("pair", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
+
+    places = stored(in_blocks(members.select("id", F.col("component").alias("cluster"), "n_shingles"), 0), "clusters")
+    links = compared(places.select("id", "cluster", "pair"))
+    large = places.filter("blocks > 1").select("id", "cluster", "n_shingles")
+    before = large.count()
+    if not before:
+        return links
+    links = stored(links, "near")
+    for salt in itertools.count(1):
+        label = components(links).withColumnRenamed("component", "label")
+        labelled = stored(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+        heads = labelled.filter("id = label")
+        left = heads.count()
+        if left > before / 2:
+            break
+        before = left
+        links = stored(links.union(compared(in_blocks(heads, salt).select("id", "cluster", "pair"))), "near")
+    return links.union(compared(open_pairs(labelled, percent, block)))
+
+
+def open_pairs(labelled: DataFrame, percent: int, block: int) -> DataFrame:
+    """(id, cluster, pair) of the block pairs that may hold links between components of (id, cluster, n_shingles, label)."""
+    whole = labelled.groupBy("cluster", "label").agg((F.count("*") >= block).alias("whole"))
+    owned = labelled.join(whole, ["cluster", "label"]).withColumn("owner", F.when(F.col("whole"), F.col("label")))
+    owned = owned.withColumn("band", F.floor(F.log("n_shingles") / float(np.log(max(1.05, 100 / percent)))))
+    group = F.concat_ws(":", F.coalesce(F.col("owner").cast("string"), F.lit("mixed")), "band")
+    owned = owned.select("id", "cluster", "n_shingles", "owner", group.alias("group"))
+    sized = owned.groupBy("cluster", "group").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    number = F.concat_ws(":", "group", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = stored(owned.join(sized, ["cluster", "group"]).withColumn("block", number).select("id", "cluster", "n_shingles", "owner", "block"), "blocks")
+    blocks = placed.groupBy("cluster", "block").agg(F.first("owner").alias("owner"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+    linked = F.coalesce(F.col("x.owner") == F.col("y.owner"), F.lit(False))
+    pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block")) & sizes & ~linked)
+    both = F.explode(F.array_distinct(F.array("x.block", "y.block")))
+    pairs = pairs.select(F.col("x.cluster").alias("cluster"), F.xxhash64("x.block", "y.block").alias("pair"), both.alias("block"))
+    return stored(placed.join(pairs, ["cluster", "block"]).select("id", "cluster", "pair"), "pairs")
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -313,6 +358,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, *, text: str
     classes = full.groupBy(*digest).agg(F.min(F.struct(F.col(key).cast("long").alias("id"), "signature")).alias("least")).select(*digest, "least.*")
     classes = stored(classes, "classes")
     clusters = components(candidate_links(tree_rows(classes)))
+    clusters = clusters.join(classes.select("id", "n_shingles"), "id")
     links = exact_links(clusters, docs, words, percent, text=text, key=key)
     # Rows that repeat a key may stand in two classes: they are one document.
     repeats = full.join(classes.select(*digest, "id"), digest).filter(F.col("id") != F.col(key)).select(F.col("id").alias("a"), F.col(key).cast("long").alias("b"))

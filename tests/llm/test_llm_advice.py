@@ -4,10 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
-from llm_cases import prose, table
+from llm_cases import brute_components, prose, table
 from pyspark.sql import functions as F
 
-from candlewick.llm import suffix_dedup
+from candlewick.llm import lsh_forest, suffix_dedup
 
 
 def test_counting_parts_are_even():
@@ -32,3 +32,20 @@ def test_copies_of_a_passage_are_few_segments(spark):
     runs = {r["__key"]: r["__runs"] for r in suffix_dedup.removal_runs(docs, 200, 40, 1 << 20).collect()}
     assert set(runs) >= {i for i in range(0, 900, 3)}
     assert all(suffix_dedup.merged_runs(runs[i]) == [(0, len(hot))] for i in range(0, 900, 3))
+
+
+def test_linked_blocks_are_not_paired(spark):
+    rng = random.Random(5)
+    base, other = prose(rng, 60).split(), prose(rng, 60).split()
+    made = [(i, " ".join([*base[:i % 60], f"w{i}", *base[i % 60 + 1 :]]), None, None, None) for i in range(120)]
+    made += [(200 + i, " ".join([*other[:30 + 3 * (i % 9)], *(f"v{i}x{j}" for j in range(i % 4))]), None, None, None) for i in range(40)]
+    summary = lsh_forest.summaries(table(spark, made), 3, text="text", key="doc_id")
+    members = summary.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("component"), "n_shingles")
+    links = lsh_forest.exact_links(members, table(spark, made), 3, 80, text="text", key="doc_id", block=16)
+    got = {r.id: r.component for r in lsh_forest.components(links).collect()}
+    want = brute_components(made, 3, 80)
+    assert {d: got.get(d, d) for d in want} == {d: c for d, (_, c, _) in want.items()}
+    label = spark.createDataFrame([(d, c) for d, (_, c, _) in want.items()], "id long, label long")
+    labelled = members.join(label, "id").select("id", F.col("component").alias("cluster"), "n_shingles", "label")
+    dealt = Counter(r.id for r in lsh_forest.open_pairs(labelled, 80, 16).collect())
+    assert sum(dealt.values()) < len(made) * -(-len(made) // 16) / 2  # every pair of blocks would be all of it
