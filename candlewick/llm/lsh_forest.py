@@ -4,9 +4,9 @@ Documents with equal sets are one class from the start. Every class enters sever
 trees: orders of the classes by different runs of its signature. Neighbours in a tree
 share a prefix; all that share the first ``DEPTH`` values are a region. A region that
 fits one block is thinned by leaders: members are candidates of each other only through
-a leader that both resemble. A region that doesn't fit is read on at a greater depth,
-block by block in sorted order, and held together by its first member, so no candidate
-is lost. Candidate clusters are then compared exactly, set against set, in blocks.
+a leader that both resemble. A region that doesn't fit is held together by its first
+member as a whole, no greater depth is read: no candidate is lost, true copies or not.
+Candidate clusters are then compared exactly, set against set, in blocks.
 """
 
 from __future__ import annotations
