@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm import chat_parts, decontaminate, histogram_shards, language_masks, lsh_forest, paragraph_sketch, slack_packing, suffix_dedup, token_transducer, toxicity
-from candlewick.llm.common import documents, small_batches
+from candlewick.llm import chat_parts, decontaminate, histogram_shards, importance_bits, language_masks, lsh_forest, merkle_manifest, paragraph_sketch, slack_packing, suffix_dedup, token_transducer, toxicity, warc
+from candlewick.llm.common import crc, documents, small_batches
 
 QUERIES, ORACLES = {}, {}
 
@@ -165,3 +165,95 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, labels.filter(~apart))
     scored = toxicity.score(spark, docs.select("doc_id", "text"), model)
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def _crc_sql(octets: str) -> str:
+    """CRC-32 of a list of octets."""
+    bit = "lambda r, k: xor(r >> 1, 3988292384 * (r & 1))"
+    octet = f"lambda r, b: list_reduce(range(8), {bit}, xor(r, b))"
+    return f"xor(list_reduce({octets}, {octet}, 4294967295::BIGINT), 4294967295)"
+
+
+_OCTETS_SQL = "list_transform(range(0, octet_length(encode({0}))), lambda i: (strpos('0123456789ABCDEF', substr(hex(encode({0})), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode({0})), 2 * i + 2, 1)) - 1)"
+
+
+@query(
+    "op11_importance_bits",
+    f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+    dw AS MATERIALIZED (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY ALL),
+    tw AS MATERIALIZED (SELECT x, count(*) AS n FROM (SELECT unnest({_WORDS_SQL}) AS x FROM benchmark) GROUP BY ALL),
+    b AS MATERIALIZED (SELECT x, ({_crc_sql(_OCTETS_SQL.format("x"))} % 10000)::BIGINT AS b FROM (SELECT x FROM dw UNION SELECT x FROM tw)),
+    s AS MATERIALIZED (SELECT b, sum(n) AS s FROM dw JOIN b USING (x) GROUP BY 1),
+    t AS MATERIALIZED (SELECT b, sum(n) AS t FROM tw JOIN b USING (x) GROUP BY 1),
+    n AS MATERIALIZED (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ns, coalesce((SELECT sum(t) FROM t), 0) AS nt),
+    g AS MATERIALIZED (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (ns + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (nt + 10000)::DOUBLE)))::BIGINT AS g
+        FROM s LEFT JOIN t USING (b) CROSS JOIN n),
+    f AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM dw JOIN b USING (x) JOIN g USING (b) GROUP BY 1),
+    h AS (SELECT d.r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (r)),
+    scored AS MATERIALIZED (SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+    placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS p, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END AS rank FROM scored LEFT JOIN placed USING (r)
+    """,
+)
+def op11_importance_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_bits.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_DIGITS_SQL = "strpos('0123456789abcdef', substr(sha1(coalesce(html, '')), {at}, 1)) - 1"
+_GROUP_SQL = " + ".join(f"({_DIGITS_SQL.format(at=f'5 * i + {k + 1}')}) * {16 ** (4 - k)}" for k in range(5))
+
+
+@query(
+    "op12_warc",
+    f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({_GROUP_SQL}) >> s) & 31) + 1, 1)), '')), '') AS payload_digest FROM pages),
+    k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM k
+    """,
+)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.fresh_folder(spark)
+    warc.archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.archived_pages(spark, folder).drop("target_uri")
+
+
+_FIELD_SQL = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+_LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(x) for x in ("doc_id::VARCHAR", "source", "lang", "({0})::VARCHAR", "text")) + ")"
+_UP_SQL = "list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+#: Documents whose leaf a check of the manifest tampers with.
+_TAMPERED_SQL = _crc_sql(_OCTETS_SQL.format("doc_id::VARCHAR")) + " % 7 = 0"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, coalesce(':' || lang, '-') AS tree, {_LEAF_SQL.format("n_chars")} AS leaf,
+        CASE WHEN {_TAMPERED_SQL} THEN {_LEAF_SQL.format("n_chars + 1")} ELSE {_LEAF_SQL.format("n_chars")} END AS shown FROM documents),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS i FROM leaves),
+    levels AS (SELECT tree, 0 AS k, list(leaf ORDER BY i) AS l FROM ranked GROUP BY tree UNION ALL SELECT tree, k + 1, {_UP_SQL} FROM levels WHERE len(l) > 1),
+    subroots AS MATERIALIZED (SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM levels WHERE len(l) = 1),
+    tops AS (SELECT 0 AS k, list(subroot ORDER BY i) AS l FROM subroots UNION ALL SELECT k + 1, {_UP_SQL} FROM tops WHERE len(l) > 1),
+    steps AS MATERIALIZED (
+        SELECT r.doc_id, r.tree, r.i, v.k, r.i >> v.k AS place, coalesce(v.l[xor(r.i >> v.k, 1) + 1], '') AS sibling FROM ranked r JOIN levels v ON v.tree = r.tree AND len(v.l) > 1
+        UNION ALL SELECT r.doc_id, r.tree, r.i, 1000 + t.k, s.i >> t.k, coalesce(t.l[xor(s.i >> t.k, 1) + 1], '') FROM ranked r JOIN subroots s USING (tree) JOIN tops t ON len(t.l) > 1),
+    paths AS MATERIALIZED (SELECT tree, i, list(CASE WHEN place % 2 = 1 THEN sibling ELSE '' END ORDER BY k) AS b, list(CASE WHEN place % 2 = 0 THEN sibling ELSE '' END ORDER BY k) AS a,
+        string_agg(sibling, '' ORDER BY k) AS said FROM steps GROUP BY tree, i),
+    folded AS (SELECT r.tree, r.i, r.shown AS node, 1 AS k, p.b, p.a FROM ranked r LEFT JOIN paths p USING (tree, i)
+        UNION ALL SELECT tree, i, sha256(b[k] || node || a[k]), k + 1, b, a FROM folded WHERE k <= len(b))
+    SELECT r.doc_id, r.leaf, s.subroot, t.l[1] AS root, sha256(coalesce(p.said, '')) AS proof_sha256, f.node AS folded_root, f.node = t.l[1] AS verified
+    FROM ranked r JOIN subroots s USING (tree) JOIN tops t ON len(t.l) = 1 LEFT JOIN paths p ON p.tree = r.tree AND p.i = r.i
+    JOIN folded f ON f.tree = r.tree AND f.i = r.i AND f.k = coalesce(len(f.b), 0) + 1
+    """,
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = lambda chars: merkle_manifest.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang")], chars, F.col("text"))
+    leaf, tampered = said(F.col("n_chars")), crc(F.col("doc_id")) % 7 == 0
+    leaves = documents(spark, sf_dir).select("lang", "doc_id", leaf.alias("leaf"), F.when(tampered, said(F.col("n_chars") + 1)).otherwise(leaf).alias("shown"))
+    proven = merkle_manifest.manifest(leaves, tree="lang", key="doc_id")
+    folded = proven.withColumn("folded_root", merkle_manifest.fold(F.col("shown"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
