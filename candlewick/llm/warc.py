@@ -333,12 +333,12 @@ def register(spark: SparkSession) -> None:
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1: eight groups of five hex digits, four symbols each."""
-    hexed = F.sha1(payload)
-    group = lambda i: F.conv(F.substring(hexed, i * 5 + 1, 5), 16, 10).cast("int")
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: eight groups of five, four symbols each."""
+    groups = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(h, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
     symbol = lambda n, shift: F.substr(F.lit(_BASE32), F.shiftright(n, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.concat(*[symbol(group(i), shift) for i in range(8) for shift in (15, 10, 5, 0)])
+    symbols = lambda h: F.array_join(F.transform(groups(h), lambda n: F.concat(*[symbol(n, s) for s in (15, 10, 5, 0)])), "")
+    return F.transform(F.array(hexed), symbols)[0]  # what makes the digits runs once
 
 
 #: A payload is hot if more than one in so many rows has it: there are at most so many hot payloads.
@@ -376,13 +376,13 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str, *, least_bytes:
     register(spark)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), F.col(uri).cast("string").alias("uri"), F.encode(body, "UTF-8").alias("body"))
-    sized = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": base32_sha1(F.col("body"))})
+    sized = rows.withColumns({"n": F.octet_length("body").cast("long"), "digest": F.sha1("body")})
     roles = with_roles(sized, least_bytes, key="id", digest="digest", length="n")
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     records = roles.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn(F.col("id")).alias("record_id"), F.col("uri").alias("target_uri"),
-        F.lit(date).alias("date"), F.lit("text/html; charset=utf-8").alias("content_type"), F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
+        F.lit(date).alias("date"), F.lit("text/html; charset=utf-8").alias("content_type"), F.concat(F.lit("sha1:"), base32(F.col("digest"))).alias("payload_digest"),
         F.when(revisit, urn(F.col("keeper"))).alias("refers_to"), F.when(revisit, IDENTICAL).alias("profile"),
         F.create_map(F.lit("WARC-Payload-Length"), F.col("n").cast("string")).alias("extra"), F.when(~revisit, F.col("body")).alias("block"),
     )
@@ -399,7 +399,7 @@ def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     read = lambda kind, blocks: spark.read.format("warc").option("blocks", blocks).load(folder).filter(F.col("record_type") == kind)
     shape = lambda df, n, digest: df.select(number(F.col("record_id")).alias("page_id"), "target_uri", n.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
-    whole = shape(read("response", "true"), F.octet_length("block").cast("long"), base32_sha1(F.col("block")))
+    whole = shape(read("response", "true"), F.octet_length("block").cast("long"), base32(F.sha1("block")))
     named = shape(read("revisit", "false"), F.col("extra")["WARC-Payload-Length"].cast("long"), F.regexp_extract("payload_digest", "^sha1:(.*)$", 1))
     return whole.unionByName(named)
 
