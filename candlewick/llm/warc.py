@@ -365,13 +365,13 @@ def with_roles(pages: DataFrame, least_bytes: int = 0, *, key: str = "page_id",
     return cold.unionByName(done).select(*pages.columns, own)
 
 
-def archive(spark: SparkSession, pages: DataFrame, folder: str, *, least_bytes: int = 0, gzip: bool = False, key: str = "page_id", uri: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
+def archive(spark: SparkSession, pages: DataFrame, folder: str, *, least_bytes: int = 0, gzip: bool = True, key: str = "page_id", uri: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one record per row: a response with the payload in UTF-8 (null: empty), or a revisit without it.
 
     Of equal payloads of at least ``least_bytes``, that with the largest key is the response and the
     others refer to it; rows that repeat its key are responses too. A row without a key
     has an identifier without a number; it is a revisit if an equal payload has a key. Control characters in a
-    URI are percent-encoded, a null URI is left out.
+    URI are percent-encoded, a null URI is left out. Records are gzip members unless ``gzip`` is false.
     """
     register(spark)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
