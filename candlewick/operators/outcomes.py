@@ -1,28 +1,20 @@
-"""Ticketed candidates, their first-touch exits and one-position selection.
-
-Exits have no horizon: a candidate first searches its own leaf of bars, then
-the low/high summaries of leaves and of groups of leaves, and comes back down to
-the exact bar. Every step is an equi-join with one bounded row, so neither long
-waits nor hot series produce pairs.
-"""
+"""Ticketed candidates, their first-touch exits (``exits``) and one-position selection (``chains``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql import DataFrame, functions as F
 
 from candlewick.functions.numbers import rounded
 from candlewick.functions.tickets import (
     Goal, apply_geometry, expectancy, first_exit, r_multiple, skeleton_proposal, with_ticket, with_verdict,
 )
+from candlewick.operators.chains import select_sequential
+from candlewick.operators.exits import first_touches
 
-LEAF = 256
+#: Copies of a series' last bar that positions still open at the end are dealt over.
 SALTS = 16
-CHAIN_BLOCK = 65_536
 
 
 def decide(labelled: DataFrame, goal: Goal, instrument: str = "instrument") -> DataFrame:
@@ -44,97 +36,34 @@ def entry_candidates(labelled: DataFrame, keys: Sequence[str], goal: Goal = Goal
     )
 
 
-def _touch(low: Column, high: Column) -> Column:
-    return (low <= F.col("_floor")) | (high >= F.col("_ceiling"))
-
-
-def _first_after(items: str, position: Column) -> Column:
-    """First touched child of a summary row beyond ``position``."""
-    hits = F.filter(F.col(items), lambda e: (e["at"] > position) & _touch(e["low"], e["high"]))
-    return F.try_element_at(hits, F.lit(1))
-
-
-def _summaries(bars: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaves of bars, groups of leaves, whole series), each row an ordered array of children."""
-    child = lambda at: F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "low", "high")))
-    leaves = bars.withColumn("leaf", F.floor(F.col("idx") / LEAF)).groupBy(*keys, "leaf").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("idx").alias("at"), "low", "high", "ts"))).alias("bars"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.max("idx").alias("last_idx"),
-        F.max_by("ts", "idx").alias("last_ts"),
-        F.max_by("close", "idx").alias("last_close"),
-    )
-    groups = leaves.withColumn("branch", F.floor(F.col("leaf") / LEAF)).groupBy(*keys, "branch").agg(
-        child("leaf").alias("leaves"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.max("last_idx").alias("last_idx"),
-        F.max_by("last_ts", "last_idx").alias("last_ts"),
-        F.max_by("last_close", "last_idx").alias("last_close"),
-    )
-    tops = groups.groupBy(*keys).agg(
-        child("branch").alias("branches"),
-        F.max_by("last_ts", "last_idx").alias("end_ts"),
-        F.max_by("last_close", "last_idx").alias("end_close"),
-        F.max("last_idx").alias("end_idx"),
-    )
-    return leaves.select(*keys, "leaf", "bars"), groups.select(*keys, "branch", "leaves"), tops
-
-
 def resolve_exits(candidates: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add exit_idx, exit_ts, exit_price, exit_status and r_realized to every candidate.
 
     Exits are looked for from the next bar on; never reached means ``window_end``
-    at the last close.
+    at the last close. ``bars`` is read several times: pass a stored table or a persisted frame.
     """
     keys = list(keys)
-    leaves, groups, tops = _summaries(bars, keys)
     long_side = F.col("side") == "long"
-    own_leaf = F.floor(F.col("entry_idx") / LEAF)
-    own_branch = F.floor(own_leaf / LEAF)
     start = candidates.withColumns(
         {
             "_floor": F.when(long_side, F.col("stop")).otherwise(F.col("target")),
             "_ceiling": F.when(long_side, F.col("target")).otherwise(F.col("stop")),
-            "leaf": own_leaf,
-            "branch": own_branch,
-            "_salt": F.pmod(F.col("entry_idx"), F.lit(SALTS)),
+            "_entry": F.col("entry_idx"),
         }
     )
-    spread = tops.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    climbed = (
-        start.join(leaves, [*keys, "leaf"], "left")
-        .withColumn("_hit", _first_after("bars", F.col("entry_idx")))
-        .drop("bars")
-        .join(groups, [*keys, "branch"], "left")
-        .withColumn("_leaf", F.when(F.col("_hit").isNull(), _first_after("leaves", F.col("leaf"))["at"]))
-        .drop("leaves")
-        .join(spread, [*keys, "_salt"], "left")
-        .withColumn(
-            "_branch",
-            F.when(F.col("_hit").isNull() & F.col("_leaf").isNull(), _first_after("branches", F.col("branch"))["at"]),
-        )
-        .drop("branches")
-    )
-    descended = (
-        climbed.withColumn("branch", F.coalesce("_branch", "branch"))
-        .join(groups, [*keys, "branch"], "left")
-        .withColumn("_leaf", F.when(F.col("_branch").isNotNull(), _first_after("leaves", F.lit(-1))["at"]).otherwise(F.col("_leaf")))
-        .drop("leaves")
-        .withColumn("leaf", F.coalesce("_leaf", "leaf"))
-        .join(leaves, [*keys, "leaf"], "left")
-        .withColumn("_hit", F.coalesce("_hit", F.when(F.col("_leaf").isNotNull(), _first_after("bars", F.lit(-1)))))
-        .drop("bars")
-    )
+    touched = first_touches(start, bars, keys)
+    last = F.struct("idx", "ts", "close")
+    ends = bars.groupBy(*keys).agg(F.max_by(last, "idx").alias("_end"))
+    salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    ended = touched.withColumn("_salt", F.pmod("_entry", F.lit(SALTS))).join(salted, [*keys, "_salt"], "left")
     status = F.coalesce(
-        first_exit(F.col("side"), F.col("stop"), F.col("target"), F.col("_hit.high"), F.col("_hit.low")), F.lit("window_end")
+        first_exit(F.col("side"), F.col("stop"), F.col("target"), F.col("_hit_high"), F.col("_hit_low")), F.lit("window_end")
     )
-    closed = descended.withColumn("exit_status", status).withColumns(
+    closed = ended.withColumn("exit_status", status).withColumns(
         {
-            "exit_idx": F.coalesce("_hit.at", "end_idx"),
-            "exit_ts": F.coalesce("_hit.ts", "end_ts"),
-            "exit_price": F.when(status == "stop", F.col("stop")).when(status == "target", F.col("target")).otherwise(F.col("end_close")),
+            "exit_idx": F.coalesce("_hit", "_end.idx"),
+            "exit_ts": F.coalesce("_hit_ts", "_end.ts"),
+            "exit_price": F.when(status == "stop", F.col("stop")).when(status == "target", F.col("target")).otherwise(F.col("_end.close")),
         }
     )
     return close_trades(closed).select(
@@ -147,105 +76,6 @@ def close_trades(trades: DataFrame) -> DataFrame:
     return trades.withColumn("r_realized", rounded(r_multiple(F.col("entry"), F.col("stop"), F.col("exit_price")), 4))
 
 
-# One open position per series -------------------------------------------------
-
-_LONGS = ArrayType(LongType())
-_MOVES = ArrayType(StructType([StructField("at", LongType()), StructField("out", LongType())]))
-
-
-def _leave_points(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
-    """For each candidate of a block, the exit at which a chain started there leaves the block."""
-    following = np.searchsorted(entries, exits, side="right")
-    out = exits.copy()
-    for i in range(len(entries) - 1, -1, -1):
-        if following[i] < len(entries):
-            out[i] = out[following[i]]
-    return out
-
-
-@F.pandas_udf(_LONGS)
-def _block_outs(entries: pd.Series, exits: pd.Series) -> pd.Series:
-    return pd.Series([_leave_points(np.asarray(e), np.asarray(x)) for e, x in zip(entries, exits)])
-
-
-@F.pandas_udf(_MOVES)
-def _block_moves(entries: pd.Series, outs: pd.Series, points: pd.Series) -> pd.Series:
-    """Where a chain that becomes free at each point leaves the block."""
-
-    def moves(e, o, p):
-        e, o, p = np.asarray(e), np.asarray(o), np.asarray(p)
-        found = np.searchsorted(e, p, side="right")
-        return [{"at": int(a), "out": int(o[f]) if f < len(e) else int(a)} for a, f in zip(p, found)]
-
-    return pd.Series([moves(*row) for row in zip(entries, outs, points)])
-
-
-@F.pandas_udf(_LONGS)
-def _block_chain(entries: pd.Series, exits: pd.Series, free_at: pd.Series) -> pd.Series:
-    """Entries taken inside one block by a chain that is free after ``free_at``."""
-
-    def chain(e, x, free):
-        e, x, taken = np.asarray(e), np.asarray(x), []
-        i = int(np.searchsorted(e, free, side="right"))
-        while i < len(e):
-            taken.append(int(e[i]))
-            i = int(np.searchsorted(e, x[i], side="right"))
-        return taken
-
-    return pd.Series([chain(*row) for row in zip(entries, exits, free_at)])
-
-
-def select_sequential(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keep at most one open trade per series: the next entry lies after the previous exit.
-
-    Blocks of entries are summarised in parallel by where a chain that arrives
-    at each possible point leaves them; a pass over those summaries finds the
-    arrival of the real chain in each block, and blocks then select in parallel.
-    ``trades`` is read twice.
-    """
-    keys = list(keys)
-    place = [*keys, "block"]
-    pairs = F.array_sort(F.collect_list(F.struct("entry_idx", "exit_idx")))
-    blocks = (
-        trades.withColumn("block", F.floor(F.col("entry_idx") / CHAIN_BLOCK))
-        .groupBy(*place)
-        .agg(pairs.alias("_p"))
-        .select(*place, F.col("_p.entry_idx").alias("entries"), F.col("_p.exit_idx").alias("exits"))
-        .withColumn("outs", _block_outs("entries", "exits"))
-    ).persist()
-    landings = (
-        blocks.select(*keys, F.col("block").alias("_from"), F.explode(F.array_distinct("outs")).alias("at"))
-        .withColumn("block", F.floor(F.col("at") / CHAIN_BLOCK))
-        .filter(F.col("block") != F.col("_from"))
-        .groupBy(*place)
-        .agg(F.collect_set("at").alias("points"))
-    )
-    before = F.col("block") * CHAIN_BLOCK - 1
-    points = F.array_sort(F.array_union(F.array(before), F.coalesce("points", F.array().cast("array<bigint>"))))
-    summaries = (
-        blocks.select(*place, "entries", "outs")
-        .join(landings, place, "left")
-        .select(*place, _block_moves("entries", "outs", points).alias("moves"))
-    )
-
-    def arrivals(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        free, taken = -1, []
-        for block, moves in zip(rows["block"], rows["moves"]):
-            arrival = max(free, block * CHAIN_BLOCK - 1)
-            taken.append(arrival)
-            if arrival < (block + 1) * CHAIN_BLOCK:
-                free = {m["at"]: m["out"] for m in moves}[arrival]
-        return rows[place].assign(free_at=pd.Series(taken, dtype="int64"))
-
-    schema = StructType([f for f in summaries.schema.fields if f.name in place] + [StructField("free_at", LongType())])
-    arrived = summaries.groupBy(*keys).applyInPandas(arrivals, schema)
-    chosen = blocks.join(arrived, place).select(
-        *keys, F.explode(_block_chain("entries", "exits", "free_at")).alias("entry_idx")
-    )
-    return trades.join(chosen, [*keys, "entry_idx"], "left_semi")
-
-
 def walk_trades(labelled: DataFrame, bars: DataFrame, keys: Sequence[str], goal: Goal = Goal(mode="paper")) -> DataFrame:
     """Candidates, exits and one-position selection in one plan."""
     trades = resolve_exits(entry_candidates(labelled, keys, goal), bars, keys).persist()

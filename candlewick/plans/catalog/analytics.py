@@ -156,7 +156,7 @@ def walk_from_start(spark, sf):
     return out(walk.label_steps(bars, KEYS, LOOKBACK, step=3, start=start), "instrument", "idx", "pos", "regime", "direction", "confidence")
 
 
-@query("w1_supplier_walk_labels")
+@query("w1_supplier_walk_labels", outer("d_hlab", "instrument, idx, epoch(ts)::BIGINT AS ts, regime, direction, trend_waning, confidence"))
 def supplier_walk_labels(spark, sf):
     """Walk over many series: daily bars of every supplier."""
     labels = walk.label_steps(daily(spark, sf), KEYS, LOOKBACK)

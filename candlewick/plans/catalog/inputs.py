@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlewick.operators.series import index_rows
@@ -292,7 +294,17 @@ CTES |= {
             JOIN exits c ON c.instrument = t.instrument AND c.entry_idx > t.exit_idx GROUP BY 1) n
         JOIN exits e USING (instrument, entry_idx)"""),
 }
-RECURSIVE = ("hrec", "taken")
+#: The same chain over the suppliers' daily bars: every name of it begins with ``d_``.
+_CHAIN = ("hb", "hi", "hrec", "hsnap", "hlab", "steps", "tickets", "cands", "ends", "exits", "taken")
+_NAMED = re.compile(rf"(?<![.\w])({'|'.join(_CHAIN)})(?=\b(?! AS\b))")
+
+
+def supplier_chain(text: str) -> str:
+    return _NAMED.sub(lambda m: "db" if m[1] == "hb" else f"d_{m[1]}", text)
+
+
+CTES |= {f"d_{n}": (tuple("db" if d == "hb" else f"d_{d}" for d in CTES[n][0]), supplier_chain(CTES[n][1])) for n in _CHAIN[1:]}
+RECURSIVE = ("hrec", "taken", "d_hrec", "d_taken")
 
 
 def sql(select: str, *needed: str) -> str:

@@ -113,11 +113,12 @@ def sequential_trades(spark, sf):
     return out(_trades(spark, sf), *_CLOSED)
 
 
-@query("b4_supplier_trades")
+# Eight digits hold every unit price of the suppliers that ends at all: no rounding of a printed tie.
+@query("b4_supplier_trades", outer("d_taken", f"{_CAND}, {_EXIT}".replace(", 6)", ", 8)")))
 def supplier_trades(spark, sf):
     bars = daily(spark, sf)
     labelled = walk.label_steps(bars, KEYS, LOOKBACK).persist()
-    return out(outcomes.walk_trades(labelled, bars, KEYS), *_CLOSED)
+    return out(outcomes.walk_trades(labelled, bars, KEYS), *_CLOSED, digits=8)
 
 
 @query("l12_expectancy", sql("""SELECT instrument, trades, round(win_rate, 6) AS win_rate, round(avg_win_r, 6) AS avg_win_r, round(avg_loss_r, 6) AS avg_loss_r,

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions import tickets as tk
-from candlewick.operators import journal, outcomes, patterns
+from candlewick.operators import chains, exits, journal, outcomes, patterns
 from tests.fixtures import KEYS, frame, noise
 
 CAND = (
@@ -16,8 +17,8 @@ CAND = (
 
 @pytest.fixture
 def small_search(monkeypatch):
-    monkeypatch.setattr(outcomes, "LEAF", 4)
-    monkeypatch.setattr(outcomes, "CHAIN_BLOCK", 8)
+    monkeypatch.setattr(exits, "SIZE", 4)
+    monkeypatch.setattr(exits, "SPAN", 8)
 
 
 def exit_of(side, stop, target, bars, i):
@@ -54,15 +55,45 @@ def test_exits_and_selection_match_a_loop(spark, small_search):
     got = {(r["instrument"], r["entry_idx"]): (r["exit_idx"], r["exit_status"], r["exit_price"]) for r in trades.collect()}
     want = {(r[0], r[2]): exit_of(r[4], r[7], r[8], series[r[0]], r[2]) for r in rows}
     assert got == want
-    chosen = set()
-    for name in series:
-        free = -1
-        for _, i in sorted(k for k in want if k[0] == name):
-            if i > free:
-                chosen.add((name, i))
-                free = want[name, i][0]
-    picked = outcomes.select_sequential(trades, KEYS)
-    assert {(r["instrument"], r["entry_idx"]) for r in picked.collect()} == chosen
+    chosen = one_position({k: x for k, (x, *_) in want.items()})
+    for block, fanout in ((8, 2), (8, 64), (4096, 64)):
+        picked = chains.select_sequential(trades, KEYS, block, fanout)
+        assert {(r["instrument"], r["entry_idx"]) for r in picked.collect()} == chosen
+
+
+def one_position(exit_at):
+    chosen, free = set(), {}
+    for name, i in sorted(exit_at):
+        if i > free.get(name, -1):
+            chosen.add((name, i))
+            free[name] = exit_at[name, i]
+    return chosen
+
+
+def test_one_long_series_in_a_tree(spark):
+    """One series in 188 blocks: gaps of many blocks, long and short trades, trades of one bar, all entries of a stretch open to its end."""
+    rng, at, made = random.Random(8), 0, {}
+    while at < 1500:
+        made["A", at] = at if rng.random() < 0.1 else at + rng.choice([1, 2, 5, 40, 300])
+        at += rng.choice([1, 1, 2, 3, 90])
+    made |= {("B", i): 900 for i in range(0, 900, 7)} | {("C", 5): 5}
+    rows = [(name, "D", i, x) for (name, i), x in made.items()]
+    trades = spark.createDataFrame(rows, "instrument string, granularity string, entry_idx bigint, exit_idx bigint").persist()
+    picked = chains.select_sequential(trades, KEYS, block=8, fanout=3)
+    assert {(r["instrument"], r["entry_idx"]) for r in picked.collect()} == one_position(made)
+
+
+def test_first_touch_is_the_first():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 64, 100):
+        low, high = rng.normal(size=n), rng.normal(size=n) + 1
+        low[rng.random(n) < 0.1] = np.nan
+        start = rng.integers(0, n + 1, 200)
+        floor, ceiling = rng.normal(size=200) - 2, rng.normal(size=200) + 3
+        floor[:5] = -np.inf
+        got = exits.first_touch(low, high, start, floor, ceiling)
+        for s, f, c, g in zip(start, floor, ceiling, got):
+            assert g == next((j for j in range(s, n) if low[j] <= f or high[j] >= c), n)
 
 
 def test_stop_wins_inside_one_bar(spark):
