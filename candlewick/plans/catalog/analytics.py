@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from candlewick.operators import indicators as ind, patterns, regime, walk
+from candlewick.operators import indicators as ind, patterns, recurrences, regime, walk
 from candlewick.operators.series import block_window, first_index, halo_blocks, tiles
 from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, hourly_ticks, out, outer, sql
 from candlewick.plans.registry import query
@@ -74,6 +74,18 @@ def walk_recursions(spark, sf):
     return out(ind.walk_snapshots(hourly(spark, sf), KEYS, LOOKBACK), "instrument", "idx", *_RECURSIVE)
 
 
+_WHOLE = ("ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist", "rsi", "plus_di", "minus_di", "adx")
+
+
+@query("i4_i8_i9_i11_whole_series", outer("d_whole", """instrument, m AS idx, CASE WHEN m >= 11 THEN round(f12, 4) END AS ema_fast, CASE WHEN m >= 25 THEN round(f26, 4) END AS ema_slow,
+    CASE WHEN m >= 25 THEN round(f12 - f26, 4) END AS macd, CASE WHEN m >= 33 THEN round(sig, 4) END AS macd_signal, CASE WHEN m >= 33 THEN round(f12 - f26 - sig, 4) END AS macd_hist,
+    CASE WHEN m >= 14 THEN round(CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100.0 ELSE 50.0 END WHEN g = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + g / l) END, 4) END AS rsi,
+    CASE WHEN m >= 14 THEN round(pdi, 4) END AS plus_di, CASE WHEN m >= 14 THEN round(mdi, 4) END AS minus_di, CASE WHEN m >= 27 THEN round(adx, 4) END AS adx"""))
+def whole_series(spark, sf):
+    """Recursions over whole supplier series, in blocks of 64 bars and a tree of fan-out 4."""
+    return out(recurrences.series_recursions(daily(spark, sf), KEYS, block=64, fanout=4), "instrument", "idx", *_WHOLE, digits=4)
+
+
 _SNAP = ["last_close", *_SMAS, *_BANDS, "bb_width", "stoch_k", "stoch_d", "rsi", "adx", "plus_di", "minus_di", "adx_slope", "macd", "macd_signal", "macd_hist", "high_n", "low_n"]
 _SNAP_TEXT = ["bb_zone", "ma_perfect_order", *[f"vs_sma_{p}" for p in SMA]]
 

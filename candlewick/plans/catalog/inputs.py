@@ -114,13 +114,14 @@ def _indicator_sql(source: str) -> str:
         FROM {source})))"""
 
 
-def _recursion_sql(source: str, lookback: int) -> str:
-    """All windows stepped together, one position per iteration."""
-    last = lookback - 1
+def _recursion_sql(source: str, lookback: int | None) -> str:
+    """All windows stepped together, one position per iteration; without a look-back, whole series."""
+    last = lookback - 1 if lookback else 0
+    windows = f"SELECT instrument, idx AS e FROM {source} WHERE idx >= {last}" if lookback else f"SELECT DISTINCT instrument, 0 AS e FROM {source}"
     return f"""
         SELECT r.instrument, r.e, 0 AS m, b.close AS c, b.close AS f12, b.close AS f26, 0::DOUBLE AS sig, 0::DOUBLE AS g, 0::DOUBLE AS l,
             0::DOUBLE AS str, 0::DOUBLE AS sp, 0::DOUBLE AS sm, 0::DOUBLE AS pdi, 0::DOUBLE AS mdi, 0::DOUBLE AS adx, NULL::DOUBLE AS then_adx
-        FROM (SELECT instrument, idx AS e FROM {source} WHERE idx >= {last}) r
+        FROM ({windows}) r
         JOIN {source} b ON b.instrument = r.instrument AND b.idx = r.e - {last}
         UNION ALL
         SELECT instrument, e, m, c, f12, f26,
@@ -140,7 +141,7 @@ def _recursion_sql(source: str, lookback: int) -> str:
                 {_wilder('g', 'greatest(b.close - r.c, 0.0)')} AS g, {_wilder('l', 'greatest(r.c - b.close, 0.0)')} AS l,
                 {_wilder('str', 'b.tr')} AS str, {_wilder('sp', 'b.plus_dm')} AS sp, {_wilder('sm', 'b.minus_dm')} AS sm
             FROM {{name}} r JOIN {source} b ON b.instrument = r.instrument AND b.idx = r.e - {last} + r.m + 1
-            WHERE r.m < {last}))))"""
+            {f"WHERE r.m < {last}" if lookback else ""}))))"""
 
 
 def _wilder(state: str, x: str) -> str:
@@ -304,7 +305,8 @@ def supplier_chain(text: str) -> str:
 
 
 CTES |= {f"d_{n}": (tuple("db" if d == "hb" else f"d_{d}" for d in CTES[n][0]), supplier_chain(CTES[n][1])) for n in _CHAIN[1:]}
-RECURSIVE = ("hrec", "taken", "d_hrec", "d_taken")
+CTES["d_whole"] = (("d_hi",), _recursion_sql("d_hi", None))
+RECURSIVE = ("hrec", "taken", "d_hrec", "d_taken", "d_whole")
 
 
 def sql(select: str, *needed: str) -> str:
