@@ -295,18 +295,30 @@ CTES |= {
             JOIN exits c ON c.instrument = t.instrument AND c.entry_idx > t.exit_idx GROUP BY 1) n
         JOIN exits e USING (instrument, entry_idx)"""),
 }
-#: The same chain over the suppliers' daily bars: every name of it begins with ``d_``.
+#: The chain of CTEs from numbered bars to trades, repeated over other bars under names with a prefix.
 _CHAIN = ("hb", "hi", "hrec", "hsnap", "hlab", "steps", "tickets", "cands", "ends", "exits", "taken")
 _NAMED = re.compile(rf"(?<![.\w])({'|'.join(_CHAIN)})(?=\b(?! AS\b))")
 
 
-def supplier_chain(text: str) -> str:
-    return _NAMED.sub(lambda m: "db" if m[1] == "hb" else f"d_{m[1]}", text)
+def chained(prefix: str, bars: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    named = lambda n: bars if n == "hb" else prefix + n
+    return {prefix + n: (tuple(map(named, CTES[n][0])), _NAMED.sub(lambda m: named(m[1]), CTES[n][1])) for n in _CHAIN[1:]}
 
 
-CTES |= {f"d_{n}": (tuple("db" if d == "hb" else f"d_{d}" for d in CTES[n][0]), supplier_chain(CTES[n][1])) for n in _CHAIN[1:]}
+# Hourly bars that arrive in five slices, every fortieth a slice too late; six hours later than the newest is late.
+CTES |= {
+    "arr": (("hb",), """SELECT *, floor((epoch(ts)::BIGINT - low) * 4 / (high_ts - low + 1))::BIGINT + (idx % 40 = 3)::INT AS slice
+        FROM (SELECT *, (SELECT epoch(min(ts))::BIGINT FROM hb) AS low_ts, (SELECT epoch(max(ts))::BIGINT FROM hb) AS high_ts FROM hb)""".replace("- low", "- low_ts")),
+    "late": (("arr",), """SELECT a.* FROM arr a JOIN (
+        SELECT c.s, c.instrument, max(b.ts) AS last FROM (SELECT s, instrument, max(ts) AS newest FROM arr JOIN (SELECT unnest(range(0, 5)) AS s) ON slice <= s GROUP BY ALL) c
+        JOIN arr b ON b.instrument = c.instrument AND b.slice <= c.s AND b.ts <= c.newest - INTERVAL 6 HOUR GROUP BY ALL) l
+        ON l.instrument = a.instrument AND l.s = a.slice - 1 AND a.ts <= l.last"""),
+    "xb": (("hb", "late"), """SELECT instrument, ts, open, high, low, close, volume, row_number() OVER (PARTITION BY instrument ORDER BY ts) - 1 AS idx
+        FROM hb WHERE (instrument, ts) NOT IN (SELECT (instrument, ts) FROM late)"""),
+}
+CTES |= chained("d_", "db") | chained("x_", "xb")
 CTES["d_whole"] = (("d_hi",), _recursion_sql("d_hi", None))
-RECURSIVE = ("hrec", "taken", "d_hrec", "d_taken", "d_whole")
+RECURSIVE = ("hrec", "taken", "d_hrec", "d_taken", "d_whole", "x_hrec", "x_taken")
 
 
 def sql(select: str, *needed: str) -> str:

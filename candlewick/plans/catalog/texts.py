@@ -13,6 +13,7 @@ from candlewick.plans.catalog.inputs import hourly, hourly_labels, out, outer, t
 from candlewick.plans.registry import query
 from candlewick.session import fresh_path
 from candlewick.sources import files, manifest, sections, tables
+from candlewick.sources.bucketed import BucketedTable
 
 # The whitespace set of the text pipeline, spelled for RE2.
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -94,23 +95,53 @@ def _chunks(spark, sf):
     return corpus.ingest_documents(_documents(spark, sf))[0]
 
 
-@query("s11_upserted_chunks", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED.replace('ch AS', 'ch0 AS')},
+_TWO_INGESTS = f"""{_DOCS}, {_chunk_sql(500, 50)}, {_PACKED.replace('ch AS', 'ch0 AS')},
     old AS (SELECT src || '::' || chunk_index AS id, 1 AS v, md5(text) AS digest FROM ch0), nw AS (SELECT id, 2 AS v, md5('again' || chr(10) || text) AS digest FROM (
-        SELECT src || '::' || chunk_index AS id, chunk_index, text, count(*) OVER (PARTITION BY src) AS n FROM ch0) WHERE chunk_index < (n + 1) // 2)
-    SELECT id, v::BIGINT AS version, digest FROM nw UNION ALL SELECT id, v, digest FROM old WHERE id NOT IN (SELECT id FROM nw)""")
-def upserted_chunks(spark, sf):
-    """A second ingest with new texts and half of every document's chunks: tail chunks of the first stay."""
-    root = fresh_path(spark, "chunks")
+        SELECT src || '::' || chunk_index AS id, chunk_index, text, count(*) OVER (PARTITION BY src) AS n FROM ch0) WHERE chunk_index < (n + 1) // 2),
+    latest AS (SELECT id, v::BIGINT AS version, digest FROM nw UNION ALL SELECT id, v, digest FROM old WHERE id NOT IN (SELECT id FROM nw))"""
+
+
+def _two_ingests(spark, sf):
     first = _chunks(spark, sf).select("id", "source", "chunk_index", "text")
     sizes = first.groupBy("source").agg(F.count("*").alias("n"))
     half = first.join(sizes, "source").filter(F.col("chunk_index") < F.floor((F.col("n") + 1) / 2))
-    second = half.select("id", "source", "chunk_index", tx.prefixed(F.col("text"), F.lit("again")).alias("text"))
+    return first, half.select("id", "source", "chunk_index", tx.prefixed(F.col("text"), F.lit("again")).alias("text"))
+
+
+@query("s11_upserted_chunks", f"WITH {_TWO_INGESTS} SELECT id, version, digest FROM latest")
+def upserted_chunks(spark, sf):
+    """A second ingest with new texts and half of every document's chunks: tail chunks of the first stay."""
+    root = fresh_path(spark, "chunks")
+    first, second = _two_ingests(spark, sf)
     tables.upsert_version(first, root, 1)
     tables.upsert_version(second, root, 2)
     latest = tables.latest_rows(spark, root)
     return out(latest.select("id", F.col(tables.VERSION).alias("version"), F.md5("text").alias("digest")))
 
 
+def _bucketed_chunks(spark, sf):
+    stored = BucketedTable(spark, fresh_path(spark, "buckets"), buckets=16)
+    first, second = _two_ingests(spark, sf)
+    stored.upsert(first, 1)
+    stored.upsert(second.unionByName(second), 2)
+    stored.upsert(first, 2)  # applied before: nothing happens
+    return stored
+
+
+@query("s11_bucketed_chunks", f"WITH {_TWO_INGESTS} SELECT id, version, digest FROM latest")
+def bucketed_chunks(spark, sf):
+    """The same two ingests into hash buckets, the second with every row twice and then repeated."""
+    return out(_bucketed_chunks(spark, sf).rows().select("id", F.col(tables.VERSION).alias("version"), F.md5("text").alias("digest")))
+
+
+@query("s11_bucket_lookup", f"WITH {_TWO_INGESTS} SELECT id, version, digest FROM latest WHERE id IN (SELECT source || '/' || doc_id || '::1' FROM documents WHERE lang = 'es')")
+def bucket_lookup(spark, sf):
+    """The second chunk of every document in one language, by id: only buckets that can hold one are read."""
+    wanted = table(spark, sf, "documents").filter(F.col("lang") == "es")
+    ids = wanted.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("::1")).alias("id"))
+    return out(_bucketed_chunks(spark, sf).rows_for(ids).select("id", F.col(tables.VERSION).alias("version"), F.md5("text").alias("digest")))
+
+
 @query("s11_repeated_ids", "SELECT source AS id, max(doc_id)::BIGINT AS doc_id, count(*)::BIGINT AS rows FROM documents GROUP BY source")
 def repeated_ids(spark, sf):
     """Documents under their source's name: the last of each replaces what was stored."""

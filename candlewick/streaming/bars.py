@@ -13,18 +13,22 @@ def stream_bars(
 ) -> DataFrame:
     """Bars of a tick stream in append mode: a bar appears once the watermark passes its end.
 
-    Weeks start on Monday. Months have no fixed width: stream days, and read the
-    complete months of the stored days with ``month_bars``.
+    Weeks start on Monday. Months have no fixed width: a tick opens a session that lasts to the end of its
+    calendar month (of the session's time zone), so that all ticks of a month meet in one.
     """
-    if granularity == "M":
-        raise ValueError("a month has no fixed width; use month_bars over streamed days")
     # Windows of a week count from a Thursday, the day of the epoch.
     shift = "4 days" if granularity == "W" else "0 seconds"
     ordered = ticks.select(
         instrument.alias("instrument"), ts.alias("tick_ts"), price.alias("price"), event_order(ts, tie).alias("_order")
     ).withWatermark("tick_ts", delay)
-    width = f"{GRANULARITY_SECONDS[granularity]} seconds"
-    window = F.window("tick_ts", width, width, shift)
+    if granularity == "M":
+        end = F.add_months(F.date_trunc("month", "tick_ts"), 1).cast("timestamp")
+        left = (F.unix_micros(end) - F.unix_micros("tick_ts") - 1) / 1e6  # ends before the next month begins
+        window = F.session_window("tick_ts", F.concat(left.cast("decimal(20,6)").cast("string"), F.lit(" seconds")))
+        start = F.date_trunc("month", "session_window.start")
+    else:
+        width = f"{GRANULARITY_SECONDS[granularity]} seconds"
+        window, start = F.window("tick_ts", width, width, shift), F.col("window.start")
     bars = ordered.groupBy("instrument", window).agg(
         F.min_by("price", "_order").alias("open"),
         F.max("price").alias("high"),
@@ -33,7 +37,7 @@ def stream_bars(
         F.count("*").alias("volume"),
     )
     return bars.select(
-        "instrument", F.lit(granularity).alias("granularity"), F.col("window.start").alias("ts"),
+        "instrument", F.lit(granularity).alias("granularity"), start.alias("ts"),
         "open", "high", "low", "close", "volume", F.lit(True).alias("complete"),
     )
 

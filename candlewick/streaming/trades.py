@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from candlewick.operators.journal import resolve_pending
 from candlewick.operators.outcomes import close_trades
+from candlewick.sources.bucketed import BucketedTable
+from candlewick.sources.tables import VERSION
 
 _OPEN = [
     StructField("entry_idx", LongType()), StructField("entry_ts", TimestampType()), StructField("side", StringType()),
@@ -66,19 +68,25 @@ def stream_trades(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
     return close_trades(trades)
 
 
-def stream_fills(pending: DataFrame, runs: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Resolve every pending fill that arrives and append the result to ``path``.
+def merged_fills(old: DataFrame, queued: DataFrame, runs: DataFrame, version: Column) -> DataFrame:
+    """One fill row per run after a batch of queued ones: pending rows are resolved, runs already filled stay as they are."""
+    settled = old.filter(F.col("status") != "pending").select("run_id")
+    waiting = queued.filter(F.col("status") == "pending").join(settled, "run_id", "left_anti")
+    updates = resolve_pending(runs, waiting).withColumn(VERSION, version)
+    return old.join(updates.select("run_id"), "run_id", "left_anti").unionByName(updates, allowMissingColumns=True)
 
-    ``runs`` is read anew for each batch. Each batch writes its own folder, so a
-    batch repeated after a failure replaces itself.
+
+def stream_fills(pending: DataFrame, runs: Callable[[DataFrame], DataFrame], fills: BucketedTable, checkpoint: str, after: int = 0) -> StreamingQuery:
+    """Merge every pending fill that arrives, resolved, into the latest-fill table.
+
+    ``runs`` gives the run rows of a frame with ``run_id`` (``BucketedTable.rows_for`` opens only the
+    buckets that can hold them). Batch 0 is the version after ``after``, the one the table had when the
+    checkpoint was new. A batch rewrites the buckets of its runs alone, and one that is
+    repeated after a failure changes nothing that it changed before.
     """
 
     def resolve(batch: DataFrame, batch_id: int) -> None:
-        resolve_pending(runs(), batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream_batch={batch_id}")
+        version = after + 1 + batch_id
+        fills.merge(batch, version, lambda old, queued: merged_fills(old, queued, runs(queued), F.lit(version)), ["batch", "line"])
 
-    return (
-        pending.writeStream.foreachBatch(resolve)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return pending.writeStream.foreachBatch(resolve).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
