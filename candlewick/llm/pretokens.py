@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from candlewick.llm.common import prefix_sums, span_hashes
+from candlewick.llm.common import text_hashes
 
 SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, SHORT, R, V, E, L = range(11)
 SYMBOLS = 11
@@ -161,7 +161,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, special: bytes) -> tuple[np
         first &= np.cumsum(inside)[heads] == 0
     begin_at = heads[first]
     end_at = np.append(begin_at[1:], len(data))
-    return begin_at, end_at, span_hashes(prefix_sums(data), begin_at, end_at)
+    return begin_at, end_at, text_hashes(data, begin_at, end_at)
 
 
 @functools.cache
@@ -180,23 +180,36 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], bytes, int]:
 
 
 class Seen:
-    """A bounded map from 64-bit hashes to numbers, sorted, kept by a Python worker between batches."""
+    """A bounded map from 64-bit hashes to numbers, sorted, kept by a Python worker between batches.
+
+    What was looked up longest ago goes first, half of the map at a time.
+    """
 
     def __init__(self, limit: int):
-        self.limit, self.keys, self.values = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.limit, self.keys, self.values, self.used, self.clock = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, whether known) of sorted or unsorted keys."""
+        """(values, whether known) of distinct keys."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        self.clock += 1
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == keys
+        known = self.keys[at] == keys
+        self.used[at[known]] = self.clock
+        return self.values[at], known
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        keys, values = np.append(self.keys, keys), np.append(self.values, values)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        """New keys in ascending order."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+        self.used = np.insert(self.used, at, self.clock)
 
     @property
     def full(self) -> bool:
         return len(self.keys) > self.limit
+
+    def halve(self) -> np.ndarray:
+        """Forget the half that was looked up longest ago; gives the values of the rest."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        self.keys, self.values, self.used = self.keys[kept], self.values[kept], self.used[kept]
+        return self.values

@@ -11,7 +11,6 @@ and read their place from the plan.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +24,7 @@ from candlewick.llm.common import ranges, stored, text_slices, trimmed
 from candlewick.llm.pretokens import Seen, pretokens, vocabulary
 
 CAPACITY = 2048
-#: Pre-tokens whose ids a worker remembers.
+#: Pre-tokens whose ids a task remembers.
 MAX_SEEN = 400_000
 #: Pre-tokens handed to the library at a time; what it returns is much larger than the ids.
 ENCODED = 4096
@@ -41,18 +40,23 @@ class IdStore:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = vocabulary(path)[1]
-        self.clear()
-
-    def clear(self) -> None:
         self.seen = Seen(MAX_SEEN)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def shrink(self) -> None:
+        """Keep the ids of the pre-tokens that were used last."""
+        kept = self.seen.halve()
+        sizes = self.size[kept]
+        self.ids = self.ids[ranges(self.first[kept], sizes)]
+        self.first, self.size = np.cumsum(sizes) - sizes, sizes
+        self.seen.values = np.arange(len(kept))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, tail: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``tail``; offsets)."""
         if self.seen.full:
-            self.clear()
+            self.shrink()
         begins, ends, hashes = pretokens(data, offsets, self.special)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         entry, known = self.seen.find(distinct)
@@ -79,18 +83,14 @@ class IdStore:
         return out, bounds + np.arange(rows + 1)
 
 
-@functools.cache
-def id_store(path: str) -> IdStore:
-    return IdStore(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, tail: int = 1, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every document's full windows and its rest: key, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = IdStore(tokenizer)  # lives as long as the task: its worker goes on to other stages
         for batch in batches:
             for first, stop, data, offsets in text_slices(batch.column(1)):
-                ids, bounds = id_store(tokenizer).encode(data, offsets, tail)
+                ids, bounds = store.encode(data, offsets, tail)
                 totals = np.diff(bounds)
                 cuts = -(-totals // capacity)
                 doc = np.repeat(np.arange(stop - first), cuts)

@@ -140,7 +140,7 @@ def slice_counts(data: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray
         return np.zeros(len(offsets) - 1, np.int64)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     if seen.full:
-        seen.__init__(seen.limit)
+        seen.halve()
     counts, known = seen.find(distinct)
     new = first[~known]
     if len(new):
