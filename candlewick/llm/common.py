@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,21 +105,43 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; made anew, since a worker outlives the slice that needs them."""
     with np.errstate(over="ignore"):
         up = np.full(size, _BASE)
         down = np.full(size, _INVERSE)
-        up[0] = down[0] = 1
+        up[:1] = down[:1] = 1
         return np.cumprod(up), np.cumprod(down)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size).bit_length()))
+#: Longer spans are hashed one by one.
+_WIDE = 512
+
+
+def text_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time go through a non-linear step.
+
+    Spans of up to eight bytes and one length have different hashes; others share one with the
+    chance of random numbers, whatever their structure (unlike sums of powers).
+    """
+    lengths = (ends - begins).astype(np.int64)
+    out = mixed(lengths.astype(np.uint64) * _BASE + np.uint64(1))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    live, at = np.flatnonzero((lengths > 0) & (lengths <= _WIDE)), 0
+    while len(live):
+        read = np.ascontiguousarray(eights[begins[live] + at]).view(np.uint64).ravel()
+        read &= masks[np.minimum(lengths[live] - at, 8)]
+        out[live] = mixed(out[live] ^ mixed(read + np.uint64((at + 1) * int(_BASE) % 2**64)))
+        at += 8
+        live = live[lengths[live] > at]
+    for i in np.flatnonzero(lengths > _WIDE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2^64 of bytes (or other small numbers), one longer than ``data``."""
+    """Polynomial prefix sums modulo 2^64 of bytes, one longer than ``data``: for choices, not for equality."""
     up, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
@@ -127,7 +149,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal contents wherever they stand."""
+    """64-bit hashes of spans, equal for equal contents wherever they stand; some unequal ones of long regular contents are equal too."""
     _, down = powers(len(sums))
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from candlewick.llm.common import buffers, extended, prefix_sums, ranges, span_hashes, stored, strings, text_slices, trimmed
+from candlewick.llm.common import buffers, extended, ranges, stored, strings, text_hashes, text_slices, trimmed
 from candlewick.llm.fm_index import FMIndex
 from candlewick.llm.lsh_forest import _LOWER, word_spans
 
@@ -45,7 +45,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     data, offsets = buffers(strings(column))
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     begins, ends, bounds = word_spans(data, offsets, _GAP)
-    return span_hashes(prefix_sums(_LOWER[data]), begins, ends), begins, ends, bounds
+    return text_hashes(_LOWER[data], begins, ends), begins, ends, bounds
 
 
 def windows_of(texts: list[str | None], names: list[str | None], window: int = WINDOW) -> Windows:
@@ -75,7 +75,7 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, wanted: Windows) -> tupl
     items: list[list[str]] = [[] for _ in range(rows)]
     if not len(wanted.patterns) or not len(begins):
         return np.diff(bounds), spans, items
-    hashes = span_hashes(prefix_sums(_LOWER[data]), begins, ends)
+    hashes = text_hashes(_LOWER[data], begins, ends)
     at = np.minimum(np.searchsorted(wanted.words, hashes), len(wanted.words) - 1)
     symbol = np.where(wanted.words[at] == hashes, at + 1, 0)
     # One separator for a run of other words, and one before every text.

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.llm.common import buffers, may_contain, membership, mixed, prefix_sums, ranges, span_hashes, stored, text_slices, trimmed
+from candlewick.llm.common import buffers, may_contain, membership, mixed, ranges, stored, text_hashes, text_slices, trimmed
 from candlewick.llm.components import components
 
 TREES, DEPTH = 21, 3
@@ -29,7 +29,6 @@ BLOCK = 1024
 #: leaves room for the triangle inequality (0.2 less) and for the error of HASHES samples.
 LEADER, CANDIDATE = 0.8, 0.38
 _SHINGLE = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_HASH_BITS = 48
 
 
 def _multipliers() -> np.ndarray:
@@ -59,7 +58,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of every text, offsets by text)."""
     begins, ends, bounds = word_spans(data, offsets)
-    hashes = span_hashes(prefix_sums(_LOWER[data]), begins, ends)
+    hashes = text_hashes(_LOWER[data], begins, ends)
     sizes = np.diff(bounds)
     counts = np.where(sizes == 0, 0, np.maximum(1, sizes - words + 1))
     at = ranges(bounds[:-1], counts)
@@ -68,15 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     for j in range(words):
         there = at + j < bounds[1:][owner]
         value += np.where(there, hashes[np.minimum(at + j, max(0, len(hashes) - 1))] if len(hashes) else 0, np.uint64(j + 1)) * _SHINGLE[j % 5] ** np.uint64(1 + j // 5)
-    value = mixed(value) >> np.uint64(64 - _HASH_BITS)
-    found, limits = [], [0]
-    for first in range(0, len(sizes), 1 << 15):  # the owner's number fits above the hash
-        low, high = np.searchsorted(owner, [first, first + (1 << 15)])
-        key = np.unique((owner[low:high] - first).astype(np.uint64) << np.uint64(_HASH_BITS) | value[low:high])
-        rows = np.arange(first, min(len(sizes), first + (1 << 15))) - first
-        found.append(key & np.uint64((1 << _HASH_BITS) - 1))
-        limits.extend((limits[-1] + np.searchsorted(key >> np.uint64(_HASH_BITS), rows, "right")).tolist())
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array(limits, np.int64)
+    value = mixed(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(owner[new], np.arange(len(sizes) + 1))
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,7 +106,7 @@ def summaries(docs: DataFrame, words: int, *, text: str, key: str) -> DataFrame:
                 sets, bounds = shingle_sets(data, offsets, words)
                 digests = []
                 for salt in (1, 2):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets * np.uint64(4) + np.uint64(salt)))])
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets + np.uint64(salt) * _SHINGLE[0]))])
                     digests.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)))
                 columns = [batch.column(0).slice(start, stop - start), pa.array(np.diff(bounds)), *digests, _binary(signatures(sets, bounds))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "d1", "d2", "signature"])
