@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candlewick.llm import decontaminate, lsh_forest, slack_packing, suffix_dedup, toxicity
 from candlewick.llm.common import documents, small_batches, stored
+from candlewick.llm.positions import numbered
 
 #: Words of a shingle and least likeness in percent of near copies.
 SHINGLE_WORDS, LIKENESS = 5, 80
@@ -42,14 +43,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _rows(scored.filter(F.col("__score") < toxicity.CUT), docs)
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """Carried rows with ``__key``: the number, where every row has one of its own.
+
+    Otherwise rows are numbered in its order (rows without one last, then by text and by all
+    columns), so that two texts under one number are two documents; rows that are equal in all columns are one.
+    """
+    carried = _carried(docs)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return carried.withColumn("__key", F.col("__id"))
+    told = {"__text_hash": F.sha2(F.coalesce("__text", F.lit("")), 256), "__row_hash": F.sha2(F.to_json("__row"), 256)}
+    carried = stored(carried.withColumns(told), "carried")
+    names = ["__id", *told]
+    order = [F.col("__id").asc_nulls_last(), *told]
+    places = numbered(carried.select(*names).distinct(), [F.col(c) if isinstance(c, str) else c for c in order], name="__key").drop("__key_total")
+    places = places.select(*[F.col(c).alias(f"_{c}") for c in names], "__key")
+    same = F.col("__id").eqNullSafe(F.col("___id"))
+    for c in told:
+        same &= F.col(c) == F.col(f"_{c}")
+    return carried.join(places, same).select("__id", "__text", "__row", "__key")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest number; rows without a number stay."""
+    """One document of each group of near copies, that with the smallest number (rows without one after all others)."""
     small_batches(spark)
-    found = lsh_forest.near_copies(docs.select("doc_id", "text"), SHINGLE_WORDS, LIKENESS)
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    carried = _carried(docs)
-    numbered = carried.join(kept, carried["__id"] == kept["__kept"]).dropDuplicates(["__id"])
-    return _rows(numbered.select("__row"), docs).unionByName(docs.filter("doc_id is null"))
+    carried = _row_keys(docs)
+    found = lsh_forest.near_copies(carried.select("__key", "__text"), SHINGLE_WORDS, LIKENESS, text="__text", key="__key")
+    kept = found.filter("kept").select("__key").distinct()
+    # Rows that still share a key are equal in all columns.
+    return _rows(carried.join(kept, "__key").dropDuplicates(["__key"]).select("__row"), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
