@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from candlewick.functions.text import (
     chunk_id, context_prefix, figure_id, figure_text, prefixed, strip, words,
 )
+from candlewick.sources.bucketed import BucketedTable
 
 # Metadata keys and allowed values.
 METADATA_KEYS = ("title", "author", "asset_class", "topics", "evidence_level", "acquisition")
@@ -103,17 +104,34 @@ def chunk_documents(
     )
 
 
-def embed_texts(chunks: DataFrame, embed: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """Attach vectors from a caller-supplied column function, called once per distinct text."""
-    vectors = chunks.select(text).distinct().withColumn("embedding", embed(F.col(text)))
-    return chunks.join(vectors, text)
+def embed_texts(chunks: DataFrame, embed: Callable[[Column], Column], text: str = "text", vectors: BucketedTable | None = None) -> DataFrame:
+    """Attach vectors from a caller-supplied column function, called once per distinct text; a null text has none.
 
-
-def ingest_documents(docs: DataFrame, embed: Callable[[Column], Column] | None = None, **chunking) -> tuple[DataFrame, DataFrame]:
+    With ``vectors``, a table keyed by ``digest``, texts embedded in an earlier ingest are not
+    embedded again: only buckets that can hold a wanted digest are read, and what is new is added as its next version.
+    """
+    named = chunks.withColumn("_digest", F.sha2(F.col(text), 256))
+    # Texts travel to one row per digest; the digest alone joins them to their chunks.
+    distinct = named.filter(F.col("_digest").isNotNull()).groupBy(F.col("_digest").alias("digest")).agg(F.any_value(text).alias("_text"))
+    if vectors is None:
+        known = distinct.select("digest", embed(F.col("_text")).alias("embedding"))
+    else:
+        wanted = named.select(F.col("_digest").alias("digest")).filter("digest is not null").distinct()
+        held = vectors.rows_for(wanted).select("digest") if vectors.version() else wanted.limit(0)
+        fresh = distinct.join(held, "digest", "left_anti").select("digest", embed(F.col("_text")).alias("embedding"))
+        vectors.upsert(fresh, vectors.version() + 1)
+        known = vectors.rows_for(wanted).select("digest", "embedding")
+    kept = [c for c in chunks.columns if c != "embedding"]
+    return named.select(*kept, "_digest").join(known.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+
+def ingest_documents(
+    docs: DataFrame, embed: Callable[[Column], Column] | None = None, vectors: BucketedTable | None = None, **chunking
+) -> tuple[DataFrame, DataFrame]:
     """(chunk rows ready to upsert, rejected documents)."""
     good, rejects = validate_documents(docs)
     chunks = chunk_documents(good, **chunking)
-    return (chunks if embed is None else embed_texts(chunks, embed)), rejects
+    return (chunks if embed is None else embed_texts(chunks, embed, vectors=vectors)), rejects
 
 
 def ingest_figures(figures: DataFrame, captions: DataFrame, stored: DataFrame) -> DataFrame:

@@ -255,10 +255,7 @@ def edge_snapshots(high: np.ndarray, low: np.ndarray, close: np.ndarray, edges:
 
 def _label_rows(table: pa.Table, lookback: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Core rows of whole blocks, laid end to end, that have a full window."""
-    idx, block = table["idx"].to_numpy(), table["block"].to_numpy()
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))
-    place = np.arange(len(idx)) - np.repeat(starts, np.diff(np.append(starts, len(idx))))
-    edges = np.flatnonzero((place >= lookback - 1) & table["core"].to_numpy())
+    edges = block_edges(table, lookback)
     if len(edges) == 0:
         return
     arrays = [table[c].to_numpy().astype(float) for c in ("high", "low", "close")]
@@ -276,6 +273,29 @@ def _split_at_last_block(table: pa.Table) -> int:
     return int(np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))[-1])
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of a partition sorted by (keys, block, idx) as tables of about ``ROWS_PER_CALL`` rows that end between blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS_PER_CALL:
+            table = pa.Table.from_batches(held)
+            cut = _split_at_last_block(table)
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_edges(table: pa.Table, lookback: int) -> np.ndarray:
+    """Places of core rows of whole blocks, laid end to end, that have ``lookback`` rows up to and including them."""
+    idx, block = table["idx"].to_numpy(), table["block"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))
+    place = np.arange(len(idx)) - np.repeat(starts, np.diff(np.append(starts, len(idx))))
+    return np.flatnonzero((place >= lookback - 1) & table["core"].to_numpy())
+
+
 def indicator_blocks(bars: DataFrame, keys: Sequence[str], before: int = max(SMA_PERIODS) - 1) -> DataFrame:
     """Halo blocks with every bounded-frame indicator, unrounded; exact on core rows."""
     blocks = halo_blocks(bars, before=before)
@@ -342,17 +362,8 @@ def walk_snapshots(bars: DataFrame, keys: Sequence[str], lookback: int = 250) ->
     arrow_schema = to_arrow_schema(schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= ROWS_PER_CALL:
-                table = pa.Table.from_batches(held)
-                cut = _split_at_last_block(table)
-                if cut:
-                    yield from _label_rows(table.slice(0, cut), lookback, arrow_schema)
-                    held = table.slice(cut).to_batches()
-        if held:
-            yield from _label_rows(pa.Table.from_batches(held), lookback, arrow_schema)
+        for table in whole_blocks(batches):
+            yield from _label_rows(table, lookback, arrow_schema)
 
     blocks = halo_blocks(bars.select(*[f.name for f in passed]), before=lookback - 1)
     laid = blocks.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "idx")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
-from candlewick.operators import indicators as ind, patterns, recurrences, regime, walk
+from candlewick.operators import indicators as ind, patterns, recurrences, regime, walk, windows
 from candlewick.operators.series import block_window, first_index, halo_blocks, tiles
 from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, hourly_ticks, out, outer, sql
 from candlewick.plans.registry import query
@@ -175,6 +176,40 @@ def supplier_walk_labels(spark, sf):
     return out(labels, "instrument", "idx", "ts", "regime", "direction", "trend_waning", "confidence")
 
 
+# Windows whose net move is at least a third of their range trend; SQL sees the same frames.
+_EFFICIENT = f"""SELECT *, idx - {LOOKBACK - 1} AS pos, CASE WHEN abs(net) >= spread / 3 THEN 'trend' ELSE 'range' END AS regime, CASE WHEN net > 0 THEN 'up' WHEN net < 0 THEN 'down' END AS direction,
+    false AS trend_waning FROM (SELECT *, close - first_value(close) OVER w AS net, max(high) OVER w - min(low) OVER w AS spread, count(*) OVER w AS n
+        FROM hb WINDOW w AS (PARTITION BY instrument ORDER BY idx ROWS BETWEEN {LOOKBACK - 1} PRECEDING AND CURRENT ROW)) WHERE n = {LOOKBACK}"""
+
+
+def efficiency(windows):
+    """A record per window: its net move against its range."""
+    net = windows["close"][:, -1] - windows["close"][:, 0]
+    spread = windows["high"].max(axis=1) - windows["low"].min(axis=1)
+    regime = np.where(np.abs(net) >= spread / 3, "trend", "range")
+    direction = np.where(net > 0, "up", np.where(net < 0, "down", None))
+    return {"net": net, "spread": spread, "regime": regime, "direction": direction}
+
+
+def _efficient(spark, sf):
+    return windows.window_records(hourly(spark, sf), KEYS, LOOKBACK, efficiency, "net double, spread double, regime string, direction string")
+
+
+@query("u2_window_records", sql(f"SELECT instrument, idx, round(net, 6) AS net, round(spread, 6) AS spread, regime, direction FROM ({_EFFICIENT})", "hb"))
+def window_records(spark, sf):
+    return out(_efficient(spark, sf), "instrument", "idx", "net", "spread", "regime", "direction")
+
+
+@query("u1_hooked_runs", sql(f"""SELECT instrument, min(idx) AS start_idx, max(idx) AS end_idx, arg_min(regime, pos) AS regime, min(direction) AS direction, count(*) AS bar_count
+    FROM (SELECT *, sum(starts) OVER (PARTITION BY instrument ORDER BY pos) AS run FROM (
+        SELECT *, CASE WHEN pos = 0 OR regime IS DISTINCT FROM lag(regime) OVER k OR direction IS DISTINCT FROM lag(direction) OVER k THEN 1 ELSE 0 END AS starts
+        FROM ({_EFFICIENT}) WINDOW k AS (PARTITION BY instrument ORDER BY pos))) GROUP BY instrument, run""", "hb"))
+def hooked_runs(spark, sf):
+    """The walk with a classifier of the caller's own, merged into runs."""
+    told = {"pos": F.col("idx") - (LOOKBACK - 1), "trend_waning": F.lit(False)}
+    return out(walk.collapse_runs(_efficient(spark, sf).withColumns(told), KEYS), "instrument", "start_idx", "end_idx", "regime", "direction", "bar_count")
+
+
 @query("w10_walk_forward_dirty", sql("""
     SELECT 'step' AS part, instrument, epoch(ts)::BIGINT AS ts, regime, direction, NULL::VARCHAR AS reason FROM hlab WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00'
     UNION ALL SELECT 'reject', instrument, NULL, NULL, NULL, 'missing time' FROM hb WHERE idx = 0

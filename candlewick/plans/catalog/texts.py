@@ -142,6 +142,27 @@ def bucket_lookup(spark, sf):
     return out(_bucketed_chunks(spark, sf).rows_for(ids).select("id", F.col(tables.VERSION).alias("version"), F.md5("text").alias("digest")))
 
 
+def _letters(text):
+    """A vector that SQL can make too: length, and how often three letters stand in the text."""
+    return F.transform(F.array(F.lit(""), F.lit("e"), F.lit("n"), F.lit("s")), lambda x: (F.length(text) - F.length(F.replace(text, x, F.lit("")))).cast("double") + F.when(x == "", F.length(text)).otherwise(0))
+
+
+@query("t6_ingested_vectors", f"""WITH {_DOCS}, {_chunk_sql(500, 50)}, {_PACKED},
+    every AS (SELECT src || '::' || chunk_index AS id, src, text FROM ch),
+    first AS (SELECT md5(text) AS digest FROM every WHERE src IN (SELECT src FROM docs WHERE doc_id % 2 = 0))
+    SELECT id, [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'n', '')), length(text) - length(replace(text, 's', ''))]::DOUBLE[] AS embedding,
+        CASE WHEN md5(text) IN (SELECT digest FROM first) THEN 1 ELSE 2 END::BIGINT AS version FROM every""")
+def ingested_vectors(spark, sf):
+    """Half of the documents, then all of them: a text gets its vector in the ingest that saw it first."""
+    vectors = BucketedTable(spark, fresh_path(spark, "vectors"), "digest", buckets=16)
+    docs = _documents(spark, sf)
+    even = F.element_at(F.split("title", " "), -1).cast("long") % 2 == 0
+    corpus.ingest_documents(docs.filter(even), _letters, vectors)
+    chunks, _ = corpus.ingest_documents(docs, _letters, vectors)
+    made = vectors.rows().select("digest", F.col(tables.VERSION).alias("version"))
+    return out(chunks.join(made, F.sha2("text", 256) == F.col("digest")).select("id", "embedding", "version"))
+
+
 @query("s11_repeated_ids", "SELECT source AS id, max(doc_id)::BIGINT AS doc_id, count(*)::BIGINT AS rows FROM documents GROUP BY source")
 def repeated_ids(spark, sf):
     """Documents under their source's name: the last of each replaces what was stored."""
