@@ -124,7 +124,15 @@ def stream_fills_query(spark, sf):
 @query("x5_stream_trades", outer("taken", """instrument, entry_idx, epoch(entry_ts)::BIGINT AS entry_ts, side, round(entry, 6) AS entry, exit_idx,
     epoch(exit_ts)::BIGINT AS exit_ts, round(exit_price, 6) AS exit_price, exit_status, r_realized""") + " WHERE exit_status <> 'window_end'")
 def stream_trades_query(spark, sf):
+    """Decided bars in four slices of time; tickets stay open over the seams."""
     ticket = lambda c: F.when(F.col("risk.action") == "pending_exec", F.col(f"proposal.{c}")).alias(c)
-    decided = outcomes.decide(hourly_labels(spark, sf), PAPER).select(*KEYS, "idx", "ts", "high", "low", *[ticket(c) for c in ("side", "entry", "stop", "target")])
-    trades = drain(spark, stream_trades(_as_stream(spark, decided, "x5-in"), KEYS), "x5")
+    decided = outcomes.decide(hourly_labels(spark, sf), PAPER).select(
+        *KEYS, "idx", "ts", "high", "low", "close", *[ticket(c) for c in ("side", "play_class", "entry", "stop", "target")]
+    ).persist()
+    low, high = decided.agg(F.min("idx"), F.max("idx")).first()
+    slices = [decided.filter(F.floor((F.col("idx") - low) * 4 / (high - low + 1)) == i) for i in range(4)]
+    root, checkpoint = fresh_path(spark, "x5"), fresh_path(spark, "x5-checkpoint")
+    for arrived in arrivals(spark, slices, "x5-in"):
+        stream_trades(arrived, KEYS, root, checkpoint).awaitTermination()
+    trades = spark.read.parquet(f"{root}/closed").drop("batch")
     return out(trades, "instrument", "entry_idx", "entry_ts", "side", "entry", "exit_idx", "exit_ts", "exit_price", "exit_status", "r_realized")

@@ -2,70 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
+from candlewick.operators.chains import select_sequential
 from candlewick.operators.journal import resolve_pending
-from candlewick.operators.outcomes import close_trades
+from candlewick.operators.outcomes import resolve_exits
+from candlewick.session import stored_once
 from candlewick.sources.bucketed import BucketedTable
 from candlewick.sources.tables import VERSION
 
-_OPEN = [
-    StructField("entry_idx", LongType()), StructField("entry_ts", TimestampType()), StructField("side", StringType()),
-    StructField("entry", DoubleType()), StructField("stop", DoubleType()), StructField("target", DoubleType()),
-]
+TICKET = ("entry_idx", "entry_ts", "side", "play_class", "entry", "stop", "target")
 
 
-def _exit_of(side: str, stop: float, target: float, high: float, low: float) -> str | None:
-    hit_stop, hit_target = (low <= stop, high >= target) if side == "long" else (high >= stop, low <= target)
-    return "stop" if hit_stop else "target" if hit_target else None
+def advance_trades(bars: DataFrame, opened: DataFrame | None, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(closed trades, open tickets) after some more decided bars of every series.
 
-
-def stream_trades(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Closed trades of a stream of decided bars, one open position per series.
-
-    ``decided``: keys, idx, ts, high, low and, where the gate passed, side, entry,
-    stop and target (else null side). The open ticket is the state of a series.
+    ``bars``: keys, idx, ts, high, low, close and, where the gate passed, side, play_class, entry, stop, target (else null
+    side), all later than those seen before; ``opened``: keys and the ticket of series that hold one. Exits are searched in the new bars
+    alone, since an open ticket was not touched before; it is the first of its series' chain.
     """
     keys = list(keys)
-    fields = {f.name: f for f in decided.schema.fields}
-    closed = [
-        StructField("exit_idx", LongType()), StructField("exit_ts", TimestampType()),
-        StructField("exit_price", DoubleType()), StructField("exit_status", StringType()),
-    ]
-    output = StructType([fields[k] for k in keys] + _OPEN + closed)
-    names = [f.name for f in output.fields]
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("idx")
-        ticket = state.get if state.exists else None
-        done = []
-        for bar in rows.itertuples(index=False):
-            if ticket is not None:
-                _, _, side, _, stop, target = ticket
-                status = _exit_of(side, stop, target, bar.high, bar.low)
-                if status is not None:
-                    done.append((*key, *ticket, bar.idx, bar.ts, stop if status == "stop" else target, status))
-                    ticket = None
-                continue
-            if bar.side in ("long", "short"):
-                ticket = (int(bar.idx), bar.ts.to_pydatetime(), bar.side, float(bar.entry), float(bar.stop), float(bar.target))
-        if ticket is not None:
-            state.update(ticket)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=names)
-
-    trades = decided.groupBy(*keys).applyInPandasWithState(
-        follow, output, StructType(_OPEN), "append", GroupStateTimeout.NoTimeout
+    fresh = bars.filter(F.col("side").isin("long", "short")).select(
+        *keys, F.col("idx").alias("entry_idx"), F.col("ts").alias("entry_ts"), *TICKET[2:]
     )
-    return close_trades(trades)
+    seen = bars.select(*keys).distinct()
+    waiting = None if opened is None else opened.join(seen, keys, "left_anti")
+    if opened is not None:
+        fresh = fresh.unionByName(opened.join(seen, keys, "left_semi").select(*fresh.columns))
+    trades = stored_once(resolve_exits(fresh, bars, keys), "stream-exits")
+    taken = stored_once(select_sequential(trades, keys), "stream-taken")
+    still = taken.filter(F.col("exit_status") == "window_end").select(*keys, *TICKET)
+    return taken.filter(F.col("exit_status") != "window_end"), still if waiting is None else still.unionByName(waiting.select(*still.columns))
+
+
+def stream_trades(decided: DataFrame, keys: Sequence[str], root: str, checkpoint: str) -> StreamingQuery:
+    """Closed trades of a stream of decided bars, one open position per series, written under ``root/closed``.
+
+    Every micro-batch runs the batch operators over its own bars and the tickets still open, which
+    are its state under ``root/open``; bars of a series come in order from batch to batch. A batch that is repeated after a
+    failure replaces what it wrote. ``root/open/batch=N`` needs batch N - 1 alone; older ones may go.
+    """
+    root, keys = root.rstrip("/"), list(keys)
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bars = stored_once(batch, "stream-bars")
+        opened = spark.read.parquet(f"{root}/open/batch={batch_id - 1}") if batch_id else None
+        closed, still = advance_trades(bars, opened, keys)
+        closed.write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
+        still.write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
+
+    return decided.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_fills(old: DataFrame, queued: DataFrame, runs: DataFrame, version: Column) -> DataFrame:
