@@ -11,6 +11,8 @@ and read their place from the plan.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,13 +34,20 @@ ENCODED = 4096
 GROUPS = 64
 
 
+@functools.cache
+def library(path: str):
+    """The tokenizer of a file, loaded once by a worker; its threads would compete with other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class IdStore:
     """Ids of distinct pre-tokens, found by hash; what is new is encoded by the tokenizer file's library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = library(path)
         self.special = vocabulary(path)[1]
         self.seen = Seen(MAX_SEEN)
         self.first = np.zeros(0, np.int64)
