@@ -76,10 +76,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return move.ravel(), mark.ravel()
 
 
+#: Code points below this have a table of their own; most texts need no more.
+_COMMON = 0x3001
+
+
 @functools.cache
-def _classes() -> np.ndarray:
+def _classes(limit: int) -> np.ndarray:
+    """The symbol of every code point below ``limit``."""
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(limit)), np.uint8, limit)
     table[WHITE] = BLANK
     table[32], table[39] = SPACE, QUOTE
     for letters, symbol in (("stmd", SHORT), ("r", R), ("v", V), ("e", E), ("l", L)):
@@ -137,7 +142,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, special: bytes) -> tuple[np
     """(byte starts, byte ends, hashes) of the pre-tokens of all texts; a special string is one of its own."""
     raw = data.tobytes()
     points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-    symbols = _classes()[points]
+    symbols = _classes(_COMMON if int(points.max(initial=0)) < _COMMON else 0x110000)[points]
     heads = np.flatnonzero((data & 0xC0) != 0x80)
     begins = offsets[:-1][offsets[1:] > offsets[:-1]]
     cuts, at = [], raw.find(special) if special else -1
