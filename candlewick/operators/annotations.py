@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from candlewick.functions.numbers import is_true, rounded
 from candlewick.functions.text import strip
 from candlewick.functions.times import feed_seconds
 from candlewick.operators.indicators import SMA_PERIODS
+from candlewick.operators.series import BLOCK, block_window, halo_blocks
 from candlewick.operators.walk import REGIMES, WATCH_INSTABILITY, WATCH_P_HAT, change_watch
 
 # Annotation types, overlay size and display choices.
@@ -22,6 +23,9 @@ STYLES = ("solid", "dash", "dot", "dashdot")
 SHOW = ("ranges", "markers", "both")
 OVERLAY_STRIDE = 2
 
+#: Copies of a series' ends that its points are dealt over.
+SALTS = 16
+
 FIELDS = ("name", "type", "t1", "p1", "t2", "p2", "text")
 
 
@@ -51,21 +55,27 @@ def _bounded_end(t1: Column, t2: Column) -> Column:
     return F.when(t2.isNull() | (t2 == t1), t1 + 1).otherwise(t2)
 
 
-def polyline(points: DataFrame, keys: Sequence[str], stride: Column | int = OVERLAY_STRIDE, offset: int = 0) -> DataFrame:
+def polyline(points: DataFrame, keys: Sequence[str], stride: Column | int = OVERLAY_STRIDE, offset: int = 0, block: int = BLOCK) -> DataFrame:
     """Connected segments over every ``stride``-th valued row, always reaching the last one.
 
-    ``points``: keys, idx, ts, value of a bounded stretch of bars; values may be
-    null before the first valued row.
+    ``points``: keys, idx, ts, value of series of any length; values may be null before the
+    first valued row only. A joint's number follows from its distance to the first
+    valued row, so that neighbours meet in blocks of joints with one row of halo.
     """
-    w = Window.partitionBy(*keys).orderBy("idx")
-    whole = Window.partitionBy(*keys)
+    keys = list(keys)
     step = F.lit(stride) if isinstance(stride, int) else stride
-    place = F.col("idx") - F.min("idx").over(whole)
     valued = points.filter(F.col("value").isNotNull())
-    joints = valued.withColumn("_keep", (place % step == 0) | (F.col("idx") == F.max("idx").over(whole))).filter("_keep")
-    lines = joints.withColumns(
-        {"_ts": F.lead("ts").over(w), "_value": F.lead("value").over(w), "segment": F.row_number().over(w) - 1}
-    ).filter(F.col("_ts").isNotNull())
+    ends = valued.groupBy(*keys).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    placed = valued.withColumn("_salt", F.pmod(F.col("idx").cast("bigint"), F.lit(SALTS))).join(salted, [*keys, "_salt"])
+    place = F.col("idx") - F.col("_first")
+    joints = placed.filter((place % step == 0) | (F.col("idx") == F.col("_last"))).select(
+        *keys, F.ceil(place / step).cast("bigint").alias("segment"), "ts", "value"
+    )
+    w = block_window(keys, idx="segment")
+    lines = halo_blocks(joints, before=0, after=1, idx="segment", size=block).withColumns(
+        {"_ts": F.lead("ts").over(w), "_value": F.lead("value").over(w)}
+    ).filter(F.col("core") & F.col("_ts").isNotNull())
     return lines.select(
         *keys, "segment",
         feed_seconds(F.col("ts"), offset).alias("t1"), F.col("value").alias("p1"),

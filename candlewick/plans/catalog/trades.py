@@ -13,7 +13,7 @@ from candlewick.operators.indicators import indicator_blocks, last_snapshots, pl
 from candlewick.operators.regime import classify
 from candlewick.operators.series import tiles
 from candlewick.plans.catalog.analytics import STRIDE, TILE, TILES
-from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, daily, hourly, hourly_labels, out, outer, sql, table
+from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, out, outer, sql, table
 from candlewick.plans.registry import query
 
 PAPER = tk.Goal(mode="paper")
@@ -261,14 +261,18 @@ def _recent(spark, sf):
     return plot_series(bars, KEYS, bars.groupBy(*KEYS).agg(F.count("*").alias("bar_count")))
 
 
-@query("o1_polylines", sql(f"""SELECT instrument, tile, row_number() OVER (PARTITION BY instrument, tile ORDER BY idx) - 1 AS segment, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2 FROM (
-    SELECT instrument, tile, idx, epoch(ts)::BIGINT AS t1, sma_20 AS p1, lead(epoch(ts)::BIGINT) OVER k AS t2, lead(sma_20) OVER k AS p2 FROM (
-        SELECT *, idx // {TILE} AS tile, min(idx) OVER (PARTITION BY instrument, idx // {TILE}) AS f, max(idx) OVER (PARTITION BY instrument, idx // {TILE}) AS l FROM hi WHERE sma_20 IS NOT NULL)
-    WHERE (idx - f) % 2 = 0 OR idx = l WINDOW k AS (PARTITION BY instrument, tile ORDER BY idx)) WHERE t2 IS NOT NULL""", "hi"))
+def _segments_sql(points: str, series: str = "instrument") -> str:
+    """Every second of (instrument, ..., idx, t, value) and the last, joined to lines."""
+    return f"""SELECT {series}, row_number() OVER k - 1 AS segment, t AS t1, value AS p1, lead(t) OVER k AS t2, lead(value) OVER k AS p2 FROM (
+        SELECT *, min(idx) OVER (PARTITION BY {series}) AS f, max(idx) OVER (PARTITION BY {series}) AS l FROM ({points}) WHERE value IS NOT NULL)
+        WHERE (idx - f) % 2 = 0 OR idx = l WINDOW k AS (PARTITION BY {series} ORDER BY idx) QUALIFY t2 IS NOT NULL"""
+
+
+@query("o1_polylines", sql(f"""SELECT instrument, segment, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2 FROM ({_segments_sql("SELECT instrument, idx, epoch(ts)::BIGINT AS t, sma_20 AS value FROM hi")})""", "hi"))
 def polylines(spark, sf):
-    """SMA-20 of whole series, one polyline per analysis window."""
+    """SMA-20 of whole series as one line each, joined over the seams of blocks of 64 joints."""
     points = indicator_blocks(hourly(spark, sf), KEYS).filter("core").withColumn("value", F.col("sma_20"))
-    return out(ann.polyline(tiles(points, TILE), TILES), "instrument", "tile", "segment", "t1", "p1", "t2", "p2")
+    return out(ann.polyline(points, KEYS, block=64), "instrument", "segment", "t1", "p1", "t2", "p2")
 
 
 @query("o2_formation_annotations")
@@ -276,7 +280,15 @@ def formation_annotations(spark, sf):
     return _ann(ann.formation_annotations(patterns.analyze_windows(tiles(hourly(spark, sf), TILE, stride=STRIDE), TILES), TILES))
 
 
-@query("o3_regime_annotations")
+_OVERLAYS = {f"sma_{p}": f"sma{p}" for p in SMA} | {f"bb_{b}": f"bb.{b}" for b in ("upper_2", "upper_1", "lower_1", "lower_2")}
+_LAST_LABEL = "row_number() OVER (PARTITION BY instrument ORDER BY idx DESC) = 1"
+
+
+@query("o3_regime_annotations", sql(f"""SELECT instrument, 'regime.' || series || '.' || segment AS name, 'trend' AS type, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2, NULL::VARCHAR AS text
+    FROM ({_segments_sql("SELECT instrument, idx, epoch(ts)::BIGINT AS t, unnest([" + ", ".join(f"'{n}'" for n in _OVERLAYS.values()) + "]) AS series, unnest([" + ", ".join(_OVERLAYS) + "]) AS value FROM (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY idx DESC) <= 80)", "instrument, series")})
+    UNION ALL SELECT instrument, 'regime.' || unnest(['high_n', 'low_n']), 'hline', NULL, unnest([round(high_n, 6), round(low_n, 6)]), NULL, NULL, NULL FROM (SELECT * FROM hlab QUALIFY {_LAST_LABEL})
+    UNION ALL SELECT instrument, 'regime.label', 'label', NULL, NULL, NULL, NULL, 'regime=' || regime || ' ADX=' || adx || CASE WHEN adx_rising THEN ' rising' WHEN adx_slope IS NOT NULL THEN ' falling' ELSE ' ?' END
+        || ' perfect_order=' || coalesce(ma_perfect_order, 'None') || ' plays=' || play_class FROM (SELECT * FROM hlab QUALIFY {_LAST_LABEL})""", "hi", "hlab"))
 def regime_annotations(spark, sf):
     good, _ = last_snapshots(hourly(spark, sf), KEYS, LOOKBACK)
     return _ann(ann.regime_annotations(classify(good), _recent(spark, sf), KEYS))
@@ -297,7 +309,12 @@ def walk_annotations(spark, sf):
     return _ann(rows.filter(F.col("type") != "label"))
 
 
-@query("o4_walk_summary_line")
+@query("o4_walk_summary_line", sql("""SELECT instrument, 'walk.label' AS name, 'label' AS type, NULL::BIGINT AS t1, NULL::DOUBLE AS p1, NULL::BIGINT AS t2, NULL::DOUBLE AS p2,
+    'walk steps=' || steps || ' runs=' || runs || ' ' || counts || ' p_hat=' || coalesce(last_p_hat::VARCHAR, 'na') || ' brier=' || coalesce(brier::VARCHAR, 'na') || ' show=both' AS text
+    FROM (SELECT instrument, sum(n)::BIGINT AS steps, string_agg(regime || '=' || n, ' ' ORDER BY regime) AS counts FROM (SELECT instrument, regime, count(*) AS n FROM scored GROUP BY 1, 2) GROUP BY 1)
+    JOIN (SELECT instrument, round_even(avg(eval_brier), 4) AS brier FROM scored GROUP BY 1) USING (instrument)
+    JOIN (SELECT instrument, p_hat AS last_p_hat FROM scored QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY pos DESC) = 1) USING (instrument)
+    JOIN (SELECT instrument, count(*) AS runs FROM runs GROUP BY 1) USING (instrument)""", "scored", "runs"))
 def walk_summary_line(spark, sf):
     result = walk.walk_and_collapse(hourly(spark, sf), KEYS, LOOKBACK)
     return _ann(ann.walk_annotations(result.runs, result.steps, result.summary, KEYS).filter(F.col("type") == "label"))
