@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -26,11 +26,11 @@ def count_true(*flags: Column) -> Column:
     return reduce(lambda a, b: a + b, [is_true(f).cast("int") for f in flags])
 
 
-def computed_once(value: Column) -> Column:
-    """Same value, but filters on it stay above the projection that computes it.
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, whose filters stay above the step that computes it.
 
     Pushing a filter down copies the whole expression into it; for long chains of
-    derived columns the copies multiply. A partition number, which is never negative, makes
-    the projection one that filters do not pass.
+    derived columns the copies multiply. The value comes out of a generator of one row,
+    which filters on other columns pass and those on the value do not.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

@@ -129,7 +129,7 @@ def finish_ticket(df: DataFrame, side: str, close: str, stop_level: str, stop_na
         F.lit("last_close").alias("entry_name"), F.col(stop_name).alias("stop_name"),
     )
     possible = is_true(right_way) & is_true(F.col("_gap") >= p) & F.col("_target").isNotNull()
-    return staged.withColumn(name, computed_once(F.when(possible, fields))).drop(
+    return computed_once(staged, name, F.when(possible, fields)).drop(
         "_entry", "_stop", "_gap", "_sign", "_plain", "_nudged", "_plain_r", "_nudged_r", "_target"
     )
 
@@ -252,7 +252,7 @@ def with_verdict(df: DataFrame, goal: Goal, proposal: str = "proposal", name: st
         lit["risk_fraction"].alias("risk_fraction"),
         F.when(known, F.col("_gap")).alias("stop_distance"),
     )
-    return measured.withColumn("_failed", failed).withColumn(name, computed_once(verdict)).drop(
+    return computed_once(measured.withColumn("_failed", failed), name, verdict).drop(
         "_missing", "_gap", "_r", "_size_problem", "_size", "_failed"
     )
 

@@ -24,9 +24,7 @@ def parse_proposals(answers: DataFrame, text: str, allowed: str) -> tuple[DataFr
     Lists in text fields are joined, confidence is coerced to [0, 1], citations
     without source or index are dropped, missing play and thesis get defaults.
     """
-    parsed = answers.withColumn("_json", computed_once(json_object(F.col(text)))).withColumn(
-        "_v", computed_once(F.try_parse_json("_json"))
-    )
+    parsed = computed_once(computed_once(answers, "_json", json_object(F.col(text))), "_v", F.try_parse_json("_json"))
     get = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
     play = F.coalesce(
         F.nullif(_text_of(F.col("_v"), "$.play_class"), F.lit("")),
@@ -78,5 +76,5 @@ def parse_proposals(answers: DataFrame, text: str, allowed: str) -> tuple[DataFr
         .when(~F.col("proposal.side").isin(*SIDES), "proposal failed validation: side")
         .when(is_true(F.size("_bad_price") > 0), F.concat(F.lit("proposal failed validation: "), F.array_join("_bad_price", ", ")))
     )
-    marked = shaped.withColumn("reason", computed_once(reason)).drop("_json", "_v", "_bad_price")
+    marked = computed_once(shaped, "reason", reason).drop("_json", "_v", "_bad_price")
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull()).drop("proposal")

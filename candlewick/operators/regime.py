@@ -134,7 +134,7 @@ def classify(snapshots: DataFrame) -> DataFrame:
             "range_x_count": count_true(*[F.col("range_checks")[n] for n in RANGE_CHECKS]),
         }
     )
-    labelled = counts.withColumn("regime", computed_once(regime_label()))
+    labelled = computed_once(counts, "regime", regime_label())
     return labelled.withColumns(
         {"allowed_play_classes": F.array(play_class(F.col("regime"))), "confidence": confidence(), "notes": notes()}
     )
