@@ -112,6 +112,19 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, id_col: str = "id") -> DataF
     return joined.withColumn("source", F.coalesce("source", F.lit("unknown")))
 
 
+def knowledge_records(hits: DataFrame) -> DataFrame:
+    """What a retrieval hands on per hit: source (``unknown`` when missing), chunk_index, page, chunk_type, title, distance and the text.
+
+    Numbers that are stored as text are read as such; what is none is null.
+    """
+    whole = lambda c: F.col(c).cast("string").try_cast("bigint") if c in hits.columns else F.lit(None).cast("bigint")
+    words = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in hits.columns else F.lit(None).cast("string")
+    return hits.select(
+        "query_id", "rank", F.coalesce(words("source"), F.lit("unknown")).alias("source"), whole("chunk_index").alias("chunk_index"),
+        whole("page").alias("page"), words("chunk_type").alias("chunk_type"), words("title").alias("title"), F.col("distance").cast("double").alias("distance"), "text",
+    )
+
+
 def numbered_context(hits: DataFrame, header: Column | None = None) -> DataFrame:
     """Per query, ``[1] text`` blocks in rank order separated by blank lines."""
     body = F.col("text") if header is None else F.concat(header, F.lit("\n"), F.col("text"))

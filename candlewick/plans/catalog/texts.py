@@ -243,6 +243,34 @@ def page_figures(spark, sf):
     return out(files.page_figures(pages, embedded), "page", "figure_index", "whole_page")
 
 
+@query("s6_scanned_files", "SELECT source, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY source")
+def scanned_files(spark, sf):
+    """One text file per source, written by Spark and scanned as bytes."""
+    root = fresh_path(spark, "files")
+    docs = table(spark, sf, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
+    docs.select("source", "text").write.partitionBy("source").text(root)
+    found = files.read_text_files(spark, f"{root}/source=*/*")
+    return out(found.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), F.md5("text").alias("digest")))
+
+
+@query("s13_image_sizes", "SELECT doc_id, doc_id % 500 + 1 AS width, n_chars % 700 + 1 AS height FROM documents WHERE doc_id % 4 <> 3")
+def image_sizes(spark, sf):
+    """Headers of images of every kind made of each document's numbers; every fourth is none."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 500 + 1).alias("w"), (F.col("n_chars") % 700 + 1).alias("h"), "text")
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    little = lambda c: F.concat(F.substring(big(c, 2), 3, 2), F.substring(big(c, 2), 1, 2))
+    w, h, kind = F.col("w"), F.col("h"), F.col("doc_id") % 4
+    note = F.substring(F.hex(F.encode("text", "UTF-8")), 1, 40)  # a comment before the frame
+    made = (
+        F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)))
+        .when(kind == 1, F.concat(F.lit("474946383961"), little(w), little(h)))
+        .when(kind == 2, F.concat(F.lit("FFD8FFE000040000FFFE"), big((F.length(note) / 2 + 2).cast("bigint"), 2), note, F.lit("FFC2001108"), big(h, 2), big(w, 2)))
+        .otherwise(F.hex(F.encode("text", "UTF-8")))
+    )
+    found = docs.select("doc_id", files.image_size(F.unhex(made)).alias("size")).filter("size is not null")
+    return out(found.select("doc_id", "size.width", "size.height"))
+
+
 @query("s6_decoded_bytes", "SELECT doc_id, md5(text) AS digest FROM documents")
 def decoded_bytes(spark, sf):
     """Every text as bytes, half of them Latin-1 where that encoding can hold the text."""
@@ -390,6 +418,18 @@ def source_list(spark, sf):
     return out(rows, digits=8)
 
 
+@query("v3_retrieved_records", f"""WITH {_JOINED} SELECT query_id, rank, source, chunk_index, round(distance, 8) AS distance, md5(text) AS digest, CASE WHEN vec_id % 4 <> 0 THEN 'text' END AS chunk_type,
+    CASE WHEN vec_id % 3 <> 0 THEN vec_id % 100 + 1 END AS page, 'doc ' || vec_id AS title FROM hd""")
+def retrieved_records(spark, sf):
+    """Every field of a hit, with pages stored as text and some of them none."""
+    told = {
+        "page": F.when(F.col("vec_id") % 3 == 0, "n/a").otherwise((F.col("vec_id") % 100 + 1).cast("string")), "title": F.concat(F.lit("doc "), F.col("vec_id").cast("string")),
+        "chunk_type": F.when(F.col("vec_id") % 4 == 0, "").otherwise("text"),
+    }
+    rows = retrieval.knowledge_records(_hits(spark, sf).withColumns(told))
+    return out(rows.withColumn("digest", F.md5("text")).drop("text"), digits=8)
+
+
 @query("v8_numbered_context", f"""WITH {_JOINED} SELECT query_id, md5(string_agg('[' || n || '] ' || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hd WHERE text IS NOT NULL) GROUP BY 1""")
 def numbered_context(spark, sf):

@@ -28,10 +28,41 @@ def large_images(images: DataFrame, side: int = MIN_FIGURE_SIDE) -> DataFrame:
     return images.filter((F.col("width") >= side) & (F.col("height") >= side))
 
 
+#: Segments of a JPEG file that are looked through for its size.
+JPEG_SEGMENTS = 64
+# JPEG markers that carry the size of the frame.
+_FRAMES = [0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF]
+
+
+def image_size(content: Column) -> Column:
+    """(width, height) that the header of a PNG, GIF or JPEG file states; null for anything else. No pixel is decoded."""
+    number = lambda raw: F.conv(F.hex(raw), 16, 10).cast("int")
+    big = lambda at, n: number(F.substr(content, at, F.lit(n)))
+    little = lambda at: number(F.concat(F.substring(content, at + 1, 1), F.substring(content, at, 1)))
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    head = F.hex(F.substring(content, 1, 8))
+    none = F.lit(None).cast("int")
+    state = lambda at, w, h: F.struct(at.cast("int").alias("at"), w.alias("width"), h.alias("height"))
+
+    def segment(s: Column) -> Column:
+        at = s["at"]
+        here = big(at, 1) == 0xFF
+        framed = here & big(at + 1, 1).isin(*_FRAMES)
+        return F.when(framed, state(none, big(at + 7, 2), big(at + 5, 2))).when(here, state(at + 2 + big(at + 2, 2), none, none)).otherwise(state(none, none, none))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(JPEG_SEGMENTS)), state(F.lit(3), none, none), lambda s, _: F.when(s["at"].isNull(), s).otherwise(segment(s)))
+    found = (
+        F.when(head == "89504E470D0A1A0A", size(big(F.lit(17), 4), big(F.lit(21), 4)))
+        .when(head.startswith("47494638"), size(little(7), little(9)))
+        .when(head.startswith("FFD8"), F.transform(F.array(walk), lambda s: size(s["width"], s["height"]))[0])
+    )
+    return F.when(found["width"].isNotNull() & found["height"].isNotNull(), found)
+
+
 def read_images(spark: SparkSession, path: str, side: int = MIN_FIGURE_SIDE) -> DataFrame:
-    """(path, width, height) of readable images large enough to be figures."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    sizes = images.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    """(path, width, height) of images large enough to be figures, by their headers; other files are dropped."""
+    files = spark.read.format("binaryFile").load(path)
+    sizes = files.select("path", image_size(F.col("content")).alias("size")).select("path", "size.width", "size.height")
     return large_images(sizes, side)
 
 
