@@ -8,6 +8,7 @@ from candlewick.functions import text as tx
 from candlewick.operators import corpus, proposals, retrieval
 from candlewick.operators.patterns import analysis_windows, formation
 from candlewick.operators.series import tiles
+from candlewick.operators.vector_blocks import VectorBlocks
 from candlewick.plans.catalog.analytics import STRIDE, TILE, TILES, _FORMATIONS, _tiled_sql
 from candlewick.plans.catalog.inputs import hourly, hourly_labels, out, outer, table
 from candlewick.plans.registry import query
@@ -381,6 +382,23 @@ def filtered_top_k(spark, sf):
     return out(hits, "query_id", "vec_id", "rank", "distance", digits=8)
 
 
+def _indexed(spark, sf, group=None):
+    return VectorBlocks(spark, fresh_path(spark, "vector-blocks"), 64, "vec_id", group).build(_vectors(spark, sf), pivots=32, block_bytes=64 << 10)
+
+
+@query("v1_block_top_k", f"WITH {_TOPK.format(where='true')} SELECT query_id, vec_id, rank, round(distance, 8) AS distance FROM hits WHERE rank <= 5")
+def block_top_k(spark, sf):
+    """Top-k over the block index, blocks of 64 kB."""
+    return out(_indexed(spark, sf).top_k(_questions(spark, sf).drop("label"), 5), "query_id", "vec_id", "rank", "distance", digits=8)
+
+
+@query("v2_filtered_block_top_k", f"WITH {_TOPK.format(where='label = query_id')} SELECT query_id, vec_id, rank, round(distance, 8) AS distance FROM hits WHERE rank <= 7")
+def filtered_block_top_k(spark, sf):
+    """The same with a filter value: cells and blocks are those of one label."""
+    asked = _questions(spark, sf).select("query_id", "embedding", F.col("query_id").cast(_vectors(spark, sf).schema["label"].dataType).alias("label"))
+    return out(_indexed(spark, sf, "label").top_k(asked, 7), "query_id", "vec_id", "rank", "distance", digits=8)
+
+
 @query("v2_source_filtered_chunks", f"""WITH {_TOPK.format(where='true').replace('FROM q, embeddings', "FROM q, (SELECT e.*, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) embeddings").replace('SELECT query_id, vec_id, label::BIGINT AS label,', 'SELECT query_id, vec_id, source,').replace('WHERE true', "WHERE source = 'src' || query_id")}
     SELECT query_id, vec_id, source, rank, round(distance, 8) AS distance, 'text' AS chunk_type, vec_id % 100 + 1 AS page, 'doc ' || vec_id AS title FROM hits WHERE rank <= 4""")
 def source_filtered_chunks(spark, sf):
