@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.numbers import is_true, rounded
+from candlewick.operators.flips import flip_counts
 from candlewick.operators.indicators import MIN_BARS, walk_snapshots
 from candlewick.operators.regime import classify
 from candlewick.operators.series import block_window, halo_blocks, running_offsets
@@ -123,8 +124,8 @@ def regime_changed(regime_then: Column, way_then: Column, regime_now: Column, wa
     return ~regime_then.eqNullSafe(regime_now) | ((regime_then == "trend") & ~way_then.eqNullSafe(way_now))
 
 
-def instability(previous_order: Column) -> Column:
-    """Weighted risk-of-flip score in [0, 1]."""
+def instability(order_lost: Column) -> Column:
+    """Weighted risk-of-flip score in [0, 1]; ``order_lost``: the step before had another order of the averages."""
     adx, slope = F.col("adx"), F.col("adx_slope")
     boundary = adx.between(20.0, 30.0)
     against = ((F.col("regime") == "trend") & (slope < 0)) | ((F.col("regime") == "range") & F.col("adx_rising"))
@@ -132,104 +133,47 @@ def instability(previous_order: Column) -> Column:
         (W_MIXED_OR_WANING, (F.col("regime") == "mixed") | F.col("trend_waning")),
         (W_ADX_BOUNDARY, is_true(boundary) | is_true(against)),
         (W_COUNT_GAP, F.abs(F.col("trend_x_count") - F.col("range_x_count")) <= 1),
-        (W_ORDER_LOST, previous_order.isNotNull() & ~previous_order.eqNullSafe(F.col("ma_perfect_order"))),
+        (W_ORDER_LOST, order_lost),
         (W_LOW_CONFIDENCE, F.col("confidence") < 0.5),
     ]
     total = sum(F.when(is_true(test), weight).otherwise(0.0) for weight, test in parts)
     return rounded(F.least(total, F.lit(1.0)), 3)
 
 
+def _code(column: str, values: Sequence[str], none: int) -> Column:
+    """A small integer per value; ``none`` for null, the number of values for all others."""
+    return F.coalesce(*[F.when(F.col(column) == v, i) for i, v in enumerate(values)], F.when(F.col(column).isNull(), none), F.lit(len(values) + 1))
+
+
 def attach_change_prob(steps: DataFrame, keys: Sequence[str], horizon: int = 5, min_n: int = 10) -> DataFrame:
     """Instability, empirical flip probability from known outcomes only, and its delayed score.
 
-    An outcome becomes known ``horizon`` steps later, so each step carries one
-    event (the bucket of the step ``horizon`` back, and whether it flipped) and
-    one question (its own bucket). A running count per (block, bucket) answers
-    the question; per-block bucket totals supply what earlier blocks add.
-    ``steps`` is read twice: persist it or store it.
+    An outcome becomes known ``horizon`` steps later. Counts come from one pass over narrow rows (``flips``) and are
+    joined to their steps; ``steps`` is read twice or more: persist it or store it.
     """
     if horizon < 1 or min_n < 1:
         raise ValueError("horizon and min_n must be >= 1")
     keys = list(keys)
-    place = [*keys, "block"]
-    numbered = steps.withColumn("_bucket", bucket_number())
-    blocks = halo_blocks(numbered, before=2 * horizon, idx="pos", size=STEP_BLOCK)
-    w = block_window(keys, idx="pos")
-    known = blocks.withColumns(
-        {
-            "instability": instability(F.lag("ma_perfect_order").over(w)),
-            "_then": F.lag("_bucket", horizon).over(w),
-            "eval_changed": F.when(
-                F.lag("pos", horizon).over(w).isNotNull(),
-                regime_changed(
-                    F.lag("regime", horizon).over(w), F.lag("direction", horizon).over(w), F.col("regime"), F.col("direction")
-                ),
-            ),
-        }
-    )
-
-    narrow = halo_blocks(
-        numbered.select(*keys, "pos", "_bucket", "regime", "direction"), before=horizon, idx="pos", size=STEP_BLOCK
-    )
-    flips = regime_changed(
-        F.lag("regime", horizon).over(w), F.lag("direction", horizon).over(w), F.col("regime"), F.col("direction")
-    )
-    events = narrow.select(
-        *place, "core", F.lag("_bucket", horizon).over(w).alias("_bucket"), flips.cast("bigint").alias("_flip")
-    ).filter("core")
-    counted = events.filter(F.col("_bucket").isNotNull()).groupBy(*place, "_bucket").agg(
-        F.count("*").alias("_n"), F.sum("_flip").alias("_flips")
-    )
-    every_bucket = F.sequence(F.lit(0), F.lit(len(REGIMES) * 8 - 1))
-    dense = (
-        events.select(*place).distinct().withColumn("_bucket", F.explode(every_bucket))
-        .join(counted, [*place, "_bucket"], "left")
-        .fillna(0, ["_n", "_flips"])
-    )
-    before = (
-        running_offsets(dense, [*keys, "_bucket"], "block", ["_n", "_flips"])
-        .filter(F.col("_n_before") > 0)
-        .groupBy(*place)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_bucket", F.struct("_n_before", "_flips_before")))).alias("_before"))
-    )
-
-    event = F.struct(F.col("_then").alias("b"), F.lit(1).alias("n"), F.col("eval_changed").cast("int").alias("flip"), F.lit(False).alias("asks"))
-    question = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("n"), F.lit(0).alias("flip"), F.lit(True).alias("asks"))
-    pairs = F.filter(F.array(event, question), lambda e: e["b"].isNotNull())
-    lines = known.withColumn("_e", F.explode(pairs)).withColumns(
-        {"_b": F.col("_e.b"), "_n": F.col("_e.n"), "_f": F.col("_e.flip"), "_asks": F.col("_e.asks")}
-    )
-    by_bucket = Window.partitionBy(*place, "_b")
-    so_far = by_bucket.orderBy("pos", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    in_halo = F.col("pos") < F.col("block") * STEP_BLOCK
-    answered = (
-        lines.withColumns(
-            {
-                "_seen": F.sum("_n").over(so_far) - F.sum(F.when(in_halo, F.col("_n")).otherwise(0)).over(by_bucket),
-                "_hits": F.sum("_f").over(so_far) - F.sum(F.when(in_halo, F.col("_f")).otherwise(0)).over(by_bucket),
-            }
-        )
-        .filter("_asks")
-        .join(before, place, "left")
-    )
-    earlier = F.try_element_at("_before", F.col("_b"))
-    n = F.col("_seen") + F.coalesce(earlier["_n_before"], F.lit(0))
-    hits = F.col("_hits") + F.coalesce(earlier["_flips_before"], F.lit(0))
-    scored = answered.withColumns({"n_hist": n, "p_hat": F.when(n >= min_n, rounded(hits / n, 4))}).withColumn(
-        "eval_p_hat", F.lag("p_hat", horizon).over(w)
+    codes = {
+        "bucket": bucket_number(), "regime": _code("regime", REGIMES, len(REGIMES)),
+        "way": _code("direction", ("", "up", "down"), 0), "order": _code("ma_perfect_order", ("", "up", "down"), 0),
+    }
+    counts = flip_counts(steps.select(*keys, "pos", *[v.alias(k) for k, v in codes.items()]), keys, horizon, len(REGIMES) * 8, STEP_BLOCK)
+    share = lambda hits, n: F.when(F.col(n) >= min_n, rounded(F.col(hits) / F.col(n), 4))
+    told = counts.select(
+        *keys, F.col("pos").alias("_pos"), F.col("changed").alias("eval_changed"), "order_lost", "n_hist",
+        share("hits", "n_hist").alias("p_hat"), share("then_hits", "then_n").alias("eval_p_hat"),
     )
+    scored = steps.withColumn("_pos", F.col("pos").cast("long")).join(told, [*keys, "_pos"])
     outcome = F.col("eval_changed").cast("double")
-    return (
-        scored.withColumns(
-            {
-                "bucket": state_bucket(),
-                "p_hat_note": F.when(F.col("p_hat").isNull(), INSUFFICIENT),
-                "eval_brier": rounded(F.pow(F.col("eval_p_hat") - outcome, 2), 4),
-            }
-        )
-        .filter("core")
-        .drop("block", "core", "_bucket", "_then", "_e", "_b", "_n", "_f", "_asks", "_seen", "_hits", "_before")
-    )
+    return scored.withColumns(
+        {
+            "instability": instability(F.col("order_lost")),
+            "bucket": state_bucket(),
+            "p_hat_note": F.when(F.col("p_hat").isNull(), INSUFFICIENT),
+            "eval_brier": rounded(F.pow(F.col("eval_p_hat") - outcome, 2), 4),
+        }
+    ).drop("_pos", "order_lost")
 
 
 def change_watch(scored: DataFrame, p_hat: float = WATCH_P_HAT, score: float = WATCH_INSTABILITY) -> DataFrame:
