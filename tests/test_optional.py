@@ -24,3 +24,9 @@ def test_without_the_subpackage_and_its_pipeline(tmp_path):
 
 def test_with_the_pipeline_alone(tmp_path):
     assert asked(copied(tmp_path, "llm")) == ["0", "True"]
+
+
+def test_with_an_empty_folder_left(tmp_path):
+    folder = copied(tmp_path, "llm", "corpus_pipeline.py")
+    (folder / "candlewick/llm/__pycache__").mkdir(parents=True)
+    assert asked(folder) == ["0", "True"]
