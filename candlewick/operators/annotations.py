@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlewick.functions.numbers import is_true, rounded
+from candlewick.functions.numbers import is_true
 from candlewick.functions.text import strip
 from candlewick.functions.times import feed_seconds
 from candlewick.operators.indicators import SMA_PERIODS
@@ -216,7 +216,8 @@ def walk_annotations(
     if show in ("markers", "both"):
         watched = change_watch(scored, p_hat, score).filter(F.col("ts").isNotNull())
         t = feed_seconds(F.col("ts"), offset)
-        two = lambda c: F.when(c.isNull(), "na").otherwise(F.format_string("%.2f", rounded(c, 2)))
+        # Two digits of the double itself, as a format prints it: 0.575 lies below its decimal and is 0.57.
+        two = lambda c: F.coalesce(F.format_number(c, 2), F.lit("na"))
         name = _named(f"{prefix}watch.", F.col("idx"))
         text = F.concat(F.lit("p="), two(F.col("p_hat")), F.lit("  i="), two(F.col("instability")))
         out = out.unionByName(

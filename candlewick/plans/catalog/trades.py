@@ -301,7 +301,8 @@ def regime_annotations(spark, sf):
     UNION ALL SELECT instrument, 'walk.run.' || run || '.text', 'text', epoch(start_ts)::BIGINT, high, NULL, NULL,
         CASE WHEN trend_waning THEN regime || '/waning' WHEN direction IS NOT NULL THEN regime || '/' || direction ELSE regime END FROM runs
     UNION ALL SELECT instrument, 'walk.watch.' || idx || unnest(['', '.text']), unnest(['arrow', 'text']), epoch(ts)::BIGINT, high, NULL, NULL,
-        unnest([NULL, 'p=' || coalesce(printf('%.2f', round_even(p_hat, 2)), 'na') || '  i=' || coalesce(printf('%.2f', round_even(instability::DOUBLE, 2)), 'na')]) FROM scored
+        unnest([NULL, 'p=' || coalesce(printf('%.2f', p_hat), 'na') || '  i=' || coalesce(printf('%.2f', instability::DOUBLE), 'na')])
+        FROM (SELECT * REPLACE (CASE WHEN n_hist >= 10 THEN (hits * 10000 // n_hist + (2 * (hits * 10000 % n_hist) + hits * 10000 // n_hist % 2 > n_hist)::INT)::DOUBLE / 10000 END AS p_hat) FROM scored)
         WHERE p_hat >= 0.5 OR instability >= 0.6""", "runs", "scored"))
 def walk_annotations(spark, sf):
     result = walk.walk_and_collapse(hourly(spark, sf), KEYS, LOOKBACK)
