@@ -119,15 +119,16 @@ def _decode_entities(text: Column) -> Column:
 
     def decode(piece: Column) -> Column:
         number = F.regexp_extract(piece, r"^&#(?:\d+|[xX][0-9a-fA-F]+);?", 0)
-        digits = F.regexp_extract(number, r"^&#[xX]?([0-9a-fA-F]+)", 1)
-        code = F.when(number.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        digits = F.regexp_extract(number, r"^&#[xX]?0*([0-9a-fA-F]+)", 1)
+        short = F.when(F.length(digits) <= 9, digits)  # longer ones are no characters
+        code = F.when(number.rlike("[xX]"), F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
         allowed = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.when(is_true(allowed), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
         closed = F.regexp_extract(piece, r"^&(\w+;)", 1)
         bare = F.regexp_extract(piece, "^&(" + "|".join(_BARE_NAMES) + ")", 1)
         name = F.when(F.try_element_at(named, closed).isNotNull(), closed).otherwise(bare)
         return (
-            F.when(number != "", F.concat(F.coalesce(F.try_element_at(windows, code.cast("int")), char), F.substring(piece, F.length(number) + 1, F.length(piece))))
+            F.when(number != "", F.concat(F.coalesce(F.try_element_at(windows, code.try_cast("int")), char), F.substring(piece, F.length(number) + 1, F.length(piece))))
             .when(name != "", F.concat(F.try_element_at(named, name), F.substring(piece, F.length(name) + 2, F.length(piece))))
             .otherwise(piece)
         )
@@ -142,7 +143,7 @@ def html_to_text(html: Column) -> Column:
     is never closed.
     """
     bare = html
-    for pattern in (r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)"):
+    for pattern in (r"(?is)<(script|style)(?:[\t\n\f\r /][^>]*)?>.*?(?:</\1\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)"):
         bare = F.regexp_replace(bare, pattern, _BREAK)
     quoted = r"""<[/!?]?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[/!?]?[A-Za-z][^>]*>"""
     broken = F.regexp_replace(bare, quoted, _BREAK)

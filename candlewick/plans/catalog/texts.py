@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from candlewick.functions import text as tx
@@ -186,11 +188,33 @@ def assembled_documents(spark, sf):
     return out(sections.assemble_documents(turns).select("source", F.md5("text").alias("digest")))
 
 
-@query("s7_html_to_text", r"""
-    SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        html, '<script\b[^>]*>.*?</script\s*>', chr(1), 'gis'), '<style\b[^>]*>.*?</style\s*>', chr(1), 'gis'), '<!--.*?-->', chr(1), 'gs'),
-        '<[/!?]?[A-Za-z][^>]*>', chr(1), 'g'), chr(1)),
-        lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+def _text_map(pairs) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(k) if isinstance(k, str) else k}: {quoted(v)}" for k, v in pairs) + "}"
+
+
+def _tag(name: str) -> str:
+    """A name in letters of either case; no others fold to it."""
+    return "".join(f"[{c}{c.upper()}]" for c in name)
+
+
+# What follows an ampersand, decoded: a numeric reference, a name with its semicolon, or the longest old name without one.
+_REFERENCE = rf"""CASE
+    WHEN regexp_matches(p, '^#([0-9]|[xX][0-9a-fA-F])') THEN list_transform([regexp_extract(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?')], lambda number:
+        list_transform([try_cast(regexp_replace(replace(number[2:], ';', ''), '^[xX]', '0x') AS BIGINT)], lambda code:
+            coalesce({_text_map((c, bytes([c]).decode("cp1252", "ignore")) for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore"))}[code],
+                CASE WHEN code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111 THEN chr(code::INT) ELSE chr(65533) END))[1]
+        || substr(p, length(number) + 1))[1]
+    ELSE list_transform([CASE WHEN NAMES[regexp_extract(p, '^(\w+;)', 1)] IS NOT NULL THEN regexp_extract(p, '^(\w+;)', 1)
+            ELSE regexp_extract(p, '^({"|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))})', 1) END], lambda name:
+        CASE WHEN name <> '' THEN NAMES[name] || substr(p, length(name) + 1) ELSE '&' || p END)[1] END""".replace("NAMES", _text_map(html5.items()))
+
+
+@query("s7_html_to_text", rf"""
+    SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(
+        html, '<{_tag("script")}(?:[\t\n\f\r /][^>]*)?>.*?(?:</{_tag("script")}[\s\x0B]*>|\z)|<{_tag("style")}(?:[\t\n\f\r /][^>]*)?>.*?(?:</{_tag("style")}[\s\x0B]*>|\z)', chr(1), 'gs'),
+        '<!--.*?(?:-->|\z)', chr(1), 'gs'), '<[/!?]?[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[/!?]?[A-Za-z][^>]*>', chr(1), 'g'), chr(1)),
+        lambda x: regexp_replace(regexp_replace(array_to_string(list_transform(string_split(x, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {_REFERENCE} END), ''),
             '^WS', ''), 'WS$', '')), lambda x: x <> ''), chr(10))) AS digest FROM pages""".replace("WS", _WS))
 def html_text(spark, sf):
     rows = sections.sections_text(table(spark, sf, "pages").select("page_id", "html"))
