@@ -162,7 +162,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     apart = toxicity.held_out()
-    model = toxicity.learn(docs, labels.filter(~apart))
+    model = toxicity.learn(docs.filter(~apart), labels.filter(~apart))
     scored = toxicity.score(spark, docs.select("doc_id", "text"), model)
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
