@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from candlewick.operators.indicators import ADX_PERIOD, MACD_FAST, MACD_SIGNAL, MACD_SLOW, RSI_PERIOD, directional_moves, true_range
-from candlewick.operators.series import block_window, halo_blocks
+from candlewick.operators.indicators import ADX_PERIOD, MACD_FAST, MACD_SIGNAL, MACD_SLOW, ROWS_PER_CALL, RSI_PERIOD
+from candlewick.operators.series import halo_blocks
 from candlewick.session import stored_once
 
 BLOCK, FANOUT = 2048, 64
@@ -155,42 +155,129 @@ def wilder(x: Column, period: int, first: int = 1) -> tuple[Column, Column]:
     return seeded(x, first, period, (period - 1) / period)
 
 
+#: Recurrences of the first scan (period, first row) and, over their results, of the second.
+_FIRST = {
+    "ema_fast": (MACD_FAST, 0), "ema_slow": (MACD_SLOW, 0), "gain": (RSI_PERIOD, 1), "loss": (RSI_PERIOD, 1),
+    "range": (ADX_PERIOD, 1), "up": (ADX_PERIOD, 1), "down": (ADX_PERIOD, 1),
+}
+_SECOND = {"signal": (MACD_SIGNAL, MACD_SLOW - 1), "adx": (ADX_PERIOD, ADX_PERIOD)}
+_RESULTS = ("ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist", "rsi", "plus_di", "minus_di", "adx")
+
+
+def _decay(name: str, period: int) -> float:
+    return 1.0 - 2.0 / (period + 1) if name.startswith("ema") or name == "signal" else (period - 1) / period
+
+
+def _steps(kinds: Mapping[str, tuple[int, int]], values: Mapping[str, np.ndarray], idx: np.ndarray, core: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``seeded`` in numpy, composed from the start of each block; a row of halo changes nothing."""
+    a, b = np.ones((len(idx), len(kinds))), np.zeros((len(idx), len(kinds)))
+    for i, (name, (period, first)) in enumerate(kinds.items()):
+        x, ready, decay = values[name], first + period - 1, _decay(name, period)
+        a[:, i] = np.where(~core | (idx < ready), 1.0, np.where(idx == ready, 1.0 / period, decay))
+        b[:, i] = np.where(~core | (idx < first), 0.0, np.where(idx < ready, x, np.where(idx == ready, x / period, x * (1.0 - decay))))
+    return composed(a, b, start)
+
+
+class _Laid:
+    """Whole blocks laid end to end: rows, and which of them begin a block and belong to it."""
+
+    def __init__(self, batch: pa.RecordBatch, size: int):
+        rows = batch.column("_rows")
+        self.batch, lengths = batch, rows.value_lengths().to_numpy()
+        flat = rows.flatten()
+        self.rows = dict(zip([f.name for f in flat.type], flat.flatten()))
+        self.ends = np.cumsum(lengths) - 1
+        self.stretch = np.repeat(np.arange(len(lengths)), lengths)
+        self.idx = self.rows["idx"].to_numpy()
+        self.start = np.zeros(len(self.idx), bool)
+        self.start[self.ends - lengths + 1] = True
+        self.core = self.idx // size == batch.column("block").to_numpy()[self.stretch]
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        high, low, close = (self.rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("high", "low", "close"))
+        before = lambda x: np.concatenate([x[:1], x[:-1]])
+        change, up, down = close - before(close), high - before(high), before(low) - low
+        gap = np.maximum(high - low, np.maximum(np.abs(high - before(close)), np.abs(low - before(close))))
+        moves = {
+            "gain": np.maximum(change, 0.0), "loss": np.maximum(-change, 0.0), "range": gap,
+            "up": np.where((up > down) & (up > 0), up, 0.0), "down": np.where((down > up) & (down > 0), down, 0.0),
+        }  # a block's first row is halo, or has no bar before it
+        return _steps(_FIRST, {"ema_fast": close, "ema_slow": close} | {k: np.where(self.start, 0.0, v) for k, v in moves.items()}, self.idx, self.core, self.start)
+
+    def after(self, column: str, maps: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """What the recurrences are at every row, from their states before the blocks."""
+        state = self.batch.column(column)
+        return maps[0] * state.flatten().to_numpy().reshape(len(state), -1)[self.stretch] + maps[1]
+
+    def levels(self) -> dict[str, np.ndarray]:
+        found = dict(zip(_FIRST, self.after("_state", self.first()).T))
+        percent = lambda part, whole: np.divide(100.0 * part, whole, out=np.zeros(len(whole)), where=whole != 0)
+        plus, minus = percent(found["up"], found["range"]), percent(found["down"], found["range"])
+        return found | {"plus": plus, "minus": minus, "signal": found["ema_fast"] - found["ema_slow"], "adx": percent(np.abs(plus - minus), plus + minus)}
+
+    def second(self, levels: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _steps(_SECOND, levels, self.idx, self.core, self.start)
+
+    def results(self) -> dict[str, pa.Array]:
+        levels = self.levels()
+        signal, adx = self.after("_state2", self.second(levels)).T
+        gain, loss, line = levels["gain"], levels["loss"], levels["signal"]
+        strength = np.divide(gain, loss, out=np.zeros(len(gain)), where=loss != 0)
+        rsi = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), np.where(gain == 0, 0.0, 100.0 - 100.0 / (1.0 + strength)))
+        slow, ready, n = MACD_SLOW - 1, MACD_SLOW + MACD_SIGNAL - 2, ADX_PERIOD
+        values = {
+            "ema_fast": (MACD_FAST - 1, levels["ema_fast"]), "ema_slow": (slow, levels["ema_slow"]), "macd": (slow, line), "macd_signal": (ready, signal),
+            "macd_hist": (ready, line - signal), "rsi": (RSI_PERIOD, rsi), "plus_di": (n, levels["plus"]), "minus_di": (n, levels["minus"]), "adx": (2 * n - 1, adx),
+        }
+        return {k: pa.array(v, mask=self.idx < first) for k, (first, v) in values.items()}
+
+
+def _laid(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Laid]:
+    """The blocks of a partition, about ROWS_PER_CALL rows at a time."""
+    for batch in batches:
+        step = max(1, ROWS_PER_CALL // size)
+        for first in range(0, batch.num_rows, step):
+            yield _Laid(batch.slice(first, step), size)
+
+
 def series_recursions(bars: DataFrame, keys: Sequence[str], block: int = BLOCK, fanout: int = FANOUT) -> DataFrame:
     """Recursive indicators of every bar of whole series, unlike those of a look-back window.
 
     Adds ema_fast, ema_slow, macd, macd_signal, macd_hist, rsi, plus_di, minus_di and adx, null until they have
-    their first mean. ``bars``: keys, idx from 0, high, low, close.
+    their first mean. ``bars``: keys, idx from 0, high, low, close; other columns ride along. A block of bars is one
+    stored row; only those rows travel, once for the states of either scan, and all values are made anew from the prices.
     """
     keys = list(keys)
-    w = block_window(keys)
-    plus, minus = directional_moves(w)
-    change = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
-    moved = halo_blocks(bars.drop("block"), before=1, size=block).withColumns(
-        {"_tr": F.coalesce(true_range(w), F.lit(0.0)), "_plus": F.coalesce(plus, F.lit(0.0)), "_minus": F.coalesce(minus, F.lit(0.0)), "_change": change}
-    )
-    moved = stored_once(moved.filter("core").drop("core", "block"), "recurrence-moves")
-    gain, loss = F.greatest("_change", F.lit(0.0)), F.greatest(-F.col("_change"), F.lit(0.0))
-    first = {
-        "ema_fast": ema(F.col("close"), MACD_FAST), "ema_slow": ema(F.col("close"), MACD_SLOW),
-        "_gain": wilder(gain, RSI_PERIOD), "_loss": wilder(loss, RSI_PERIOD),
-        "_range": wilder(F.col("_tr"), ADX_PERIOD), "_up": wilder(F.col("_plus"), ADX_PERIOD), "_down": wilder(F.col("_minus"), ADX_PERIOD),
-    }
-    percent = lambda part, whole: F.when(whole == 0, 0.0).otherwise(100.0 * part / whole)
-    from_row = lambda n, value: F.when(F.col("idx") >= n, value)
-    levels = affine_scan(moved, keys, first, block, fanout).withColumns(
-        {"_pdi": percent(F.col("_up"), F.col("_range")), "_mdi": percent(F.col("_down"), F.col("_range")), "_line": F.col("ema_fast") - F.col("ema_slow")}
-    )
-    levels = stored_once(levels.withColumn("_dx", percent(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi"))), "recurrence-levels")
-    second = {"_signal": ema(F.col("_line"), MACD_SIGNAL, MACD_SLOW - 1), "_adx": wilder(F.col("_dx"), ADX_PERIOD, ADX_PERIOD)}
-    whole = affine_scan(levels, keys, second, block, fanout)
-    signal_row, n = MACD_SLOW + MACD_SIGNAL - 2, ADX_PERIOD
-    strength = F.when(F.col("_loss") == 0, F.when(F.col("_gain") > 0, 100.0).otherwise(50.0)).when(F.col("_gain") == 0, 0.0).otherwise(
-        100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))
-    )
-    columns = {
-        "ema_fast": from_row(MACD_FAST - 1, F.col("ema_fast")), "ema_slow": from_row(MACD_SLOW - 1, F.col("ema_slow")),
-        "macd": from_row(MACD_SLOW - 1, F.col("_line")), "macd_signal": from_row(signal_row, F.col("_signal")),
-        "macd_hist": from_row(signal_row, F.col("_line") - F.col("_signal")), "rsi": from_row(RSI_PERIOD, strength),
-        "plus_di": from_row(n, F.col("_pdi")), "minus_di": from_row(n, F.col("_mdi")), "adx": from_row(2 * n - 1, F.col("_adx")),
-    }
-    return whole.select(*[c for c in bars.columns if c not in columns], *[v.alias(k) for k, v in columns.items()])
+    kept = [c for c in bars.columns if c not in (*_RESULTS, *keys, "block", "core")]
+    rows = halo_blocks(bars.select(*keys, *kept), before=1, size=block).groupBy(*keys, "block")
+    blocks = stored_once(rows.agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in kept if c != "idx"]))).alias("_rows")), "recurrence-blocks")
+    place = [*[blocks.schema[c] for c in (*keys, "block")]]
+    doubles = ArrayType(DoubleType())
+    map_schema = StructType([*place, StructField("a", doubles), StructField("b", doubles)])
+    map_arrow = to_arrow_schema(map_schema)
+
+    def maps(how) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for laid in _laid(batches, block):
+                ends = [x[laid.ends].tolist() for x in how(laid)]
+                yield pa.RecordBatch.from_arrays([*[laid.batch.column(c).cast(map_arrow.field(c).type) for c in (*keys, "block")], *[pa.array(x, f.type) for x, f in zip(ends, list(map_arrow)[-2:])]], schema=map_arrow)
+
+        return run
+
+    own = [*keys, "block"]
+    first = states_before(stored_once(blocks.mapInArrow(maps(lambda laid: laid.first()), map_schema), "recurrence-maps"), keys, len(_FIRST), fanout)
+    first = stored_once(first.withColumnRenamed("state", "_state"), "recurrence-states")
+    second = blocks.join(first, own).mapInArrow(maps(lambda laid: laid.second(laid.levels())), map_schema)
+    second = states_before(stored_once(second, "recurrence-maps"), keys, len(_SECOND), fanout)
+    schema = StructType([*[bars.schema[c] for c in (*keys, *kept)], *[StructField(c, DoubleType()) for c in _RESULTS]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for laid in _laid(batches, block):
+            core, at = pa.array(laid.core), pa.array(laid.stretch)
+            columns = {c: laid.batch.column(c).take(at) for c in keys} | laid.rows | laid.results()
+            yield pa.RecordBatch.from_arrays([columns[f.name].filter(core).cast(f.type) for f in arrow], schema=arrow)
+
+    states = first.join(second.withColumnRenamed("state", "_state2"), own)
+    made = blocks.join(states, own).mapInArrow(run, schema)
+    return made.select(*[c for c in bars.columns if c in schema.names and c not in _RESULTS], *_RESULTS)

@@ -84,7 +84,8 @@ _WHOLE = ("ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist", "rsi", "pl
     CASE WHEN m >= 14 THEN round(pdi, 4) END AS plus_di, CASE WHEN m >= 14 THEN round(mdi, 4) END AS minus_di, CASE WHEN m >= 27 THEN round(adx, 4) END AS adx"""))
 def whole_series(spark, sf):
     """Recursions over whole supplier series, in blocks of 64 bars and a tree of fan-out 4."""
-    return out(recurrences.series_recursions(daily(spark, sf), KEYS, block=64, fanout=4), "instrument", "idx", *_WHOLE, digits=4)
+    bars = daily(spark, sf).select(*KEYS, "idx", "high", "low", "close")
+    return out(recurrences.series_recursions(bars, KEYS, block=64, fanout=4), "instrument", "idx", *_WHOLE, digits=4)
 
 
 _SNAP = ["last_close", *_SMAS, *_BANDS, "bb_width", "stoch_k", "stoch_d", "rsi", "adx", "plus_di", "minus_di", "adx_slope", "macd", "macd_signal", "macd_hist", "high_n", "low_n"]
