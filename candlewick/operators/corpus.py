@@ -109,6 +109,7 @@ def embed_texts(chunks: DataFrame, embed: Callable[[Column], Column], text: str
 
     With ``vectors``, a table keyed by ``digest``, texts embedded in an earlier ingest are not
     embedded again: only buckets that can hold a wanted digest are read, and what is new is added as its next version.
+    Rows then keep their ``digest``, by which readers of the table join without their texts.
     """
     named = chunks.withColumn("_digest", F.sha2(F.col(text), 256))
     # Texts travel to one row per digest; the digest alone joins them to their chunks.
@@ -121,8 +122,9 @@ def embed_texts(chunks: DataFrame, embed: Callable[[Column], Column], text: str
         fresh = distinct.join(held, "digest", "left_anti").select("digest", embed(F.col("_text")).alias("embedding"))
         vectors.upsert(fresh, vectors.version() + 1)
         known = vectors.rows_for(wanted).select("digest", "embedding")
-    kept = [c for c in chunks.columns if c != "embedding"]
-    return named.select(*kept, "_digest").join(known.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+    kept = [c for c in chunks.columns if c != "embedding" and (vectors is None or c != "digest")]
+    joined = named.select(*kept, "_digest").join(known.withColumnRenamed("digest", "_digest"), "_digest", "left")
+    return joined.drop("_digest") if vectors is None else joined.select(*kept, "embedding", F.col("_digest").alias("digest"))
 
 
 def ingest_documents(

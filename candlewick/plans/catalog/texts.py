@@ -126,7 +126,8 @@ def _bucketed_chunks(spark, sf):
     stored = BucketedTable(spark, fresh_path(spark, "buckets"), buckets=16)
     first, second = _two_ingests(spark, sf)
     stored.upsert(first, 1)
-    stored.upsert(second.unionByName(second), 2)
+    twice = F.explode(F.array(F.lit(1), F.lit(2)))
+    stored.upsert(second.withColumn("copy", twice).drop("copy"), 2)
     stored.upsert(first, 2)  # applied before: nothing happens
     return stored
 
@@ -163,7 +164,7 @@ def ingested_vectors(spark, sf):
     corpus.ingest_documents(docs.filter(even), _letters, vectors)
     chunks, _ = corpus.ingest_documents(docs, _letters, vectors)
     made = vectors.rows().select("digest", F.col(tables.VERSION).alias("version"))
-    return out(chunks.join(made, F.sha2("text", 256) == F.col("digest")).select("id", "embedding", "version"))
+    return out(chunks.join(made, "digest").select("id", "embedding", "version"))
 
 
 @query("s11_repeated_ids", "SELECT source AS id, max(doc_id)::BIGINT AS doc_id, count(*)::BIGINT AS rows FROM documents GROUP BY source")
