@@ -56,7 +56,7 @@ def _local_folder() -> str:
 def stored_once(df, name: str):
     """``df`` written to the shared folder and read again, where several branches read it."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

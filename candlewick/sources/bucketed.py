@@ -26,7 +26,11 @@ class BucketedTable:
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
     def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(key), F.lit(self.buckets)).cast("int")
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """Rows by bucket: Spark deals them out by the hash that numbers the buckets, and joins on the key leave them there."""
+        return df.repartition(self.buckets, self.key)
 
     def version(self) -> int:
         """The newest version; 0 for a table without one."""
@@ -65,7 +69,7 @@ class BucketedTable:
 
     def upsert(self, new: DataFrame, version: int, order: Sequence[str] = ()) -> bool:
         """New rows replace those of the same key; of several new rows of a key, the last by ``order`` counts."""
-        return self.merge(new, version, lambda old, fresh: evolve(old.join(fresh.select(self.key), self.key, "left_anti"), fresh), order)
+        return self._merge(new, version, lambda old, fresh: evolve(self._dealt(old).join(fresh.select(self.key), self.key, "left_anti"), fresh), order)
 
     def merge(self, new: DataFrame, version: int, how: Merge, order: Sequence[str] = ()) -> bool:
         """``how(old, fresh)`` becomes the content of all buckets that ``new`` touches; false if ``version`` was applied before.
@@ -73,6 +77,10 @@ class BucketedTable:
         ``fresh`` has one row per key, ``old`` all rows of the touched buckets. Rows
         without a key are not stored. Only keys, ``order`` and row numbers are aggregated; the other columns are joined back.
         """
+        return self._merge(new, version, lambda old, fresh: self._dealt(how(old, fresh)), order)
+
+    def _merge(self, new: DataFrame, version: int, how: Merge, order: Sequence[str]) -> bool:
+        """``merge`` for a ``how`` whose rows lie in their buckets' tasks: new and old rows travel once each."""
         current = self.version()
         if version <= current:
             return False
@@ -80,14 +88,15 @@ class BucketedTable:
         staged = stored_once(new.filter(F.col(self.key).isNotNull()).withColumns(told), "staged")
         rank = F.struct(*order, "_hash", "_row")
         last = staged.groupBy(self.key).agg(F.max(rank).alias("_last")).select(self.key, F.col("_last._row").alias("_row"))
-        fresh = staged.join(last, [self.key, "_row"], "left_semi").drop("_hash", "_row").withColumn(VERSION, F.lit(version))
+        last = last.withColumnRenamed("_row", "_kept")
+        fresh = self._dealt(staged.drop("_hash")).join(last, self.key).filter("_row = _kept").drop("_row", "_kept").withColumn(VERSION, F.lit(version))
         touched = {r[0] for r in staged.select(self.bucket(F.col(self.key))).distinct().collect()}
         before = self.manifest().collect() if current else []
         held = [e for e in before if e["bucket"] in touched]
         old = self._read(held) if any(e["rows"] for e in held) else fresh.limit(0)
         placed = how(old, fresh).withColumn("bucket", self.bucket(F.col(self.key)))
         target = f"{self.root}/data/version={version}"
-        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        placed.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(target)
         written = []
         if touched:
             kept = self.spark.read.schema(placed.schema).parquet(target).groupBy("bucket")
