@@ -1,6 +1,7 @@
 """Indicators over blocks of numbered bars.
 
-Bounded-frame indicators of a whole series are native window expressions.
+Bounded-frame indicators of a whole series are native window expressions where frames
+are short; averages and bands of all bars of many blocks are added up at once in numpy.
 Recursive ones (EMA, Wilder smoothing) restart at the beginning of every
 look-back window, so a walk steps all windows of many blocks at once in numpy
 (``walk_snapshots``). The last-bar form is a fold over a bounded array
@@ -36,6 +37,8 @@ FRAME_COLUMNS = (
     *[f"sma_{p}" for p in SMA_PERIODS],
     "bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2", "high_n", "low_n", "stoch_k", "stoch_d",
 )
+AVERAGE_COLUMNS = (*[f"sma_{p}" for p in SMA_PERIODS], "bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2")
+SHORT_COLUMNS = ("tr", "plus_dm", "minus_dm", "high_n", "low_n", "stoch_k", "stoch_d")
 ROWS_PER_CALL = 65_536
 
 RECURSIVE_COLUMNS = ("macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "adx_slope")
@@ -290,33 +293,104 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def block_edges(table: pa.Table, lookback: int) -> np.ndarray:
     """Places of core rows of whole blocks, laid end to end, that have ``lookback`` rows up to and including them."""
+    return np.flatnonzero((block_places(table) >= lookback - 1) & table["core"].to_numpy())
+
+
+def block_places(table: pa.Table) -> np.ndarray:
+    """How many rows of its block lie before each row of whole blocks, laid end to end."""
     idx, block = table["idx"].to_numpy(), table["block"].to_numpy()
     starts = np.flatnonzero(np.concatenate([[True], (np.diff(idx) != 1) | (np.diff(block) != 0)]))
-    place = np.arange(len(idx)) - np.repeat(starts, np.diff(np.append(starts, len(idx))))
-    return np.flatnonzero((place >= lookback - 1) & table["core"].to_numpy())
+    return np.arange(len(idx)) - np.repeat(starts, np.diff(np.append(starts, len(idx))))
 
 
-def indicator_blocks(bars: DataFrame, keys: Sequence[str], before: int = max(SMA_PERIODS) - 1) -> DataFrame:
-    """Halo blocks with every bounded-frame indicator, unrounded; exact on core rows."""
-    blocks = halo_blocks(bars, before=before)
-    w = block_window(keys)
-    plus, minus = directional_moves(w)
-    high_n, low_n = extremes(EXTREME_BARS, w)
-    averages = {f"sma_{p}": sma(F.col("close"), p, w) for p in SMA_PERIODS}
-    first = blocks.withColumns(
-        {
-            **averages,
-            **band_columns(w),
-            "tr": true_range(w),
-            "plus_dm": plus,
-            "minus_dm": minus,
-            "_raw_k": raw_stochastic(w),
-            "high_n": high_n,
-            "low_n": low_n,
-        }
-    )
-    second = first.withColumn("stoch_k", sma_of_optional(F.col("_raw_k"), STOCH_SMOOTH, w))
-    return second.withColumn("stoch_d", sma_of_optional(F.col("stoch_k"), STOCH_SMOOTH, w)).drop("_raw_k")
+def frame_averages(close: np.ndarray, present: np.ndarray, place: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Moving averages and bands of bars laid end to end, each with where it is missing.
+
+    A frame is added up from its oldest bar to its newest, and deviations by Welford's update, as an
+    aggregate over that frame does it, so results are the same to the last bit. ``place`` counts the bars
+    of a block before each; absent closes take no part.
+    """
+    count, value, there = len(close), np.where(present, close, 0.0), present.astype(float)
+    whole = bool(present.all())
+
+    def frame(period: int, n: np.ndarray, spread: bool = False) -> np.ndarray:
+        size = max(count - period + 1, 0)
+        out = np.full(count, np.nan)
+        total, seen, mean, square = (np.zeros(size) for _ in range(4))
+        for m in range(min(period, count) if size else 0):
+            x = value[m : m + size]
+            if not spread:
+                total += x
+                continue
+            seen += there[m : m + size]
+            delta = x - mean if whole else np.where(present[m : m + size], x - mean, 0.0)
+            step = delta / (m + 1.0 if whole else np.maximum(seen, 1.0))
+            mean += step
+            square += delta * (delta - step)
+        if size:
+            out[period - 1 :] = np.sqrt(square / n[period - 1 :]) if spread else total / n[period - 1 :]
+        return out
+
+    def members(period: int) -> np.ndarray:
+        if whole:
+            return np.full(count, float(period))
+        ends = np.concatenate([[0.0], np.cumsum(there)])
+        return ends[1:] - ends[np.maximum(np.arange(count) + 1 - period, 0)]
+
+    out = {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for p in SMA_PERIODS:
+            n = members(p)
+            out[f"sma_{p}"] = (frame(p, n), (place < p - 1) | (n == 0))
+        n = members(BAND_PERIOD)
+        none = (place < BAND_PERIOD - 1) | (n == 0)
+        mid = out[f"sma_{BAND_PERIOD}"][0] if BAND_PERIOD in SMA_PERIODS else frame(BAND_PERIOD, n)
+        sd = frame(BAND_PERIOD, n, spread=True)
+        bands = {"bb_mid": mid, "bb_upper_2": mid + 2.0 * sd, "bb_upper_1": mid + 1.0 * sd, "bb_lower_1": mid - 1.0 * sd, "bb_lower_2": mid - 2.0 * sd}
+    return out | {name: (values, none) for name, values in bands.items()}
+
+
+def _with_averages(laid: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows sorted by (keys, block, idx) with ``names`` of the averages and bands; null outside core rows."""
+    kept = [f for f in laid.schema.fields if f.name not in names]
+    schema = T.StructType(kept + [T.StructField(c, T.DoubleType()) for c in names])
+    arrow_schema = to_arrow_schema(schema)
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_blocks(batches):
+            close, core = table["close"].cast(pa.float64()), table["core"].to_numpy()
+            values = frame_averages(close.fill_null(0.0).to_numpy(), close.is_valid().to_numpy(), block_places(table))
+            columns = [
+                pa.array(values[f.name][0], mask=values[f.name][1] | ~core) if f.name in values else table[f.name].cast(f.type)
+                for f in arrow_schema
+            ]
+            yield from pa.Table.from_arrays(columns, schema=arrow_schema).to_batches(max_chunksize=ROWS_PER_CALL)
+
+    return laid.select(*[f.name for f in kept]).mapInArrow(average, schema)
+
+
+def indicator_blocks(
+    bars: DataFrame, keys: Sequence[str], before: int = max(SMA_PERIODS) - 1, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Halo blocks with bounded-frame indicators (``columns`` of them, else every one), unrounded; exact on core rows.
+
+    Short frames are window expressions, which go over the whole frame for each bar. Averages and bands, whose frames
+    are long, are added up for all bars of many blocks at once, and come on core rows only.
+    """
+    names = [*AVERAGE_COLUMNS, *SHORT_COLUMNS] if columns is None else [c for c in columns if c in (*AVERAGE_COLUMNS, *SHORT_COLUMNS)]
+    laid = halo_blocks(bars, before=before).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "idx")
+    if any(c in SHORT_COLUMNS for c in names):
+        w = block_window(keys)
+        plus, minus = directional_moves(w)
+        high_n, low_n = extremes(EXTREME_BARS, w)
+        first = laid.withColumns(
+            {"tr": true_range(w), "plus_dm": plus, "minus_dm": minus, "_raw_k": raw_stochastic(w), "high_n": high_n, "low_n": low_n}
+        )
+        second = first.withColumn("stoch_k", sma_of_optional(F.col("_raw_k"), STOCH_SMOOTH, w))
+        third = second.withColumn("stoch_d", sma_of_optional(F.col("stoch_k"), STOCH_SMOOTH, w))
+        laid = third.drop("_raw_k", *[c for c in SHORT_COLUMNS if c not in names])
+    averages = [c for c in names if c in AVERAGE_COLUMNS]
+    return _with_averages(laid, averages) if averages else laid
 
 
 def rounded_snapshot(df: DataFrame, slope_bars: int = ADX_SLOPE_BARS) -> DataFrame:

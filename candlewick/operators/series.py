@@ -65,7 +65,7 @@ def index_rows(
     """
     keys = list(keys)
     bucketed = df.withColumn("_bucket", F.coalesce(F.floor(F.unix_seconds(ts) / bucket_seconds), F.lit(UNTIMED)))
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    totals = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).persist()  # read twice, narrow
     offsets = running_offsets(totals, keys, "_bucket", ["_n"]).select(*keys, "_bucket", "_n_before")
     rank = Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties)
     return (

@@ -24,7 +24,8 @@ _BANDS = ["bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2"]
 
 def _frames(bars, columns):
     """Bounded-frame indicators of every bar, over halo blocks."""
-    blocks = ind.indicator_blocks(bars, KEYS, before=max(SMA) - 1)
+    prices = bars.select(*KEYS, "idx", "high", "low", "close")
+    blocks = ind.indicator_blocks(prices, KEYS, before=max(SMA) - 1, columns=columns)
     return out(blocks.filter("core"), "instrument", "idx", *columns)
 
 
@@ -35,7 +36,8 @@ def bands_and_averages(spark, sf):
 
 @query("i1_i5_supplier_bands", outer("di", f"instrument, idx, {_r(*_SMAS, *_BANDS, digits=4)}"))
 def supplier_bands(spark, sf):
-    blocks = ind.indicator_blocks(daily(spark, sf), KEYS, before=max(SMA) - 1)
+    closes = daily(spark, sf).select(*KEYS, "idx", "close")
+    blocks = ind.indicator_blocks(closes, KEYS, before=max(SMA) - 1, columns=[*_SMAS, *_BANDS])
     return out(blocks.filter("core"), "instrument", "idx", *_SMAS, *_BANDS, digits=4)
 
 
@@ -48,7 +50,7 @@ def stochastic(spark, sf):
         WHEN bb_upper_1 - bb_lower_1 <= 1e-12 THEN 'range' WHEN close > bb_upper_1 THEN 'trend_up'
         WHEN close < bb_lower_1 THEN 'trend_down' ELSE 'range' END AS zone FROM hi""", "hi"))
 def band_zone(spark, sf):
-    blocks = ind.indicator_blocks(hourly(spark, sf), KEYS, before=max(SMA) - 1).filter("core")
+    blocks = ind.indicator_blocks(hourly(spark, sf), KEYS, before=max(SMA) - 1, columns=_BANDS).filter("core")
     zone = ind.band_zone(F.col("close"), *[F.col(c) for c in ("bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2")])
     return out(blocks.withColumn("zone", zone), "instrument", "idx", "zone")
 
@@ -63,7 +65,7 @@ def ranges_and_moves(spark, sf):
         WHEN {' AND '.join(f'sma_{a} < sma_{b}' for a, b in zip(SMA, SMA[1:]))} THEN 'down' END AS stack FROM (
     SELECT instrument, idx, {', '.join(f'round_even({c}, 6) AS {c}' for c in _SMAS)} FROM hi)""", "hi"))
 def stack_order(spark, sf):
-    blocks = ind.indicator_blocks(hourly(spark, sf), KEYS, before=max(SMA) - 1).filter("core")
+    blocks = ind.indicator_blocks(hourly(spark, sf), KEYS, before=max(SMA) - 1, columns=_SMAS).filter("core")
     return out(blocks.withColumn("stack", ind.stack_order([F.bround(c, 6) for c in _SMAS])), "instrument", "idx", "stack")
 
 

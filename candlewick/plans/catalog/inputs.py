@@ -33,7 +33,7 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered daily unit-price bars of ``lineitem``, one series per supplier."""
+    """Numbered daily unit-price bars of ``lineitem``, one series per supplier; persist them where they are read again."""
     lines = table(spark, sf, "lineitem")
     bars = bars_from_ticks(
         lines,
@@ -43,7 +43,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_extendedprice") / F.col("l_quantity"),
         F.col("l_orderkey") * 8 + F.col("l_linenumber"),
     )
-    return index_rows(bars.persist(), KEYS, bucket_seconds=1000 * DAY).persist()
+    return index_rows(bars.persist(), KEYS, bucket_seconds=1000 * DAY)
 
 
 def hourly_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,7 +116,7 @@ def sequential_trades(spark, sf):
 # Eight digits hold every unit price of the suppliers that ends at all: no rounding of a printed tie.
 @query("b4_supplier_trades", outer("d_taken", f"{_CAND}, {_EXIT}".replace(", 6)", ", 8)")))
 def supplier_trades(spark, sf):
-    bars = daily(spark, sf)
+    bars = daily(spark, sf).persist()
     labelled = walk.label_steps(bars, KEYS, LOOKBACK).persist()
     return out(outcomes.walk_trades(labelled, bars, KEYS), *_CLOSED, digits=8)
 
@@ -271,7 +271,7 @@ def _segments_sql(points: str, series: str = "instrument") -> str:
 @query("o1_polylines", sql(f"""SELECT instrument, segment, t1, round(p1, 6) AS p1, t2, round(p2, 6) AS p2 FROM ({_segments_sql("SELECT instrument, idx, epoch(ts)::BIGINT AS t, sma_20 AS value FROM hi")})""", "hi"))
 def polylines(spark, sf):
     """SMA-20 of whole series as one line each, joined over the seams of blocks of 64 joints."""
-    points = indicator_blocks(hourly(spark, sf), KEYS).filter("core").withColumn("value", F.col("sma_20"))
+    points = indicator_blocks(hourly(spark, sf), KEYS, columns=["sma_20"]).filter("core").withColumn("value", F.col("sma_20"))
     return out(ann.polyline(points, KEYS, block=64), "instrument", "segment", "t1", "p1", "t2", "p2")
 
 
