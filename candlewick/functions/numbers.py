@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -12,6 +14,24 @@ def rounded(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def rounded_array(x: np.ndarray, digits: int) -> np.ndarray:
+    """``rounded`` of the doubles of an array, for use in tasks; NaN and infinities stay.
+
+    Half-even rounding of the shortest decimal that tells a double: whatever lies near a half, or is too large
+    to be scaled safely, goes through decimals; the rest cannot fall on the other side.
+    """
+    power = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        scaled = x * power
+        size = np.abs(scaled)
+        near = np.abs(size - np.floor(size) - 0.5) <= 1e-6 + 4 * np.spacing(size)
+        out = np.where(np.isfinite(x), np.rint(scaled) / power + 0.0, x)  # no negative zero
+        unsafe = np.flatnonzero(np.isfinite(x) & (near | ~(size < 2.0**50)))
+    context, unit = Context(prec=800), Decimal(1).scaleb(-digits)
+    out[unsafe] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_EVEN, context)) + 0.0 for v in x[unsafe].tolist()]
+    return out
+
+
 def whole_even(x: Column) -> Column:
     """Half-even rounding to a whole number, kept as double."""
     return F.rint(x)

@@ -167,6 +167,12 @@ def skeleton_proposal() -> Column:
     )
 
 
+def planned_prices(planned: Column) -> list[Column]:
+    """Side and prices of a planned ticket; side none where there is no ticket."""
+    side = F.when(planned.isNull(), "none").otherwise(planned["side"]).alias("side")
+    return [side, *[planned[c].alias(c) for c in ("entry", "stop", "target")]]
+
+
 def apply_geometry(proposal: Column, planned: Column, last_ts: Column) -> Column:
     """Replace a proposal's side and prices by the planned ticket, noting why."""
     none = planned.isNull()
@@ -182,8 +188,7 @@ def apply_geometry(proposal: Column, planned: Column, last_ts: Column) -> Column
         F.struct(
             proposal["thesis"].alias("thesis"),
             proposal["play_class"].alias("play_class"),
-            F.when(none, "none").otherwise(planned["side"]).alias("side"),
-            *[planned[c].alias(c) for c in ("entry", "stop", "target")],
+            *planned_prices(planned),
             F.coalesce(last_ts, proposal["at_ts"]).alias("at_ts"),
             proposal["confidence"].alias("confidence"),
             merge_notes(proposal["notes"], F.when(none, reason).otherwise(note)).alias("notes"),
@@ -200,11 +205,8 @@ def _list_text(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def with_verdict(df: DataFrame, goal: Goal, proposal: str = "proposal", name: str = "risk") -> DataFrame:
-    """Ordered risk gate over classified rows: struct (ok, action, reasons, r_planned, size_units, ...).
-
-    The first failing rule decides and means ``wait``.
-    """
+def _ruled(df: DataFrame, goal: Goal, proposal: str) -> tuple[DataFrame, list[tuple[str, Column, Column]]]:
+    """Rows with ``_failed``, the first failing rule, and what it was measured by; the rules (name, test, reason)."""
     p = F.col(proposal)
     allowed = F.coalesce(F.col("allowed_play_classes"), F.array().cast("array<string>"))
     lit = {k: F.lit(v) for k, v in vars(goal).items()}
@@ -240,21 +242,40 @@ def with_verdict(df: DataFrame, goal: Goal, proposal: str = "proposal", name: st
         ),
     ]
     failed = F.coalesce(*[F.when(is_true(test), rule) for rule, test, _ in rules])
+    return measured.withColumn("_failed", failed), rules
+
+
+def _action(p: Column, goal: Goal) -> Column:
+    return F.when(F.col("_failed").isNull(), pass_action(p["play_class"], F.lit(goal.mode))).otherwise("wait")
+
+
+_MEASURES = ("_missing", "_gap", "_r", "_size_problem", "_size", "_failed")
+
+
+def with_action(df: DataFrame, goal: Goal, proposal: str = "proposal", name: str = "action") -> DataFrame:
+    """The action of ``with_verdict`` alone, without its reasons and sizes, which are long texts to make."""
+    return computed_once(_ruled(df, goal, proposal)[0], name, _action(F.col(proposal), goal)).drop(*_MEASURES)
+
+
+def with_verdict(df: DataFrame, goal: Goal, proposal: str = "proposal", name: str = "risk") -> DataFrame:
+    """Ordered risk gate over classified rows: struct (ok, action, reasons, r_planned, size_units, ...).
+
+    The first failing rule decides and means ``wait``.
+    """
+    measured, rules = _ruled(df, goal, proposal)
     reason = F.coalesce(*[F.when(F.col("_failed") == rule, text) for rule, _, text in rules])
     known = F.col("_failed").isNull() | F.col("_failed").isin("low_r", "size", "cap")
     sized = F.col("_failed").isNull() | (F.col("_failed") == "cap")
     verdict = F.struct(
         F.col("_failed").isNull().alias("ok"),
-        F.when(F.col("_failed").isNull(), pass_action(p["play_class"], lit["mode"])).otherwise("wait").alias("action"),
+        _action(F.col(proposal), goal).alias("action"),
         F.array_compact(F.array(reason)).alias("reasons"),
         F.when(known, F.col("_r")).alias("r_planned"),
         F.when(sized, F.col("_size")).alias("size_units"),
-        lit["risk_fraction"].alias("risk_fraction"),
+        F.lit(goal.risk_fraction).alias("risk_fraction"),
         F.when(known, F.col("_gap")).alias("stop_distance"),
     )
-    return computed_once(measured.withColumn("_failed", failed), name, verdict).drop(
-        "_missing", "_gap", "_r", "_size_problem", "_size", "_failed"
-    )
+    return computed_once(measured, name, verdict).drop(*_MEASURES)
 
 
 def first_exit(side: Column, stop: Column, target: Column, high: Column, low: Column) -> Column:

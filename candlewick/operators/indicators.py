@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from candlewick.functions.numbers import is_true, rounded
-from candlewick.operators.series import block_window, halo_blocks
+from candlewick.functions.numbers import is_true, rounded, rounded_array
+from candlewick.operators.series import block_window, dealt, halo_blocks
 
 # Indicator periods and thresholds.
 SMA_PERIODS = (10, 20, 50, 100, 200)
@@ -40,7 +40,13 @@ FRAME_COLUMNS = (
 AVERAGE_COLUMNS = (*[f"sma_{p}" for p in SMA_PERIODS], "bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2")
 SHORT_COLUMNS = ("tr", "plus_dm", "minus_dm", "high_n", "low_n", "stoch_k", "stoch_d")
 ROWS_PER_CALL = 65_536
+EDGES_PER_STEP = 16_384
 
+#: Digits to which a snapshot's values are rounded.
+SNAPSHOT_DIGITS = {
+    **{c: 6 for c in (*AVERAGE_COLUMNS, "macd", "macd_signal", "macd_hist", "high_n", "low_n")},
+    **{c: 4 for c in ("adx", "plus_di", "minus_di", "rsi", "stoch_k", "stoch_d", "adx_slope")},
+}
 RECURSIVE_COLUMNS = ("macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "adx_slope")
 
 
@@ -242,7 +248,9 @@ def edge_snapshots(high: np.ndarray, low: np.ndarray, close: np.ndarray, edges:
     up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
     plus = np.where((up > down) & (up > 0), up, 0.0)
     minus = np.where((down > up) & (down > 0), down, 0.0)
-    out = window_recursions(close, tr, plus, minus, edges, lookback)
+    # Windows are stepped in groups whose vectors stay in a core's cache.
+    parts = [window_recursions(close, tr, plus, minus, edges[i : i + EDGES_PER_STEP], lookback) for i in range(0, max(len(edges), 1), EDGES_PER_STEP)]
+    out = {c: np.concatenate([part[c] for part in parts]) for c in parts[0]}
     for p in SMA_PERIODS:
         out[f"sma_{p}"] = trailing(close, p, np.mean)[edges] if p <= lookback else np.full(len(edges), np.nan)
     mid, sd = (trailing(close, BAND_PERIOD, f)[edges] for f in (np.mean, np.std))
@@ -257,12 +265,14 @@ def edge_snapshots(high: np.ndarray, low: np.ndarray, close: np.ndarray, edges:
 
 
 def _label_rows(table: pa.Table, lookback: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Core rows of whole blocks, laid end to end, that have a full window."""
+    """Core rows of whole blocks, laid end to end, that have a full window, with rounded indicators."""
     edges = block_edges(table, lookback)
     if len(edges) == 0:
         return
     arrays = [table[c].to_numpy().astype(float) for c in ("high", "low", "close")]
     values = edge_snapshots(*arrays, edges, lookback)
+    rising = values["adx_slope"] > 0
+    values = {c: rounded_array(v, SNAPSHOT_DIGITS[c]) for c, v in values.items()} | {"adx_rising": rising}
     kept = table.take(pa.array(edges))
     columns = [
         pa.array(values[f.name], type=f.type, from_pandas=True) if f.name in values else kept[f.name].cast(f.type) for f in schema
@@ -378,7 +388,7 @@ def indicator_blocks(
     are long, are added up for all bars of many blocks at once, and come on core rows only.
     """
     names = [*AVERAGE_COLUMNS, *SHORT_COLUMNS] if columns is None else [c for c in columns if c in (*AVERAGE_COLUMNS, *SHORT_COLUMNS)]
-    laid = halo_blocks(bars, before=before).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "idx")
+    laid = dealt(halo_blocks(bars, before=before), *keys, "block").sortWithinPartitions(*keys, "block", "idx")
     if any(c in SHORT_COLUMNS for c in names):
         w = block_window(keys)
         plus, minus = directional_moves(w)
@@ -393,21 +403,18 @@ def indicator_blocks(
     return _with_averages(laid, averages) if averages else laid
 
 
-def rounded_snapshot(df: DataFrame, slope_bars: int = ADX_SLOPE_BARS) -> DataFrame:
+def rounded_snapshot(df: DataFrame) -> DataFrame:
     """Round raw indicators and derive zone, width, order and close-versus-average.
 
     Derived fields read the rounded levels; ``adx_rising`` reads the raw slope.
     """
-    six = [f"sma_{p}" for p in SMA_PERIODS] + ["bb_mid", "bb_upper_2", "bb_upper_1", "bb_lower_1", "bb_lower_2"]
-    six += ["macd", "macd_signal", "macd_hist", "high_n", "low_n"]
-    four = ["adx", "plus_di", "minus_di", "rsi", "stoch_k", "stoch_d"]
-    out = df.withColumn("adx_rising", is_true(F.col("adx_slope") > 0)).withColumns(
-        {
-            **{c: rounded(F.col(c), 6) for c in six},
-            **{c: rounded(F.col(c), 4) for c in [*four, "adx_slope"]},
-            "last_close": rounded(F.col("close"), 6),
-        }
-    )
+    out = df.withColumn("adx_rising", is_true(F.col("adx_slope") > 0))
+    return derived_snapshot(out.withColumns({c: rounded(F.col(c), digits) for c, digits in SNAPSHOT_DIGITS.items()}))
+
+
+def derived_snapshot(df: DataFrame) -> DataFrame:
+    """Zone, width, order and close-versus-average of rounded indicators."""
+    out = df.withColumn("last_close", rounded(F.col("close"), 6))
     mid, u2, l2 = F.col("bb_mid"), F.col("bb_upper_2"), F.col("bb_lower_2")
     missing = [F.when(F.col(f"sma_{p}").isNull(), F.lit(p)) for p in SMA_PERIODS]
     return out.withColumns(
@@ -426,13 +433,14 @@ def walk_snapshots(bars: DataFrame, keys: Sequence[str], lookback: int = 250) ->
 
     One shuffle by (keys, block) and one sort; tasks then label as many whole
     blocks per call as fit ``ROWS_PER_CALL``, so short series share vectors and
-    long ones are spread by block.
+    long ones are spread by block. Values are rounded there too.
     """
     if lookback < MIN_BARS:
         raise ValueError(f"lookback must be >= {MIN_BARS}; got {lookback}")
     names = [*FRAME_COLUMNS, *RECURSIVE_COLUMNS]
-    passed = [f for f in bars.schema.fields if f.name not in names]
-    schema = T.StructType(passed + [T.StructField(c, T.DoubleType()) for c in names])
+    passed = [f for f in bars.schema.fields if f.name not in (*names, "adx_rising")]
+    made = [T.StructField(c, T.DoubleType()) for c in names] + [T.StructField("adx_rising", T.BooleanType())]
+    schema = T.StructType(passed + made)
     arrow_schema = to_arrow_schema(schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +448,8 @@ def walk_snapshots(bars: DataFrame, keys: Sequence[str], lookback: int = 250) ->
             yield from _label_rows(table, lookback, arrow_schema)
 
     blocks = halo_blocks(bars.select(*[f.name for f in passed]), before=lookback - 1)
-    laid = blocks.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "idx")
-    return rounded_snapshot(laid.mapInArrow(label, schema))
+    laid = dealt(blocks, *keys, "block").sortWithinPartitions(*keys, "block", "idx")
+    return derived_snapshot(laid.mapInArrow(label, schema))
 
 
 # Last-bar folds over one bounded array ---------------------------------------

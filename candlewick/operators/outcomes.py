@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from candlewick.functions.numbers import rounded
 from candlewick.functions.tickets import (
-    Goal, apply_geometry, expectancy, first_exit, r_multiple, skeleton_proposal, with_ticket, with_verdict,
+    Goal, apply_geometry, expectancy, first_exit, planned_prices, r_multiple, skeleton_proposal, with_action, with_ticket, with_verdict,
 )
 from candlewick.operators.chains import select_sequential
 from candlewick.operators.exits import first_touches
+from candlewick.session import stored_once
 
 #: Copies of a series' last bar that positions still open at the end are dealt over.
 SALTS = 16
@@ -26,8 +27,11 @@ def decide(labelled: DataFrame, goal: Goal, instrument: str = "instrument") -> D
 
 
 def entry_candidates(labelled: DataFrame, keys: Sequence[str], goal: Goal = Goal(mode="paper")) -> DataFrame:
-    """Rows the gate would send to execution, with their ticket."""
-    passed = decide(labelled, goal).filter(F.col("risk.action") == "pending_exec")
+    """Rows the gate would send to execution, with their ticket: as ``decide`` has it, without its texts."""
+    proposed = labelled.withColumn("_play", skeleton_proposal()["play_class"])
+    planned = with_ticket(proposed, F.col("_play"), F.col("instrument"), name="_ticket")
+    shaped = planned.withColumn("proposal", F.struct(F.col("_play").alias("play_class"), *planned_prices(F.col("_ticket"))))
+    passed = with_action(shaped, goal).filter(F.col("action") == "pending_exec")
     return passed.select(
         *keys,
         F.col("idx").alias("entry_idx"),
@@ -77,8 +81,12 @@ def close_trades(trades: DataFrame) -> DataFrame:
 
 
 def walk_trades(labelled: DataFrame, bars: DataFrame, keys: Sequence[str], goal: Goal = Goal(mode="paper")) -> DataFrame:
-    """Candidates, exits and one-position selection in one plan."""
-    trades = resolve_exits(entry_candidates(labelled, keys, goal), bars, keys).persist()
+    """Candidates, exits and one-position selection; ``labelled`` is read once.
+
+    Candidates are a few narrow columns of the labels and are read twice: they are stored, and no other column is made.
+    """
+    candidates = stored_once(entry_candidates(labelled, keys, goal), "candidates")
+    trades = resolve_exits(candidates, bars, keys).persist()
     return select_sequential(trades, keys)
 
 

@@ -91,6 +91,15 @@ def halo_blocks(
     return df.withColumn(block, F.explode(F.sequence(first, last))).withColumn("core", F.col(block) == own)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by a hash over all shuffle partitions, which are not merged by their size.
+
+    Merged partitions are about as many as cores, and one more; where a row is few bytes and much work,
+    the last one then takes as long as all others.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def block_window(keys: Sequence[str], idx: str = "idx", block: str = "block"):
     return Window.partitionBy(*keys, block).orderBy(idx)
 

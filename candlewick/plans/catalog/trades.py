@@ -117,8 +117,7 @@ def sequential_trades(spark, sf):
 @query("b4_supplier_trades", outer("d_taken", f"{_CAND}, {_EXIT}".replace(", 6)", ", 8)")))
 def supplier_trades(spark, sf):
     bars = daily(spark, sf).persist()
-    labelled = walk.label_steps(bars, KEYS, LOOKBACK).persist()
-    return out(outcomes.walk_trades(labelled, bars, KEYS), *_CLOSED, digits=8)
+    return out(outcomes.walk_trades(walk.label_steps(bars, KEYS, LOOKBACK), bars, KEYS), *_CLOSED, digits=8)
 
 
 @query("l12_expectancy", sql("""SELECT instrument, trades, round(win_rate, 6) AS win_rate, round(avg_win_r, 6) AS avg_win_r, round(avg_loss_r, 6) AS avg_loss_r,
