@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from candlewick.operators.series import dealt
 from candlewick.session import stored_once
 
 #: Bars of a block, and blocks of a block one level up.
@@ -53,11 +54,10 @@ def _scan(cands: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     names = [*cands.columns, *bars]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("_item")
-        item = right["_item"].to_numpy()
-        if left.num_rows == 0:
-            hit = np.zeros(0, np.int64)
-        else:
+        item, hit = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows:
+            right = right.sort_by("_item")
+            item = right["_item"].to_numpy()
             low, high = (right[c].to_numpy().astype(float) for c in ("_low", "_high"))
             start = np.searchsorted(item, left["_at"].to_numpy(), "right")
             hit = first_touch(low, high, start, left["_floor"].to_numpy(), left["_ceiling"].to_numpy())
@@ -66,7 +66,7 @@ def _scan(cands: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
 
     items = items.select(*[F.col(c).alias(c) for c in items.columns])  # both sides may stem from one table
     out = StructType(cands.schema.fields + [StructField(n, items.schema[c].dataType) for n, c in bars.items()])
-    return cands.groupBy(*place).cogroup(items.groupBy(*place)).applyInArrow(search, out)
+    return dealt(cands, *place).groupBy(*place).cogroup(dealt(items, *place).groupBy(*place)).applyInArrow(search, out)
 
 
 def _levels(items: DataFrame) -> int:
@@ -77,12 +77,16 @@ def _levels(items: DataFrame) -> int:
     return levels
 
 
-def _search(cands: DataFrame, items: DataFrame, keys: list[str], levels: int) -> DataFrame:
+def _search(cands: DataFrame, items: DataFrame, keys: list[str], levels: int, bars: bool = False) -> DataFrame:
+    """``bars``: items are bars and candidates begin at their own, so that its number tells the span; else blocks are joined to spans."""
     block = lambda c: F.floor(F.col(c) / SIZE)
     own = cands.withColumns({"_block": block("_at"), "_span": F.floor(F.col("_entry") / SPAN)})
-    spans = own.select(*keys, "_block", "_span").distinct()
     placed = items.withColumn("_block", block("_item"))
-    found = _scan(own, placed.join(spans, [*keys, "_block"]), keys)
+    if bars:
+        reached = placed.withColumn("_span", F.floor(F.col("_item") / SPAN))
+    else:
+        reached = placed.join(own.select(*keys, "_block", "_span").distinct(), [*keys, "_block"])
+    found = _scan(own, reached, keys)
     if levels == 1:
         return found.drop("_block", "_span")
     found = stored_once(found.drop("_block", "_span"), "touches")
@@ -111,4 +115,4 @@ def first_touches(cands: DataFrame, bars: DataFrame, keys: Sequence[str]) -> Dat
         "_floor": F.coalesce(F.col("_floor").cast("double"), F.lit(float("-inf"))), "_ceiling": F.coalesce(F.col("_ceiling").cast("double"), F.lit(float("inf"))),
         "_at": F.col("_entry").cast("long"),
     }
-    return _search(cands.withColumns(bounds), items, keys, _levels(items)).drop("_at")
+    return _search(cands.withColumns(bounds), items, keys, _levels(items), bars=True).drop("_at")

@@ -55,11 +55,13 @@ def resolve_exits(candidates: DataFrame, bars: DataFrame, keys: Sequence[str]) -
             "_entry": F.col("entry_idx"),
         }
     )
-    touched = first_touches(start, bars, keys)
+    touched = stored_once(first_touches(start, bars, keys), "touched")
     last = F.struct("idx", "ts", "close")
     ends = bars.groupBy(*keys).agg(F.max_by(last, "idx").alias("_end"))
     salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    ended = touched.withColumn("_salt", F.pmod("_entry", F.lit(SALTS))).join(salted, [*keys, "_salt"], "left")
+    # Only what stays open meets the last bar of its series; all else is not dealt again.
+    left_open = touched.filter("_hit is null").withColumn("_salt", F.pmod("_entry", F.lit(SALTS))).join(salted, [*keys, "_salt"], "left")
+    ended = touched.filter("_hit is not null").unionByName(left_open, allowMissingColumns=True)
     status = F.coalesce(
         first_exit(F.col("side"), F.col("stop"), F.col("target"), F.col("_hit_high"), F.col("_hit_low")), F.lit("window_end")
     )
@@ -84,9 +86,10 @@ def walk_trades(labelled: DataFrame, bars: DataFrame, keys: Sequence[str], goal:
     """Candidates, exits and one-position selection; ``labelled`` is read once.
 
     Candidates are a few narrow columns of the labels and are read twice: they are stored, and no other column is made.
+    So are their exits; the shuffles of bars that made them are freed.
     """
     candidates = stored_once(entry_candidates(labelled, keys, goal), "candidates")
-    trades = resolve_exits(candidates, bars, keys).persist()
+    trades = stored_once(resolve_exits(candidates, bars, keys), "exits")
     return select_sequential(trades, keys)
 
 

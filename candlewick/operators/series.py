@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from candlewick.session import stored_once
+
 FANOUT = 4096
 BLOCK = 2048
 #: The bucket of rows without a time, before all others.
@@ -48,6 +50,11 @@ def running_offsets(
     )
 
 
+def bucket(ts: str | Column, seconds: int) -> Column:
+    """The span of time of a row."""
+    return F.coalesce(F.floor(F.unix_seconds(ts) / seconds), F.lit(UNTIMED))
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,17 +62,21 @@ def index_rows(
     ties: Sequence[str] = (),
     bucket_seconds: int = 86_400,
     name: str = "idx",
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each series from 0 in time order.
 
     Rows must be unique per (keys, ts, ties); rows without a time come first, and none
     is lost. ``df`` is read twice (counts, then ranks), so pass a stored table or a
-    persisted frame. Choose ``bucket_seconds``
-    so that one bucket holds a few thousand rows.
+    persisted frame, or in ``times`` the keys and times of its rows where they cost less than
+    ``df``, which is then read once. Choose ``bucket_seconds``
+    so that one bucket holds a few thousand rows. A ``_bucket`` that ``df`` is laid out by is taken as it is.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", F.coalesce(F.floor(F.unix_seconds(ts) / bucket_seconds), F.lit(UNTIMED)))
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).persist()  # read twice, narrow
+    bucketed = df if "_bucket" in df.columns else df.withColumn("_bucket", bucket(ts, bucket_seconds))
+    counted = bucketed if times is None else times.withColumn("_bucket", bucket(ts, bucket_seconds))
+    totals = counted.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    totals = totals.persist() if times is None else stored_once(totals, "bucket-counts")  # read twice, narrow
     offsets = running_offsets(totals, keys, "_bucket", ["_n"]).select(*keys, "_bucket", "_n_before")
     rank = Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties)
     return (

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from candlewick.functions.times import bar_start
 from candlewick.operators.series import index_rows
 from candlewick.operators.walk import label_steps
 from candlewick.sources.candles import bars_from_ticks
@@ -33,17 +34,17 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered daily unit-price bars of ``lineitem``, one series per supplier; persist them where they are read again."""
+    """Numbered daily unit-price bars of ``lineitem``, one series per supplier; store them where they are read again.
+
+    Most bars are one line: lines are dealt once, and the days of each supplier are counted from narrow rows.
+    """
     lines = table(spark, sf, "lineitem")
+    supplier, shipped = F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")), F.col("l_shipdate").cast("timestamp")
     bars = bars_from_ticks(
-        lines,
-        F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")),
-        "D",
-        F.col("l_shipdate").cast("timestamp"),
-        F.col("l_extendedprice") / F.col("l_quantity"),
-        F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+        lines, supplier, "D", shipped, F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_orderkey") * 8 + F.col("l_linenumber"), 1000 * DAY
     )
-    return index_rows(bars.persist(), KEYS, bucket_seconds=1000 * DAY)
+    days = lines.select(supplier.alias("instrument"), F.lit("D").alias("granularity"), bar_start(shipped, "D").alias("ts")).distinct()
+    return index_rows(bars, KEYS, bucket_seconds=1000 * DAY, times=days)
 
 
 def hourly_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from candlewick.operators.series import tiles
 from candlewick.plans.catalog.analytics import STRIDE, TILE, TILES
 from candlewick.plans.catalog.inputs import KEYS, LOOKBACK, SMA, daily, hourly, hourly_labels, out, outer, sql, table
 from candlewick.plans.registry import query
+from candlewick.session import stored_once
 
 PAPER = tk.Goal(mode="paper")
 _ID = "md5(instrument || '|H1|' || entry_idx)"
@@ -116,7 +117,7 @@ def sequential_trades(spark, sf):
 # Eight digits hold every unit price of the suppliers that ends at all: no rounding of a printed tie.
 @query("b4_supplier_trades", outer("d_taken", f"{_CAND}, {_EXIT}".replace(", 6)", ", 8)")))
 def supplier_trades(spark, sf):
-    bars = daily(spark, sf).persist()
+    bars = stored_once(daily(spark, sf).select(*KEYS, "idx", "ts", "high", "low", "close"), "daily-bars")
     return out(outcomes.walk_trades(walk.label_steps(bars, KEYS, LOOKBACK), bars, KEYS), *_CLOSED, digits=8)
 
 

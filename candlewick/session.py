@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import shutil
@@ -53,10 +54,23 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored_once(df, name: str):
-    """``df`` written to the shared folder and read again, where several branches read it."""
+    """``df`` written to the shared folder and read again, where several branches read it; its shuffles are freed."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

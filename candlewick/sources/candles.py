@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlewick.functions.numbers import is_true
 from candlewick.functions.text import strip
 from candlewick.functions.times import bar_start, instant_key, parse_instant
+from candlewick.operators.series import bucket, dealt
 
 PRICE = "struct<o:string,h:string,l:string,c:string>"
 CANDLE_SCHEMA = (
@@ -50,15 +51,21 @@ def bars_from_ticks(
     ts: Column,
     price: Column,
     tie: Column,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
-    """Open/high/low/close/volume per instrument and bar; equal times ordered by ``tie``."""
-    ordered = ticks.select(
-        instrument.alias("instrument"),
-        bar_start(ts, granularity).alias("ts"),
-        price.alias("price"),
-        event_order(ts, tie).alias("_order"),
+    """Open/high/low/close/volume per instrument and bar; equal times ordered by ``tie``.
+
+    With ``bucket_seconds`` ticks are dealt by (instrument, span of time), which stays as ``_bucket``:
+    bars lie as ``index_rows`` ranks them. That pays where a bar has few ticks.
+    """
+    told, place = ticks.select(instrument.alias("instrument"), ts.alias("_ts"), price.alias("price"), tie.alias("_tie")), []
+    if bucket_seconds is not None:
+        place = ["_bucket"]
+        told = dealt(told.withColumn("_bucket", bucket(bar_start(F.col("_ts"), granularity), bucket_seconds)), "instrument", "_bucket")
+    ordered = told.select(
+        "instrument", bar_start(F.col("_ts"), granularity).alias("ts"), "price", event_order(F.col("_ts"), F.col("_tie")).alias("_order"), *place
     )
-    return ordered.groupBy("instrument", "ts").agg(
+    return ordered.groupBy("instrument", "ts", *place).agg(
         F.min_by("price", "_order").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -66,7 +73,7 @@ def bars_from_ticks(
         F.count("*").alias("volume"),
     ).select(
         "instrument", F.lit(granularity).alias("granularity"), "ts", "open", "high", "low", "close", "volume",
-        F.lit(True).alias("complete"),
+        F.lit(True).alias("complete"), *place,
     )
 
 
