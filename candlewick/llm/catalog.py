@@ -97,7 +97,7 @@ def op5_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     apart = language_masks.held_out()
     model = language_masks.learn(docs.filter(~apart))
-    found = language_masks.identify(spark, docs.select("doc_id", "text"), model)
+    found = language_masks.identify(spark, docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 

@@ -56,13 +56,17 @@ def crc(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")))
 
 
-def hash_sample(df: DataFrame, rows: int, size: int, *, text: str = "text", key: str = "doc_id") -> list[Row]:
+def key_hash(key: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"))
+
+
+def hash_sample(df: DataFrame, told: DataFrame, rows: int, size: int, *, key: str = "doc_id") -> list[Row]:
     """At most ``rows`` rows with at most ``size`` bytes of text, taken in the order of a hash of their key.
 
-    Only hashes and sizes are ordered; the texts that travel are those of the sample.
+    ``told``: hash h and bytes n of each row. Only these are ordered; the texts that travel are those of the sample.
     """
-    order = F.xxhash64(F.col(key).cast("string"))
-    first = df.select(order.alias("h"), F.octet_length(text).alias("n")).orderBy("h", "n").limit(rows).collect()
+    order = key_hash(key)
+    first = told.select("h", "n").orderBy("h", "n").limit(rows).collect()
     taken, total = 0, 0
     while taken < len(first) and total + first[taken]["n"] <= size:
         total += first[taken]["n"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm.common import crc, extended, hash_sample, mixed, text_slices, trimmed
+from candlewick.llm.common import crc, extended, hash_sample, key_hash, mixed, text_slices, trimmed
 
 SIZES = (2, 3, 4)
 CELLS = 1 << 19
@@ -25,6 +25,10 @@ HASHES = 2
 #: Bounds of the sample the filters are filled from: rows a language, and bytes of their whole texts.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 4 << 20
+#: Languages whose hits are counted together.
+MASK_BITS = 8
+#: Bytes of text taken at a time, whose n-grams stay in a core's cache.
+TEXT_BYTES = 128 << 10
 #: Bytes of sample turned into n-grams at a time on the driver.
 FILL_BYTES = 256 << 10
 #: An n-gram belongs to a language in which it is at least this part as frequent as where it is most frequent.
@@ -45,46 +49,47 @@ def _letters() -> np.ndarray:
 _LETTERS = _letters()
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the n-grams of all texts, offsets by text).
+def sized_ngrams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hashes of the n-grams of all texts in their order, offsets by text) for each size.
 
-    Runs of other bytes are one gap; a text begins and ends with a gap, so n-grams of
-    one text never reach into the next, and n-grams of two gaps are left out.
+    Runs of other bytes are one gap; a text ends with a gap and no n-gram begins with that one, so
+    n-grams of one text never reach into the next. Gaps stand only at an n-gram's ends, and n-grams
+    of two gaps are left out.
     """
     rows = len(offsets) - 1
-    letters = np.zeros(len(data) + rows, np.uint8)  # a gap after every text
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
-    letters[np.arange(len(data)) + owner] = _LETTERS[data]
+    letters = np.insert(_LETTERS[data], offsets[1:], 0)  # a gap after every text
     ends = offsets[1:] + np.arange(rows)
+    lettered = letters > 0
     kept = np.ones(len(letters), bool)
-    kept[1:] = (letters[1:] > 0) | (letters[:-1] > 0)
+    kept[1:] = lettered[1:] | lettered[:-1]
     kept[ends] = True
-    letters = letters[kept]
+    letters, lettered = letters[kept], lettered[kept]
     bounds = np.concatenate([[0], np.cumsum(kept)[ends]])
-    text = np.repeat(np.arange(rows), np.diff(bounds)).astype(np.int32)
-    found, owners = [], []
-    wide = letters.astype(np.uint64)
-    value, padded = np.zeros(len(letters), np.uint64), np.concatenate([wide, np.zeros(max(SIZES), np.uint64)])
+    begins = np.ones(len(letters), bool)
+    begins[bounds[1:] - 1] = False
+    value, padded = np.zeros(len(letters), np.uint32), np.concatenate([letters, np.zeros(max(SIZES), np.uint8)])
+    found = []
     for n in range(1, max(SIZES) + 1):
-        value = (value << np.uint64(8)) | padded[n - 1 : n - 1 + len(letters)]
-        if n in SIZES and len(letters) >= n:
-            inner = np.zeros(len(letters), np.int16)  # gaps inside the n-gram, its ends not counted
-            for j in range(1, n - 1):
-                inner[: len(letters) - j] += letters[j:] == 0
-            whole = np.zeros(len(letters), bool)
-            whole[: len(letters) - n + 1] = text[n - 1 :] == text[: len(letters) - n + 1]
-            whole &= (inner == 0) & ((letters > 0) | (n > 2))
-            at = np.flatnonzero(whole)
-            found.append(mixed(value[at] + np.uint64(n << 56)))
-            owners.append(text[at])
-    owners = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-    order = np.argsort(owners, kind="stable")
-    hashes = np.concatenate(found)[order] if found else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(owners[order], np.arange(rows + 1))
+        value = (value << np.uint32(8)) | padded[n - 1 : n - 1 + len(letters)]
+        if n > 2:
+            begins[: 2 - n] &= lettered[n - 2 : len(letters)]  # a letter at each inner place
+            begins[2 - n :] = False
+        if n in SIZES:
+            at = np.flatnonzero(begins if n > 2 else begins & lettered)
+            found.append((mixed(value[at].astype(np.uint64) + np.uint64(n << 56)), np.searchsorted(at, bounds)))
+    return found
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the n-grams of all texts, of all sizes, offsets by text)."""
+    found = sized_ngrams(data, offsets)
+    owners = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)) for _, bounds in found])
+    return np.concatenate([hashes for hashes, _ in found])[np.argsort(owners, kind="stable")], sum(bounds for _, bounds in found)
 
 
 def cells(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(k * 24)) % np.uint64(CELLS)).astype(np.int64) for k in range(HASHES)]
+    """Places of n-grams in the filter; CELLS is a power of two."""
+    return [((hashes >> np.uint64(k * 24)) & np.uint64(CELLS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 @dataclass
@@ -103,15 +108,22 @@ class LanguageFilter:
             found = found & self.masks[at]
         return found
 
-    def decide(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the language, score from 0 to 1) of each text."""
-        found = self.containing(hashes)
-        sizes = np.diff(bounds)
-        share = np.zeros((len(sizes), len(self.names)))
-        for k in range(len(self.names)):
-            hits = np.concatenate([[0], np.cumsum((found >> np.uint64(k)) & np.uint64(1), dtype=np.int64)])
-            raw = (hits[bounds[1:]] - hits[bounds[:-1]]) / np.maximum(1, sizes)
-            share[:, k] = np.clip((raw - self.chance[k]) / (1 - self.chance[k]), 0, 1)
+    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """How many n-grams of each text each language contains, (texts, languages): masks are counted, a few bits at a time."""
+        rows, found, counted = len(bounds) - 1, self.containing(hashes), []
+        for first in range(0, len(self.names), MASK_BITS):
+            bits = min(MASK_BITS, len(self.names) - first)
+            seen = (found >> np.uint8(first)) & found.dtype.type((1 << bits) - 1)
+            seen = seen + np.repeat(np.arange(rows) << bits, np.diff(bounds))
+            masks = np.bincount(seen, minlength=rows << bits).reshape(rows, 1 << bits)
+            counted.append(masks @ (np.arange(1 << bits)[:, None] >> np.arange(bits) & 1))
+        return np.concatenate(counted, axis=1)
+
+    def decide(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the language, score from 0 to 1) of each text from its n-grams by size."""
+        sizes = sum(np.diff(bounds) for _, bounds in found)
+        hits = sum(self.hits(hashes, bounds) for hashes, bounds in found)
+        share = np.clip((hits / np.maximum(1, sizes)[:, None] - self.chance) / (1 - self.chance), 0, 1)
         best = share.argmax(1)
         total = share.sum(1)
         return best, np.where(total > 0, share[np.arange(len(best)), best] / np.maximum(total, 1e-12), 1 / max(1, len(self.names)))
@@ -141,11 +153,11 @@ def fill(samples: dict[str, list[str]]) -> LanguageFilter:
         number[k, at] = counts
         rate[k, at] = counts / max(1, counts.sum())
     member = (rate >= SHARE * rate.max(0)) & (number >= LEAST) if len(every) else rate > 0
-    masks = np.zeros(CELLS, np.uint64)
+    masks = np.zeros(CELLS, np.min_scalar_type((1 << max(1, len(names))) - 1))  # narrow masks stay in a core's cache
     for k in range(len(names)):
         for at in cells(every[member[k]]):
-            masks[np.unique(at)] |= np.uint64(1 << k)
-    bits = [(masks >> np.uint64(k)) & np.uint64(1) for k in range(len(names))]
+            masks[np.unique(at)] |= masks.dtype.type(1 << k)
+    bits = [(masks >> np.uint8(k)) & np.uint8(1) for k in range(len(names))]
     return LanguageFilter(names, masks, np.array([min(0.99, float(b.mean()) ** HASHES) for b in bits]))
 
 
@@ -153,44 +165,48 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     """Filters filled from at most ``sample_rows`` rows and ``sample_bytes`` bytes of each language.
 
     Whole texts are taken in the order of a hash of their key. Rows without text or
-    language teach nothing.
+    language teach nothing. All texts are read once for their sizes, which are kept while languages are sampled.
     """
     given = docs.select(key, F.col(text).alias("__text"), F.col(lang).alias("__lang")).filter("__text is not null and __lang is not null")
     fitting = given.filter(F.octet_length("__text") <= sample_bytes)
+    told = given.select("__lang", key_hash(key).alias("h"), F.octet_length("__text").alias("n")).persist()
     samples = {}
-    names = [r["__lang"] for r in given.select("__lang").distinct().limit(65).collect()]
+    names = [r["__lang"] for r in told.select("__lang").distinct().limit(65).collect()]
     for name in names:
-        rows = hash_sample(fitting.filter(F.col("__lang") == name), sample_rows, sample_bytes, text="__text", key=key)
+        spoken = F.col("__lang") == name
+        rows = hash_sample(fitting.filter(spoken), told.filter(spoken & (F.col("n") <= sample_bytes)), sample_rows, sample_bytes, key=key)
         samples[name] = [r["__text"] for r in rows]
+    told.unpersist()
     return fill(samples)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, *, text: str = "text", unknown: str = "und") -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, *, text: str = "text", unknown: str = "und", keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred and score, from the whole text alone.
 
     A null text, one without a letter, and every text of a model without languages are
     ``unknown`` with score 0. All other columns stay; ones named lang_pred or score are
-    replaced. The filter has a fixed size and is broadcast once.
+    replaced. The filter has a fixed size and is broadcast once. Without ``keep_text`` texts do not travel back.
     """
     docs = docs.drop("lang_pred", "score")
     shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
+    kept = [c for c in docs.columns if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.names, unknown], object)
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(place)):
+            for start, stop, data, offsets in text_slices(batch.column(place), TEXT_BYTES):
                 part = batch.slice(start, stop - start)
                 lettered = pc.fill_null(pc.match_substring_regex(part.column(place), r"\pL"), False).to_numpy(zero_copy_only=False)
                 if model.names:
-                    best, score = model.decide(*ngrams(data, offsets))
+                    best, score = model.decide(sized_ngrams(data, offsets))
                 else:
                     best, score = np.zeros(stop - start, np.int64), np.zeros(stop - start)
                 lettered = lettered & bool(model.names)
                 chosen = names[np.where(lettered, best, len(model.names))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chosen, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], pa.array(chosen, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(trimmed(run), extended(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(trimmed(run), extended(docs.select(*kept).schema, "lang_pred string, score double"))
 
 
 def held_out(key: str = "doc_id"):
