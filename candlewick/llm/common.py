@@ -144,17 +144,20 @@ def text_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, up: np.ndarray | None = None) -> np.ndarray:
     """Polynomial prefix sums modulo 2^64 of bytes, one longer than ``data``: for choices, not for equality."""
-    up, _ = powers(len(data) + 1)
+    up = powers(len(data) + 1)[0] if up is None else up
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return sums
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal contents wherever they stand; some unequal ones of long regular contents are equal too."""
-    _, down = powers(len(sums))
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of spans, equal for equal contents wherever they stand; some unequal ones of long regular contents are equal too.
+
+    ``down``: inverse powers, where a caller hashes several sets of spans.
+    """
+    down = powers(len(sums))[1] if down is None else down
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

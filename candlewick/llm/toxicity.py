@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlewick.llm.common import SLICE_BYTES, crc, extended, prefix_sums, ranges, span_hashes, text_slices, trimmed
+from candlewick.llm.common import SLICE_BYTES, crc, extended, powers, prefix_sums, ranges, span_hashes, text_slices, trimmed
 
 BUCKETS = 1 << 15
 DIM = 8
@@ -27,6 +27,8 @@ FILTERS = 8
 #: Lengths in bytes of the word beginnings that have embeddings too.
 BEGINNINGS = (4, 6)
 CUT = 0.7
+#: Bytes of text turned into words at a time, so that arrays stay in a core's cache.
+TEXT_BYTES = 256 << 10
 #: Bytes of text a task trains on, about, between two averages of all tasks' models, and the number of averages.
 PART_BYTES = 8 << 20
 ROUNDS = 4
@@ -68,10 +70,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(begins) != len(ends):  # a text ends inside letters and the next begins with letters
         cuts = offsets[1:-1]
         ends = np.union1d(ends, cuts[inside[cuts] & inside[cuts + 1]])
-    sums = prefix_sums(_LOWER[data])
-    rows = [span_hashes(sums, begins, ends)]
+    up, down = powers(len(data) + 1)
+    sums = prefix_sums(_LOWER[data], up)
+    rows = [span_hashes(sums, begins, ends, down)]
     for k, size in enumerate(BEGINNINGS):
-        rows.append(span_hashes(sums, begins, np.minimum(begins + size, ends)) ^ np.uint64(k + 1))
+        rows.append(span_hashes(sums, begins, np.minimum(begins + size, ends), down) ^ np.uint64(k + 1))
     return np.stack([(r % np.uint64(BUCKETS)).astype(np.int32) for r in rows]), np.searchsorted(begins, offsets)
 
 
@@ -89,7 +92,9 @@ class Classifier:
 
     def pooled(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(largest answer of each filter over each text, embedded words, all answers); texts without words answer 0."""
-        embedded = self.embedding[words].sum(0) if words.shape[1] else np.zeros((0, DIM), np.float32)
+        embedded = np.take(self.embedding, words[0], axis=0)
+        for beginning in words[1:]:
+            embedded += np.take(self.embedding, beginning, axis=0)
         out, answers = np.zeros((len(bounds) - 1, len(WIDTHS) * FILTERS), np.float32), []
         full = np.flatnonzero(bounds[1:] > bounds[:-1])
         for k, (width, kernel) in enumerate(zip(WIDTHS, self.filters)):
@@ -125,8 +130,7 @@ class Classifier:
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         return total.argmax(1)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        words, bounds = features(data, offsets)
+    def scores(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         odds = self.raw(words, bounds) - self.thresholds[self.language(words, bounds)]
         return np.where(odds >= 0, np.maximum(CUT, 1 / (1 + np.exp(-odds - _CUT_ODDS))), np.minimum(np.nextafter(CUT, 0), 1 / (1 + np.exp(-odds - _CUT_ODDS))))
 
@@ -134,7 +138,7 @@ class Classifier:
 def _words(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``features`` of many texts, slice by slice."""
     column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    parts = [features(data, offsets) for _, _, data, offsets in text_slices(column, SLICE_BYTES // 4)]
+    parts = [features(data, offsets) for _, _, data, offsets in text_slices(column, TEXT_BYTES)]
     if not parts:
         return np.zeros((1 + len(BEGINNINGS), 0), np.int32), np.zeros(1, np.int64)
     return np.concatenate([w for w, _ in parts], axis=1), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
@@ -181,10 +185,7 @@ def train(model: Classifier, words: np.ndarray, bounds: np.ndarray, positive: np
             for k, (width, kernel) in enumerate(zip(WIDTHS, model.filters)):
                 part = back[:, k * FILTERS : (k + 1) * FILTERS]
                 answer = answers[k]
-                best = np.maximum.reduceat(answer, at[:-1], axis=0)
-                hit = answer == np.repeat(best, lengths, axis=0)
-                rank = np.where(hit, np.arange(len(embedded))[:, None], len(embedded))
-                pick = np.minimum.reduceat(rank, at[:-1], axis=0)  # the first place of the largest answer
+                pick = np.stack([a + answer[a:b].argmax(0) for a, b in zip(at, at[1:])])  # the first place of the largest answer
                 grads[len(WIDTHS) + k] += part.sum(0)
                 for j in range(width):
                     where = pick + j
@@ -386,9 +387,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Classifier, *, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(place), SLICE_BYTES):
+            for start, stop, _, _ in text_slices(batch.column(place), SLICE_BYTES):
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(data, offsets))], names=[*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(*_words(part.column(place))))], names=[*part.schema.names, column])
 
     return docs.mapInArrow(trimmed(run), extended(docs.schema, f"`{column}` double"))
 
